@@ -53,7 +53,8 @@ def epoch_seconds(moment: Column) -> Column:
 
 
 def minutes_between(start: Column, end: Column) -> Column:
-    return (epoch_seconds(end) - epoch_seconds(start)) / F.lit(60.0)
+    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return micros / F.lit(60_000_000.0)
 
 
 def black_friday(day: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspan.operators.kinds import (
-    BOOLEAN, DOUBLE, REAL, SMALLINT, TEXT, TIMESTAMPTZ, UUID, Kind, described, is_number, numeric,
+    BOOLEAN, DOUBLE, REAL, SMALLINT, TEXT, TIMESTAMPTZ, UUID, Given, Kind, described, json_class, numeric,
 )
 
 ENVELOPE = "topic string, partition int, offset bigint, key binary, value binary, timestamp timestamp"
@@ -112,57 +112,34 @@ def parsed(envelopes: DataFrame) -> DataFrame:
     return wrapped.select(*envelopes.columns, data.alias("_data"))
 
 
-def _joined(parts: Sequence[Column], separator: str) -> Column:
-    return F.concat_ws(separator, F.array_compact(F.array(*parts)))
-
-
-def _conversion(contract: Contract) -> Column:
-    """A struct with, per field, the variant and its JSON type; NULL for other topics' messages."""
-    fields = []
-    for name in contract.names:
-        v = F.try_variant_get("_data", f"$.{name}", "variant")
-        fields.append(F.struct(v.alias("v"), F.schema_of_variant(v).alias("t")).alias(name))
-    return F.when(F.col("topic") == contract.topic, F.struct(*fields))
-
-
-def _verdict(contract: Contract) -> tuple[Column, Column, Column]:
-    """(reason, error, row) of a message of the contract's topic that is a JSON object."""
-    raw = F.col(f"_{contract.table}")
-    values, problems, absent = {}, [], {}
-    for name, kind in contract.fields:
-        v, t = raw[name]["v"], raw[name]["t"]
-        given = t.isNotNull() & (t != "VOID")
-        value, problem = kind.build(v, t)
-        values[name] = F.when(given, value).cast(kind.sql_type)
-        absent[name] = ~given | ((t == "STRING") & (F.try_variant_get(v, "$", "string") == ""))
-        problems.append(F.when(given & problem.isNotNull(), F.concat(F.lit(f"{name}: "), problem)))
-    missing = _joined([F.when(absent[name], F.lit(name)) for name in contract.required], ", ")
-    wrong = _joined(problems, "; ")
-    version, version_type = raw["schema_version"]["v"], raw["schema_version"]["t"]
-    known = is_number(version_type) & F.try_variant_get(version, "$", "double").isin(*map(float, SUPPORTED_VERSIONS))
-    reason = (
-        F.when(missing != "", MISSING_FIELD)
-        .when(~known, UNSUPPORTED_SCHEMA_VERSION)
-        .when(wrong != "", INVALID_FIELD)
-    )
-    error = (
-        F.when(missing != "", F.concat(F.lit("missing "), missing))
-        .when(
-            ~known,
-            F.concat(
-                F.lit("schema_version "), F.to_json(version), F.lit(f" is not among {list(SUPPORTED_VERSIONS)}")
-            ),
-        )
-        .when(wrong != "", wrong)
+def _distinct_kinds(contracts: Sequence[Contract]) -> dict[str, Kind]:
+    return {kind.name: kind for c in contracts for _, kind in c.fields}
+
+
+def _per_topic(contracts: Sequence[Contract], entry) -> Column:
+    """The entry of the message's topic, from a constant map."""
+    pairs = [part for c in contracts for part in (F.lit(c.topic), entry(c))]
+    return F.try_element_at(F.create_map(*pairs), F.col("topic"))
+
+
+def _problem_of(field: Column, kinds: dict[str, Kind]) -> Column:
+    """What is wrong with the value of a field ({name, kind}), NULL when nothing is. The checks of all
+    kinds are written once and serve the fields of every contract."""
+    name, kind = field["name"], field["kind"]
+    variant, json_type = F.try_element_at("_members", name), F.try_element_at("_types", name)
+    given = Given(
+        variant, json_type, F.try_variant_get(variant, "$", "string"), F.try_variant_get(variant, "$", "double")
     )
-    # Objects are compared by key order in a variant's JSON text, so the residual is canonical.
-    rest = F.map_filter(
-        F.from_json(F.to_json(F.col("_data")), "map<string,variant>"), lambda k, _: ~k.isin(*contract.names)
+    expects = F.create_map(*[F.lit(x) for k in kinds.values() for x in (k.name, k.json)])
+    words = F.create_map(*[F.lit(x) for k in kinds.values() for x in (k.name, k.expected)])
+    wrong_type = ~F.coalesce(json_class(json_type) == F.try_element_at(expects, kind), F.lit(False))
+    problem = F.when(json_type.isNull() | (json_type == "VOID"), F.lit(None).cast("string")).when(
+        wrong_type, F.concat(F.try_element_at(words, kind), F.lit(" expected, found "), described(json_type))
     )
-    default = F.lit(contract.residual_default).cast("string")
-    residual = F.when(F.size(rest) > 0, F.to_json(rest)).otherwise(default)
-    row = F.struct(*[values[n].alias(n) for n in contract.names], residual.alias(contract.residual))
-    return reason, error, row
+    for k in kinds.values():
+        if k.problem is not None:
+            problem = problem.when(kind == k.name, k.problem(given))
+    return F.concat(name, F.lit(": "), problem)
 
 
 def classify(
@@ -174,42 +151,82 @@ def classify(
     `sources` is the registry (source_id); None skips that check. Nothing is shuffled unless the
     registry is too large to travel to the tasks.
     """
-    known_topics = [c.topic for c in contracts]
-    base = parsed(envelopes)
-    kinds = base.select("*", F.schema_of_variant("_data").alias("_type"))
-    opened = kinds.select(
+    opened = parsed(envelopes).select(
         "*",
-        F.when(~F.coalesce(F.col("topic").isin(*known_topics), F.lit(False)), UNKNOWN_TOPIC)
-        .when(F.col("value").isNull() | (F.octet_length("value") == 0), EMPTY_MESSAGE)
-        .when(F.col("_data").isNull(), INVALID_JSON)
-        .when(~F.col("_type").startswith("OBJECT"), NOT_AN_OBJECT)
-        .alias("_early"),
-        *[_conversion(c).alias(f"_{c.table}") for c in contracts],
+        F.schema_of_variant("_data").alias("_type"),
+        F.try_variant_get("_data", "$", "map<string,variant>").alias("_members"),
+    ).select("*", F.transform_values("_members", lambda _, v: F.schema_of_variant(v)).alias("_types"))
+
+    kinds = _distinct_kinds(contracts)
+    fields = _per_topic(
+        contracts,
+        lambda c: F.array(
+            *[F.struct(F.lit(n).alias("name"), F.lit(k.name).alias("kind")) for n, k in c.fields]
+        ),
     )
-    reasons, errors, rows = [], [], []
-    for c in contracts:
-        reason, error, row = _verdict(c)
-        mine = F.col("_early").isNull() & (F.col("topic") == c.topic)
-        reasons.append(F.when(mine, reason))
-        errors.append(F.when(mine, error))
-        rows.append(F.when(mine & reason.isNull(), row).alias(c.table))
-    early_error = (
-        F.when(F.col("_early") == UNKNOWN_TOPIC, F.concat(F.lit("no table is fed by topic "), F.col("topic")))
-        .when(F.col("_early") == EMPTY_MESSAGE, F.lit("the message has no value"))
-        .when(F.col("_early") == INVALID_JSON, F.lit("not JSON"))
-        .when(F.col("_early") == NOT_AN_OBJECT, F.concat(F.lit("an object expected, found "), _found(F.col("_type"))))
+    required = _per_topic(contracts, lambda c: F.array(*map(F.lit, c.required)))
+    staged = opened.select(
+        *envelopes.columns,
+        "_data",
+        "_members",
+        "_type",
+        F.array_join(F.filter(required, _absent), ", ").alias("_missing"),
+        F.array_join(
+            F.array_compact(F.transform(fields, lambda f: _problem_of(f, kinds))), "; "
+        ).alias("_wrong"),
+        F.try_element_at("_types", F.lit("schema_version")).alias("_version_type"),
+    )
+    version = F.try_variant_get("_data", "$.schema_version", "variant")
+    known = F.coalesce(
+        (json_class(F.col("_version_type")) == "number")
+        & F.try_variant_get("_data", "$.schema_version", "double").isin(*map(float, SUPPORTED_VERSIONS)),
+        F.lit(False),
     )
-    judged = opened.select(
+    fed = F.coalesce(F.col("topic").isin(*[c.topic for c in contracts]), F.lit(False))
+    stages = [
+        (~fed, UNKNOWN_TOPIC, F.concat(F.lit("no table is fed by topic "), F.col("topic"))),
+        (F.col("value").isNull() | (F.octet_length("value") == 0), EMPTY_MESSAGE, F.lit("the message has no value")),
+        (F.col("_data").isNull(), INVALID_JSON, F.lit("not JSON")),
+        (
+            ~F.col("_type").startswith("OBJECT"),
+            NOT_AN_OBJECT,
+            F.concat(F.lit("an object expected, found "), described(F.col("_type"))),
+        ),
+        (F.col("_missing") != "", MISSING_FIELD, F.concat(F.lit("missing "), F.col("_missing"))),
+        (
+            ~known,
+            UNSUPPORTED_SCHEMA_VERSION,
+            F.concat(F.lit("schema_version "), F.to_json(version), F.lit(f" is not among {list(SUPPORTED_VERSIONS)}")),
+        ),
+        (F.col("_wrong") != "", INVALID_FIELD, F.col("_wrong")),
+    ]
+    verdict: Column | None = None
+    for fails, reason, error in stages:
+        found = F.struct(F.lit(reason).alias("reason"), error.alias("error"))
+        verdict = F.when(fails, found) if verdict is None else verdict.when(fails, found)
+    judged = staged.select("*", verdict.alias("_verdict")).select(
         *envelopes.columns,
-        F.coalesce(F.col("_early"), *reasons).alias("reason"),
-        F.coalesce(early_error, *errors).alias("error"),
-        *rows,
+        F.col("_verdict.reason").alias("reason"),
+        F.col("_verdict.error").alias("error"),
+        *[F.when(F.col("_verdict").isNull() & (F.col("topic") == c.topic), _row(c)).alias(c.table) for c in contracts],
     )
     return judged if sources is None else check_sources(judged, sources, contracts)
 
 
-def _found(json_type: Column) -> Column:
-    return F.when(json_type == "VOID", "null").otherwise(described(json_type))
+def _absent(name: Column) -> Column:
+    """Whether a required field is not there, null or empty text."""
+    json_type = F.try_element_at("_types", name)
+    empty = (json_type == "STRING") & (F.try_variant_get(F.try_element_at("_members", name), "$", "string") == "")
+    return json_type.isNull() | (json_type == "VOID") | empty
+
+
+def _row(contract: Contract) -> Column:
+    """The typed row of a message that passed, the fields without a column kept as JSON."""
+    values = [kind.read(F.try_element_at("_members", F.lit(name))).cast(kind.sql_type).alias(name) for name, kind in contract.fields]
+    rest = F.map_filter("_members", lambda k, _: ~k.isin(*contract.names))
+    default = F.lit(contract.residual_default).cast("string")
+    residual = F.when(F.size(rest) > 0, F.to_json(rest)).otherwise(default)
+    return F.struct(*values, residual.alias(contract.residual))
 
 
 def check_sources(

@@ -1,8 +1,7 @@
-"""Kinds of message fields: what a JSON value must be for its column, as a pair of Columns.
+"""Kinds of message fields: what a JSON value must be for its column.
 
-A kind turns a variant into (value, problem): the problem is NULL when the value fits, else a text
-that says what was found. The JSON type is looked at before any cast, because casts of a variant are
-lenient (true becomes 1.0, "134" and 134.5 become 134, 'yesterday' becomes a time).
+A kind judges a variant and reads it. The JSON type is looked at before any cast, because casts of a
+variant are lenient (true becomes 1.0, "134" and 134.5 become 134, 'yesterday' becomes a time).
 """
 
 from __future__ import annotations
@@ -14,23 +13,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Given:
+    """A JSON value under judgement: the variant, its JSON type, and the value as text and as a number."""
+
+    variant: Column
+    json_type: Column
+    text: Column
+    number: Column
+
+
 @dataclass(frozen=True)
 class Kind:
-    """`build(variant, json_type)` gives the value and the problem; `sql_type` is the column's type."""
+    """`json` is the JSON type a value needs ('string', 'number' or 'boolean'), `expected` its name in
+    an error, `problem` what else can be wrong with it (NULL when it fits), `read` the typed value."""
 
     name: str
     sql_type: str
-    build: Callable[[Column, Column], tuple[Column, Column]]
+    json: str
+    expected: str
+    problem: Callable[[Given], Column] | None
+    read: Callable[[Column], Column]
 
 
 REAL_MAX = 3.4028234663852886e38  # fixed value: greatest finite 32-bit float
 SMALLINT_MAX = 32767
-# ISO 8601 date and time with an offset, in extended or compact form.
-OFFSET_TIME = (
-    r"^\d{4}-?\d{2}-?\d{2}[T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d{1,9})?)?)?(Z|z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)$"
-)
-LOCAL_TIME = r"^\d{4}-?\d{2}-?\d{2}([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d{1,9})?)?)?)?$"
-UUID_HEX = r"^[0-9a-f]{32}$"
+# ISO 8601 date and time, extended or compact, and the offset a moment needs.
+ISO_TIME = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?|\d{8}[T ]\d{6}([.]\d{1,9})?)"
+OFFSET = r"([Zz]|[+-]\d{2}(:?\d{2})?)"
+UUID_FORM = r"^(urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$"
 
 
 def described(json_type: Column) -> Column:
@@ -38,106 +49,81 @@ def described(json_type: Column) -> Column:
     return (
         F.when(json_type == "STRING", "a string")
         .when(json_type == "BOOLEAN", "a boolean")
+        .when(json_type == "VOID", "null")
         .when(json_type.startswith("ARRAY"), "an array")
         .when(json_type.startswith("OBJECT"), "an object")
         .otherwise("a number")
     )
 
 
-def is_number(json_type: Column) -> Column:
-    return json_type.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | json_type.startswith("DECIMAL")
+def json_class(json_type: Column) -> Column:
+    """'string', 'boolean', 'number' or NULL for anything else."""
+    return (
+        F.when(json_type == "STRING", "string")
+        .when(json_type == "BOOLEAN", "boolean")
+        .when(json_type.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"), "number")
+    )
 
 
-def _as(v: Column, kind: str) -> Column:
-    return F.try_variant_get(v, "$", kind)
+def _reader(sql_type: str) -> Callable[[Column], Column]:
+    return lambda v: F.try_variant_get(v, "$", sql_type)
 
 
-def _wrong(expected: str, json_type: Column) -> Column:
-    return F.concat(F.lit(f"{expected} expected, found "), described(json_type))
+def _nul(g: Given) -> Column:
+    return F.when(F.instr(g.text, "\u0000") > 0, F.lit("holds a NUL character"))
 
 
-def _text(v: Column, t: Column) -> tuple[Column, Column]:
-    s = _as(v, "string")
-    problem = F.when(t != "STRING", _wrong("a string", t)).when(
-        F.instr(s, "\u0000") > 0, F.lit("holds a NUL character")
-    )
-    return s, problem
+def _real_problem(g: Given) -> Column:
+    return F.when(F.abs(g.number) > REAL_MAX, F.concat(g.text, F.lit(" is beyond a 32-bit float")))
 
 
-def _double(v: Column, t: Column) -> tuple[Column, Column]:
-    return _as(v, "double"), F.when(~is_number(t), _wrong("a number", t))
+def _smallint_problem(g: Given) -> Column:
+    return F.when(
+        g.number != F.floor(g.number), F.concat(F.lit("an integer expected, found "), g.text)
+    ).when(~g.number.between(-SMALLINT_MAX - 1, SMALLINT_MAX), F.concat(g.text, F.lit(" is beyond a smallint")))
 
 
-def _real(v: Column, t: Column) -> tuple[Column, Column]:
-    number, problem = _double(v, t)
-    too_big = F.abs(number) > REAL_MAX
-    return (
-        F.when(~too_big, number).cast("float"),
-        F.coalesce(problem, F.when(too_big, F.concat(number.cast("string"), F.lit(" is beyond a 32-bit float")))),
-    )
+def _uuid_problem(g: Given) -> Column:
+    return F.when(~F.lower(g.text).rlike(UUID_FORM), F.lit("a UUID expected"))
 
 
-def _smallint(v: Column, t: Column) -> tuple[Column, Column]:
-    number = _as(v, "double")
-    shown = _as(v, "string")
-    problem = (
-        F.when(~is_number(t), _wrong("an integer", t))
-        .when(number != F.floor(number), F.concat(F.lit("an integer expected, found "), shown))
-        .when(~number.between(-SMALLINT_MAX - 1, SMALLINT_MAX), F.concat(shown, F.lit(" is beyond a smallint")))
-    )
-    return F.when(number.between(-SMALLINT_MAX - 1, SMALLINT_MAX), number).cast("smallint"), problem
+def _read_uuid(v: Column) -> Column:
+    bare = F.regexp_replace(F.lower(F.try_variant_get(v, "$", "string")), "^urn:uuid:|[{}-]", "")
+    return F.regexp_replace(bare, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
-def _boolean(v: Column, t: Column) -> tuple[Column, Column]:
-    return _as(v, "boolean"), F.when(t != "BOOLEAN", _wrong("true or false", t))
+def moment(text: Column) -> Column:
+    """The moment an ISO 8601 text names; the text is brought to the extended form the cast reads."""
+    spread = F.regexp_replace(F.upper(text), r"^(\d{4})(\d{2})(\d{2})[T ](\d{2})(\d{2})(\d{2})", "$1-$2-$3T$4:$5:$6")
+    spread = F.regexp_replace(spread, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
+    return F.try_to_timestamp(spread)
 
 
-def _uuid(v: Column, t: Column) -> tuple[Column, Column]:
-    s, problem = _text(v, t)
-    bare = F.regexp_replace(F.regexp_replace(F.lower(s), "^urn:uuid:", ""), "[{}-]", "")
-    value = F.concat_ws(
-        "-", *[F.substring(bare, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    )
-    return value, F.coalesce(problem, F.when(~bare.rlike(UUID_HEX), F.lit("a UUID expected")))
-
-
-def _timestamptz(v: Column, t: Column) -> tuple[Column, Column]:
-    s, problem = _text(v, t)
-    # Bring compact forms to the extended form the cast reads: date, time and offset apart.
-    spread = F.regexp_replace(F.upper(s), r"^(\d{4})-?(\d{2})-?(\d{2})[T ]", "$1-$2-$3T")
-    spread = F.regexp_replace(spread, r"T(\d{2}):?(\d{2}):?(\d{2})", "T$1:$2:$3")
-    spread = F.regexp_replace(spread, r"T(\d{2}):?(\d{2})(Z|[+-])", "T$1:$2:00$3")
-    spread = F.regexp_replace(spread, r"T(\d{2})(Z|[+-])", "T$1:00:00$2")
-    spread = F.regexp_replace(spread, ",", ".")
-    spread = F.regexp_replace(spread, r"([+-]\d{2}):?(\d{2})(:?\d{2})?$", "$1:$2")
-    spread = F.regexp_replace(spread, r"([+-]\d{2})$", "$1:00")
-    value = F.when(s.rlike(OFFSET_TIME), F.try_to_timestamp(spread))
-    problem = F.coalesce(
-        problem,
-        F.when(s.rlike(LOCAL_TIME), F.lit("a time without a zone offset")),
-        F.when(value.isNull(), F.lit("an ISO 8601 time expected")),
-    )
-    return value, problem
+def _moment_problem(g: Given) -> Column:
+    return (
+        F.when(g.text.rlike(f"^{ISO_TIME}$"), F.lit("a time without a zone offset"))
+        .when(~g.text.rlike(f"^{ISO_TIME}{OFFSET}$") | moment(g.text).isNull(), F.lit("an ISO 8601 time expected"))
+    )
 
 
 def numeric(precision: int, scale: int) -> Kind:
     """Rounded to the scale; refused when it does not fit."""
-    sql_type = f"decimal({precision},{scale})"
+    sql_type, name = f"decimal({precision},{scale})", f"numeric({precision},{scale})"
 
-    def build(v: Column, t: Column) -> tuple[Column, Column]:
-        value = _as(v, sql_type)
-        problem = F.when(~is_number(t), _wrong("a number", t)).when(
-            value.isNull(), F.concat(_as(v, "string"), F.lit(f" does not fit numeric({precision},{scale})"))
-        )
-        return value, problem
+    def problem(g: Given) -> Column:
+        fits = F.try_variant_get(g.variant, "$", sql_type).isNotNull()
+        return F.when(~fits, F.concat(g.text, F.lit(f" does not fit {name}")))
 
-    return Kind(f"numeric({precision},{scale})", sql_type, build)
+    return Kind(name, sql_type, "number", "a number", problem, _reader(sql_type))
 
 
-TEXT = Kind("text", "string", _text)
-DOUBLE = Kind("double", "double", _double)
-REAL = Kind("real", "float", _real)
-SMALLINT = Kind("smallint", "smallint", _smallint)
-BOOLEAN = Kind("boolean", "boolean", _boolean)
-UUID = Kind("uuid", "string", _uuid)
-TIMESTAMPTZ = Kind("timestamptz", "timestamp", _timestamptz)
+TEXT = Kind("text", "string", "string", "a string", _nul, _reader("string"))
+DOUBLE = Kind("double", "double", "number", "a number", None, _reader("double"))
+REAL = Kind("real", "float", "number", "a number", _real_problem, _reader("float"))
+SMALLINT = Kind("smallint", "smallint", "number", "an integer", _smallint_problem, _reader("smallint"))
+BOOLEAN = Kind("boolean", "boolean", "boolean", "true or false", None, _reader("boolean"))
+UUID = Kind("uuid", "string", "string", "a string", _uuid_problem, _read_uuid)
+TIMESTAMPTZ = Kind(
+    "timestamptz", "timestamp", "string", "a string", _moment_problem,
+    lambda v: moment(F.try_variant_get(v, "$", "string")),
+)

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from parcelspan.plans import kpi  # noqa: F401
+from parcelspan.plans import contract, kpi  # noqa: F401

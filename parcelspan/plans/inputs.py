@@ -278,7 +278,7 @@ class Inputs:
         return d.select(
             F.concat(F.lit("pod/"), F.col("ts").cast("date").cast("string"), F.lit("/"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("path"),
             F.col("event_id").alias("length"),
-        ).where((F.col("length") * 7) % 10 > 1)
+        )
 
     def weather(self) -> DataFrame:
         """Readings per zone: time, WMO code and rain."""

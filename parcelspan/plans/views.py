@@ -66,7 +66,7 @@ VIEWS: dict[str, str] = {
     "v_promises": """SELECT order_id, first_seen - to_minutes(order_id % 90) AS window_start, first_seen - to_minutes(order_id % 90) + INTERVAL 60 MINUTE AS window_end
   FROM (SELECT event_id // 3 AS order_id, min(ts) AS first_seen FROM events GROUP BY 1) p""",
     "v_photos": """SELECT concat('pod/', CAST(CAST(ts AS DATE) AS VARCHAR), '/', CAST(event_id AS VARCHAR), '.jpg') AS path, event_id AS length
-  FROM events WHERE event_type IN ('purchase', 'click') AND value > 2 AND (event_id * 7) % 10 > 1""",
+  FROM events WHERE event_type IN ('purchase', 'click') AND value > 2""",
     "v_weather": """SELECT concat('Z', lpad(CAST(user_id % 10 AS VARCHAR), 2, '0')) AS zone_id, ts AS read_at,
   max(CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 61 ELSE 95 END) AS weather_code, max(value / 100) AS precipitation_mm
   FROM events WHERE event_type = 'signup' GROUP BY 1, 2""",
@@ -74,6 +74,19 @@ VIEWS: dict[str, str] = {
   CAST(event_id % 7 AS INT) AS state, CAST(event_id % 5 AS INT) AS forecast FROM events WHERE event_type IN ('click', 'view')""",
     "v_fuel_prices": """SELECT CASE event_id % 2 WHEN 0 THEN 'diesel' ELSE 'cng' END AS product, ts AS priced_at, max(1.2e0 + CAST(event_id % 90 AS DOUBLE) / 100) AS price
   FROM events WHERE event_type = 'error' GROUP BY 1, 2""",
+    "v_streets": "SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS street_code, p_name AS street_name FROM part",
+    "v_city": """SELECT c_custkey AS row_no, lpad(CAST(c_custkey % 500 + 1 AS VARCHAR), 6, '0') AS street_code, lpad(CAST(c_custkey % 300 AS VARCHAR), 4, '0') AS street_number,
+  CASE WHEN c_custkey % 7 = 0 THEN 'A ' ELSE '  ' END AS number_letter, lpad(CAST(c_nationkey % 12 AS VARCHAR), 2, '0') AS district_code,
+  lpad(CAST(c_custkey % 42 AS VARCHAR), 2, '0') AS postal_district, 41.4e0 + CAST(c_custkey % 100 AS DOUBLE) / 1000 AS lat,
+  CASE WHEN c_custkey % 13 <> 0 THEN 2.1e0 + CAST(c_custkey % 90 AS DOUBLE) / 1000 END AS lon FROM customer""",
+    "v_regional": """SELECT concat('A', CAST(s_suppkey AS VARCHAR)) AS address_id, concat('NÀTION ', CAST(s_nationkey AS VARCHAR)) AS municipality,
+  CASE WHEN s_suppkey % 9 = 0 THEN 'bloc' ELSE 'vianum ' END AS address_type, 'carrer' AS street_type,
+  CASE s_suppkey % 3 WHEN 0 THEN 'de l''' WHEN 1 THEN 'del' ELSE '' END AS street_article, s_name AS street_name,
+  CASE WHEN s_suppkey % 5 = 0 THEN '0' ELSE CAST(s_suppkey % 50 AS VARCHAR) END AS number_from, CASE WHEN s_suppkey % 4 = 1 THEN 'B' ELSE '' END AS number_from_suffix,
+  CASE WHEN s_suppkey % 6 = 0 THEN CAST(s_suppkey % 50 + 2 AS VARCHAR) ELSE '' END AS number_to, '' AS number_to_suffix,
+  concat('08', lpad(CAST(s_suppkey % 990 AS VARCHAR), 3, '0')) AS postcode, 425000e0 + s_suppkey * 11 % 20000 AS easting, 4580000e0 + s_suppkey * 17 % 20000 AS northing FROM supplier""",
+    "v_served": """SELECT zone_id, lpad(CAST(zone_no AS VARCHAR), 2, '0') AS district_code, CASE WHEN zone_no > 10 THEN concat('nation', CAST(zone_no AS VARCHAR)) END AS town FROM v_zones WHERE zone_no > 0""",
+    "v_health": "SELECT event_type AS service, ts AS checked_at, value > 5 AS up, event_id AS probe_id FROM events",
     "v_messages": """SELECT CASE WHEN event_id % 12 = 11 THEN 'orders.created' ELSE 'gps.pings' END AS topic, CAST(user_id % 3 AS INT) AS kafka_partition, event_id AS kafka_offset,
   CASE event_id % 12 WHEN 11 THEN 'unknown_topic' WHEN 1 THEN 'empty_message' WHEN 2 THEN 'invalid_json' WHEN 3 THEN 'not_an_object' WHEN 4 THEN 'missing_field'
     WHEN 5 THEN 'unsupported_schema_version' WHEN 6 THEN 'invalid_field' WHEN 7 THEN 'invalid_field' WHEN 8 THEN 'unknown_source' END AS expected_reason,
