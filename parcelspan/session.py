@@ -20,6 +20,21 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+# Settings a session can only be built with.
+BUILD_SETTINGS = {
+    # Building a plan is several times quicker without a call site kept for every expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+}
+
+
+def build_session(name: str, **extra: str) -> SparkSession:
+    """A session with all settings; `extra` holds further ones, such as master and memory."""
+    builder = SparkSession.builder.appName(name)
+    for key, value in {**SETTINGS, **BUILD_SETTINGS, **extra}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings to a session somebody else built."""

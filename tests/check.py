@@ -7,13 +7,13 @@ sys.path.insert(0, "/root/repo")
 sys.path.insert(0, "/root/repo/tests")
 
 from compare import connection, difference, types_of  # noqa: E402
-from pyspark.sql import SparkSession  # noqa: E402
 
 from parcelspan.plans.registry import all_queries, all_sql  # noqa: E402
+from parcelspan.session import build_session  # noqa: E402
 
-spark = (
-    SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
-    .config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+spark = build_session(
+    "check", **{"spark.master": "local[8]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8",
+                "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"},
 )
 spark.sparkContext.setLogLevel("ERROR")
 folder, names = sys.argv[1], sys.argv[2:]
