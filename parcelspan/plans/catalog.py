@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from parcelspan.plans import contract, kpi, network  # noqa: F401
+from parcelspan.plans import contract, kpi, network, registers  # noqa: F401
