@@ -27,9 +27,11 @@ def md5_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def uniform(*key: Column, seed: int) -> Column:
-    """A number in [0, 1) fixed by the key and the seed: a draw that never changes between runs."""
-    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+def uniform(*key: Column | str, seed: int) -> Column:
+    """A number in [0, 1) fixed by the key and the seed: a draw that never changes between runs or engines."""
+    named = [F.col(k) if isinstance(k, str) else k for k in key]
+    text = F.concat_ws("|", *[k.cast("string") for k in named], F.lit(str(seed)))
+    return md5_number(text) / F.lit(float(1 << 60))
 
 
 def canonical_row(columns: list[str]) -> Column:
