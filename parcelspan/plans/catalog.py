@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from parcelspan.plans import contract, kpi, models, network, registers, storage  # noqa: F401
+from parcelspan.plans import contract, kpi, models, network, registers, storage, streams  # noqa: F401
