@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelspan.operators.ordered import MAX_KEY_ROWS, Wanted, annotate
+from parcelspan.operators.ordered import MAX_KEY_ROWS, Wanted, annotate, text_position
+from parcelspan.operators.temporal import asof_join
 
 
 def largest_remainder(df: DataFrame, keys: Sequence[str], item: str, weight: str, total: str, into: str) -> DataFrame:
@@ -35,24 +36,32 @@ def highest_averages(df: DataFrame, keys: Sequence[str], item: str, need: str, s
     return won.groupBy(*df.columns).agg((F.lit(1) + F.count_if("_won")).alias(into))
 
 
-def cumulative_share(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, into: str) -> DataFrame:
-    """Cumulative distribution of the weights of an option list, ending exactly at 1."""
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.lead(F.lit(1)).over(group.orderBy(*order)).isNull()
-    return df.withColumn(
-        into, F.when(last, F.lit(1.0)).otherwise(F.sum(weight).over(upto) / F.sum(weight).over(group))
-    )
+def cumulative_share(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column, weight: str, into: str,
+    max_rows: int = MAX_KEY_ROWS,
+) -> DataFrame:
+    """Cumulative distribution of the weights of each option list, ending exactly at 1, with the share
+    before each option as `<into>_from`."""
+    summed = annotate(
+        df, keys, order, position,
+        Wanted(running_sum={"_upto": F.col(weight)}, following={"_more": F.lit(True)}), max_rows,
+    )
+    totals = df.groupBy(*keys).agg(F.sum(weight).alias("_total"))
+    upper = F.when(F.col("_more").isNull(), F.lit(1.0)).otherwise(F.col("_upto") / F.col("_total"))
+    lower = (F.col("_upto") - F.col(weight)) / F.col("_total")
+    return summed.join(totals, list(keys)).select(*df.columns, upper.alias(into), lower.alias(f"{into}_from"))
 
 
 def pick_by_share(
-    rows: DataFrame, shares: DataFrame, keys: Sequence[str], u: str, option: str, upper: str
+    rows: DataFrame, shares: DataFrame, keys: Sequence[str], u: str, option: str, upper: str, max_rows: int = MAX_KEY_ROWS
 ) -> DataFrame:
-    """For each row the first option whose cumulative share is above u. The options of a key become one
-    sorted array (an option list is short) that is read in place."""
-    lists = shares.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(upper, option))).alias("_options"))
-    chosen = F.filter("_options", lambda o: o[upper] > F.col(u))
-    return rows.join(lists, list(keys), "left").withColumn(option, F.get(chosen, 0)[option]).drop("_options")
+    """For each row the first option whose cumulative share is above u: the last one that starts at or
+    below it. Options without weight are never picked. An as-of join, so neither a long option list
+    nor a large key is gathered."""
+    starts = shares.where(F.col(upper) > F.col(f"{upper}_from")).select(
+        *keys, option, F.col(f"{upper}_from").cast("double").alias("_from")
+    )
+    return asof_join(rows.withColumn(u, F.col(u).cast("double")), starts, keys, u, "_from", [option], max_rows)
 
 
 def capacity_slices(
@@ -74,5 +83,7 @@ def capacity_slices(
     ).withColumn("_before", F.col("_upto") - F.col(parcels))
     totals = orders.groupBy(*keys).agg(F.sum(parcels).alias("_total"))
     sized = filled.join(totals, list(keys)).withColumn("_u", F.col("_before") / F.col("_total"))
-    shares = cumulative_share(vans.select(*keys, van, capacity), keys, [van], capacity, "_share")
-    return pick_by_share(sized, shares, keys, "_u", van, "_share").drop("_upto", "_before", "_total", "_u")
+    options = vans.select(*keys, van, F.col(capacity).cast("double").alias(capacity))
+    shares = cumulative_share(options, keys, [van], text_position(F.col(van)), capacity, "_share", max_rows)
+    chosen = pick_by_share(sized, shares, keys, "_u", van, "_share", max_rows)
+    return chosen.drop("_upto", "_before", "_total", "_u")

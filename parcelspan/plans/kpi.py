@@ -266,7 +266,7 @@ def idle_minutes(t: Inputs) -> DataFrame:
     "route_cost",
     f"""WITH {FUEL_SQL}, r AS (SELECT f.route_id, f.vehicle_id, f.energy_used, f.last_at, type_id FROM f JOIN v_routes USING (route_id)),
 c AS (SELECT r.*, CASE WHEN r.type_id = 'electric' THEN 0.17e0 ELSE p.price END AS price FROM r ASOF LEFT JOIN v_fuel_prices p ON r.type_id = p.product AND r.last_at >= p.priced_at)
-SELECT route_id, vehicle_id, type_id, round(price, 4) AS price, round(energy_used * price, 4) AS cost FROM c""",
+SELECT route_id, vehicle_id, type_id, round(price, 4) AS price, round(energy_used * price, 8) AS cost FROM c""",
 )
 def route_cost(t: Inputs) -> DataFrame:
     """Energy of each route at the latest fuel price; electricity at a fixed tariff."""
@@ -276,7 +276,7 @@ def route_cost(t: Inputs) -> DataFrame:
     price = F.when(F.col("type_id") == "electric", F.lit(ELECTRICITY_TARIFF)).otherwise(F.col("price"))
     return priced.select(
         "route_id", "vehicle_id", "type_id", F.round(price, 4).alias("price"),
-        F.round(F.col("energy_used") * price, 4).alias("cost"),
+        F.round(F.col("energy_used") * price, 8).alias("cost"),
     )
 
 

@@ -317,9 +317,9 @@ u AS (SELECT c_custkey, c_mktsegment AS segment, {_uniform_sql("CAST(c_custkey A
 SELECT c_custkey, min(k) AS k FROM u JOIN c ON u.segment = c.segment AND c.c > u.u GROUP BY 1""")
 def weighted_draw(t: Inputs) -> DataFrame:
     weights = t.shippers().groupBy("segment", (F.col("shipper_id") % 10).alias("k")).agg(F.sum("weight").alias("w"))
-    shares = cumulative_share(weights, ["segment"], ["k"], "w", "upper")
+    shares = cumulative_share(weights, ["segment"], ["k"], F.col("k"), "w", "upper")
     rows = t.table("customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), ids.uniform("c_custkey", seed=7).alias("u"))
-    return pick_by_share(rows, shares.select("segment", "k", "upper"), ["segment"], "u", "k", "upper").select("c_custkey", "k")
+    return pick_by_share(rows, shares, ["segment"], "u", "k", "upper").select("c_custkey", "k")
 
 
 @query("attach_notes", f"SELECT order_id, {_uniform_sql('CAST(order_id AS VARCHAR)', 8)} < 1 / 3e0 AS noted FROM v_orders")

@@ -50,15 +50,21 @@ def routes_of_waves(t: Inputs) -> DataFrame:
     ).distinct()
 
 
-@query("array_containment_join", """SELECT d.driver_id, v.vehicle_id FROM (SELECT driver_id, shift_id, unnest(zones) AS zone_id, vehicle_types FROM v_drivers) d
-JOIN v_vans v ON v.home_zone_id = d.zone_id AND list_contains(d.vehicle_types, v.type_id) AND (d.shift_id = 'afternoon') = v.afternoon""")
+@query("array_containment_join", """SELECT v.vehicle_id, count(d.driver_id) AS drivers, min(d.driver_id) AS first_driver FROM v_vans v LEFT JOIN (SELECT driver_id, shift_id, unnest(zones) AS zone_id, vehicle_types FROM v_drivers) d
+ON v.home_zone_id = d.zone_id AND list_contains(d.vehicle_types, v.type_id) AND (d.shift_id = 'afternoon') = v.afternoon GROUP BY 1""")
 def array_containment_join(t: Inputs) -> DataFrame:
-    """Drivers and the vans they may take: they know the van's zone and are cleared for its type. The
-    lists are exploded, so the containment becomes an equi-join on (zone, type, shift)."""
+    """How many drivers may take each van, and the first of them: they know its zone and are cleared
+    for its type. The lists are exploded and the drivers of a (zone, type, shift) counted before the
+    vans meet them, so no pair of driver and van is ever made."""
     known = t.drivers().select(
         "driver_id", F.explode("zones").alias("home_zone_id"), "vehicle_types", (F.col("shift_id") == "afternoon").alias("afternoon")
     ).select("driver_id", "home_zone_id", "afternoon", F.explode("vehicle_types").alias("type_id"))
-    return known.join(t.vans(), ["home_zone_id", "type_id", "afternoon"]).select("driver_id", "vehicle_id")
+    able = known.groupBy("home_zone_id", "type_id", "afternoon").agg(
+        F.count(F.lit(1)).alias("drivers"), F.min("driver_id").alias("first_driver")
+    )
+    return t.vans().join(able, ["home_zone_id", "type_id", "afternoon"], "left").select(
+        "vehicle_id", F.coalesce("drivers", F.lit(0)).alias("drivers"), "first_driver"
+    )
 
 
 @query("driver_fit", """SELECT d.driver_id, count(*) FILTER (list_contains(d.zones, r.zone_id)) AS zones_known, count(*) AS zones_asked
@@ -583,7 +589,7 @@ def forward_fill(t: Inputs) -> DataFrame:
 FROM (SELECT segment, shipper_id % 10 AS k, sum(weight) AS w FROM v_shippers GROUP BY 1, 2) x""")
 def weight_cdf(t: Inputs) -> DataFrame:
     weights = t.shippers().groupBy("segment", (F.col("shipper_id") % 10).alias("k")).agg(F.sum("weight").alias("w"))
-    return cumulative_share(weights, ["segment"], ["k"], "w", "cumulative").select("segment", "k", F.round("cumulative", 9).alias("cumulative"))
+    return cumulative_share(weights, ["segment"], ["k"], F.col("k"), "w", "cumulative").select("segment", "k", F.round("cumulative", 9).alias("cumulative"))
 
 
 @query("route_names", """SELECT route_id, concat('R-', strftime(service_date, '%Y%m%d'), '-', zone_id, '-', upper(substr(wave, 1, 1)), CAST(row_number() OVER (PARTITION BY service_date, wave, zone_id ORDER BY route_no) AS VARCHAR)) AS route_name FROM v_routes""")

@@ -299,7 +299,9 @@ def note_mix(t: Inputs) -> DataFrame:
     from pyspark.sql import Window
 
     labels = t.notes().select("note_id", "language", "category")
-    counted = t.orders().where("note_id IS NOT NULL").select("note_id").join(labels, "note_id").groupBy("language", "category").agg(F.count(F.lit(1)).alias("orders"))
+    # Orders are counted per note before they meet the labels, so a much used note is one row.
+    per_note = t.orders().where("note_id IS NOT NULL").groupBy("note_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = per_note.join(labels, "note_id").groupBy("language", "category").agg(F.sum("n").alias("orders"))
     return counted.withColumn("share", F.round(F.col("orders") / F.sum("orders").over(Window.partitionBy()), 9))
 
 

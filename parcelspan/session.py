@@ -16,6 +16,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A JSON object that repeats a key keeps the last value, as most JSON readers do.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Running aggregates keep their state on disk, so it may outgrow the memory of an executor.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Writing a partition again replaces that partition and no other.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
