@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,10 +22,23 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
+def _merged(endings: list[str]) -> str:
+    """A pattern of the given literal texts with common beginnings written once. A text may end in `*`."""
+    heads: dict[str, list[str]] = {}
+    for ending in endings:
+        if ending:
+            heads.setdefault(ending[0], []).append(ending[1:])
+    branches = [r"\w*" if head == "*" else re.escape(head) + _merged(rest) for head, rest in heads.items()]
+    if not branches:
+        return ""
+    body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+    return f"(?:{body})?" if "" in endings else body
+
+
 def whole_words(words: tuple[str, ...]) -> str:
-    """Pattern of any of the words, whole and in any case; a word ending in * matches its endings too."""
-    body = "|".join(re.escape(w[:-1]) + r"\w*" if w.endswith("*") else re.escape(w) for w in words)
-    return rf"(?iU)(?<!\w)(?:{body})(?!\w)"
+    """Pattern of any of the words, whole, for lower-case text; a word ending in * matches its endings
+    too. Beginnings are shared, so a word costs a few steps and not one try per alternative."""
+    return rf"(?U)(?<!\w){_merged([w.lower() for w in words])}(?!\w)"
 
 
 # Words of notes written at business premises.
@@ -54,8 +68,8 @@ HOME_WORDS = (
     "turno de noche", "duermo", "despierta", "despierto",
 )
 # A flat's floor and door ("4º 2ª", "floor door 1").
-FLAT_DOOR = r"(?iU)(?<!\w)\d+\s*(?:º|°|r|n|t|è)\.?\s+\d+\s*(?:ª|a)(?!\w)|floor,? door \d"
-OPENING = r"(?iU)^\W*(?:(?:es|és) una? |it'?s an? )?(?:" + "|".join(BUSINESS_OPENINGS) + r")(?!\w)"
+FLAT_DOOR = r"(?U)(?<!\w)\d+\s*(?:º|°|r|n|t|è)\.?\s+\d+\s*(?:ª|a)(?!\w)|floor,? door \d"
+OPENING = r"(?U)^\W*(?:(?:es|és) una? |it'?s an? )?(?:" + "|".join(BUSINESS_OPENINGS) + r")(?!\w)"
 # Places a note may name and their zone; None lies outside the service area.
 PLACES = {
     "L'Hospitalet": "Z10",
@@ -72,24 +86,30 @@ PLACES = {
 def note_context(text: Column, category: Column) -> Column:
     """Who could have written a note: 'business', 'home' or 'neutral'. Opening hours decide first,
     then any sign of a home, then business premises."""
+    low = F.lower(text)
     return (
         F.when(category == "business hours", "business")
-        .when(text.rlike(whole_words(HOME_WORDS)) | text.rlike(FLAT_DOOR), "home")
-        .when(text.rlike(whole_words(BUSINESS_WORDS)) | text.rlike(OPENING), "business")
+        .when(low.rlike(f"{whole_words(HOME_WORDS)}|{FLAT_DOOR}"), "home")
+        .when(low.rlike(f"{whole_words(BUSINESS_WORDS)}|{OPENING}"), "business")
         .otherwise("neutral")
     )
 
 
-def places_named(text: Column, places: dict[str, str | None]) -> Column:
-    """Sorted array of the places a text names as whole words."""
-    hits = [F.when(text.rlike(whole_words((place,))), F.lit(place)) for place in sorted(places)]
-    return F.array_compact(F.array(*hits))
+def places_named(text: Column, places: Mapping[str, str | None]) -> Column:
+    """Sorted array of the places a text names as whole words, found in one pass over it. No place's
+    name may lie inside another's."""
+    names = {place.lower(): place for place in places}
+    if any(a != b and a in b for a in names for b in names):
+        raise ValueError("a place's name is part of another's; name the longer one only")
+    hits = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(whole_words(tuple(names))), F.lit(0)))
+    spelt = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.array_sort(F.transform(hits, lambda hit: F.try_element_at(spelt, hit)))
 
 
-def zones_named(text: Column, places: dict[str, str | None], outside: str = "outside") -> Column:
+def zones_named(text: Column, places: Mapping[str, str | None], outside: str = "outside") -> Column:
     """Distinct zones of the places a text names; `outside` stands for a place that is not served."""
-    hits = [F.when(text.rlike(whole_words((p,))), F.lit(z or outside)) for p, z in sorted(places.items())]
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+    zone = F.create_map(*[F.lit(x) for place, z in places.items() for x in (place, z or outside)])
+    return F.array_distinct(F.transform(places_named(text, places), lambda place: F.try_element_at(zone, place)))
 
 
 # Patterns of personal data.

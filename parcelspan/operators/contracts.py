@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspan.operators.kinds import (
-    BOOLEAN, DOUBLE, REAL, SMALLINT, TEXT, TIMESTAMPTZ, UUID, Given, Kind, described, json_class, numeric,
+    BOOLEAN, DOUBLE, REAL, SMALLINT, TEXT, TIMESTAMPTZ, UUID, Given, Kind, described, fits, is_number, numeric,
 )
 
 ENVELOPE = "topic string, partition int, offset bigint, key binary, value binary, timestamp timestamp"
@@ -123,18 +123,15 @@ def _per_topic(contracts: Sequence[Contract], entry) -> Column:
 
 
 def _problem_of(field: Column, kinds: dict[str, Kind]) -> Column:
-    """What is wrong with the value of a field ({name, kind}), NULL when nothing is. The checks of all
-    kinds are written once and serve the fields of every contract."""
+    """What is wrong with the value of a field, NULL when nothing is. The checks of all kinds are
+    written once and serve the fields of every contract."""
     name, kind = field["name"], field["kind"]
     variant, json_type = F.try_element_at("_members", name), F.try_element_at("_types", name)
     given = Given(
         variant, json_type, F.try_variant_get(variant, "$", "string"), F.try_variant_get(variant, "$", "double")
     )
-    expects = F.create_map(*[F.lit(x) for k in kinds.values() for x in (k.name, k.json)])
-    words = F.create_map(*[F.lit(x) for k in kinds.values() for x in (k.name, k.expected)])
-    wrong_type = ~F.coalesce(json_class(json_type) == F.try_element_at(expects, kind), F.lit(False))
     problem = F.when(json_type.isNull() | (json_type == "VOID"), F.lit(None).cast("string")).when(
-        wrong_type, F.concat(F.try_element_at(words, kind), F.lit(" expected, found "), described(json_type))
+        ~fits(field["json"], json_type), F.concat(field["expected"], F.lit(" expected, found "), described(json_type))
     )
     for k in kinds.values():
         if k.problem is not None:
@@ -142,6 +139,11 @@ def _problem_of(field: Column, kinds: dict[str, Kind]) -> Column:
     return F.concat(name, F.lit(": "), problem)
 
 
+def _field(name: str, kind: Kind) -> Column:
+    parts = {"name": name, "kind": kind.name, "json": kind.json, "expected": kind.expected}
+    return F.struct(*[F.lit(v).alias(k) for k, v in parts.items()])
+
+
 def classify(
     envelopes: DataFrame, sources: DataFrame | None, contracts: Sequence[Contract] = CONTRACTS
 ) -> DataFrame:
@@ -158,12 +160,7 @@ def classify(
     ).select("*", F.transform_values("_members", lambda _, v: F.schema_of_variant(v)).alias("_types"))
 
     kinds = _distinct_kinds(contracts)
-    fields = _per_topic(
-        contracts,
-        lambda c: F.array(
-            *[F.struct(F.lit(n).alias("name"), F.lit(k.name).alias("kind")) for n, k in c.fields]
-        ),
-    )
+    fields = _per_topic(contracts, lambda c: F.array(*[_field(n, k) for n, k in c.fields]))
     required = _per_topic(contracts, lambda c: F.array(*map(F.lit, c.required)))
     staged = opened.select(
         *envelopes.columns,
@@ -178,7 +175,7 @@ def classify(
     )
     version = F.try_variant_get("_data", "$.schema_version", "variant")
     known = F.coalesce(
-        (json_class(F.col("_version_type")) == "number")
+        is_number(F.col("_version_type"))
         & F.try_variant_get("_data", "$.schema_version", "double").isin(*map(float, SUPPORTED_VERSIONS)),
         F.lit(False),
     )

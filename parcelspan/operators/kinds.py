@@ -56,12 +56,19 @@ def described(json_type: Column) -> Column:
     )
 
 
-def json_class(json_type: Column) -> Column:
-    """'string', 'boolean', 'number' or NULL for anything else."""
+def is_number(json_type: Column) -> Column:
     return (
-        F.when(json_type == "STRING", "string")
-        .when(json_type == "BOOLEAN", "boolean")
-        .when(json_type.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"), "number")
+        (json_type == "BIGINT") | (json_type == "DOUBLE") | json_type.startswith("DECIMAL")
+        | json_type.isin("INT", "SMALLINT", "TINYINT", "FLOAT")
+    )
+
+
+def fits(json: Column, json_type: Column) -> Column:
+    """Whether a JSON type is the one a kind needs."""
+    return (
+        F.when(json == "string", json_type == "STRING")
+        .when(json == "number", is_number(json_type))
+        .otherwise(json_type == "BOOLEAN")
     )
 
 
@@ -93,17 +100,20 @@ def _read_uuid(v: Column) -> Column:
 
 
 def moment(text: Column) -> Column:
-    """The moment an ISO 8601 text names; the text is brought to the extended form the cast reads."""
+    """The moment an ISO 8601 text names. The cast reads the extended form with seconds; other forms are
+    brought to it first."""
     spread = F.regexp_replace(F.upper(text), r"^(\d{4})(\d{2})(\d{2})[T ](\d{2})(\d{2})(\d{2})", "$1-$2-$3T$4:$5:$6")
     spread = F.regexp_replace(spread, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
-    return F.try_to_timestamp(spread)
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(spread))
 
 
 def _moment_problem(g: Given) -> Column:
-    return (
-        F.when(g.text.rlike(f"^{ISO_TIME}$"), F.lit("a time without a zone offset"))
-        .when(~g.text.rlike(f"^{ISO_TIME}{OFFSET}$") | moment(g.text).isNull(), F.lit("an ISO 8601 time expected"))
-    )
+    otherwise = F.when(g.text.rlike(f"^{ISO_TIME}$"), F.lit("a time without a zone offset")).otherwise(
+        F.lit("an ISO 8601 time expected")
+    )
+    return F.when(~g.text.rlike(f"^{ISO_TIME}{OFFSET}$"), otherwise).when(
+        moment(g.text).isNull(), F.lit("an ISO 8601 time expected")
+    )
 
 
 def numeric(precision: int, scale: int) -> Kind:

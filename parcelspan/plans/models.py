@@ -365,9 +365,10 @@ def candidate_weights(t: Inputs) -> DataFrame:
     are counted by (context, language, place) first; a note that names no place counts for every zone,
     so notes and zones are never paired."""
     zs = text.zones_named(F.col("text"), text.PLACES)
-    counted = contexts(t).withColumn("zs", zs).where(F.size("zs") <= 1).groupBy(
-        "context", "language", F.coalesce(F.get("zs", F.lit(0)), F.lit("any")).alias("place")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    tagged = contexts(t).groupBy("context", "language", zs.alias("zs")).agg(F.count(F.lit(1)).alias("n"))
+    counted = tagged.where(F.size("zs") <= 1).select(
+        "context", "language", "n", F.coalesce(F.get("zs", F.lit(0)), F.lit("any")).alias("place")
+    )
     corpus = t.notes().groupBy("language").agg(F.count(F.lit(1)).alias("m"))
     mix = corpus.select("language", (F.col("m") / F.sum("m").over(Window.partitionBy())).alias("mix"))
     zones = t.zones().agg(F.collect_list("zone_id").alias("all")).withColumn("_one", F.lit(1))
