@@ -59,7 +59,8 @@ def main() -> None:
         seconds[name] = timed(lambda name=name: discard(queries[name](spark, folder)))
 
     t = Inputs(spark, folder)
-    topic = archived_topic(t, t.envelopes())
+    # A topic has many partitions; the test table is one small file.
+    topic = archived_topic(t, t.envelopes().repartition(int(cpus)))
     messages = spark.read.parquet(topic).count()
     contract = lambda: discard(classify(spark.read.parquet(topic), t.sources()))
     contract()

@@ -79,9 +79,10 @@ def nearest_site(
 
 
 def _nearest_in_array(points: DataFrame, few: list, lat: str, lon: str) -> DataFrame:
-    spark = points.sparkSession
-    row = spark.createDataFrame([([tuple(r) for r in few],)], "_sites array<struct<_s:string,_sy:double,_sx:double>>")
-    tagged = points.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one")
+    listed = F.array(
+        *[F.struct(F.lit(r["_s"]).alias("_s"), F.lit(r["_sy"]).alias("_sy"), F.lit(r["_sx"]).alias("_sx")) for r in few]
+    )
+    tagged = points.withColumn("_sites", listed)
     best = F.array_min(
         F.transform(
             "_sites",

@@ -11,6 +11,7 @@ from parcelspan.operators.contracts import (
 from parcelspan.operators.keyed import absent_rows, first_per_key, latest_per_key
 from parcelspan.plans.inputs import Inputs
 from parcelspan.plans.registry import query
+from parcelspan.session import small_table
 
 ISO = "concat(replace(CAST(ts AS VARCHAR), ' ', 'T'), 'Z')"
 
@@ -318,7 +319,7 @@ def dead_letter_counts(t: Inputs) -> DataFrame:
 )
 def late_source(t: Inputs) -> DataFrame:
     """The registry is read again for every batch: a source registered meanwhile is known without a restart."""
-    added = t.spark.createDataFrame([("simulator/drone", "simulated", "MIT")], t.sources().schema)
+    added = small_table(t.spark, [("simulator/drone", "simulated", "MIT")], "source_id string, kind string, license string")
     waiting = classify(t.envelopes(), None)
     return check_sources(waiting, t.sources().unionByName(added)).select(F.col("offset").alias("kafka_offset"), "reason")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspan.session import prepare
+from parcelspan.session import prepare, small_table
 
 
 def zone_name(number: Column) -> Column:
@@ -22,6 +22,7 @@ def _jitter(key: Column, factor: int) -> Column:
 
 
 HUB = {"hub_id": "HUB", "lat": 41.3395, "lon": 2.1365, "radius_m": 400.0}
+HUBS = (HUB, {"hub_id": "HUB-N", "lat": 41.3415, "lon": 2.1385, "radius_m": 500.0})
 # Sources a message may name, their kind and license.
 SOURCES = (
     ("simulator/gps", "simulated", "MIT"),
@@ -44,12 +45,12 @@ class Inputs:
     # Reference data -----------------------------------------------------------------------------
 
     def hub(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            [tuple(HUB.values())], "hub_id string, lat double, lon double, radius_m double"
+        return small_table(
+            self.spark, [tuple(h.values()) for h in HUBS], "hub_id string, lat double, lon double, radius_m double"
         )
 
     def sources(self) -> DataFrame:
-        return self.spark.createDataFrame(list(SOURCES), "source_id string, kind string, license string")
+        return small_table(self.spark, list(SOURCES), "source_id string, kind string, license string")
 
     def zones(self) -> DataFrame:
         k = F.col("n_nationkey")
@@ -329,7 +330,7 @@ def ping_columns(events: DataFrame) -> DataFrame:
         (F.lit(2.1365) + _jitter(k, 53)).alias("lon"),
         (F.col("value") / 10).alias("speed_kmh"),
         k,
-        F.lit(HUB["hub_id"]).alias("hub_id"),
+        F.when(F.col("user_id") % 20 < 15, HUBS[0]["hub_id"]).otherwise(HUBS[1]["hub_id"]).alias("hub_id"),
     )
 
 

@@ -16,6 +16,7 @@ from parcelspan.plans.inputs import Inputs
 from parcelspan.plans.kpi import DURATIONS_SQL, FINAL, MINUTES, route_durations
 from parcelspan.plans.registers import CONTEXT_SQL, PLACE_SQL, contexts
 from parcelspan.plans.registry import query
+from parcelspan.session import small_table
 from parcelspan.sources.documents import WMO_CODES
 
 # Dimensions --------------------------------------------------------------------------------------
@@ -135,7 +136,7 @@ def fct_traffic(t: Inputs) -> DataFrame:
 
 @query("fct_weather", f"""SELECT zone_id, read_at, weather_code, CASE weather_code {" ".join(f"WHEN {c} THEN '{n}'" for c, n in WMO_CODES.items())} END AS weather, round(precipitation_mm, 6) AS precipitation_mm FROM v_weather""")
 def fct_weather(t: Inputs) -> DataFrame:
-    codes = t.spark.createDataFrame(list(WMO_CODES.items()), "weather_code int, weather string")
+    codes = small_table(t.spark, list(WMO_CODES.items()), "weather_code int, weather string")
     return t.weather().join(codes, "weather_code", "left").select(
         "zone_id", "read_at", "weather_code", "weather", F.round("precipitation_mm", 6).alias("precipitation_mm")
     )

@@ -18,6 +18,7 @@ from parcelspan.operators.spatial import containing_shapes, edges_by_band, insid
 from parcelspan.operators.temporal import asof_join, inside_intervals, profile_asof, resample_track, sessions
 from parcelspan.plans.inputs import FLEET, HUB, Inputs
 from parcelspan.plans.registry import query
+from parcelspan.session import small_table
 
 
 def micros(name: str) -> Column:
@@ -145,7 +146,7 @@ f AS (SELECT event_id, sat, CASE WHEN m >= 1320 THEN 1e0 WHEN m >= 1200 THEN 1.1
 SELECT event_id, round(CASE WHEN sat THEN 1 + (f - 1) * 0.5e0 ELSE f END, 6) AS factor FROM f""")
 def traffic_factor(t: Inputs) -> DataFrame:
     """The congestion factor in force at each ping: the last profile entry at or before its local minute."""
-    profile = t.spark.createDataFrame(list(cal.TRAFFIC_PROFILE), "start int, factor double")
+    profile = small_table(t.spark, list(cal.TRAFFIC_PROFILE), "start int, factor double")
     local = cal.local_time(F.col("event_time"))
     timed = t.pings().select("event_id", cal.minute_of_day(local).alias("minute"), (F.weekday(local) == 5).alias("saturday"))
     looked = profile_asof(timed, profile, "minute", "start", "factor")

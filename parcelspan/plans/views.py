@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 VIEWS: dict[str, str] = {
-    "v_hub": "SELECT 'HUB' AS hub_id, 41.3395e0 AS lat, 2.1365e0 AS lon, 400e0 AS radius_m",
+    "v_hub": "SELECT * FROM (VALUES ('HUB', 41.3395e0, 2.1365e0, 400e0), ('HUB-N', 41.3415e0, 2.1385e0, 500e0)) h(hub_id, lat, lon, radius_m)",
     "v_sources": """SELECT * FROM (VALUES ('simulator/gps','simulated','MIT'),('simulator/telemetry','simulated','MIT'),
   ('simulator/handheld','simulated','MIT'),('opendata/sections','real','CC BY 4.0'),('planner/baseline','platform','MIT')) s(source_id, kind, license)""",
     "v_zones": """SELECT concat('Z', lpad(CAST(n_nationkey AS VARCHAR), 2, '0')) AS zone_id, n_name AS name, n_nationkey AS zone_no,
@@ -48,7 +48,7 @@ VIEWS: dict[str, str] = {
     "v_pings": """SELECT concat('V-', CAST(user_id AS VARCHAR)) AS vehicle_id,
   concat('R-', CAST(CAST(ts AS DATE) AS VARCHAR), '-', CAST(user_id % 20 AS VARCHAR)) AS route_id, ts AS event_time,
   41.3395e0 + CAST((event_id * 37) % 401 - 200 AS DOUBLE) / 20000 AS lat,
-  2.1365e0 + CAST((event_id * 53) % 401 - 200 AS DOUBLE) / 20000 AS lon, value / 10 AS speed_kmh, event_id, 'HUB' AS hub_id FROM events""",
+  2.1365e0 + CAST((event_id * 53) % 401 - 200 AS DOUBLE) / 20000 AS lon, value / 10 AS speed_kmh, event_id, CASE WHEN user_id % 20 < 15 THEN 'HUB' ELSE 'HUB-N' END AS hub_id FROM events""",
     "v_scans": """SELECT event_id, event_id // 3 AS order_id, concat('R-', CAST(CAST(ts AS DATE) AS VARCHAR), '-', CAST(user_id % 20 AS VARCHAR)) AS route_id,
   CASE event_type WHEN 'purchase' THEN 'delivered' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'out_for_delivery' ELSE 'arrived' END AS status,
   CASE WHEN event_type = 'error' THEN 'recipient_absent' END AS failure_reason, ts AS event_time,

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings; none of them sizes the cluster.
 SETTINGS = {
@@ -60,3 +61,14 @@ def shared_folder(spark: SparkSession) -> str:
 def run_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for one run, under the shared folder."""
     return f"{shared_folder(spark)}/parcelspan/{name}-{uuid.uuid4().hex}"
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows kept in the plan itself. Spark knows how small it is, which it does not for
+    a table made from Python rows, and so never sends the other side of a join instead."""
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    kinds = [part.strip().split(" ")[1] for part in schema.split(",")]
+    values = [
+        F.struct(*[F.lit(v).cast(k).alias(n) for v, n, k in zip(row, names, kinds, strict=True)]) for row in rows
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*values)))
