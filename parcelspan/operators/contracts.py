@@ -19,6 +19,7 @@ from parcelspan.operators.kinds import (
 ENVELOPE = "topic string, partition int, offset bigint, key binary, value binary, timestamp timestamp"
 SUPPORTED_VERSIONS = (1,)
 MAX_ERROR_CHARS = 1_000
+SOURCES_IN_PLAN = 5_000
 
 # The reasons of a dead letter.
 UNKNOWN_TOPIC = "unknown_topic"
@@ -229,12 +230,21 @@ def _row(contract: Contract) -> Column:
 def check_sources(
     judged: DataFrame, sources: DataFrame, contracts: Sequence[Contract] = CONTRACTS
 ) -> DataFrame:
-    """Turn rows whose source is not registered into dead letters."""
+    """Turn rows whose source is not registered into dead letters.
+
+    Most rows share a few sources, so a join on the source would bring them to a few tasks. A registry
+    of up to `SOURCES_IN_PLAN` names goes into the plan as a set; a larger one is joined.
+    """
     source = F.coalesce(*[F.col(c.table)["source"] for c in contracts])
-    marked = judged.withColumn("_source", F.when(F.col("reason").isNull(), source))
-    registry = sources.select(F.col("source_id").alias("_source")).distinct().withColumn("_known", F.lit(True))
-    looked = marked.join(registry, "_source", "left")
-    unknown = F.col("reason").isNull() & F.col("_known").isNull()
+    names = sources.select("source_id").distinct()
+    few = [row["source_id"] for row in names.limit(SOURCES_IN_PLAN + 1).collect()]
+    if len(few) <= SOURCES_IN_PLAN:
+        looked = judged.withColumn("_source", source).withColumn("_known", F.col("_source").isin(few))
+    else:
+        marked = judged.withColumn("_source", F.when(F.col("reason").isNull(), source))
+        registry = names.select(F.col("source_id").alias("_source"), F.lit(True).alias("_known"))
+        looked = marked.join(registry, "_source", "left")
+    unknown = F.col("reason").isNull() & ~F.coalesce("_known", F.lit(False))
     return looked.select(
         *[c for c in judged.columns if c not in ("reason", "error", *[k.table for k in contracts])],
         F.when(unknown, UNKNOWN_SOURCE).otherwise(F.col("reason")).alias("reason"),

@@ -407,7 +407,8 @@ def utm_to_wgs84(t: Inputs) -> DataFrame:
 EVENT_NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 9562
 
 
-@query("event_uuid")
+@query("event_uuid", f"""WITH d AS (SELECT event_id, sha1(unhex('{EVENT_NAMESPACE.hex}') || encode(concat_ws('/', route_id, CAST(order_id AS VARCHAR), status))) AS d FROM v_scans)
+SELECT event_id, concat_ws('-', substr(d, 1, 8), substr(d, 9, 4), '5' || substr(d, 14, 3), substr('89ab', CAST(('0x' || substr(d, 17, 1)) AS INT) % 4 + 1, 1) || substr(d, 18, 3), substr(d, 21, 12)) AS event_uuid FROM d""")
 def event_uuid(t: Inputs) -> DataFrame:
     """The same id for the same route, order and status in every run."""
     name = F.concat_ws("/", "route_id", F.col("order_id").cast("string"), "status")

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A hot join key is split even when that costs one more shuffle for the aggregation after it.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A JSON object that repeats a key keeps the last value, as most JSON readers do.
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Running aggregates keep their state on disk, so it may outgrow the memory of an executor.

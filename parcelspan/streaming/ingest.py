@@ -95,7 +95,11 @@ def _write_dead(judged: DataFrame, target: str, run_id: str, batch_id: int) -> N
     spark, path = judged.sparkSession, f"{target}/dead_letters"
     dead = first_per_key(dead_letters_of(judged), DEAD_KEY, ["reason"])
     if table_exists(spark, path):
-        dead = absent_rows(dead, spark.read.parquet(path).where(~_own(run_id, batch_id)), DEAD_KEY)
+        # A batch covers a stretch of offsets; files of other stretches are skipped by their statistics.
+        place = F.col("kafka_offset")
+        low, high = dead.agg(F.min(place), F.max(place)).first()
+        held = spark.read.parquet(path).where(~_own(run_id, batch_id)).where(place.between(low, high))
+        dead = absent_rows(dead, held, DEAD_KEY)
     placed = dead.select(
         "*", F.current_timestamp().alias("ingested_at"), F.lit(run_id).alias("run_id"), F.lit(batch_id).alias("batch_id")
     )
