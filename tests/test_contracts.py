@@ -78,23 +78,23 @@ def test_stages(spark):
     assert reasons(spark, [c for c, _ in cases]) == [r for _, r in cases]
 
 
-@pytest.mark.parametrize(
-    "base,topic,fields",
-    [
-        (PING, "gps.pings", {"lat": "41.3"}), (PING, "gps.pings", {"lat": True}), (PING, "gps.pings", {"heading_deg": 134.5}),
-        (PING, "gps.pings", {"heading_deg": 40000}), (PING, "gps.pings", {"heading_deg": "134"}), (PING, "gps.pings", {"speed_kmh": 1e39}),
-        (PING, "gps.pings", {"vehicle_id": 7}), (PING, "gps.pings", {"vehicle_id": "V\u0000"}), (PING, "gps.pings", {"route_id": {"a": 1}}),
-        (PING, "gps.pings", {"event_time": "yesterday"}), (PING, "gps.pings", {"event_time": "2026-09-28T06:14:30"}),
-        (PING, "gps.pings", {"event_time": "2026-02-30T06:14:30Z"}), (PING, "gps.pings", {"event_time": 1790000000}),
-        (TELEMETRY, "vehicle.telemetry", {"ignition_on": 1}), (TELEMETRY, "vehicle.telemetry", {"odometer_km": 1e9}),
-        (TELEMETRY, "vehicle.telemetry", {"energy_used_total": "5"}), (EVENT, "delivery.events", {"event_id": "not-a-uuid"}),
-        (EVENT, "delivery.events", {"stop_sequence": True}), (EVENT, "delivery.events", {"lat": []}),
-    ],
-)
-def test_invalid_fields(spark, base, topic, fields):
-    judged = outcomes(spark, [changed(base, **fields)], topic).first()
-    assert judged["reason"] == "invalid_field"
-    assert judged["error"].startswith(next(iter(fields)) + ": ")
+INVALID = {
+    "gps.pings": (PING, [
+        {"lat": "41.3"}, {"lat": True}, {"heading_deg": 134.5}, {"heading_deg": 40000}, {"heading_deg": "134"}, {"speed_kmh": 1e39},
+        {"vehicle_id": 7}, {"vehicle_id": "V\u0000"}, {"route_id": {"a": 1}}, {"event_time": "yesterday"}, {"event_time": "2026-09-28T06:14:30"},
+        {"event_time": "2026-02-30T06:14:30Z"}, {"event_time": 1790000000},
+    ]),
+    "vehicle.telemetry": (TELEMETRY, [{"ignition_on": 1}, {"odometer_km": 1e9}, {"energy_used_total": "5"}]),
+    "delivery.events": (EVENT, [{"event_id": "not-a-uuid"}, {"stop_sequence": True}, {"lat": []}]),
+}
+
+
+@pytest.mark.parametrize("topic", INVALID)
+def test_invalid_fields(spark, topic):
+    base, cases = INVALID[topic]
+    judged = outcomes(spark, [changed(base, **fields) for fields in cases], topic).orderBy("offset").collect()
+    for row, fields in zip(judged, cases, strict=True):
+        assert row["reason"] == "invalid_field" and row["error"].startswith(next(iter(fields)) + ": "), fields
 
 
 def test_all_bad_fields_are_named_in_order(spark):
@@ -104,12 +104,12 @@ def test_all_bad_fields_are_named_in_order(spark):
     assert judged["error"] == "missing vehicle_id, source"
 
 
-@pytest.mark.parametrize(
-    "text", ["2026-09-28T06:14:30Z", "2026-09-28T08:14:30+02:00", "2026-09-28 08:14:30+0200", "20260928T061430Z", "2026-09-28T06:14:30.000Z"]
-)
-def test_accepted_times(spark, text):
-    row = rows_of(outcomes(spark, [changed(PING, event_time=text)]), GPS_PINGS).selectExpr("cast(event_time as string) t").first()
-    assert row["t"] == "2026-09-28 06:14:30"
+def test_accepted_times(spark):
+    texts = ["2026-09-28T06:14:30Z", "2026-09-28T08:14:30+02:00", "2026-09-28 08:14:30+0200", "20260928T061430Z", "2026-09-28T06:14:30.000Z"]
+    rows = rows_of(outcomes(spark, [changed(PING, event_time=t) for t in texts]), GPS_PINGS)
+    assert [r["t"] for r in rows.selectExpr("cast(event_time as string) t").collect()] == ["2026-09-28 06:14:30"] * len(texts)
+    (short,) = rows_of(outcomes(spark, [changed(PING, event_time="2026-09-28T08:14+02:00")]), GPS_PINGS).collect()
+    assert str(short["event_time"]) == "2026-09-28 06:14:00"
 
 
 def test_rows_are_typed(spark):
