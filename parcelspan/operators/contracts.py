@@ -6,8 +6,9 @@ stage names all of its failing fields. Values are not judged here: a latitude of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,6 @@ from parcelspan.operators.kinds import (
 ENVELOPE = "topic string, partition int, offset bigint, key binary, value binary, timestamp timestamp"
 SUPPORTED_VERSIONS = (1,)
 MAX_ERROR_CHARS = 1_000
-SOURCES_IN_PLAN = 5_000
 
 # The reasons of a dead letter.
 UNKNOWN_TOPIC = "unknown_topic"
@@ -117,10 +117,15 @@ def _distinct_kinds(contracts: Sequence[Contract]) -> dict[str, Kind]:
     return {kind.name: kind for c in contracts for _, kind in c.fields}
 
 
-def _per_topic(contracts: Sequence[Contract], entry) -> Column:
-    """The entry of the message's topic, from a constant map."""
-    pairs = [part for c in contracts for part in (F.lit(c.topic), entry(c))]
-    return F.try_element_at(F.create_map(*pairs), F.col("topic"))
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _per_topic(contracts: Sequence[Contract], entry: Callable[[Contract], str]) -> Column:
+    """The entry of the message's topic, from a constant map. `entry` gives the entry as a SQL literal,
+    which takes one step to build where a Column for every text would take hundreds."""
+    pairs = ", ".join(f"{_text(c.topic)}, {entry(c)}" for c in contracts)
+    return F.expr(f"try_element_at(map({pairs}), topic)")
 
 
 def _problem_of(field: Column, kinds: dict[str, Kind]) -> Column:
@@ -140,40 +145,28 @@ def _problem_of(field: Column, kinds: dict[str, Kind]) -> Column:
     return F.concat(name, F.lit(": "), problem)
 
 
-def _field(name: str, kind: Kind) -> Column:
+def _field(name: str, kind: Kind) -> str:
     parts = {"name": name, "kind": kind.name, "json": kind.json, "expected": kind.expected}
-    return F.struct(*[F.lit(v).alias(k) for k, v in parts.items()])
+    return "named_struct(" + ", ".join(f"'{k}', {_text(v)}" for k, v in parts.items()) + ")"
 
 
-def classify(
-    envelopes: DataFrame, sources: DataFrame | None, contracts: Sequence[Contract] = CONTRACTS
-) -> DataFrame:
-    """The envelopes with `reason` and `error` (NULL for a row) and, per contract, a struct column named
-    after its table that holds the typed row.
+@dataclass(frozen=True)
+class Compiled:
+    """The Columns of a set of contracts."""
+
+    missing: Column
+    wrong: Column
+    verdict: Column
+    rows: tuple[Column, ...]
 
-    `sources` is the registry (source_id); None skips that check. Nothing is shuffled unless the
-    registry is too large to travel to the tasks.
-    """
-    opened = parsed(envelopes).select(
-        "*",
-        F.schema_of_variant("_data").alias("_type"),
-        F.try_variant_get("_data", "$", "map<string,variant>").alias("_members"),
-    ).select("*", F.transform_values("_members", lambda _, v: F.schema_of_variant(v)).alias("_types"))
 
+@lru_cache(maxsize=16)
+def _compiled(contracts: tuple[Contract, ...], application: str) -> Compiled:
+    """Built once per application: every micro-batch uses the same Columns."""
+    del application  # Columns belong to the JVM of their application
     kinds = _distinct_kinds(contracts)
-    fields = _per_topic(contracts, lambda c: F.array(*[_field(n, k) for n, k in c.fields]))
-    required = _per_topic(contracts, lambda c: F.array(*map(F.lit, c.required)))
-    staged = opened.select(
-        *envelopes.columns,
-        "_data",
-        "_members",
-        "_type",
-        F.array_join(F.filter(required, _absent), ", ").alias("_missing"),
-        F.array_join(
-            F.array_compact(F.transform(fields, lambda f: _problem_of(f, kinds))), "; "
-        ).alias("_wrong"),
-        F.try_element_at("_types", F.lit("schema_version")).alias("_version_type"),
-    )
+    fields = _per_topic(contracts, lambda c: "array(" + ", ".join(_field(n, k) for n, k in c.fields) + ")")
+    required = _per_topic(contracts, lambda c: "array(" + ", ".join(map(_text, c.required)) + ")")
     version = F.try_variant_get("_data", "$.schema_version", "variant")
     known = F.coalesce(
         is_number(F.col("_version_type"))
@@ -202,11 +195,37 @@ def classify(
     for fails, reason, error in stages:
         found = F.struct(F.lit(reason).alias("reason"), error.alias("error"))
         verdict = F.when(fails, found) if verdict is None else verdict.when(fails, found)
-    judged = staged.select("*", verdict.alias("_verdict")).select(
-        *envelopes.columns,
-        F.col("_verdict.reason").alias("reason"),
-        F.col("_verdict.error").alias("error"),
-        *[F.when(F.col("_verdict").isNull() & (F.col("topic") == c.topic), _row(c)).alias(c.table) for c in contracts],
+    return Compiled(
+        missing=F.array_join(F.filter(required, _absent), ", ").alias("_missing"),
+        wrong=F.array_join(F.array_compact(F.transform(fields, lambda f: _problem_of(f, kinds))), "; ").alias("_wrong"),
+        verdict=verdict.alias("_verdict"),
+        rows=tuple(
+            F.when(F.col("_verdict").isNull() & (F.col("topic") == c.topic), _row(c)).alias(c.table) for c in contracts
+        ),
+    )
+
+
+def classify(
+    envelopes: DataFrame, sources: DataFrame | None, contracts: Sequence[Contract] = CONTRACTS
+) -> DataFrame:
+    """The envelopes with `reason` and `error` (NULL for a row) and, per contract, a struct column named
+    after its table that holds the typed row.
+
+    `sources` is the registry (source_id); None skips that check. Nothing is shuffled unless the
+    registry is too large to travel to the tasks.
+    """
+    columns = _compiled(tuple(contracts), envelopes.sparkSession.sparkContext.applicationId)
+    opened = parsed(envelopes).select(
+        "*",
+        F.schema_of_variant("_data").alias("_type"),
+        F.try_variant_get("_data", "$", "map<string,variant>").alias("_members"),
+    ).select("*", F.transform_values("_members", lambda _, v: F.schema_of_variant(v)).alias("_types"))
+    staged = opened.select(
+        *envelopes.columns, "_data", "_members", "_type", columns.missing, columns.wrong,
+        F.try_element_at("_types", F.lit("schema_version")).alias("_version_type"),
+    )
+    judged = staged.select("*", columns.verdict).select(
+        *envelopes.columns, F.col("_verdict.reason").alias("reason"), F.col("_verdict.error").alias("error"), *columns.rows
     )
     return judged if sources is None else check_sources(judged, sources, contracts)
 
@@ -232,18 +251,13 @@ def check_sources(
 ) -> DataFrame:
     """Turn rows whose source is not registered into dead letters.
 
-    Most rows share a few sources, so a join on the source would bring them to a few tasks. A registry
-    of up to `SOURCES_IN_PLAN` names goes into the plan as a set; a larger one is joined.
+    The registry is a short table: Spark sends it to the rows by its size. The join also keeps filters
+    on the verdict from being copied into the parsing below it.
     """
     source = F.coalesce(*[F.col(c.table)["source"] for c in contracts])
-    names = sources.select("source_id").distinct()
-    few = [row["source_id"] for row in names.limit(SOURCES_IN_PLAN + 1).collect()]
-    if len(few) <= SOURCES_IN_PLAN:
-        looked = judged.withColumn("_source", source).withColumn("_known", F.col("_source").isin(few))
-    else:
-        marked = judged.withColumn("_source", F.when(F.col("reason").isNull(), source))
-        registry = names.select(F.col("source_id").alias("_source"), F.lit(True).alias("_known"))
-        looked = marked.join(registry, "_source", "left")
+    marked = judged.withColumn("_source", F.when(F.col("reason").isNull(), source))
+    registry = sources.select(F.col("source_id").alias("_source")).distinct().withColumn("_known", F.lit(True))
+    looked = marked.join(registry, "_source", "left")
     unknown = F.col("reason").isNull() & ~F.coalesce("_known", F.lit(False))
     return looked.select(
         *[c for c in judged.columns if c not in ("reason", "error", *[k.table for k in contracts])],

@@ -140,16 +140,6 @@ def test_errors_are_cleaned_and_cut(spark):
     assert row["e"].startswith("a\\x00b") and len(row["e"]) == 1000
 
 
-def test_a_registry_too_large_for_the_plan_is_joined(spark, monkeypatch):
-    from parcelspan.operators import contracts
-
-    values = [PING, changed(PING, source="simulator/drone"), b"broken"]
-    want = [None, "unknown_source", "invalid_json"]
-    assert reasons(spark, values) == want
-    monkeypatch.setattr(contracts, "SOURCES_IN_PLAN", 1)
-    assert reasons(spark, values) == want
-
-
 def test_contracts_have_their_keys():
     for c in CONTRACTS:
         assert set(c.key) <= set(c.names) and set(c.required) <= set(c.names)
