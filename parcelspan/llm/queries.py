@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspan.llm import pii
+from parcelspan.llm import pii, toxicity
 from parcelspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": lambda spark, folder: pii.pii_digest(table(spark, folder, "documents", "doc_id", "text")),
+    "op7_toxicity": lambda spark, folder: toxicity.toxicity_scores(
+        table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic")
+    ),
 }
 SQL: dict[str, str] = {}
