@@ -6,13 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspan.llm import pii, toxicity
+from parcelspan.llm import packing, pii, records, toxicity
 from parcelspan.llm.common import table
 
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; it is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(f"{name}.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": lambda spark, folder: pii.pii_digest(table(spark, folder, "documents", "doc_id", "text")),
     "op7_toxicity": lambda spark, folder: toxicity.toxicity_scores(
         table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic")
     ),
+    "op5_packing": lambda spark, folder: packing.pack(
+        table(spark, folder, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k")
+    ),
+    "op10_records": lambda spark, folder: records.round_trip(
+        table(spark, folder, "documents", "doc_id", "text"), vocabulary("word_bpe_49k")
+    ),
 }
 SQL: dict[str, str] = {}
