@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words are what lies between these; other white space belongs to words.
 GAP = r"[\x20\x09-\x0D]+"
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each application, so that they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        made = shutil.make_archive(f"{tempfile.mkdtemp()}/parcelspan", "zip", root, "parcelspan")
+        context.addPyFile(made)
+        _SHIPPED.add(context.applicationId)
+
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """A table of the given folder, with the columns that are needed."""

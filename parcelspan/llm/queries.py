@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspan.llm import packing, pii, records, toxicity
-from parcelspan.llm.common import table
+from parcelspan.llm import minhash, packing, pii, records, toxicity, warc
+from parcelspan.llm.common import ship, table
 
 
 def vocabulary(name: str) -> str:
@@ -17,7 +17,7 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(f"{name}.json")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_BUILT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": lambda spark, folder: pii.pii_digest(table(spark, folder, "documents", "doc_id", "text")),
     "op7_toxicity": lambda spark, folder: toxicity.toxicity_scores(
         table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic")
@@ -25,8 +25,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": lambda spark, folder: packing.pack(
         table(spark, folder, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k")
     ),
+    "op8_near_duplicates": lambda spark, folder: minhash.near_duplicates(
+        table(spark, folder, "documents", "doc_id", "text")
+    ),
+    "op9_warc": lambda spark, folder: warc.round_trip(table(spark, folder, "pages", "page_id", "url", "html")),
     "op10_records": lambda spark, folder: records.round_trip(
         table(spark, folder, "documents", "doc_id", "text"), vocabulary("word_bpe_49k")
     ),
 }
+
+
+def shipped(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return build(spark, folder)
+
+    return run
+
+
+QUERIES = {name: shipped(build) for name, build in _BUILT.items()}
 SQL: dict[str, str] = {}
