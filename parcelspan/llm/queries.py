@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspan.llm import minhash, packing, pii, records, toxicity, warc
+from parcelspan.llm import decontaminate, lines, minhash, packing, pii, records, toxicity, warc
 from parcelspan.llm.common import ship, table
 
 
@@ -19,6 +19,10 @@ def vocabulary(name: str) -> str:
 
 _BUILT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": lambda spark, folder: pii.pii_digest(table(spark, folder, "documents", "doc_id", "text")),
+    "op2_line_dedup": lambda spark, folder: lines.line_digest(table(spark, folder, "documents", "doc_id", "text")),
+    "op3_decontamination": lambda spark, folder: decontaminate.contaminated(
+        table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text")
+    ),
     "op7_toxicity": lambda spark, folder: toxicity.toxicity_scores(
         table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic")
     ),
@@ -44,4 +48,4 @@ def shipped(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 QUERIES = {name: shipped(build) for name, build in _BUILT.items()}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_line_dedup": lines.SQL}
