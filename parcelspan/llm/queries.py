@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspan.llm import decontaminate, lines, minhash, packing, pii, records, toxicity, warc
+from parcelspan.llm import decontaminate, katz, lines, minhash, packing, pii, records, toxicity, warc
 from parcelspan.llm.common import ship, table
 
 
@@ -26,6 +26,7 @@ _BUILT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": lambda spark, folder: toxicity.toxicity_scores(
         table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic")
     ),
+    "op4_katz": lambda spark, folder: katz.scores(table(spark, folder, "documents", "doc_id", "text")),
     "op5_packing": lambda spark, folder: packing.pack(
         table(spark, folder, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k")
     ),
