@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspan.llm import decontaminate, katz, lines, minhash, packing, pii, records, toxicity, warc
+from parcelspan.llm import covertree, decontaminate, katz, lines, minhash, packing, pii, records, toxicity, warc
 from parcelspan.llm.common import ship, table
 
 
@@ -23,6 +23,7 @@ _BUILT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": lambda spark, folder: decontaminate.contaminated(
         table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text")
     ),
+    "op6_top_k": lambda spark, folder: covertree.top_k(table(spark, folder, "embeddings", "vec_id", "embedding")),
     "op7_toxicity": lambda spark, folder: toxicity.toxicity_scores(
         table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic")
     ),
