@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words are what lies between these; other white space belongs to words.
 GAP = r"[\x20\x09-\x0D]+"
 
+# Batches that go to Python hold whole texts: a few megabytes each instead of 10,000 rows.
+ARROW_ROWS = "1000"
 _SHIPPED: set[str] = set()
 
 
@@ -26,6 +28,7 @@ def ship(spark: SparkSession) -> None:
         made = shutil.make_archive(f"{tempfile.mkdtemp()}/parcelspan", "zip", root, "parcelspan")
         context.addPyFile(made)
         _SHIPPED.add(context.applicationId)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
