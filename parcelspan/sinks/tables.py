@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspan.operators.keyed import content_digest
+from parcelspan.session import run_folder
 
 
 class GuardError(RuntimeError):
@@ -38,15 +39,44 @@ def replace_partitions(df: DataFrame, path: str, by: Sequence[str], balance: boo
     )
 
 
-def guarded_replace(plans: DataFrame, path: str, by: Sequence[str], version: str = "plan_version") -> None:
-    """Replace the baseline of the plans' partitions, unless a later version builds on it there."""
+def replace_days(df: DataFrame, path: str, by: str, values: Sequence[str]) -> None:
+    """Replace the named partitions whole: those that get no rows are cleared. Rows of other partitions are refused,
+    values are compared as text."""
+    spark = df.sparkSession
+    if df.where(~F.col(by).cast("string").isin(*values) | F.col(by).isNull()).limit(1).count():
+        raise GuardError(f"rows outside the partitions {by} that are replaced")
+    filled = {str(r[0]) for r in df.select(F.col(by).cast("string")).distinct().collect()}  # at most the named values
+    replace_partitions(df, path, [by])
+    for value in values:
+        if value not in filled:
+            _delete(spark, f"{path}/{by}={value}")
+
+
+def guarded_replace(plans: DataFrame, path: str, by: Sequence[str], version: str = "plan_version", source: str | None = None) -> None:
+    """Replace the baseline of the plans' partitions, unless a later version builds on it there. With `source`, only
+    baseline rows that came from it are replaced and others stay."""
     spark = plans.sparkSession
+    ready = plans
     if table_exists(spark, path):
-        held = spark.read.parquet(path).where(F.col(version) > 0)
-        touched = plans.select(*by).distinct()
-        if held.join(touched, list(by), "left_semi").limit(1).count():
+        held = spark.read.parquet(path).join(plans.select(*by).distinct(), list(by), "left_semi")
+        if held.where(F.col(version) > 0).limit(1).count():
             raise GuardError("later plan versions build on the baseline; it is not replaced")
-    replace_partitions(plans, path, by)
+        if source is not None:
+            ready = plans.unionByName(held.where(~F.col("source").eqNullSafe(F.lit(source))).select(*plans.columns))
+            ready = _settled(ready)
+    replace_partitions(ready, path, by)
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """The rows in a table of their own, so that what they were read from can be overwritten."""
+    path = run_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -77,11 +107,21 @@ def write_if_changed(df: DataFrame, path: str, source: str, owner: str, schema_v
     return True
 
 
-def archive_before(df: DataFrame, day: str, cutoff: str, archive: str) -> tuple[int, int]:
-    """Copy the days before the cut-off to the archive and count both sides; the caller drops the days
-    only when the counts agree."""
+def archive_before(df: DataFrame, day: str, cutoff: str, archive: str, table: str | None = None) -> int:
+    """Copy the days before the cut-off to the archive, compare both sides day by day, and only then drop them from `table`,
+    where the rows are partitioned by day. Days archived earlier aren't touched or counted, so it can run again and again. Returns
+    the number of rows archived."""
+    spark = df.sparkSession
     old = df.where(F.col(day) < F.lit(cutoff).cast("date"))
     replace_partitions(old, archive, [day])
-    spark = df.sparkSession
-    kept = spark.read.parquet(archive).where(F.col(day) < F.lit(cutoff).cast("date"))
-    return old.count(), kept.count()
+    counted = old.groupBy(F.col(day).cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    copied = spark.read.parquet(archive) if table_exists(spark, archive) else old.limit(0)
+    kept = copied.groupBy(F.col(day).cast("string").alias("day")).agg(F.count(F.lit(1)).alias("kept"))
+    days = counted.join(kept, "day", "left").collect()  # one row a day
+    wrong = [r["day"] for r in days if r["n"] != r["kept"]]
+    if wrong:
+        raise GuardError(f"{len(wrong)} days have other counts in the archive: nothing is dropped")
+    if table is not None:
+        for r in days:
+            _delete(spark, f"{table}/{day}={r['day']}")
+    return sum(r["n"] for r in days)

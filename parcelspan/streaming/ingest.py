@@ -20,7 +20,6 @@ from parcelspan.operators.contracts import (
 from parcelspan.operators.keyed import absent_rows, first_per_key
 from parcelspan.sinks.tables import replace_partitions, table_exists
 
-MAX_PRUNED_DAYS = 400  # more days in a batch than this: the whole table is compared
 DEAD_KEY = ("topic", "kafka_partition", "kafka_offset")
 PLACE = ["event_date", "run_id", "batch_id"]
 
@@ -53,18 +52,16 @@ def write_batch(
     repaired by running it again."""
     judged = refuse_unstorable(classify(batch, sources, contracts), contracts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        found = {
-            row["topic"]: row
-            for row in judged.groupBy("topic").agg(
-                F.count_if(F.col("reason").isNull()).alias("rows"), F.count_if(F.col("reason").isNotNull()).alias("dead")
-            ).where(F.col("topic").isin(*[c.topic for c in contracts]) | (F.col("dead") > 0)).limit(len(contracts) + 1).collect()
-        }
+        # One row whatever the batch holds: topics that nobody feeds cannot crowd out those that are fed.
+        good = F.col("reason").isNull()
+        per_table = [F.count_if(good & (F.col("topic") == c.topic)).alias(c.table) for c in contracts]
+        found = judged.agg(F.count(F.lit(1)).alias("_all"), F.count_if(~good).alias("_dead"), *per_table).first()
         for contract in contracts:
-            messages = found[contract.topic]["rows"] if contract.topic in found else 0
-            if messages:
-                _write_rows(judged, contract, target, run_id, batch_id, messages)
-        if any(row["dead"] for row in found.values()):
+            if found[contract.table]:
+                _write_rows(judged, contract, target, run_id, batch_id, found[contract.table])
+        if found["_dead"]:
             _write_dead(judged, target, run_id, batch_id)
+        _write_log(judged.sparkSession, target, run_id, batch_id, found["_all"], found["_dead"])
     finally:
         judged.unpersist()
 
@@ -111,6 +108,13 @@ def _own(run_id: str, batch_id: int) -> Column:
 
 
 def _same_days(held: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The held rows of the batch's days: late rows open old folders only when there are some."""
-    days = [row[0] for row in fresh.select("event_date").distinct().limit(MAX_PRUNED_DAYS + 1).collect()]
-    return held if len(days) > MAX_PRUNED_DAYS else held.where(F.col("event_date").isin(days))
+    """The held rows of the batch's days, however many: Spark prunes the folders of other days by the join."""
+    return held.join(fresh.select("event_date").distinct(), "event_date", "left_semi")
+
+
+def _write_log(spark: SparkSession, target: str, run_id: str, batch_id: int, messages: int, dead: int) -> None:
+    """One row for each batch: unlike the progress Spark remembers, all of them are kept."""
+    row = spark.createDataFrame(
+        [(messages, dead, run_id, batch_id)], "n_rows bigint, n_dead bigint, run_id string, batch_id bigint"
+    ).withColumn("measured_at", F.current_timestamp())
+    replace_partitions(row, f"{target}/ingest_batches", ["run_id", "batch_id"], balance=False)

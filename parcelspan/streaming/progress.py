@@ -1,39 +1,36 @@
-"""Progress of streaming queries as rows: what was read, how far behind, how old the newest data is."""
+"""Progress of streaming queries as rows: what was read and how far behind a broker source is."""
 
 from __future__ import annotations
 
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQueryListener
 
-PROGRESS = "run_id string, batch_id bigint, measured_at string, source string, n_rows bigint, rows_per_s double"
 LAG = (
     "consumer_group string, topic string, kafka_partition int, committed_offset bigint, end_offset bigint,"
     " lag bigint, measured_at string"
 )
 
 
-def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """The latest batches of a query; Spark keeps a bounded number of them."""
-    rows = [
-        (str(p.runId), int(p.batchId), p.timestamp, source.description, int(source.numInputRows), float(p.processedRowsPerSecond or 0))
-        for p in query.recentProgress
-        for source in p.sources
-        if source.numInputRows
-    ]
-    return spark.createDataFrame(rows, PROGRESS)
+def progress_rows(spark: SparkSession, target: str) -> DataFrame:
+    """What every batch of an ingest has read, from the log it writes itself: no batch is forgotten."""
+    return spark.read.parquet(f"{target}/ingest_batches")
 
 
-def lag_rows(progress: dict, group: str) -> list[tuple]:
-    """One row per topic and partition of a broker source's progress: end minus committed, never below 0."""
+def lag_rows(progress: dict, group: str, low: dict | None = None) -> list[tuple]:
+    """One row per topic and partition of a broker source's progress: end minus committed, never below 0.
+
+    A partition without a commit, or with one that the broker has dropped, counts from `low`, the first
+    offset still there (by topic and partition; 0 where it isn't known)."""
     rows = []
     for source in progress["sources"]:
         end, latest = _offsets(source.get("endOffset")), _offsets(source.get("latestOffset"))
         for topic, partitions in latest.items():
             for partition, last in partitions.items():
                 committed = end.get(topic, {}).get(partition)
-                behind = max(last - (committed or 0), 0)
+                first = ((low or {}).get(topic) or {}).get(partition, 0)
+                behind = max(last - max(committed if committed is not None else first, first), 0)
                 rows.append((group, topic, int(partition), committed, last, behind, progress["timestamp"]))
     return rows
 
@@ -45,14 +42,14 @@ def _offsets(value) -> dict:
 class LagListener(StreamingQueryListener):
     """Appends the lag of every batch to a table. The rows are as many as the topic has partitions."""
 
-    def __init__(self, spark: SparkSession, group: str, path: str):
-        self.spark, self.group, self.path = spark, group, path
+    def __init__(self, spark: SparkSession, group: str, path: str, low: dict | None = None):
+        self.spark, self.group, self.path, self.low = spark, group, path, low
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        rows = lag_rows(json.loads(event.progress.json), self.group)
+        rows = lag_rows(json.loads(event.progress.json), self.group, self.low)
         if rows:
             self.spark.createDataFrame(rows, LAG).coalesce(1).write.mode("append").parquet(self.path)
 

@@ -89,6 +89,33 @@ def test_guard_and_unchanged_content(spark, tmp_path):
     assert tables.write_if_changed(tables.stamped(base.limit(2), "x"), out, "x", "o", 1)
 
 
+def test_days_are_cleared_archived_and_dropped(spark, tmp_path):
+    path, archive = str(tmp_path / "days"), str(tmp_path / "old")
+    days = spark.createDataFrame([(i, f"2026-09-0{1 + i % 4}") for i in range(8)], "n int, d string").withColumn("d", F.col("d").cast("date"))
+    tables.replace_partitions(days, path, ["d"])
+    again = days.where("d = DATE '2026-09-01'").limit(1)
+    tables.replace_days(again, path, "d", ["2026-09-01", "2026-09-02"])
+    count = lambda p: {str(r[0]): r[1] for r in spark.read.parquet(p).groupBy("d").count().collect()}
+    assert count(path) == {"2026-09-01": 1, "2026-09-03": 2, "2026-09-04": 2}
+    with pytest.raises(tables.GuardError):
+        tables.replace_days(days, path, "d", ["2026-09-01"])
+    assert tables.archive_before(spark.read.parquet(path), "d", "2026-09-02", archive, path) == 1
+    assert tables.archive_before(spark.read.parquet(path), "d", "2026-09-04", archive, path) == 2
+    assert tables.archive_before(spark.read.parquet(path), "d", "2026-09-04", archive, path) == 0
+    assert count(path) == {"2026-09-04": 2} and count(archive) == {"2026-09-01": 1, "2026-09-03": 2}
+
+
+def test_guarded_replace_keeps_other_sources(spark, tmp_path):
+    path, schema = str(tmp_path / "plans"), "route string, wave string, plan_version int, source string"
+    rows = spark.createDataFrame([("a", "morning", 0, "mine"), ("b", "morning", 0, "theirs"), ("c", "late", 1, "mine")], schema)
+    tables.replace_partitions(rows, path, ["wave"])
+    new = spark.createDataFrame([("d", "morning", 0, "mine")], schema)
+    tables.guarded_replace(new, path, ["wave"], source="mine")
+    assert {r.route for r in spark.read.parquet(path).where("wave = 'morning'").collect()} == {"b", "d"}
+    with pytest.raises(tables.GuardError):
+        tables.guarded_replace(new.withColumn("wave", F.lit("late")), path, ["wave"], source="mine")
+
+
 def test_digest_sees_nulls_copies_and_not_order(spark):
     a = spark.createDataFrame([("a", None), (None, "a"), ("b", "c")], "x string, y string")
     digest = lambda df: content_digest(df).first()["digest"]

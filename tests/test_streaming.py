@@ -58,7 +58,6 @@ def test_bad_rows_do_not_block_a_batch(spark, tmp_path):
 def test_days_beyond_the_pruning_limit(spark, tmp_path, monkeypatch):
     from parcelspan.streaming import ingest
 
-    monkeypatch.setattr(ingest, "MAX_PRUNED_DAYS", 1)
     target = str(tmp_path / "bronze")
     days = [ping(i, 0, event_time=f"2026-09-0{i + 1}T00:00:00Z") for i in range(5)]
     write_batch(envelopes(spark, *days), sources(spark), target, "run", 0)
@@ -97,12 +96,35 @@ def test_three_topics_go_to_their_tables(spark, tmp_path):
     assert str(table(spark, target, "delivery_events").first()["event_time"]) == "2026-09-28 06:01:00"
 
 
+def test_many_unknown_topics_hide_no_rows(spark, tmp_path):
+    for unknown in (3, 60):
+        target = str(tmp_path / f"bronze{unknown}")
+        rows = [ping(i, 1, topic=f"other.{i}") for i in range(unknown)] + [ping(100 + i, i) for i in range(5)]
+        write_batch(envelopes(spark, *rows).repartition(7), sources(spark), target, "run", 0)
+        assert table(spark, target, "dead_letters").count() == unknown
+        assert table(spark, target, "gps_pings").count() == 5
+        assert [tuple(r)[:2] for r in table(spark, target, "ingest_batches").select("n_rows", "n_dead").collect()] == [(unknown + 5, unknown)]
+
+
+def test_streams_read_tables_of_many_files(spark, folder, tmp_path):
+    from parcelspan.plans.registry import all_queries
+
+    for name in ("events", "nation"):
+        df = spark.read.parquet(f"{folder}/{name}.parquet")
+        df.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("stream_tally", "stream_daily_tally"):
+        parts, whole = (all_queries()[name](spark, f).collect() for f in (str(tmp_path), folder))
+        assert sorted(map(tuple, parts)) == sorted(map(tuple, whole)) and whole
+
+
 def test_lag_of_a_broker_source():
     progress = {
         "timestamp": "2026-09-28T06:00:00Z",
         "sources": [{"endOffset": '{"gps.pings":{"0":10,"1":7}}', "latestOffset": '{"gps.pings":{"0":15,"1":7,"2":3}}'}],
     }
     assert [(r[2], r[3], r[4], r[5]) for r in lag_rows(progress, "g")] == [(0, 10, 15, 5), (1, 7, 7, 0), (2, None, 3, 3)]
+    low = {"gps.pings": {"0": 12, "2": 1}}
+    assert [r[5] for r in lag_rows(progress, "g", low)] == [3, 0, 2]
 
 
 @pytest.mark.parametrize("stream,batch", [("stream_departures", "departed_at"), ("stream_tally", "completed_at")])
