@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelspan.operators.ordered import MAX_KEY_ROWS, Wanted, annotate, text_position
+from parcelspan.operators.ordered import MAX_KEY_ROWS, Wanted, annotate
 from parcelspan.operators.temporal import asof_join
 
 
@@ -37,13 +37,13 @@ def highest_averages(df: DataFrame, keys: Sequence[str], item: str, need: str, s
 
 
 def cumulative_share(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column, weight: str, into: str,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, into: str,
     max_rows: int = MAX_KEY_ROWS,
 ) -> DataFrame:
     """Cumulative distribution of the weights of each option list, ending exactly at 1, with the share
     before each option as `<into>_from`."""
     summed = annotate(
-        df, keys, order, position,
+        df, keys, order,
         Wanted(running_sum={"_upto": F.col(weight)}, following={"_more": F.lit(True)}), max_rows,
     )
     totals = df.groupBy(*keys).agg(F.sum(weight).alias("_total"))
@@ -69,7 +69,6 @@ def capacity_slices(
     vans: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    position: Column,
     parcels: str,
     van: str,
     capacity: str,
@@ -79,11 +78,11 @@ def capacity_slices(
     to the first van whose cumulative target lies above the parcels before it. There is no limit on
     minutes and no second try for what overflows a van."""
     filled = annotate(
-        orders, keys, order, position, Wanted(running_sum={"_upto": F.col(parcels).cast("bigint")}), max_rows
+        orders, keys, order, Wanted(running_sum={"_upto": F.col(parcels).cast("bigint")}), max_rows
     ).withColumn("_before", F.col("_upto") - F.col(parcels))
     totals = orders.groupBy(*keys).agg(F.sum(parcels).alias("_total"))
     sized = filled.join(totals, list(keys)).withColumn("_u", F.col("_before") / F.col("_total"))
     options = vans.select(*keys, van, F.col(capacity).cast("double").alias(capacity))
-    shares = cumulative_share(options, keys, [van], text_position(F.col(van)), capacity, "_share", max_rows)
+    shares = cumulative_share(options, keys, [van], capacity, "_share", max_rows)
     chosen = pick_by_share(sized, shares, keys, "_u", van, "_share", max_rows)
     return chosen.drop("_upto", "_before", "_total", "_u")

@@ -3,12 +3,13 @@
 A window holds a whole key in one task. That is fine while every key is small, so the size of the
 largest key is measured first. When a key is too large, its rows are cut into chunks along the
 order; each chunk is summarised (map-side combined), the summaries are chained per key, and the
-rows meet their chunk's carry in an equi-join on (key, chunk). The results are the same rows either way.
+rows meet their chunk's carry in an equi-join on (key, chunk). The cuts of a key are rows of its own, drawn by a hash of
+their place in the order: they follow its rows wherever these lie, whatever the order is made of. The rows
+are the same either way; sums of floats may differ in their last digits, being added in another order.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_KEY_ROWS = 4_000_000
-CHUNKS_PER_SHARE = 4  # rows are rarely even along the order, so chunks are made smaller than needed
+DRAWN, STRIDE = 64, 16  # rows drawn from `max_rows` of a key, and how many of them lie between two cuts
 
 
 @dataclass(frozen=True)
@@ -30,44 +31,34 @@ class Wanted:
     row_number: str | None = None
 
 
-def chunk_of(
-    df: DataFrame, keys: Sequence[str], position: Column, max_rows: int = MAX_KEY_ROWS
-) -> Column | None:
-    """A chunk number that grows with the position, or None when every key fits a task."""
-    place = position.cast("double")
-    stats = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"))
-        .agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .first()
-    )
-    if not stats["n"] or stats["n"] <= max_rows or stats["hi"] == stats["lo"]:
-        return None
-    pieces = math.ceil(stats["n"] / max_rows) * CHUNKS_PER_SHARE
-    width = (stats["hi"] - stats["lo"]) / pieces
-    return F.coalesce(F.floor((place - F.lit(stats["lo"])) / F.lit(width)), F.lit(-1))
+def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def text_position(text: Column) -> Column:
-    """A number that does not fall along the order of texts: their first six bytes."""
-    head = F.substring(F.hex(F.encode(text, "UTF-8")), 1, 12)
-    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+def with_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int) -> DataFrame:
+    """Add `_chunk`, which grows along the order of a key: about `max_rows * STRIDE / DRAWN` rows share one."""
+    place = F.struct(*[F.col(c) for c in order])
+    drawn = df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(max(1, max_rows // DRAWN))) == 0)
+    some = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list(place)).alias("_drawn")).where(F.size("_drawn") >= STRIDE)
+    cuts = F.transform(F.sequence(F.lit(STRIDE), F.size("_drawn"), F.lit(STRIDE)), lambda i: F.get("_drawn", i - 1))
+    some = some.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)], cuts.alias("_cuts"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(keys)]
+    chunk = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0))
+    return df.join(some, same, "left").select(*df.columns, F.greatest(chunk, F.lit(0)).alias("_chunk"))
 
 
 def annotate(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    position: Column,
     wanted: Wanted,
     max_rows: int = MAX_KEY_ROWS,
 ) -> DataFrame:
-    """Add the wanted columns. `order` must be total inside a key and `position` must not fall along it."""
+    """Add the wanted columns. `order` must be total inside a key."""
     keys = list(keys)
-    chunk = chunk_of(df, keys, position, max_rows)
-    if chunk is None:
+    if largest_key(df, keys) <= max_rows:
         return _in_whole_keys(df, keys, order, wanted)
-    return _in_chunks(df, keys, order, chunk, wanted)
+    return _in_chunks(df, keys, order, max_rows, wanted)
 
 
 def _in_whole_keys(df: DataFrame, keys: list[str], order: Sequence[str], wanted: Wanted) -> DataFrame:
@@ -83,9 +74,9 @@ def _in_whole_keys(df: DataFrame, keys: list[str], order: Sequence[str], wanted:
 
 
 def _in_chunks(
-    df: DataFrame, keys: list[str], order: Sequence[str], chunk: Column, wanted: Wanted
+    df: DataFrame, keys: list[str], order: Sequence[str], max_rows: int, wanted: Wanted
 ) -> DataFrame:
-    rows = df.withColumn("_chunk", chunk)
+    rows = with_chunks(df, keys, order, max_rows)
     by_order = F.struct(*order)
 
     def boxed(columns: Mapping[str, Column]) -> Column:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspan.functions.geo import EARTH_RADIUS_M, haversine_m
+from parcelspan.session import run_folder
 
 BAND_DEG = 0.01  # height of the latitude bands edges are filed under
-NEAREST_IN_A_ROW = 2_000  # sites that may travel inside the plan as one array
-CELL_DEG = 0.05
+CELL_M, WIDEN = 8_000.0, 4  # edge of the first grid's cells, and how much wider each next one's are
 
 
 def ring_edges(rings: DataFrame, shape: str, points: str) -> DataFrame:
@@ -62,70 +60,48 @@ def containing_shapes(points: DataFrame, bands: DataFrame, shape: str, lon: str,
     return met.where(crossings(F.col("edges"), F.col(lon), F.col(lat)) % 2 == 1).select(*points.columns, shape)
 
 
+def _on_sphere(lat: str, lon: str) -> list[Column]:
+    """A place on the sphere in metres from its centre: no seam at the antimeridian, no poles."""
+    y, x = F.radians(F.col(lat)), F.radians(F.col(lon))
+    return [F.lit(EARTH_RADIUS_M) * c for c in (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))]
+
+
 def nearest_site(
-    points: DataFrame, sites: DataFrame, site: str, lat: str, lon: str, limit: int = NEAREST_IN_A_ROW
+    points: DataFrame, sites: DataFrame, site: str, lat: str, lon: str, cell_m: float = CELL_M
 ) -> DataFrame:
     """The nearest site of every point (ties to the lower id) as `nearest` and `distance_m`.
 
-    `sites` has columns (site, lat, lon). Up to `limit` sites go into the plan as one array, read in
-    place for each point. More sites are searched through a grid whose cells widen until found (no
-    neighbour is sought across the antimeridian there).
+    `sites` has columns (site, lat, lon). Sites are filed under their cell of a cubic grid and the 26 around it, so a point
+    reads the sites of its own cell and a find nearer than a cell's edge is certain. Places without one go on with wider
+    cells, each round from what the last has written; the last cells are wider than the globe. Points without a latitude
+    or longitude have no nearest site; sites without one are never near. Repeated points are searched once and all kept.
     """
+    spark = points.sparkSession
     named = sites.select(F.col(site).alias("_s"), F.col(lat).alias("_sy"), F.col(lon).alias("_sx"))
-    few = named.limit(limit + 1).collect()
-    if len(few) <= limit:
-        return _nearest_in_array(points, few, lat, lon)
-    return _nearest_in_grid(points, named, lat, lon)
-
-
-def _nearest_in_array(points: DataFrame, few: list, lat: str, lon: str) -> DataFrame:
-    listed = F.array(
-        *[F.struct(F.lit(r["_s"]).alias("_s"), F.lit(r["_sy"]).alias("_sy"), F.lit(r["_sx"]).alias("_sx")) for r in few]
-    )
-    tagged = points.withColumn("_sites", listed)
-    best = F.array_min(
-        F.transform(
-            "_sites",
-            lambda s: F.struct(
-                haversine_m(F.col(lat), F.col(lon), s["_sy"], s["_sx"]).alias("distance_m"), s["_s"].alias("nearest")
-            ),
-        )
-    )
-    return tagged.withColumn("_best", best).select(*points.columns, "_best.nearest", "_best.distance_m")
-
-
-def _nearest_in_grid(points: DataFrame, named: DataFrame, lat: str, lon: str) -> DataFrame:
-    """Search the nine cells round a point; a find is certain when it is nearer than the block's rim.
-    The other points go on with cells four times as wide; the last level covers the globe."""
-    left = points.withColumn("_id", F.struct(*points.columns))
-    found: DataFrame | None = None
-    width = CELL_DEG
+    named = named.where("_s IS NOT NULL AND _sy IS NOT NULL AND _sx IS NOT NULL")
+    places = points.select(F.col(lat).alias("_py"), F.col(lon).alias("_px")).where("_py IS NOT NULL AND _px IS NOT NULL").distinct()
+    best_of = "struct<distance_m:double,nearest:" + sites.schema[site].dataType.simpleString() + ">"
+    found, left, width = None, places, cell_m
     while True:
-        last = width >= 360.0
-        step = F.lit(width)
-        around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        cells = named.select("*", F.floor(F.col("_sy") / step).alias("_cy"), F.floor(F.col("_sx") / step).alias("_cx"))
-        probe = left.select(
-            "*",
-            F.floor(F.col(lat) / step).alias("_py"),
-            F.floor(F.col(lon) / step).alias("_px"),
-        ).select(
-            "*", F.explode(around).alias("_dy")
-        ).select("*", F.explode(around).alias("_dx"))
-        met = probe.join(
-            cells, (F.col("_py") + F.col("_dy") == F.col("_cy")) & (F.col("_px") + F.col("_dx") == F.col("_cx")), "left"
-        ).withColumn("_d", haversine_m(F.col(lat), F.col(lon), F.col("_sy"), F.col("_sx")))
-        best = met.groupBy("_id").agg(
-            F.min(F.when(F.col("_s").isNotNull(), F.struct(F.col("_d").alias("distance_m"), F.col("_s").alias("nearest")))).alias("_b")
-        ).select("_id", "_id.*", "_b")
-        rim = F.lit(EARTH_RADIUS_M) * F.least(
-            F.lit(math.radians(width)),
-            F.asin(F.cos(F.radians(F.col(lat))) * F.sin(F.lit(math.radians(min(width, 90.0))))),
-        )
-        sure = F.lit(True) if last else F.coalesce(F.col("_b.distance_m") < rim, F.lit(False))
-        done = best.where(sure).select(*points.columns, "_b.nearest", "_b.distance_m")
-        found = done if found is None else found.unionByName(done)
-        if last:
-            return found
-        left = best.where(~sure).select(*points.columns, "_id")
-        width = min(width * 4, 360.0)
+        last = width > 2 * EARTH_RADIUS_M
+        cell = lambda parts, width=width: [F.floor(p / F.lit(width)).alias(f"_c{i}") for i, p in enumerate(parts)]
+        filed = named.select("_s", "_sy", "_sx", *cell(_on_sphere("_sy", "_sx")))
+        for i in range(3):
+            steps = F.explode(F.array(*[F.col(f"_c{i}") + d for d in (-1, 0, 1)]))
+            filed = filed.withColumn(f"_c{i}", steps)
+        met = left.select("_py", "_px", *cell(_on_sphere("_py", "_px"))).join(filed, ["_c0", "_c1", "_c2"], "left")
+        near = F.struct(haversine_m(F.col("_py"), F.col("_px"), F.col("_sy"), F.col("_sx")).alias("distance_m"), F.col("_s").alias("nearest"))
+        best = met.groupBy("_py", "_px").agg(F.min(F.when(F.col("_s").isNotNull(), near)).cast(best_of).alias("_b"))
+        sure = F.lit(True) if last else F.coalesce(F.col("_b.distance_m") < width, F.lit(False))
+        path = run_folder(spark, "nearest")
+        best.withColumn("_sure", sure).write.parquet(path)
+        done = spark.read.parquet(path)
+        found = done.where("_sure") if found is None else found.unionByName(done.where("_sure"))
+        left = done.where("NOT _sure").select("_py", "_px")
+        if last or left.isEmpty():
+            break
+        width *= WIDEN
+    by_place = found.select("_py", "_px", "_b.nearest", "_b.distance_m")
+    return points.join(by_place, (F.col(lat) == F.col("_py")) & (F.col(lon) == F.col("_px")), "left").select(
+        *points.columns, "nearest", "distance_m"
+    )

@@ -11,15 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspan.functions.calendar import epoch_seconds
 from parcelspan.operators.ordered import MAX_KEY_ROWS, Wanted, annotate
 
 
-def _position(time: str, df: DataFrame) -> Column:
-    kind = df.schema[time].dataType.simpleString()
-    return epoch_seconds(F.col(time)) if kind.startswith("timestamp") else F.col(time).cast("double")
-
-
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -45,7 +39,7 @@ def asof_join(
         )
     )
     seen = annotate(
-        line, keys, ["_t", "_side"], _position("_t", line), Wanted(last_known={"_seen": F.col("_right")}), max_rows
+        line, keys, ["_t", "_side"], Wanted(last_known={"_seen": F.col("_right")}), max_rows
     )
     return seen.where("_side = 1").select("_left.*", *[F.col("_seen")[v].alias(v) for v in values])
 
@@ -78,7 +72,7 @@ def inside_intervals(
         points.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_open"), F.lit(1).alias("_side"), row.alias("_row"))
     )
     counted = annotate(
-        line, keys, ["_t", "_side"], _position("_t", line), Wanted(running_sum={"_depth": F.col("_open")}), max_rows
+        line, keys, ["_t", "_side"], Wanted(running_sum={"_depth": F.col("_open")}), max_rows
     )
     return counted.where("_side = 1").select("_row.*", (F.col("_depth") > 0).alias(into))
 
@@ -97,7 +91,6 @@ def resample_track(
         track.select(*keys, time, *values),
         keys,
         [time],
-        F.col(time),
         Wanted(following={"_t1": F.col(time), **{f"_{v}1": F.col(v) for v in values}}),
         max_rows,
     ).withColumn("_t0", F.col(time))
@@ -147,10 +140,10 @@ def sessions(
     spec = Wanted(
         previous={"_was": flag}, following={"_next_time": F.col(time)}
     )
-    marked = annotate(df.withColumn("_on", flag), keys, order, _position(time, df), spec, max_rows)
+    marked = annotate(df.withColumn("_on", flag), keys, order, spec, max_rows)
     begun = marked.withColumn("_start", (F.col("_on") & ~F.coalesce(F.col("_was"), F.lit(False))).cast("int"))
     numbered = annotate(
-        begun, keys, order, _position(time, df), Wanted(running_sum={"_session": F.col("_start")}), max_rows
+        begun, keys, order, Wanted(running_sum={"_session": F.col("_start")}), max_rows
     )
     return (
         numbered.where("_on")

@@ -253,7 +253,7 @@ FROM g GROUP BY 1, 2""",
 )
 def idle_minutes(t: Inputs) -> DataFrame:
     timed = annotate(
-        t.telemetry(), ["vehicle_id"], ["event_time"], F.unix_micros(F.col("event_time").cast("timestamp")),
+        t.telemetry(), ["vehicle_id"], ["event_time"],
         Wanted(following={"next_at": F.col("event_time")}),
     )
     idle = F.when(F.col("ignition_on") & (F.col("speed_kmh") == 0), minutes_between(F.col("event_time"), F.col("next_at")))
@@ -339,8 +339,7 @@ def break_stop(t: Inputs) -> DataFrame:
     """The first stop reached three hours or more after the start, unless it is the last one."""
     stops = t.plan_stops().select("route_id", "planned_arrival", "order_id", "line_no")
     numbered = annotate(
-        stops, ["route_id"], ["planned_arrival", "order_id", "line_no"],
-        F.unix_micros(F.col("planned_arrival").cast("timestamp")), Wanted(row_number="seq"),
+        stops, ["route_id"], ["planned_arrival", "order_id", "line_no"], Wanted(row_number="seq"),
     )
     spans = stops.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"), F.min("planned_arrival").alias("begun"))
     late = numbered.join(spans, "route_id").where(

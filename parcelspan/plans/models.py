@@ -256,7 +256,7 @@ def dq_scan_sequence(t: Inputs) -> DataFrame:
     phase = F.when(F.col("status") == "out_for_delivery", 1).when(F.col("status") == "arrived", 2).otherwise(3)
     scans = t.scans().select("order_id", "status", "event_time", "event_id", phase.alias("phase"))
     seen = annotate(
-        scans, ["order_id"], ["event_time", "event_id"], F.unix_micros(F.col("event_time").cast("timestamp")),
+        scans, ["order_id"], ["event_time", "event_id"],
         Wanted(previous={"before": F.col("status"), "phase_before": F.col("phase")}),
     )
     return seen.where("phase < phase_before").groupBy("before", F.col("status").alias("after")).agg(F.count(F.lit(1)).alias("n"))
@@ -318,7 +318,7 @@ u AS (SELECT c_custkey, c_mktsegment AS segment, {_uniform_sql("CAST(c_custkey A
 SELECT c_custkey, min(k) AS k FROM u JOIN c ON u.segment = c.segment AND c.c > u.u GROUP BY 1""")
 def weighted_draw(t: Inputs) -> DataFrame:
     weights = t.shippers().groupBy("segment", (F.col("shipper_id") % 10).alias("k")).agg(F.sum("weight").alias("w"))
-    shares = cumulative_share(weights, ["segment"], ["k"], F.col("k"), "w", "upper")
+    shares = cumulative_share(weights, ["segment"], ["k"], "w", "upper")
     rows = t.table("customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), ids.uniform("c_custkey", seed=7).alias("u"))
     return pick_by_share(rows, shares, ["segment"], "u", "k", "upper").select("c_custkey", "k")
 

@@ -527,7 +527,7 @@ def most_common(t: Inputs) -> DataFrame:
 @query("order_ids", """SELECT order_id, concat('O-', strftime(service_date, '%Y%m%d'), '-', lpad(CAST(row_number() OVER (PARTITION BY service_date ORDER BY registered_at, order_id) AS VARCHAR), 6, '0')) AS order_name FROM v_orders""")
 def order_ids(t: Inputs) -> DataFrame:
     orders = t.orders().select("order_id", "service_date", "registered_at")
-    numbered = annotate(orders, ["service_date"], ["registered_at", "order_id"], micros("registered_at"), Wanted(row_number="k"))
+    numbered = annotate(orders, ["service_date"], ["registered_at", "order_id"], Wanted(row_number="k"))
     return numbered.select(
         "order_id",
         F.concat(F.lit("O-"), F.date_format("service_date", "yyyyMMdd"), F.lit("-"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("order_name"),
@@ -538,7 +538,7 @@ def order_ids(t: Inputs) -> DataFrame:
 FROM (SELECT vehicle_id, odometer_km - lag(odometer_km) OVER w AS d, energy_used_total - lag(energy_used_total) OVER w AS e FROM v_telemetry WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_time)) x GROUP BY 1""")
 def counter_monotonic(t: Inputs) -> DataFrame:
     stepped = annotate(
-        t.telemetry(), ["vehicle_id"], ["event_time"], micros("event_time"),
+        t.telemetry(), ["vehicle_id"], ["event_time"],
         Wanted(previous={"odo": F.col("odometer_km"), "used": F.col("energy_used_total")}),
     )
     d, e = F.col("odometer_km") - F.col("odo"), F.col("energy_used_total") - F.col("used")
@@ -551,7 +551,7 @@ def counter_monotonic(t: Inputs) -> DataFrame:
 def cadence_gaps(t: Inputs) -> DataFrame:
     """Pings that came more than an hour after the van's previous one."""
     seen = annotate(
-        t.pings().select("event_id", "vehicle_id", "event_time"), ["vehicle_id"], ["event_time"], micros("event_time"),
+        t.pings().select("event_id", "vehicle_id", "event_time"), ["vehicle_id"], ["event_time"],
         Wanted(previous={"before": F.col("event_time")}),
     )
     return seen.select("event_id", (micros("event_time") - micros("before")).alias("gap_us")).where("gap_us > 3600000000")
@@ -570,7 +570,7 @@ def headings(t: Inputs) -> DataFrame:
     """Heading towards the next ping of a moving van, NULL while it stands."""
     pings = t.pings().select("event_id", "vehicle_id", "event_time", "lat", "lon", "speed_kmh")
     ahead = annotate(
-        pings, ["vehicle_id"], ["event_time"], micros("event_time"), Wanted(following={"lat2": F.col("lat"), "lon2": F.col("lon")})
+        pings, ["vehicle_id"], ["event_time"], Wanted(following={"lat2": F.col("lat"), "lon2": F.col("lon")})
     )
     moving = (F.col("speed_kmh") > 5) & F.col("lat2").isNotNull()
     return ahead.withColumn("heading", F.when(moving, bearing_deg(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))))
@@ -580,8 +580,7 @@ def headings(t: Inputs) -> DataFrame:
 def forward_fill(t: Inputs) -> DataFrame:
     """The last known heading is kept while the van stands; before the first one it is 0."""
     known = annotate(
-        headings(t).select("event_id", "vehicle_id", "event_time", "heading"), ["vehicle_id"], ["event_time"],
-        micros("event_time"), Wanted(last_known={"kept": F.col("heading")}),
+        headings(t).select("event_id", "vehicle_id", "event_time", "heading"), ["vehicle_id"], ["event_time"], Wanted(last_known={"kept": F.col("heading")}),
     )
     return known.select("event_id", F.round(F.coalesce("kept", F.lit(0.0)), 4).alias("heading"))
 
@@ -590,7 +589,7 @@ def forward_fill(t: Inputs) -> DataFrame:
 FROM (SELECT segment, shipper_id % 10 AS k, sum(weight) AS w FROM v_shippers GROUP BY 1, 2) x""")
 def weight_cdf(t: Inputs) -> DataFrame:
     weights = t.shippers().groupBy("segment", (F.col("shipper_id") % 10).alias("k")).agg(F.sum("weight").alias("w"))
-    return cumulative_share(weights, ["segment"], ["k"], F.col("k"), "w", "cumulative").select("segment", "k", F.round("cumulative", 9).alias("cumulative"))
+    return cumulative_share(weights, ["segment"], ["k"], "w", "cumulative").select("segment", "k", F.round("cumulative", 9).alias("cumulative"))
 
 
 @query("route_names", """SELECT route_id, concat('R-', strftime(service_date, '%Y%m%d'), '-', zone_id, '-', upper(substr(wave, 1, 1)), CAST(row_number() OVER (PARTITION BY service_date, wave, zone_id ORDER BY route_no) AS VARCHAR)) AS route_name FROM v_routes""")
@@ -620,7 +619,7 @@ def swept(t: Inputs) -> DataFrame:
 
 @query("sweep_rank", f"WITH {SWEEP_SQL} SELECT order_id, zone_id, k AS sweep_rank FROM s")
 def sweep_rank(t: Inputs) -> DataFrame:
-    ranked = annotate(swept(t), ["zone_id"], ["angle", "order_id"], F.col("angle"), Wanted(row_number="sweep_rank"))
+    ranked = annotate(swept(t), ["zone_id"], ["angle", "order_id"], Wanted(row_number="sweep_rank"))
     return ranked.select("order_id", "zone_id", "sweep_rank")
 
 
@@ -631,7 +630,7 @@ SELECT u.order_id, arg_min(v.vehicle_id, v.i) AS vehicle_id FROM u LEFT JOIN v O
 def orders_to_vans(t: Inputs) -> DataFrame:
     vans = t.vans().select(F.col("home_zone_id").alias("zone_id"), "vehicle_id", "capacity")
     return capacity_slices(
-        swept(t), vans, ["zone_id"], ["angle", "order_id"], F.col("angle"), "parcels", "vehicle_id", "capacity"
+        swept(t), vans, ["zone_id"], ["angle", "order_id"], "parcels", "vehicle_id", "capacity"
     ).select("order_id", "vehicle_id")
 
 

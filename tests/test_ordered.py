@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parcelspan.operators.ordered import Wanted, annotate, chunk_of, text_position
+from parcelspan.operators.ordered import Wanted, annotate, with_chunks
 from parcelspan.operators.temporal import asof_join, inside_intervals, resample_track, sessions
 
 R = random.Random(5)
@@ -27,9 +27,19 @@ def both(build):
     assert small == whole and small
 
 
-def test_chunks_are_made_only_for_large_keys(rows):
-    assert chunk_of(rows, ["k"], F.col("t"), 10**9) is None
-    assert chunk_of(rows, ["k"], F.col("t"), 20) is not None
+def test_chunks_split_hot_keys_wherever_their_rows_lie(spark):
+    """One bad clock, equal times and ids that share a long beginning: no chunk holds much more than it should."""
+    span = lambda: spark.range(20_000)
+    bad_clock = span().selectExpr("'a' AS k", "id AS t", "id").union(spark.sql("SELECT 'b', 1000000000000, 5L"))
+    equal = span().selectExpr("'a' AS k", "7L AS t", "id")
+    names = span().selectExpr("'a' AS k", "concat('VEHICLE-0000-', lpad(id, 9, '0')) AS t", "id")
+    for df in (bad_clock, equal, names):
+        rows = with_chunks(df, ["k"], ["t", "id"], 1000)
+        assert rows.count() == df.count()
+        sizes = [r["count"] for r in rows.groupBy("k", "_chunk").count().collect()]
+        assert max(sizes) <= 1000 and len(sizes) > 20
+        along = rows.groupBy("k", "_chunk").agg(F.min(F.struct("t", "id")).alias("a"), F.max(F.struct("t", "id")).alias("b")).orderBy("k", "_chunk").collect()
+        assert all(x["b"] < y["a"] for x, y in zip(along, along[1:], strict=False) if x["k"] == y["k"])
 
 
 def test_annotate(rows):
@@ -37,7 +47,7 @@ def test_annotate(rows):
         previous={"p": F.col("id"), "pv": F.col("v")}, following={"n": F.col("id")}, last_known={"l": F.col("v")},
         running_sum={"s": F.col("v")}, row_number="r",
     )
-    both(lambda m: annotate(rows, ["k"], ["t", "id"], F.col("t"), spec, m).select("id", "p", "pv", "n", "l", "s", "r"))
+    both(lambda m: annotate(rows, ["k"], ["t", "id"], spec, m).select("id", "p", "pv", "n", "l", "s", "r"))
 
 
 def test_asof(rows, spark):
@@ -78,10 +88,3 @@ def test_resample(rows, spark):
 
 def test_sessions(rows):
     both(lambda m: sessions(rows.select("k", "t", "id", "on"), ["k"], ["t", "id"], "t", F.col("on"), m))
-
-
-def test_text_position_follows_the_order(spark):
-    words = ["", "a", "ab", "abc", "abcdefgh", "b", "é", "zz", "ñandú", "A1", "V-10", "V-9"]
-    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", text_position(F.col("w")).alias("p"))
-    placed = [r["p"] for r in df.orderBy("w").collect()]
-    assert placed == sorted(placed)

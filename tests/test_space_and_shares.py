@@ -20,15 +20,19 @@ def metres(a, b):
     return 2 * 6371000 * math.asin(math.sqrt(h))
 
 
-def test_nearest_in_array_and_grid(spark):
-    sites = [(f"S{i:02d}", 41 + R.random() * 3, 1 + R.random() * 4) for i in range(30)] + [("far", -33.9, 151.2)]
-    points = [(i, 40 + R.random() * 5, R.random() * 6) for i in range(60)] + [(99, -30.0, 100.0)]
-    s = spark.createDataFrame(sites, "site string, lat double, lon double")
-    p = spark.createDataFrame(points, "id int, lat double, lon double")
+def test_nearest_site(spark):
+    sites = [(f"S{i:02d}", 41 + R.random() * 3, 1 + R.random() * 4) for i in range(30)] + [("far", -33.9, 151.2), ("fiji", -17.0, 179.9), ("pole", 89.9, 10.0)]
+    points = [(i, 40 + R.random() * 5, R.random() * 6) for i in range(60)] + [(99, -30.0, 100.0), (98, -17.1, -179.8), (97, 89.8, -170.0)]
+    s = spark.createDataFrame([*sites, ("null", None, 1.0), (None, 41.0, 1.0)], "site string, lat double, lon double")
+    odd = [(1, points[1][1], points[1][2]), (200, None, 2.0), (201, 41.0, None)]
+    p = spark.createDataFrame(points + odd, "id int, lat double, lon double")
     want = {i: min((metres((y, x), (sy, sx)), n) for n, sy, sx in sites)[1] for i, y, x in points}
-    for limit in (2000, 5):
-        got = {r["id"]: r["nearest"] for r in nearest_site(p, s, "site", "lat", "lon", limit).collect()}
-        assert got == want
+    for cell in (8_000.0, 500_000.0):
+        rows = nearest_site(p, s, "site", "lat", "lon", cell).collect()
+        assert len(rows) == len(points) + 3 and {r["id"]: r["nearest"] for r in rows if r["id"] < 200} == want
+        assert all(r["nearest"] is None and r["distance_m"] is None for r in rows if r["id"] >= 200)
+    assert want[98] == "fiji" and want[97] == "pole"
+    assert nearest_site(p, s.limit(0), "site", "lat", "lon").where("nearest IS NOT NULL").count() == 0
 
 
 def test_point_in_polygon_with_a_hole(spark):
@@ -87,7 +91,7 @@ def test_highest_averages(spark):
 def test_shares_and_draws(spark, max_rows):
     options = [("k", i, float(i % 4)) for i in range(40)] + [("q", 0, 1.0)]
     df = spark.createDataFrame(options, "k string, o int, w double")
-    shares = cumulative_share(df, ["k"], ["o"], F.col("o"), "w", "upper", max_rows)
+    shares = cumulative_share(df, ["k"], ["o"], "w", "upper", max_rows)
     total, run, upper = 60.0, 0.0, []
     for _, _, w in options[:40]:
         run += w
@@ -107,7 +111,7 @@ def test_capacity_slices(spark, max_rows):
     vans = [("z", f"V-{i:02d}", R.choice([80, 100, 120])) for i in range(7)]
     o = spark.createDataFrame(orders, "z string, id int, angle double, parcels int")
     v = spark.createDataFrame(vans, "z string, van string, capacity int")
-    got = {r["id"]: r["van"] for r in capacity_slices(o, v, ["z"], ["angle", "id"], F.col("angle"), "parcels", "van", "capacity", max_rows).collect()}
+    got = {r["id"]: r["van"] for r in capacity_slices(o, v, ["z"], ["angle", "id"], "parcels", "van", "capacity", max_rows).collect()}
     total, cap, before, want = sum(p for *_, p in orders), sum(c for *_, c in vans), 0, {}
     for _, i, _, p in sorted(orders, key=lambda x: (x[2], x[1])):
         run = 0
