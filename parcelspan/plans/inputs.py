@@ -98,6 +98,10 @@ class Inputs:
             F.col("c_name").alias("name"),
         )
 
+    def size(self, name: str) -> Column:
+        """The number of rows of a table, as a scalar subquery: keys derived with it reach all of the table."""
+        return self.table(name).agg(F.count(F.lit(1))).scalar()
+
     def notes(self) -> DataFrame:
         k = F.col("d.doc_id")
         suffix = (
@@ -131,7 +135,7 @@ class Inputs:
         k = F.col("c_custkey")
         return self.table("customer").select(
             k.alias("row_no"),
-            F.lpad((k % 500 + 1).cast("string"), 6, "0").alias("street_code"),
+            F.lpad((k % (self.size("part") + 20) + 1).cast("string"), 6, "0").alias("street_code"),
             F.lpad((k % 300).cast("string"), 4, "0").alias("street_number"),
             F.when(k % 7 == 0, "A ").otherwise("  ").alias("number_letter"),
             F.lpad((F.col("c_nationkey") % 12).cast("string"), 2, "0").alias("district_code"),
@@ -196,7 +200,7 @@ class Inputs:
                 F.when(c % 3 == 0, "opening_hours").when(k % 2 == 0, "slot").otherwise("wave").alias("window_type"),
                 F.when(morning, F.expr("o_orderdate + INTERVAL 8 HOUR")).otherwise(F.expr("o_orderdate + INTERVAL 15 HOUR")).alias("window_start"),
                 F.when(morning, F.expr("o_orderdate + INTERVAL 10 HOUR")).otherwise(F.expr("o_orderdate + INTERVAL 17 HOUR")).alias("window_end"),
-                F.when(k % 3 == 0, k % 200).alias("note_id"),
+                F.when(k % 3 == 0, k % self.size("documents")).alias("note_id"),
                 (F.lit(41.3) + (n % 5) * F.lit(0.03) + _jitter(k, 37)).alias("lat"),
                 (F.lit(2.05) + (n - n % 5).cast("double") / 5 * F.lit(0.03) + _jitter(k, 53)).alias("lon"),
                 F.when(k % 8 == 0, F.expr("o_orderdate + make_dt_interval(0, 0, CAST(o_orderkey % 1440 AS INT))"))

@@ -36,7 +36,7 @@ VIEWS: dict[str, str] = {
   CASE WHEN o_custkey % 3 = 0 THEN 'opening_hours' WHEN o_orderkey % 2 = 0 THEN 'slot' ELSE 'wave' END AS window_type,
   CASE WHEN o_orderkey % 5 < 3 THEN o_orderdate + INTERVAL 8 HOUR ELSE o_orderdate + INTERVAL 15 HOUR END AS window_start,
   CASE WHEN o_orderkey % 5 < 3 THEN o_orderdate + INTERVAL 10 HOUR ELSE o_orderdate + INTERVAL 17 HOUR END AS window_end,
-  CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 200 END AS note_id,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % (SELECT count(*) FROM documents) END AS note_id,
   41.3e0 + (c_nationkey % 5) * 0.03e0 + CAST((o_orderkey * 37) % 401 - 200 AS DOUBLE) / 20000 AS lat,
   2.05e0 + CAST(c_nationkey - c_nationkey % 5 AS DOUBLE) / 5 * 0.03e0 + CAST((o_orderkey * 53) % 401 - 200 AS DOUBLE) / 20000 AS lon,
   CASE WHEN o_orderkey % 8 = 0 THEN o_orderdate ELSE o_orderdate - INTERVAL 1 DAY END + to_minutes(o_orderkey % 1440) AS registered_at
@@ -75,7 +75,7 @@ VIEWS: dict[str, str] = {
     "v_fuel_prices": """SELECT CASE event_id % 2 WHEN 0 THEN 'diesel' ELSE 'cng' END AS product, ts AS priced_at, max(1.2e0 + CAST(event_id % 90 AS DOUBLE) / 100) AS price
   FROM events WHERE event_type = 'error' GROUP BY 1, 2""",
     "v_streets": "SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS street_code, p_name AS street_name FROM part",
-    "v_city": """SELECT c_custkey AS row_no, lpad(CAST(c_custkey % 500 + 1 AS VARCHAR), 6, '0') AS street_code, lpad(CAST(c_custkey % 300 AS VARCHAR), 4, '0') AS street_number,
+    "v_city": """SELECT c_custkey AS row_no, lpad(CAST(c_custkey % ((SELECT count(*) FROM part) + 20) + 1 AS VARCHAR), 6, '0') AS street_code, lpad(CAST(c_custkey % 300 AS VARCHAR), 4, '0') AS street_number,
   CASE WHEN c_custkey % 7 = 0 THEN 'A ' ELSE '  ' END AS number_letter, lpad(CAST(c_nationkey % 12 AS VARCHAR), 2, '0') AS district_code,
   lpad(CAST(c_custkey % 42 AS VARCHAR), 2, '0') AS postal_district, 41.4e0 + CAST(c_custkey % 100 AS DOUBLE) / 1000 AS lat,
   CASE WHEN c_custkey % 13 <> 0 THEN 2.1e0 + CAST(c_custkey % 90 AS DOUBLE) / 1000 END AS lon FROM customer""",
