@@ -69,6 +69,7 @@ HOME_WORDS = (
 )
 # A flat's floor and door ("4º 2ª", "floor door 1").
 FLAT_DOOR = r"(?U)(?<!\w)\d+\s*(?:º|°|r|n|t|è)\.?\s+\d+\s*(?:ª|a)(?!\w)|floor,? door \d"
+# How a note about business premises may begin.
 OPENING = r"(?U)^\W*(?:(?:es|és) una? |it'?s an? )?(?:" + "|".join(BUSINESS_OPENINGS) + r")(?!\w)"
 # Places a note may name and their zone; None lies outside the service area.
 PLACES = {

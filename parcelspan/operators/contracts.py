@@ -58,6 +58,7 @@ class Contract:
 METADATA = (("source", TEXT), ("event_time", TIMESTAMPTZ), ("schema_version", SMALLINT))
 METADATA_NAMES = tuple(name for name, _ in METADATA)
 
+# The fields, required fields and keys of the three topics.
 GPS_PINGS = Contract(
     topic="gps.pings",
     table="gps_pings",

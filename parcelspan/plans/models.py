@@ -198,14 +198,111 @@ def dq_report(t: Inputs) -> DataFrame:
     return report
 
 
+# What the given tables lack is derived from them, by expressions that both dialects read; each rule has rows that fail.
+OPERATIONS = (
+    ("fleet", "vehicle_id", "supplier", """concat('V-', CAST(s_suppkey AS STRING)) AS vehicle_id,
+  concat(lpad(CAST(s_suppkey * 37 % 10000 AS STRING), 4, '0'), CASE WHEN s_suppkey % 9 = 0 THEN ' ABC' ELSE ' BCD' END) AS plate,
+  CASE s_suppkey % 3 WHEN 0 THEN 'electric' WHEN 1 THEN 'diesel' ELSE 'cng' END AS type_id,
+  CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 17 = 0 THEN 0.9 END AS battery_health,
+  CASE WHEN s_suppkey % 13 = 0 THEN 'bar' WHEN s_suppkey % 3 = 0 THEN 'kWh' WHEN s_suppkey % 3 = 1 THEN 'l' ELSE 'kg' END AS energy_unit,
+  CASE WHEN s_suppkey % 19 = 0 THEN 'Z' WHEN s_suppkey % 3 = 0 THEN '0' ELSE 'C' END AS label, s_suppkey % 7 AS routes""", (
+        ("plate_well_formed", "error", "{plate}"),
+        ("battery_iff_electric", "error", "(battery_health IS NOT NULL) = (type_id = 'electric')"),
+        ("energy_unit_of_type", "error", "energy_unit = CASE type_id WHEN 'electric' THEN 'kWh' WHEN 'diesel' THEN 'l' ELSE 'kg' END"),
+        ("label_listed", "error", "label IN ('0', 'ECO', 'C', 'B')"),
+        ("routes_plausible", "warning", "routes BETWEEN 1 AND 5"),
+    )),
+    ("orders", "order_id", "orders", """o_orderkey AS order_id, o_orderpriority AS priority, o_orderkey % 3 AS plan_version, o_orderkey % 3 = 0 AND o_orderkey % 11 <> 0 AS baseline,
+  CASE WHEN o_orderkey % 101 <> 0 THEN 'generator/orders' END AS source, CASE WHEN o_orderkey % 103 <> 0 THEN 1 END AS schema_version,
+  CASE WHEN o_orderkey % 107 <> 0 THEN 'operations' END AS owner, CASE WHEN o_orderkey % 109 <> 0 THEN o_orderdate END AS ingested_at""", (
+        ("priority_listed", "error", "priority IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')"),
+        ("version_zero_is_baseline", "error", "baseline = (plan_version = 0)"),
+        ("metadata_present", "error", "source IS NOT NULL AND schema_version IS NOT NULL AND owner IS NOT NULL AND ingested_at IS NOT NULL"),
+    )),
+    ("routes", "route_id", "(SELECT l_orderkey, count(*) AS planned, sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS delivered,"
+     " sum(CASE WHEN l_returnflag = 'R' OR l_orderkey % 50 = 0 THEN 1 ELSE 0 END) AS failed, min(l_shipdate) AS departed, max(l_shipdate) AS completed FROM lineitem GROUP BY l_orderkey) g",
+     "l_orderkey AS route_id, planned, delivered, failed, departed, completed", (
+        ("stops_within_plan", "error", "delivered + failed <= planned"),
+        ("completed_after_departure", "error", "completed > departed"),
+    )),
+    ("traffic", "section", "events", "event_id AS section, event_id % 8 AS state, CAST(event_id % 97 AS DOUBLE) AS stops, CAST(event_id % 89 AS DOUBLE) AS area_km2", (
+        ("state_listed", "error", "state BETWEEN 0 AND 6"),
+        # A tour of n stops spread over an area is no shorter than about 0.7124 * sqrt(n * area).
+        ("zone_fits_longest_route", "warning", "0.7124 * sqrt(stops * area_km2) <= 60"),
+    )),
+)
+PLATE_SQL = "regexp_matches(plate, '^[0-9]{4} [BCDFGHJKLMNPRSTVWXYZ]{3}$')"
+
+
+def _operations_sql() -> str:
+    parts = []
+    for name, key, source, columns, rules in OPERATIONS:
+        for rule, severity, holds in rules:
+            failed = f"NOT coalesce({holds.format(plate=PLATE_SQL)}, true)"
+            parts.append(
+                f"SELECT '{name}' AS table_name, '{rule}' AS rule, '{severity}' AS severity, count(*) AS checked, count(*) FILTER ({failed}) AS failed_rows,"
+                f" min(CAST({key} AS VARCHAR)) FILTER ({failed}) AS sample_key FROM (SELECT {columns} FROM {source}) x"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query("dq_operations", _operations_sql())
+def dq_operations(t: Inputs) -> DataFrame:
+    """Formats, closed lists, conditional presence, metadata and cross-column rules of fleet, orders, routes and traffic."""
+    report: DataFrame | None = None
+    for name, key, source, columns, rules in OPERATIONS:
+        if source.startswith("("):
+            rows = t.table("lineitem").groupBy("l_orderkey").agg(
+                F.count(F.lit(1)).alias("planned"), F.count_if(F.col("l_returnflag") != "R").alias("delivered"),
+                F.count_if((F.col("l_returnflag") == "R") | (F.col("l_orderkey") % 50 == 0)).alias("failed"),
+                F.min("l_shipdate").alias("departed"), F.max("l_shipdate").alias("completed"),
+            ).withColumnRenamed("l_orderkey", "route_id")
+        else:
+            rows = t.table(source).selectExpr(*_split(columns))
+        checks = [
+            Expectation(rule, F.col("plate").rlike(text.PLATE) if holds == "{plate}" else F.expr(holds), severity) for rule, severity, holds in rules
+        ]
+        part = check_table(name, rows, key, checks)
+        report = part if report is None else report.unionByName(part)
+    return report
+
+
+def _split(columns: str) -> list[str]:
+    """The select list's columns: commas outside brackets part them."""
+    out, depth = [""], 0
+    for c in columns:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+@query("dq_note_texts", """SELECT language, count(*) AS orders, count(*) FILTER (md5(said) <> md5(text)) AS other_text FROM (SELECT n.language, n.text, CASE WHEN o.order_id % 29 = 0 THEN concat(n.text, '!') ELSE n.text END AS said
+ FROM v_orders o JOIN v_notes n ON o.note_id = n.note_id) x GROUP BY 1""")
+def dq_note_texts(t: Inputs) -> DataFrame:
+    """Orders whose notes are not the text of the note they name; texts are compared by digest and don't travel."""
+    notes = t.notes().select("note_id", "language", F.md5(F.col("text").cast("binary")).alias("own"), F.md5(F.concat("text", F.lit("!")).cast("binary")).alias("other"))
+    per_note = t.orders().where("note_id IS NOT NULL").groupBy("note_id", (F.col("order_id") % 29 == 0).alias("changed")).agg(F.count(F.lit(1)).alias("n"))
+    said = F.when(F.col("changed"), F.col("other")).otherwise(F.col("own"))
+    return per_note.join(notes, "note_id").groupBy("language").agg(
+        F.sum("n").alias("orders"), F.coalesce(F.sum(F.when(said != F.col("own"), F.col("n"))), F.lit(0).cast("bigint")).alias("other_text")
+    )
+
+
 @query("dq_relationships", """SELECT 'orders' AS table_name, 'note is known' AS rule, 'error' AS severity, count(*) AS failed_rows, min(CAST(note_id AS VARCHAR)) AS sample_key FROM v_orders WHERE note_id IS NOT NULL AND note_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 'orders', 'zone has vans', 'error', count(*), min(zone_id) FROM v_orders WHERE zone_id NOT IN (SELECT home_zone_id FROM v_vans)
+UNION ALL SELECT 'scans', 'order is known', 'error', count(*), min(CAST(order_id AS VARCHAR)) FROM v_scans WHERE order_id NOT IN (SELECT order_id FROM v_orders)
+UNION ALL SELECT 'addresses', 'street is known', 'error', count(*), min(street_code) FROM v_city WHERE street_code NOT IN (SELECT street_code FROM v_streets)
 UNION ALL SELECT 'photos', 'scan is known', 'error', count(*), min(path) FROM v_photos WHERE path NOT IN (SELECT pod_object_key FROM v_scans WHERE pod_object_key IS NOT NULL)""")
 def dq_relationships(t: Inputs) -> DataFrame:
     photos = t.scans().where("pod_object_key IS NOT NULL")
     return (
         orphans("orders", "note is known", t.orders(), "note_id", t.table("labels"), "doc_id")
         .unionByName(orphans("orders", "zone has vans", t.orders(), "zone_id", t.vans(), "home_zone_id"))
+        .unionByName(orphans("scans", "order is known", t.scans(), "order_id", t.orders(), "order_id"))
+        .unionByName(orphans("addresses", "street is known", t.city_addresses(), "street_code", t.streets(), "street_code"))
         .unionByName(orphans("photos", "scan is known", t.photos(), "path", photos, "pod_object_key"))
     )
 

@@ -60,11 +60,11 @@ def test_csv_verdict_names_missing_columns(spark):
 
 
 def test_regional_rows_of_served_towns(spark):
-    served = spark.createDataFrame([("Z10", "01", "lhospitaletdellobregat")], "zone_id string, district_code string, town string")
+    served = spark.createDataFrame([("Z10", "01", "viladecans")], "zone_id string, district_code string, town string")
     rows = [
-        ("A1", "L'Hospitalet de Llobregat", "vianum ", "carrer", "de l'", "Art", "5", "B", "7", "", "08901"),
-        ("A2", "L'HOSPITALET DE LLOBREGAT", "vianum", "avinguda", "del", "Mar", "0", "", "0", "", "08902"),
-        ("A3", "l'Hospitalet de Llobregat", "bloc", "carrer", "", "X", "1", "", "", "", "08903"),
+        ("A1", "Viladecans", "vianum ", "carrer", "de l'", "Art", "5", "B", "7", "", "08901"),
+        ("A2", "VILADECANS", "vianum", "avinguda", "del", "Mar", "0", "", "0", "", "08902"),
+        ("A3", "viladecans", "bloc", "carrer", "", "X", "1", "", "", "", "08903"),
         ("A4", "Girona", "vianum", "carrer", "", "X", "1", "", "", "", "17001"),
     ]
     names = "address_id municipality address_type street_type street_article street_name number_from number_from_suffix number_to number_to_suffix postcode"
