@@ -18,12 +18,24 @@ from parcelspan.sources import documents, feeds, registers
 from parcelspan.operators.spatial import ring_edges
 
 CITY_SQL = """city AS (SELECT concat(c.street_code, '-', c.street_number, trim(c.number_letter)) AS address_ref, v.zone_id,
- concat(s.street_name, ', ', CASE WHEN ltrim(c.street_number, '0') = '' THEN '0' ELSE ltrim(c.street_number, '0') END, trim(c.number_letter)) AS street_address, concat('080', c.postal_district) AS postcode
+ concat(s.street_name, ', ', CASE WHEN ltrim(c.street_number, '0') = '' THEN '0' ELSE ltrim(c.street_number, '0') END, trim(c.number_letter)) AS street_address, concat('080', c.postal_district) AS postcode, 'Barcelona' AS municipality, round(c.lat, 7) AS lat, round(c.lon, 7) AS lon
  FROM v_city c JOIN v_streets s USING (street_code) JOIN v_served v USING (district_code) WHERE c.lat IS NOT NULL AND c.lon IS NOT NULL)"""
 STREET_SQL = """concat(trim(concat(street_type, ' ', CASE WHEN street_article = '' THEN street_name WHEN street_article LIKE '%''' THEN concat(street_article, street_name) ELSE concat(street_article, ' ', street_name) END)), ', ',
  CASE WHEN concat(number_from, number_from_suffix, CASE WHEN number_to IN ('', '0') THEN '' ELSE concat('-', number_to) END) IN ('', '0') THEN 's/n' ELSE concat(number_from, number_from_suffix, CASE WHEN number_to IN ('', '0') THEN '' ELSE concat('-', number_to) END) END)"""
 TOWN_SQL = "regexp_replace(replace(lower(municipality), 'à', 'a'), '[^a-z0-9]', '', 'g')"
-REGIONAL_SQL = f"regional AS (SELECT address_id AS address_ref, zone_id, {STREET_SQL} AS street_address, postcode FROM v_regional r JOIN v_served v ON v.town = {TOWN_SQL} WHERE trim(address_type) = 'vianum')"
+def _utm_sql() -> str:
+    from parcelspan.functions.geo import UTM, UTM_FALSE_EASTING, UTM_SCALE
+
+    r = UTM["radius"] * UTM_SCALE
+    xi = "xi" + "".join(f" - {b!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in enumerate(UTM["beta"], 1))
+    eta = "eta" + "".join(f" - {b!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(UTM["beta"], 1))
+    lat = "chi" + "".join(f" + {d!r} * sin({2 * j} * chi)" for j, d in enumerate(UTM["delta"], 1))
+    return f"""a AS (SELECT address_id, northing / {r!r} AS xi, (easting - {UTM_FALSE_EASTING!r}) / {r!r} AS eta FROM v_regional),
+b AS (SELECT address_id, {xi} AS x1, {eta} AS e1 FROM a), c AS (SELECT address_id, asin(sin(x1) / cosh(e1)) AS chi, x1, e1 FROM b),
+placed AS (SELECT address_id, round(degrees({lat}), 7) AS lat, round(3 + degrees(atan2(sinh(e1), cos(x1))), 7) AS lon FROM c)"""
+
+
+REGIONAL_SQL = f"regional AS (SELECT address_id AS address_ref, zone_id, {STREET_SQL} AS street_address, postcode, municipality, lat, lon FROM v_regional r JOIN placed USING (address_id) JOIN v_served v ON v.town = {TOWN_SQL} WHERE trim(address_type) = 'vianum')"
 
 
 # Sources -----------------------------------------------------------------------------------------
@@ -184,16 +196,16 @@ def zone_assignment(t: Inputs) -> DataFrame:
     )
 
 
-@query("address_pool", f"WITH {CITY_SQL}, {REGIONAL_SQL} SELECT * FROM city UNION ALL SELECT * FROM regional")
+@query("address_pool", f"WITH {CITY_SQL}, {_utm_sql()}, {REGIONAL_SQL} SELECT * FROM city UNION ALL SELECT * FROM regional")
 def address_pool(t: Inputs) -> DataFrame:
     return registers.address_pool(t.city_addresses(), t.streets(), t.regional_addresses(), t.served())
 
 
-@query("dim_address", f"WITH {CITY_SQL}, {REGIONAL_SQL}, p AS (SELECT * FROM city UNION ALL SELECT * FROM regional) SELECT address_ref, min(zone_id) AS zone_id, min(street_address) AS street_address, min(postcode) AS postcode FROM p GROUP BY 1")
+@query("dim_address", f"WITH {CITY_SQL}, {_utm_sql()}, {REGIONAL_SQL}, p AS (SELECT * FROM city UNION ALL SELECT * FROM regional) SELECT address_ref, min(zone_id) AS zone_id, min(street_address) AS street_address, min(postcode) AS postcode, min(municipality) AS municipality, min(lat) AS lat, min(lon) AS lon FROM p GROUP BY 1")
 def dim_address(t: Inputs) -> DataFrame:
     """One row per postal address."""
     pool = registers.address_pool(t.city_addresses(), t.streets(), t.regional_addresses(), t.served())
-    return pool.groupBy("address_ref").agg(*[F.min(c).alias(c) for c in ("zone_id", "street_address", "postcode")])
+    return pool.groupBy("address_ref").agg(*[F.min(c).alias(c) for c in ("zone_id", "street_address", "postcode", "municipality", "lat", "lon")])
 
 
 @query("dangling_address_ref", f"""WITH refs AS (SELECT row_no, CASE WHEN row_no % 5 = 0 THEN concat('A', CAST(row_no AS VARCHAR)) ELSE concat(street_code, '-', street_number, CASE WHEN row_no % 11 = 0 THEN 'Z' ELSE trim(number_letter) END) END AS address_ref FROM v_city)
@@ -386,19 +398,7 @@ def dms(t: Inputs) -> DataFrame:
     return split.withColumn("again", F.round(again, 6))
 
 
-def _utm_sql() -> str:
-    from parcelspan.functions.geo import UTM, UTM_FALSE_EASTING, UTM_SCALE
-
-    r = UTM["radius"] * UTM_SCALE
-    xi = "xi" + "".join(f" - {b!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in enumerate(UTM["beta"], 1))
-    eta = "eta" + "".join(f" - {b!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(UTM["beta"], 1))
-    lat = "chi" + "".join(f" + {d!r} * sin({2 * j} * chi)" for j, d in enumerate(UTM["delta"], 1))
-    return f"""WITH a AS (SELECT address_id, northing / {r!r} AS xi, (easting - {UTM_FALSE_EASTING!r}) / {r!r} AS eta FROM v_regional),
-b AS (SELECT address_id, {xi} AS x1, {eta} AS e1 FROM a), c AS (SELECT address_id, asin(sin(x1) / cosh(e1)) AS chi, x1, e1 FROM b)
-SELECT address_id, round(degrees({lat}), 7) AS lat, round(3 + degrees(atan2(sinh(e1), cos(x1))), 7) AS lon FROM c"""
-
-
-@query("utm_to_wgs84", _utm_sql())
+@query("utm_to_wgs84", f"WITH {_utm_sql()} SELECT * FROM placed")
 def utm_to_wgs84(t: Inputs) -> DataFrame:
     lat, lon = utm31_to_wgs84(F.col("easting"), F.col("northing"))
     return t.regional_addresses().select("address_id", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelspan.functions.geo import utm31_to_wgs84
 from parcelspan.functions.text import norm_text, register_ref, street_line, zero_stripped
 
 
@@ -59,6 +60,9 @@ def rows_per_group(groups: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return groups.select(key).distinct().join(counted, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+CITY = "Barcelona"  # fixed value: the town of the city register
+
+
 def city_pool(addresses: DataFrame, streets: DataFrame, served: DataFrame) -> DataFrame:
     """City register rows as delivery addresses: those with a street name, a served district and a place."""
     zones = served.select("district_code", "zone_id")
@@ -69,13 +73,17 @@ def city_pool(addresses: DataFrame, streets: DataFrame, served: DataFrame) -> Da
         "zone_id",
         F.concat(F.col("street_name"), F.lit(", "), number).alias("street_address"),
         F.concat(F.lit("080"), F.col("postal_district")).alias("postcode"),
+        F.lit(CITY).alias("municipality"),
+        F.round("lat", 7).alias("lat"),
+        F.round("lon", 7).alias("lon"),
     )
 
 
 def regional_pool(addresses: DataFrame, served: DataFrame) -> DataFrame:
-    """Regional register rows as delivery addresses: street addresses of the served towns."""
+    """Regional register rows as delivery addresses: street addresses of the served towns, placed from their UTM coordinates."""
     towns = served.where("town IS NOT NULL").select("town", "zone_id")
     kept = addresses.where(F.trim("address_type") == "vianum").withColumn("town", norm_text(F.col("municipality")))
+    lat, lon = utm31_to_wgs84(F.col("easting").cast("double"), F.col("northing").cast("double"))
     return kept.join(towns, "town").select(
         F.col("address_id").alias("address_ref"),
         "zone_id",
@@ -83,6 +91,9 @@ def regional_pool(addresses: DataFrame, served: DataFrame) -> DataFrame:
             "street_type", "street_article", "street_name", "number_from", "number_from_suffix", "number_to", "number_to_suffix",
         )]).alias("street_address"),
         F.trim("postcode").alias("postcode"),
+        "municipality",
+        F.round(lat, 7).alias("lat"),
+        F.round(lon, 7).alias("lon"),
     )
 
 

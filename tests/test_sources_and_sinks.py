@@ -62,14 +62,16 @@ def test_csv_verdict_names_missing_columns(spark):
 def test_regional_rows_of_served_towns(spark):
     served = spark.createDataFrame([("Z10", "01", "viladecans")], "zone_id string, district_code string, town string")
     rows = [
-        ("A1", "Viladecans", "vianum ", "carrer", "de l'", "Art", "5", "B", "7", "", "08901"),
-        ("A2", "VILADECANS", "vianum", "avinguda", "del", "Mar", "0", "", "0", "", "08902"),
-        ("A3", "viladecans", "bloc", "carrer", "", "X", "1", "", "", "", "08903"),
-        ("A4", "Girona", "vianum", "carrer", "", "X", "1", "", "", "", "17001"),
+        ("A1", "Viladecans", "vianum ", "carrer", "de l'", "Art", "5", "B", "7", "", "08901", 430000.0, 4580000.0),
+        ("A2", "VILADECANS", "vianum", "avinguda", "del", "Mar", "0", "", "0", "", "08902", 430000.0, 4580000.0),
+        ("A3", "viladecans", "bloc", "carrer", "", "X", "1", "", "", "", "08903", 430000.0, 4580000.0),
+        ("A4", "Girona", "vianum", "carrer", "", "X", "1", "", "", "", "17001", 430000.0, 4580000.0),
     ]
-    names = "address_id municipality address_type street_type street_article street_name number_from number_from_suffix number_to number_to_suffix postcode"
+    names = "address_id municipality address_type street_type street_article street_name number_from number_from_suffix number_to number_to_suffix postcode easting northing"
     df = spark.createDataFrame(rows, names.split())
     got = {r["address_ref"]: r["street_address"] for r in registers.regional_pool(df, served).collect()}
+    place = registers.regional_pool(df, served).first()
+    assert (place.municipality.lower(), round(place.lat, 2), round(place.lon, 2)) == ("viladecans", 41.37, 2.16)
     assert got == {"A1": "carrer de l'Art, 5B-7", "A2": "avinguda del Mar, s/n"}
     assert {r["address_id"] for r in registers.served_rows(df, served).collect()} == {"A1", "A2", "A3"}
 
