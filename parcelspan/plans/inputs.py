@@ -98,6 +98,9 @@ class Inputs:
             F.col("c_name").alias("name"),
         )
 
+    def mixed_envelopes(self) -> DataFrame:
+        return envelope_columns(mixed_message_columns(self.table("events")))
+
     def size(self, name: str) -> Column:
         """The number of rows of a table, as a scalar subquery: keys derived with it reach all of the table."""
         return self.table(name).agg(F.count(F.lit(1))).scalar()
@@ -396,6 +399,35 @@ def message_columns(events: DataFrame) -> DataFrame:
     )
 
 
+def mixed_message_columns(events: DataFrame) -> DataFrame:
+    """Messages of all topics in about the mix of a working day: 82 pings, 14 of telemetry and 3 delivery events in a hundred, and
+    one of a topic nobody reads, each under a name of its own."""
+    k, user = F.col("event_id"), F.col("user_id").cast("string")
+    iso = F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T"))
+    case = k % 100
+    topic = (
+        F.when(case < 82, "gps.pings").when(case < 96, "vehicle.telemetry").when(case < 99, "delivery.events")
+        .otherwise(F.concat(F.lit("other."), k.cast("string")))
+    )
+    head = F.concat(
+        F.lit('{"vehicle_id":"V-'), user, F.lit('","event_time":"'), iso, F.lit('Z","source":"simulator/gps","schema_version":1'),
+    )
+    ping = F.concat(F.lit(',"lat":41.3,"lon":2.1,"speed_kmh":'), (k % 90).cast("string"))
+    telemetry = F.concat(
+        F.lit(',"odometer_km":'), F.floor(k / 8).cast("string"), F.lit(".5,"), F.lit('"energy_used_total":'), (k % 1000).cast("string"),
+        F.lit('.25,"ignition_on":'), F.when(k % 3 != 0, "true").otherwise("false"), F.lit(',"energy_unit":"kWh"'),
+    )
+    scan = F.concat(
+        F.lit(',"event_id":"00000000-0000-4000-8000-'), F.lpad(k.cast("string"), 12, "0"), F.lit('","order_id":"O-'), k.cast("string"),
+        F.lit('","stop_sequence":'), (k % 70).cast("string"), F.lit(',"status":"'), F.when(k % 2 == 0, "delivered").otherwise("arrived"), F.lit('"'),
+    )
+    body = F.when(topic == "vehicle.telemetry", telemetry).when(topic == "delivery.events", scan).otherwise(ping)
+    return events.select(
+        topic.alias("topic"), (F.col("user_id") % 3).cast("int").alias("kafka_partition"), k.alias("kafka_offset"),
+        F.concat(head, body, F.lit("}")).alias("value"), F.concat(F.lit("V-"), user).alias("vehicle_id"), F.col("ts"),
+    )
+
+
 def envelope_columns(messages: DataFrame) -> DataFrame:
     return messages.select(
         "topic",

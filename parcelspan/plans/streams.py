@@ -89,6 +89,31 @@ def stream_dedupe(t: Inputs) -> DataFrame:
     )
 
 
+@query("ingest_mixed_topics", """SELECT 'gps_pings' AS table_name, count(*) AS n, CAST(sum(event_id % 90) AS DOUBLE) AS amount, 0 AS flagged FROM events WHERE event_id % 100 < 82
+UNION ALL SELECT 'vehicle_telemetry', count(*), sum(CAST(floor(event_id / 8) AS DOUBLE) + 0.5 + event_id % 1000 + 0.25), count(*) FILTER (event_id % 3 <> 0) FROM events WHERE event_id % 100 BETWEEN 82 AND 95
+UNION ALL SELECT 'delivery_events', count(*), CAST(sum(event_id % 70) AS DOUBLE), count(*) FILTER (event_id % 2 = 0) FROM events WHERE event_id % 100 BETWEEN 96 AND 98
+UNION ALL SELECT 'dead_letters', count(*), 0.0, count(*) FROM events WHERE event_id % 100 = 99""")
+def ingest_mixed_topics(t: Inputs) -> DataFrame:
+    """All three topics and many that nobody reads in one stream, in several batches: every table typed and complete."""
+    target = run_folder(t.spark, "bronze")
+    ingested(t, archived_topic(t, t.mixed_envelopes().repartition(3, "offset")), target, files_per_batch=1)
+    read = lambda name: t.spark.read.parquet(f"{target}/{name}")
+    figures = {
+        "gps_pings": (F.sum(F.col("speed_kmh").cast("double")), F.lit(0)),
+        "vehicle_telemetry": (F.sum((F.col("odometer_km") + F.col("energy_used_total")).cast("double")), F.count_if("ignition_on")),
+        "delivery_events": (
+            F.sum(F.col("stop_sequence").cast("double")),
+            F.count_if((F.col("status") == "delivered") & F.col("event_id").rlike("^00000000-0000-4000-8000-[0-9]{12}$")),
+        ),
+        "dead_letters": (F.lit(0.0), F.count_if(F.col("reason") == "unknown_topic")),
+    }
+    rows = [
+        read(name).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), amount.alias("amount"), flagged.cast("bigint").alias("flagged"))
+        for name, (amount, flagged) in figures.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 @query("late_rows_kept", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM v_messages WHERE expected_reason IS NULL GROUP BY 1")
 def late_rows_kept(t: Inputs) -> DataFrame:
     """The second half of the month arrives first; the rows of the first half are late and all kept."""
