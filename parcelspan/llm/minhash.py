@@ -5,12 +5,15 @@ Texts with the same words are one class from the start, so copies never meet in
 form a region; the orders are the trees of the forest, and no tree is ever gathered: regions are keys of a grouping.
 
 1. Every class is compared with the representative of the deepest region it shares with another class, over all
-   trees, and with the smallest representative of its shallowest regions. That is at most two pairs a class, enough to
-   join dense groups without pairs among their members.
-2. Components are found, and what is left are regions that still hold several. There the classes outside the region's
-   largest component are compared with all members of other components. Regions with more than `STRAYS` such
-   classes descend to their deeper prefixes first: that is the adaptive depth. At the greatest depth all are compared.
-3. Components again, with the new links.
+   trees, and with the smallest representative of its shallowest regions: at most two pairs a class. Components are found.
+2. In every tree, a class outside the largest component of its regions is compared with that component's representative
+   in the deepest region where they differ. Components again. So dense groups are joined without pairs among their members, and
+   the depth adapts to each region.
+3. What is left are regions that still hold several components. Where the classes outside the largest one make at most `PAIRS`
+   pairs with the region's members, all of them are compared. Crowded regions (documents that share a passage, say) go
+   another exact way: sets that are similar enough share one of their rarest shingles, as many as they may differ by and one more,
+   so only classes that meet in such a shingle and not in a component are compared, all of them.
+4. Components, with the new links.
 
 No pair inside a component is ever needed, so nothing grows with the square of a group. At four equal minima of a
 tree and similarity 0.85, a link is missed by all 16 trees in 7 of a million cases; similarities above that, and every
@@ -36,7 +39,7 @@ from parcelspan.llm.common import lower_ascii, words, written
 WIDTH, PERMS, TREES = 5, 64, 16
 DEPTHS = (4, 8, 16)
 PERCENT = 85
-STRAYS = 64
+PAIRS = 256
 CHUNK = 1 << 13
 _RNG = np.random.default_rng(20240601)
 _MUL = _RNG.integers(1, 1 << 63, PERMS, dtype=np.uint64) | np.uint64(1)
@@ -178,28 +181,68 @@ def nearest(members: DataFrame) -> DataFrame:
     )
 
 
-def left_over(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes that share a region but not a component, for all regions, by descending where it is crowded."""
-    spark = members.sparkSession
-    named = members.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    named = named.select("tree", "node", "n", "comp", *[f"k{i}" for i in range(len(DEPTHS))])
-    out = None
+def region_mains(named: DataFrame, key: list[str]) -> DataFrame:
+    """Regions (by key) that hold several components: the largest, its first class, and the pairs others would make."""
+    held = named.groupBy(*key, "comp").agg(F.count("*").alias("rows"), F.min(F.struct("node", "n")).alias("low"))
+    region = held.groupBy(*key).agg(
+        F.max_by(F.struct("comp", "low"), F.struct("rows", "comp")).alias("main"), F.count("*").alias("comps"),
+        ((F.sum("rows") - F.max("rows")) * F.sum("rows")).alias("pairs"),
+    )
+    return region.where("comps > 1").select(*key, "main.comp", "main.low", "pairs").withColumnRenamed("comp", "main")
+
+
+def with_components(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label", "low0")
+
+
+def to_mains(named: DataFrame) -> DataFrame:
+    """At most one pair for each class and tree: with the largest component of its deepest region where that isn't its own."""
+    found = None
     for i in range(len(DEPTHS)):
-        key = ["tree", f"k{i}"]
-        held = named.groupBy(*key, "comp").agg(F.count("*").alias("rows"))
-        region = held.groupBy(*key).agg(
-            F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count("*").alias("comps"),
-            (F.sum("rows") - F.max("rows")).alias("strays"),
-        )
-        mixed = written(spark, named.join(region.where("comps > 1").drop("comps"), key), f"regions-{i}")
-        here = mixed if i == len(DEPTHS) - 1 else mixed.where(F.col("strays") <= STRAYS)
-        others = here.where("comp <> main").select(*key, F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        every = here.select(*key, F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        pairs = others.join(every, key).where("ca <> cb").select("a", "na", "b", "nb")
-        out = pairs if out is None else out.union(pairs)
-        if i < len(DEPTHS) - 1:
-            named = mixed.where(F.col("strays") > STRAYS).drop("strays", "main")
-    return out
+        mains = region_mains(named, ["tree", f"k{i}"])
+        some = named.join(mains, ["tree", f"k{i}"]).where("comp <> main").select("node", "n", "tree", F.lit(i).alias("depth"), "low")
+        found = some if found is None else found.union(some)
+    best = found.groupBy("node", "tree").agg(F.first("n").alias("na"), F.max_by("low", "depth").alias("low"))
+    return best.select(F.col("node").alias("a"), "na", F.col("low.node").alias("b"), F.col("low.n").alias("nb")).distinct()
+
+
+def across(named: DataFrame, mains: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Classes outside the largest component of a region, with all its members of other components. `ahead` is how many
+    shingles a class can still have in common with one it meets here (all of them, unless some are known to come before);
+    pairs that can't be similar enough with that are left out: for whole sets this is the bound on their sizes."""
+    here = named.join(mains.select(*key, "main"), key)
+    side = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), F.col("ahead").alias(f"h{x}")]
+    others, every = here.where("comp <> main").select(*key, *side("a")), here.select(*key, *side("b"))
+    fits = (100 + percent) * F.least("ha", "hb") >= percent * (F.col("na") + F.col("nb"))
+    return others.join(every, key).where(fits & (F.col("ca") != F.col("cb"))).select("a", "na", "b", "nb")
+
+
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """node, shingle, ahead: the rarest shingles of each set, as many as a similar enough set can't lack all of, and how many
+    of the set are at least as common. Shingles of a single set take places but are left out: nothing meets there."""
+    rows = sets.select("node", F.explode("shingles").alias("shingle"))
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared_ = rows.join(common, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
+    size = F.size("shingles")
+    places = size - F.ceil(size * percent / 100).cast("int") + 1 - (size - F.size("rare"))
+    kept = sets.join(shared_, "node").where(places > 0).select(
+        "node", F.size("rare").alias("_rare"), F.posexplode(F.slice("rare", F.lit(1), F.greatest(places, F.lit(0)))).alias("_at", "_one")
+    )
+    return kept.select("node", F.col("_one.shingle").alias("shingle"), (F.col("_rare") - F.col("_at")).cast("bigint").alias("ahead"))
+
+
+def left_over(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share a region but not a component; in crowded regions those that share a rare shingle."""
+    spark = members.sparkSession
+    key = ["tree", "k0"]
+    named = written(spark, with_components(members, labels), "named")
+    mains = written(spark, region_mains(named, key), "mains")
+    calm = across(named.withColumn("ahead", F.col("n")), mains.where(F.col("pairs") <= PAIRS), key, percent)
+    crowd = named.join(mains.where(F.col("pairs") > PAIRS).select(*key), key).select("node", "n", "comp").distinct()
+    crowd = written(spark, crowd, "crowd")
+    rare = rarest(sets.join(crowd.select("node"), "node", "leftsemi"), percent)
+    meeting = written(spark, rare.join(crowd, "node"), "meeting")
+    return calm.union(across(meeting, region_mains(meeting, ["shingle"]), ["shingle"], percent))
 
 
 def find(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -226,8 +269,9 @@ def find(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     first = written(spark, links(sized(nearest(members), percent), sets, percent), "links")
     labels = components(first)
-    second = links(sized(left_over(members, labels), percent), sets, percent)
-    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second))
+    for pairs in (lambda: to_mains(with_components(members, labels)), lambda: left_over(members, labels, sets, percent)):
+        more = links(sized(pairs(), percent), sets, percent)
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
     reps = docs.groupBy("node").agg(F.min("doc_id").alias("rep"))
     whole = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -76,10 +76,10 @@ def groups_of_copies(seed):
     return rows + [(rows[0][0], rows[0][1])] * 3 + [(None, rows[1][1]), (None, "only here without an id")]
 
 
-@pytest.mark.parametrize("strays", [64, 2])
-def test_groups_equal_brute_force(spark, strays, monkeypatch):
-    monkeypatch.setattr(mh, "STRAYS", strays)
-    rows = groups_of_copies(strays)
+@pytest.mark.parametrize("pairs", [256, 0])
+def test_groups_equal_brute_force(spark, pairs, monkeypatch):
+    monkeypatch.setattr(mh, "PAIRS", pairs)
+    rows = groups_of_copies(pairs)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, node string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in mh.near_duplicates(df).collect()), key=repr)
     assert got == brute(rows, 85)
