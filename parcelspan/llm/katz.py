@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from parcelspan.llm.common import lower_ascii, words, written
 from parcelspan.session import run_folder
 
-ORDER, GREATEST, RESERVE = 2, 5, 0.1
+ORDER, GREATEST, RESERVE = 3, 5, 0.1
 CHUNK = 1_000_000  # tokens; a document is never cut
 BUCKET = 1_000_000  # tokens a bucket, on average
 END, BOS = 0x5EED0E4D, 0x5EED0B05

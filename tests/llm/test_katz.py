@@ -116,3 +116,15 @@ def test_given_documents(spark, folder):
     held = got[got.held_out]
     assert held.score.sum() > held.base_score.sum() and got.score.sum() > got.base_score.sum()
     assert katz.scores(spark.read.parquet(f"{folder}/documents.parquet").limit(0)).count() == 0
+
+
+def test_registered_query_is_a_trigram_model(spark, tmp_path):
+    from parcelspan.llm.queries import QUERIES
+
+    rows = corpus(11)
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain, texts = Plain(rows, 3), defaultdict(list)
+    for d, t in rows:
+        texts[d].append(t)
+    for r in QUERIES["op4_katz"](spark, str(tmp_path)).collect():
+        assert math.isclose(r.score, plain.score(texts[r.doc_id][0]), rel_tol=1e-8), r
