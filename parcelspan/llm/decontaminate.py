@@ -7,6 +7,12 @@ the hash; the rows are the same. A match fixes a shift between item and document
 are compared: a value of the item has to stand for one value of the document everywhere (a re-parameterised question keeps
 this, chance matches of templates do not). An item is in a document if windows of consistent shifts cover `SHARE` of its windows.
 
+Whether a capitalised word is a name can't be told where a sentence begins, after a line break, a quote or a bracket. So every window
+has two readings and matches in either: such words as literal words, as above, and as names like all capitalised ones. Read
+as names, they are slots too; if their values contradict, what the first reading matched is looked at alone. A window
+whose second reading has fewer than `LITERAL` words keeps its capitalised words, in their case, instead: it finds copies
+to the letter, wherever they are pasted. An item also counts as found if `SHARE` of the windows are that say enough in the second reading.
+
 Windows with fewer than `LITERAL` words that aren't placeholders say little and are left out, unless an item has no
 others. Items shorter than a window are one window of their own length; items without a token match nothing. Null and empty
 texts match nothing. Texts are known by a 64-bit hash: repeated documents are looked through once and reported each.
@@ -25,51 +31,97 @@ SENT = 1_000_000  # windows, of two numbers each
 # Units that may follow a number.
 UNITS = "km|m|cm|mm|miles?|feet|ft|kg|g|mg|tons?|lbs?|hours?|hrs?|h|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?"
 UNITS += "|dollars?|euros?|cents?|usd|eur|percent|l|liters?|litres?|ml|watts?|w|kw|volts?|v|degrees?|c|f"
-NAME, UNIT = "\x01", "\x02"
+NAME, UNIT, CAPITAL = "\x01", "\x02", "\x03"
 
 
 def tokens(text: Column) -> Column:
-    """Words and numbers in order; names and units carry a sign in front."""
+    """Words and numbers in order; names, units and other capitalised words carry a sign in front."""
     marked = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{L})", NAME)
     some = F.when(text.rlike("[0-9]"), F.regexp_replace(marked, rf"(?i)(?<=[0-9]|[0-9] )(?=(?:{UNITS})(?!\p{{L}}))", UNIT)).otherwise(marked)
-    return F.regexp_extract_all(F.coalesce(some, F.lit("")), F.lit(r"[\x01\x02]?\p{L}+|[0-9]+(?:[.,][0-9]+)*+"), F.lit(0))
+    some = F.regexp_replace(some, r"(?<![\x01\x02\p{L}])(?=\p{Lu}\p{L})", CAPITAL)
+    return F.regexp_extract_all(F.coalesce(some, F.lit("")), F.lit(r"[\x01-\x03]?\p{L}+|[0-9]+(?:[.,][0-9]+)*+"), F.lit(0))
 
 
 def template(found: Column) -> Column:
     def one(t: Column) -> Column:
         sign = F.substr(t, F.lit(1), F.lit(1))
         kinds = F.when(sign == NAME, "<name>").when(sign == UNIT, "<unit>").when(sign.between("0", "9"), "<num>")
-        return kinds.otherwise(F.lower(t))
+        return kinds.otherwise(F.lower(F.ltrim(t, F.lit(CAPITAL))))
 
     return F.transform(found, one)
 
 
-def windows(found: Column, width: int) -> Column:
-    """Hashes of all windows of a template, by place."""
-    count = F.size(found) - width + 1
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(found, i, F.lit(width))))
-    return F.when(count > 0, hashes).otherwise(F.array().cast("array<bigint>"))
+def capitalised(t: Column) -> Column:
+    return F.substr(t, F.lit(1), F.lit(1)).isin(NAME, CAPITAL)
+
+
+def opened(found: Column, pattern: Column) -> Column:
+    """The template with all capitalised words as names."""
+    return F.zip_with(found, pattern, lambda t, kind: F.when(t.startswith(CAPITAL), "<name>").otherwise(kind))
+
+
+def lettered(found: Column, pattern: Column) -> Column:
+    """The template with all capitalised words as they stand."""
+    return F.zip_with(found, pattern, lambda t, kind: F.when(capitalised(t), F.substr(t, F.lit(2))).otherwise(kind))
+
+
+def words_in(part: Column) -> Column:
+    """How many are no placeholders."""
+    for kind in ("<name>", "<num>", "<unit>"):
+        part = F.array_remove(part, kind)
+    return F.size(part)
+
+
+def second(found: Column, pattern: Column, open_: Column, at: Column, width: Column) -> Column:
+    """Hash of a window's second reading; null if it is the first one."""
+    cut = lambda tokens: F.slice(tokens, at, width)
+
+    def other(part: Column) -> Column:
+        enough = words_in(part) >= F.least(F.lit(LITERAL), width)
+        change = F.when(~enough, F.xxhash64(lettered(cut(found), cut(pattern)))).when(part != cut(pattern), F.xxhash64(part))
+        return F.when(F.array_contains(part, "<name>"), change)
+
+    return F.transform(F.array(cut(open_)), other)[0]
+
+
+def windows(found: Column, pattern: Column, open_: Column, width: int) -> Column:
+    """Hashes of all windows of a template by place: of the first reading and, where it is another, of the second."""
+    count = F.size(pattern) - width + 1
+    both = lambda i: F.array_compact(
+        F.array(F.xxhash64(F.slice(pattern, i, F.lit(width))), second(found, pattern, open_, i, F.lit(width)))
+    )
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), both)
+    return F.when(count > 0, hashes).otherwise(F.array().cast("array<array<bigint>>"))
 
 
 def items(benchmark: DataFrame) -> DataFrame:
     """Items with their tokens and templates, and a number of their own."""
     rows = benchmark.select("item_id", F.col("text").alias("_text")).withColumn("item", F.xxhash64("item_id", "_text"))
     made = rows.select("item_id", "item", tokens(F.col("_text")).alias("values")).dropDuplicates(["item"])
-    return made.withColumn("pattern", template(F.col("values"))).where(F.size("values") > 0)
+    made = made.withColumn("pattern", template(F.col("values"))).where(F.size("values") > 0)
+    return made.withColumn("open", opened(F.col("values"), F.col("pattern")))
 
 
 def item_windows(found: DataFrame) -> DataFrame:
-    """item, width, at, window: the windows that count, and of how many."""
+    """item, width, at, reading, window, of, enough, of_enough: both readings of the windows that count, of how many, whether
+    the second one says enough, and in how many it does."""
     width = F.least(F.size("pattern"), F.lit(WIDTH))
     sized = found.withColumn("width", width)
     count = F.size("pattern") - F.col("width") + 1
-    rows = sized.select("item", "width", "pattern", F.explode(F.sequence(F.lit(1), count)).alias("at"))
-    part = F.slice("pattern", F.col("at"), F.col("width"))
-    literal = F.size(F.filter(part, lambda t: ~t.startswith("<")))
-    rows = rows.select("item", "width", (F.col("at") - 1).alias("at"), F.xxhash64(part).alias("window"), (literal >= F.least(F.lit(LITERAL), F.col("width"))).alias("telling"))
-    any_ = rows.groupBy("item").agg(F.max("telling").alias("_any"), F.count_if("telling").alias("_telling"), F.count("*").alias("_all"))
+    rows = sized.select("item", "width", "values", "pattern", "open", F.explode(F.sequence(F.lit(1), count)).alias("at"))
+    part = lambda of: F.slice(of, F.col("at"), F.col("width"))
+    least = F.least(F.lit(LITERAL), F.col("width"))
+    other = second(F.col("values"), F.col("pattern"), F.col("open"), F.col("at"), F.col("width"))
+    rows = rows.select(
+        "item", "width", "at", F.array_compact(F.array(F.xxhash64(part("pattern")), other)).alias("windows"),
+        (words_in(part("pattern")) >= least).alias("telling"), (words_in(part("open")) >= least).alias("enough"),
+    )
+    any_ = rows.groupBy("item").agg(
+        F.max("telling").alias("_any"), F.count_if("telling").alias("_telling"), F.count("*").alias("_all"), F.count_if("enough").alias("of_enough")
+    )
     kept = rows.join(any_, "item").where("telling OR NOT _any")
-    return kept.select("item", "width", "at", "window", F.when(F.col("_any"), F.col("_telling")).otherwise(F.col("_all")).alias("of"))
+    of = F.when(F.col("_any"), F.col("_telling")).otherwise(F.col("_all")).alias("of")
+    return kept.select("item", "width", (F.col("at") - 1).alias("at"), "enough", "of_enough", of, F.posexplode("windows").alias("reading", "window"))
 
 
 def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -82,39 +134,62 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = documents.select(F.xxhash64("text").alias("_text"), "text").where("text IS NOT NULL")
     hits = None
     for width in widths:
-        patterns = texts.select("_text", template(tokens(F.col("text"))).alias("pattern"))
-        rows = patterns.select("_text", F.posexplode(windows(F.col("pattern"), width)).alias("place", "window"))
-        side = wanted.where(F.col("width") == width).select("window", "item", "at", "of")
+        values = texts.select("_text", tokens(F.col("text")).alias("values")).withColumn("pattern", template(F.col("values")))
+        read = values.withColumn("open", opened(F.col("values"), F.col("pattern")))
+        rows = read.select("_text", F.posexplode(windows(F.col("values"), F.col("pattern"), F.col("open"), width)).alias("place", "windows"))
+        rows = rows.select("_text", "place", F.posexplode("windows").alias("_second", "window"))
+        side = wanted.where(F.col("width") == width).select("window", "item", "at", "of", "enough", "of_enough", "reading")
         found = rows.join(F.broadcast(side) if small else side, "window")
         # A shift that is matched in one place is matched along the item: one row for each shift.
         found = found.groupBy("_text", "item", (F.col("place") - F.col("at")).alias("shift")).agg(
-            F.collect_set("at").alias("at"), F.first("of").alias("of")
-        )
+            F.collect_set("at").alias("at"),
+            F.collect_set(F.when(F.col("reading") + F.col("_second") == 0, F.col("at"))).alias("plain"),
+            F.collect_set(F.when(F.col("enough"), F.col("at"))).alias("enough"),
+            F.first("of").alias("of"), F.first("of_enough").alias("of_enough"),
+        )
         found = found.withColumn("width", F.lit(width))
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        hits = spark.createDataFrame([], "_text bigint, item bigint, shift int, at array<int>, of bigint, width int")
+        hits = spark.createDataFrame([], "_text bigint, item bigint, shift int, at array<int>, plain array<int>, enough array<int>, of bigint, of_enough bigint, width int")
     hits = written(spark, hits, "hits")
 
     values = texts.groupBy("_text").agg(F.first("text").alias("text"))
     values = values.join(hits.select("_text").distinct(), "_text", "leftsemi").select("_text", tokens(F.col("text")).alias("_found"))
-    both = hits.join(values, "_text").join(bench.select("item", "item_id", "values", "pattern"), "item")
-    covered = lambda p: F.exists("at", lambda a: (a <= p) & (p < a + F.col("width")))
-    slots = F.filter(
-        F.sequence(F.lit(0), F.size("pattern") - 1), lambda p: F.get(F.col("pattern"), p).startswith("<") & covered(p)
-    )
-    pairs = F.array_distinct(
-        F.transform(slots, lambda p: F.struct(F.get(F.col("values"), p).alias("own"), F.get(F.col("_found"), p + F.col("shift")).alias("other")))
+    both = hits.join(values, "_text").join(bench.select("item", "item_id", "values", "pattern", "open"), "item")
+
+    def pairs(pattern: str, at: str) -> Column:
+        """What the slots of a template hold in the item and in the text, as far as the windows reach."""
+        covered = lambda p: F.exists(at, lambda a: (a <= p) & (p < a + F.col("width")))
+        slots = F.filter(
+            F.sequence(F.lit(0), F.size(pattern) - 1), lambda p: F.get(F.col(pattern), p).startswith("<") & covered(p)
+        )
+        held = lambda t: F.when(capitalised(t), F.lower(F.substr(t, F.lit(2)))).otherwise(t)
+        own, other = lambda p: held(F.get(F.col("values"), p)), lambda p: held(F.get(F.col("_found"), p + F.col("shift")))
+        return F.array_distinct(F.transform(slots, lambda p: F.struct(own(p).alias("own"), other(p).alias("other"))))
+
+    fits = lambda of: F.size(F.array_distinct(F.transform(of, lambda x: x["own"]))) == F.size(of)
+    both = both.withColumns({"_all": pairs("open", "at"), "_plain": pairs("pattern", "plain")})
+    both = both.withColumn("_use", F.when(fits(F.col("_all")), "all").when((F.size("plain") > 0) & fits(F.col("_plain")), "plain"))
+    whole_ = F.col("_use") == "all"
+    both = both.where("_use IS NOT NULL").withColumns(
+        {
+            "_pairs": F.when(whole_, F.col("_all")).otherwise(F.col("_plain")),
+            "enough": F.when(whole_, F.col("enough")).otherwise(F.array_intersect("enough", "plain")),
+            "at": F.when(whole_, F.col("at")).otherwise(F.col("plain")),
+        }
     )
-    both = both.withColumn("_pairs", pairs)
-    fits = F.size(F.array_distinct(F.transform("_pairs", lambda x: x["own"]))) == F.size("_pairs")
-    whole = both.where(fits).groupBy("_text", "item", "item_id").agg(
+    whole = both.groupBy("_text", "item", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("n_windows"),
         F.first("of").alias("of_windows"),
         F.max(F.size("_pairs")).cast("bigint").alias("n_slots"),
         F.min(F.size(F.filter("_pairs", lambda x: x["own"] != x["other"]))).cast("bigint").alias("changed_slots"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("enough")))).alias("_enough"),
+        F.first("of_enough").alias("_of_enough"),
+    )
+    found = (F.col("n_windows") >= SHARE * F.col("of_windows")) | (
+        (F.col("_of_enough") > 0) & (F.col("_enough") >= SHARE * F.col("_of_enough"))
     )
-    return whole.where(F.col("n_windows") >= SHARE * F.col("of_windows")).drop("item")
+    return whole.where(found).drop("item", "_enough", "_of_enough")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -112,3 +112,28 @@ def test_given_tables(spark, folder):
     assert dc.decontaminate(docs, bench.limit(0)).count() == docs.count()
     plan = dc.contaminated(docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_capitals_whatever_stands_before(spark):
+    names = "Tom has 5 apples. Anna has 7 pears. Ben eats 3 of them. Tom sells 2. How many are left?"
+    short, title, quoted = "Which river flows through Paris?", "Who Wrote The Old Man And The Sea", '"Greta found 4 shells near the old pier.\nOtto lost 3 of them again.'
+    renamed = names.replace("Tom", "Eve").replace("Anna", "Liz").replace("Ben", "Max")
+    docs = [
+        (1, renamed), (2, names.replace("Tom sells", "Kim sells").replace("Tom", "Eve").replace("Anna", "Liz").replace("Ben", "Max")),
+        (3, "as someone asked Which river flows through Paris? and went on"), (4, "in the quiz Who Wrote The Old Man And The Sea was asked"),
+        (5, "Five Large Grey Birds Over A Very Small House"), (6, quoted.replace("Greta", "Hilde").replace("Otto", "Emil")),
+        (7, "which river flows through Rome"), (8, "as told before Tom has 5 apples. " + names[18:]), (9, "Some river flows past here"),
+    ]
+    items = [(1, names), (2, short), (3, title), (4, quoted)]
+    a, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in dc.contaminated(a, b).collect()}
+    assert set(got) == {(1, 1), (3, 2), (4, 3), (6, 4), (7, 2), (8, 1)}
+    assert got[1, 1].n_windows == got[1, 1].of_windows == 13 and got[1, 1].changed_slots == 3
+    assert got[8, 1].n_windows == 13 and got[8, 1].changed_slots == got[3, 2].changed_slots == got[4, 3].changed_slots == 0
+
+
+def test_sentence_starts_that_contradict(spark):
+    item = "The old mill by the lake was sold for 12 euros to a baker from the next town. The owner left."
+    doc = item.replace("The owner", "This owner")
+    a, b = spark.createDataFrame([(1, doc), (2, item)], "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert {r.doc_id for r in dc.contaminated(a, b).collect()} == {1, 2}
