@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspan.llm import covertree, decontaminate, katz, lines, minhash, packing, pii, records, toxicity, warc
+from parcelspan.llm import alignment, collocations, covertree, decontaminate, katz, language, lines, minhash, packing, pii, records, toxicity, warc
 from parcelspan.llm.common import ship, table
 
 
-def vocabulary(name: str) -> str:
+def vocabulary(name: str, kind: str = "json") -> str:
     """The place of a public tokenizer's file; it is the same on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path(f"{name}.json")
+    return public_tokenizers.path(f"{name}.{kind}")
 
 
 _BUILT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -38,6 +38,11 @@ _BUILT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_records": lambda spark, folder: records.round_trip(
         table(spark, folder, "documents", "doc_id", "text"), vocabulary("word_bpe_49k")
     ),
+    "op11_alignment": lambda spark, folder: alignment.align(
+        table(spark, folder, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k"), vocabulary("piece_bpe_32k", "model")
+    ),
+    "op12_collocations": lambda spark, folder: collocations.phrases(table(spark, folder, "documents", "text", "lang")),
+    "op13_language": lambda spark, folder: language.identify(table(spark, folder, "documents", "doc_id", "text", "lang")),
 }
 
 
