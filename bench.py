@@ -70,10 +70,10 @@ def main() -> None:
     seconds["ingest_messages"] = timed(lambda: ingested(t, topic, target))
     seconds["replay_messages"] = timed(lambda: ingested(t, topic, target))
 
-    # The mix of a working day, nearly all of it valid, in eight batches.
-    mixed = archived_topic(t, t.mixed_envelopes().repartition(int(cpus), "offset"))
+    # The mix of a working day, nearly all of it valid, in eight batches; each comes from as many partitions of the topic as there are cores.
+    mixed = archived_topic(t, t.mixed_envelopes().repartition(int(cpus)), 8)
     target = run_folder(spark, "bench-mixed")
-    seconds["ingest_mixed"] = timed(lambda: ingested(t, mixed, target, files_per_batch=1))
+    seconds["ingest_mixed"] = timed(lambda: ingested(t, mixed, target, files_per_batch=int(cpus)))
 
     rates = {f"{n}_per_s": round(messages / seconds[n]) for n in ("contract_classify", "ingest_messages", "replay_messages", "ingest_mixed")}
     print(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +13,15 @@ from parcelspan.plans.registry import query
 from parcelspan.session import run_folder
 from parcelspan.sources.topics import envelope_files
 from parcelspan.streaming.ingest import start_ingest
-from parcelspan.streaming.progress import progress_rows
+from parcelspan.streaming.progress import COUNTERS, progress_rows
 from parcelspan.streaming.routes import current, daily_tally, start_updates
 
 
-def archived_topic(t: Inputs, envelopes: DataFrame) -> str:
-    """The messages as files of a topic's archive."""
+def archived_topic(t: Inputs, envelopes: DataFrame, times: int = 1) -> str:
+    """The messages as files of a topic's archive, written by offset in `times` turns of as many files as Spark makes."""
     path = run_folder(t.spark, "topic")
-    envelopes.write.parquet(path)
+    for turn in range(times):
+        envelopes.where(F.pmod("offset", F.lit(times)) == turn).write.mode("append").parquet(path)
     return path
 
 
@@ -35,14 +38,14 @@ def event_stream(t: Inputs) -> DataFrame:
     return t.spark.readStream.schema(t.table("events").schema).parquet(f"{t.folder}/events.parque[t]")
 
 
-def late_event_stream(t: Inputs) -> DataFrame:
-    """The events in four files that arrive one batch at a time, the newest days first: the state is carried from batch to batch
-    and most files are late."""
+def late_event_streams(t: Inputs) -> Iterator[DataFrame]:
+    """The stream of events each time a quarter of their days has arrived, the newest first, in as many files as Spark makes. Run to its end each
+    time with one checkpoint, a query carries its state over, and most files are late."""
     path, day = run_folder(t.spark, "late"), F.dayofmonth(F.col("ts").cast("date"))
     events = t.table("events")
     for part in range(3, -1, -1):
-        events.where(F.least(F.floor((day - 1) / 8), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        events.where(F.least(F.floor((day - 1) / 8), F.lit(3)) == part).write.mode("append").parquet(path)
+        yield t.spark.readStream.schema(events.schema).parquet(path)
 
 
 @query("scan_topic_stream", "SELECT topic, kafka_partition AS partition, kafka_offset AS \"offset\", ts AS timestamp FROM v_messages")
@@ -96,7 +99,7 @@ UNION ALL SELECT 'dead_letters', count(*), 0.0, count(*) FROM events WHERE event
 def ingest_mixed_topics(t: Inputs) -> DataFrame:
     """All three topics and many that nobody reads in one stream, in several batches: every table typed and complete."""
     target = run_folder(t.spark, "bronze")
-    ingested(t, archived_topic(t, t.mixed_envelopes().repartition(3, "offset")), target, files_per_batch=1)
+    ingested(t, archived_topic(t, t.mixed_envelopes(), 3), target, files_per_batch=1)
     read = lambda name: t.spark.read.parquet(f"{target}/{name}")
     figures = {
         "gps_pings": (F.sum(F.col("speed_kmh").cast("double")), F.lit(0)),
@@ -129,7 +132,7 @@ def late_rows_kept(t: Inputs) -> DataFrame:
 def stream_progress(t: Inputs) -> DataFrame:
     """What the batches of a stream report to have read, one file of the topic at a time."""
     target = run_folder(t.spark, "bronze")
-    topic = archived_topic(t, t.envelopes().repartition(3, "offset"))
+    topic = archived_topic(t, t.envelopes(), 3)
     ingested(t, topic, target, files_per_batch=1)
     return progress_rows(t.spark, target).agg(F.sum("n_rows").alias("n_rows"))
 
@@ -137,9 +140,9 @@ def stream_progress(t: Inputs) -> DataFrame:
 @query("stream_departures", f"SELECT p.route_id, min(p.event_time) AS departed_at FROM v_pings p JOIN v_hub h USING (hub_id) WHERE {HAVERSINE} > h.radius_m GROUP BY 1")
 def stream_departures(t: Inputs) -> DataFrame:
     """The departure of every route as the pings come in, equal to what the batch query finds."""
-    out = run_folder(t.spark, "departures")
-    running = departures(ping_columns(late_event_stream(t)), t.hub())
-    start_updates(running, out, run_folder(t.spark, "checkpoint")).awaitTermination()
+    out, checkpoint = run_folder(t.spark, "departures"), run_folder(t.spark, "checkpoint")
+    for events in late_event_streams(t):
+        start_updates(departures(ping_columns(events), t.hub()), out, checkpoint).awaitTermination()
     return current(t.spark.read.parquet(out), ["route_id"])
 
 
@@ -155,6 +158,20 @@ def stream_tally(t: Inputs) -> DataFrame:
 @query("stream_daily_tally", f"""SELECT CAST(CAST(event_time AS DATE) AS VARCHAR) AS day, count(*) FILTER (status = 'delivered') AS delivered, count(*) FILTER (status = 'failed') AS failed
 FROM v_scans WHERE status IN {FINAL!r} GROUP BY 1""")
 def stream_daily_tally(t: Inputs) -> DataFrame:
-    out = run_folder(t.spark, "daily")
-    start_updates(daily_tally(scan_columns(late_event_stream(t))), out, run_folder(t.spark, "checkpoint")).awaitTermination()
+    out, checkpoint = run_folder(t.spark, "daily"), run_folder(t.spark, "checkpoint")
+    for events in late_event_streams(t):
+        start_updates(daily_tally(scan_columns(events)), out, checkpoint).awaitTermination()
     return current(t.spark.read.parquet(out), ["day"])
+
+
+@query("stream_newest", """WITH f AS (SELECT CASE WHEN event_id % 100 < 82 THEN 'gps_pings' WHEN event_id % 100 < 96 THEN 'vehicle_telemetry' WHEN event_id % 100 < 99 THEN 'delivery_events' END AS table_name, ts FROM events)
+SELECT table_name, CAST(count(*) AS BIGINT) AS messages, CAST(count(*) AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS duplicates, max(ts) AS newest FROM f WHERE table_name IS NOT NULL GROUP BY 1""")
+def stream_newest(t: Inputs) -> DataFrame:
+    """What the listener of an ingest wrote while it ran, stopped and went on: messages, rows and repeats of each table, and its newest event."""
+    target, checkpoint, topic = run_folder(t.spark, "bronze"), run_folder(t.spark, "checkpoint"), run_folder(t.spark, "topic")
+    for half in range(2):
+        t.mixed_envelopes().where(F.col("offset") % 2 == half).write.mode("append").parquet(topic)
+        start_ingest(envelope_files(t.spark, topic), lambda _: t.sources(), target, checkpoint).awaitTermination()
+    counters = t.spark.read.schema(COUNTERS).parquet(f"{target}/ingest_counters")
+    sums = [F.sum(c).alias(c) for c in ("messages", "inserted", "duplicates")]
+    return counters.groupBy("table_name").agg(*sums, F.max("newest").cast("timestamp_ntz").alias("newest"))

@@ -23,7 +23,7 @@ def stamped(df: DataFrame, source: str, ingested_at: Column | None = None) -> Da
 
 
 def evenly(df: DataFrame, *by: str) -> DataFrame:
-    """Rows brought together by partition value for writing; a value with many rows is split over tasks."""
+    """Rows brought together by partition value, if any, for writing; a value with many rows is split over tasks."""
     return df.hint("rebalance", *[F.col(c) for c in by])
 
 
@@ -39,6 +39,11 @@ def replace_partitions(df: DataFrame, path: str, by: Sequence[str], balance: boo
     )
 
 
+def replace_folder(df: DataFrame, path: str) -> None:
+    """Replace one folder whole: doing it again changes nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").parquet(path)
+
+
 def replace_days(df: DataFrame, path: str, by: str, values: Sequence[str]) -> None:
     """Replace the named partitions whole: those that get no rows are cleared. Rows of other partitions are refused,
     values are compared as text."""
