@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -142,7 +143,7 @@ def read_figures(contracts: Sequence[Contract]) -> list[Column]:
 def write_batch(
     batch: DataFrame, sources: DataFrame, target: str, run_id: str, batch_id: int, contracts: Sequence[Contract] = CONTRACTS
 ) -> None:
-    """Write one batch of envelopes without a stream: its keys are compared with the tables. Rows go before dead letters; both are keyed,
+    """Write one batch of envelopes without a stream: its keys are compared with the tables. Rows and dead letters are both keyed,
     so a half-written batch is repaired by running it again."""
     spark = batch.sparkSession
     judged = refuse_unstorable(classify(batch, sources, contracts), contracts).withColumn("_registered", F.lit(True))
@@ -163,21 +164,23 @@ def _write(
     judged: DataFrame, target: str, run_id: str, batch_id: int, contracts: Sequence[Contract], compared: bool
 ) -> dict[str, tuple[int, int]]:
     """Write the judged messages of a batch: tables, dead letters, one line of the log. Per table the messages that had to be compared
-    with it and the rows written. One row is gathered, whatever the batch holds."""
+    with it and the rows written. One row is gathered, whatever the batch holds. The log's line comes last."""
     good = F.col("reason").isNull()
     figures = [F.count(F.lit(1)).alias("_all"), F.count_if(~good).alias("_dead")]
     for c in contracts:
         mine = good & (F.col("topic") == c.topic)
         figures += [F.count_if(mine).alias(c.table), F.count_if(mine & ~F.col("_registered")).alias(f"{c.table}_late")]
     found = judged.agg(*figures).first()
-    done = {}
-    for c in contracts:
-        late = found[c.table] if compared else found[f"{c.table}_late"]
-        done[c.table] = (late, _write_rows(judged, c, target, run_id, batch_id, compared, bool(late)) if found[c.table] else 0)
-    if found["_dead"]:
-        _write_dead(judged, target, run_id, batch_id, compared)
+    fed = [c for c in contracts if found[c.table]]
+    late = {c.table: found[c.table] if compared else found[f"{c.table}_late"] for c in contracts}
+    with ThreadPoolExecutor(len(fed) + 2) as together:  # jobs of one cached batch, each into a folder of its own
+        dead = together.submit(_write_dead, judged, target, run_id, batch_id, compared) if found["_dead"] else None
+        rows = {c.table: together.submit(_write_rows, judged, c, target, run_id, batch_id, compared, bool(late[c.table])) for c in fed}
+        written = {table: job.result() for table, job in rows.items()}
+        if dead:
+            dead.result()
     _write_log(judged.sparkSession, target, run_id, batch_id, found["_all"], found["_dead"])
-    return done
+    return {c.table: (late[c.table], written.get(c.table, 0)) for c in contracts}
 
 
 def _write_rows(
