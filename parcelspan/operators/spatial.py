@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from parcelspan.functions.geo import EARTH_RADIUS_M, haversine_m
 from parcelspan.session import run_folder
 
-BAND_DEG = 0.01  # height of the latitude bands edges are filed under
+# The cells shapes are filed under: their size, and how far their lines are shifted so that no written coordinate lies on one.
+CELL_DEG, CELL_SHIFT, CELL_MARGIN = 0.004, 0.00012345678912345, 1e-9
+EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 CELL_M, WIDEN = 8_000.0, 4  # edge of the first grid's cells, and how much wider each next one's are
 
 
@@ -22,42 +24,80 @@ def ring_edges(rings: DataFrame, shape: str, points: str) -> DataFrame:
     return rings.select(shape, F.explode(segments).alias("e")).select(shape, "e.*")
 
 
-def band_of(lat: Column) -> Column:
-    return F.floor(lat / F.lit(BAND_DEG)).cast("bigint")
+def _cell(degrees: Column, size: float) -> Column:
+    return F.floor((degrees - F.lit(CELL_SHIFT)) / F.lit(size)).cast("bigint")
 
 
-def edges_by_band(edges: DataFrame, shape: str) -> DataFrame:
-    """The edges that cross each latitude band, gathered per shape and band. An edge is filed under
-    every band it reaches; a boundary has a bounded number of edges."""
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    return (
-        edges.where("y1 <> y2")
-        .withColumn("band", F.explode(F.sequence(band_of(low), band_of(high))))
-        .groupBy(shape, "band")
-        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+def _line(cell: Column, size: float, share: float) -> Column:
+    """The coordinate that lies at a share of a cell's width."""
+    return (cell + F.lit(share)) * F.lit(size) + F.lit(CELL_SHIFT)
+
+
+def _x_at(e: Column, y: Column) -> Column:
+    return e.x1 + (y - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1)
+
+
+def shape_cells(edges: DataFrame, shape: str, size: float = CELL_DEG) -> DataFrame:
+    """The cells (cx, cy) of a grid that a shape reaches: the edges that touch the cell, none for a cell wholly inside, and whether the
+    middle of the cell's east side lies inside. From there a point of the cell is told by the cell's own edges.
+
+    An edge is filed under the cells it runs through, row by row; the array of a cell is as long as the shape is detailed there. Cells
+    wholly inside come from the crossings of the shape with the middle line of each row.
+    """
+    rows = edges.withColumn("cy", F.explode(F.sequence(_cell(F.least("y1", "y2"), size), _cell(F.greatest("y1", "y2"), size))))
+    e = F.col("e")
+    boxed = rows.select(shape, "cy", F.struct("x1", "y1", "x2", "y2").alias("e"))
+    # The stretch of the edge inside its row of cells; a level edge is in one row and runs its whole length.
+    ends = [
+        F.when(e.y1 == e.y2, x).otherwise(
+            _x_at(e, F.least(F.greatest(_line(F.col("cy"), size, share), F.least(e.y1, e.y2)), F.greatest(e.y1, e.y2)))
+        )
+        for x, share in ((e.x1, 0.0), (e.x2, 1.0))
+    ]
+    reached = F.sequence(_cell(F.least(*ends) - F.lit(CELL_MARGIN), size), _cell(F.greatest(*ends) + F.lit(CELL_MARGIN), size))
+    touched = boxed.withColumn("cx", F.explode(reached)).groupBy(shape, "cx", "cy").agg(F.collect_list("e").alias("edges"))
+
+    middle = _line(F.col("cy"), size, 0.5)
+    crossed = boxed.where((e.y1 > middle) != (e.y2 > middle)).groupBy(shape, "cy").agg(F.array_sort(F.collect_list(_x_at(e, middle))).alias("xs"))
+    spans = F.transform(F.sequence(F.lit(1), F.size("xs"), F.lit(2)), lambda k: F.struct(F.get("xs", k - 1).alias("a"), F.get("xs", k).alias("b")))
+    inner = crossed.select(shape, "cy", F.explode(spans).alias("s"))
+    # The east sides from a up to but not including b.
+    first, after = [F.ceil((x - F.lit(CELL_SHIFT)) / F.lit(size)).cast("bigint") - 1 for x in (F.col("s.a"), F.col("s.b"))]
+    inner = inner.where(first < after).select(shape, F.explode(F.sequence(first, after - 1)).alias("cx"), "cy", F.lit(True).alias("east_inside"))
+    return touched.join(inner, [shape, "cx", "cy"], "full_outer").select(
+        shape, "cx", "cy", "edges", F.coalesce("east_inside", F.lit(False)).alias("east_inside"), F.lit(size).alias("cell_deg")
     )
 
 
-def crossings(edges: Column, lon: Column, lat: Column) -> Column:
-    """How many edges a ray going east from the point crosses."""
+def _inside(lon: Column, lat: Column) -> Column:
+    """Whether a point is inside the shape of the cell it was joined with, by the even-odd rule: the edges crossed on the way due east to
+    the cell's side and then along it to its middle, from what is known there."""
+    side, middle = _line(F.col("cx"), F.col("cell_deg"), 1.0), _line(F.col("cy"), F.col("cell_deg"), 0.5)
+
+    def odd(e: Column) -> Column:
+        x = _x_at(e, lat)
+        level = ((e.y1 > lat) != (e.y2 > lat)) & (lon < x) & (x <= side)
+        y = e.y1 + (side - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1)
+        return F.coalesce(level, F.lit(False)) != F.coalesce(((e.x1 > side) != (e.x2 > side)) & ((lat < y) != (middle < y)), F.lit(False))
+
+    crossings = F.size(F.filter(F.coalesce("edges", F.array().cast(EDGES)), odd))
+    return F.col("east_inside") != (crossings % 2 == 1)
 
-    def crossed(e: Column) -> Column:
-        return ((e.y1 > lat) != (e.y2 > lat)) & (lon < e.x1 + (lat - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1))
 
-    return F.size(F.filter(edges, crossed))
+def _with_cell(points: DataFrame, lon: str, lat: str, size: float) -> DataFrame:
+    return points.withColumn("cx", _cell(F.col(lon), size)).withColumn("cy", _cell(F.col(lat), size))
 
 
-def inside_own_shape(points: DataFrame, bands: DataFrame, shape: str, lon: str, lat: str, into: str) -> DataFrame:
+def inside_own_shape(points: DataFrame, cells: DataFrame, shape: str, lon: str, lat: str, into: str, size: float = CELL_DEG) -> DataFrame:
     """Whether each point lies in the shape it names, by the even-odd rule over all of its rings."""
-    own = points.withColumn("band", band_of(F.col(lat))).join(bands, [shape, "band"], "left")
-    odd = crossings(F.col("edges"), F.col(lon), F.col(lat)) % 2 == 1
-    return own.select(*points.columns, F.coalesce(odd, F.lit(False)).alias(into))
+    own = _with_cell(points, lon, lat, size).join(cells, [shape, "cx", "cy"], "left")
+    return own.select(*points.columns, F.coalesce(_inside(F.col(lon), F.col(lat)), F.lit(False)).alias(into))
 
 
-def containing_shapes(points: DataFrame, bands: DataFrame, shape: str, lon: str, lat: str) -> DataFrame:
-    """One row per point and shape that contains it; a point meets only shapes that reach its band."""
-    met = points.withColumn("band", band_of(F.col(lat))).join(bands, "band")
-    return met.where(crossings(F.col("edges"), F.col(lon), F.col(lat)) % 2 == 1).select(*points.columns, shape)
+def containing_shapes(points: DataFrame, cells: DataFrame, shape: str, lon: str, lat: str, size: float = CELL_DEG) -> DataFrame:
+    """One row per point and shape that contains it; a point meets only the shapes of its cell."""
+    met = _with_cell(points, lon, lat, size).join(cells, ["cx", "cy"])
+    return met.where(_inside(F.col(lon), F.col(lat))).select(*points.columns, shape)
 
 
 def _on_sphere(lat: str, lon: str) -> list[Column]:

@@ -14,11 +14,12 @@ from parcelspan.operators.allocate import (
 )
 from parcelspan.operators.keyed import content_digest, latest_per_key, multiset_difference, upper_median
 from parcelspan.operators.ordered import Wanted, annotate
-from parcelspan.operators.spatial import containing_shapes, edges_by_band, inside_own_shape, nearest_site, ring_edges
+from parcelspan.operators.spatial import containing_shapes, inside_own_shape, nearest_site, ring_edges, shape_cells
 from parcelspan.operators.temporal import asof_join, inside_intervals, profile_asof, resample_track, sessions
 from parcelspan.plans.inputs import FLEET, HUB, Inputs
 from parcelspan.plans.registry import query
-from parcelspan.session import small_table
+from parcelspan.session import run_folder, small_table
+from parcelspan.sources.documents import geojson_rings
 
 
 def micros(name: str) -> Column:
@@ -92,14 +93,29 @@ def nearest_zone(t: Inputs) -> DataFrame:
     )
 
 
-def boundaries(t: Inputs) -> DataFrame:
-    """Rings of every zone: an eight-sided outline and a square hole round its centre."""
+def boundary_files(t: Inputs) -> str:
+    """Boundaries of the zones as GeoJSON files of a few features each: an eight-sided outline with a square hole round the zone's centre. Every
+    third is a MultiPolygon."""
     def point(dx: float, dy: float) -> Column:
-        return F.struct((F.col("lon") + F.lit(dx)).alias("lon"), (F.col("lat") + F.lit(dy)).alias("lat"))
+        return F.array(F.col("lon") + F.lit(dx), F.col("lat") + F.lit(dy))
+
+    polygon = F.array(*[F.array(*[point(dx, dy) for dx, dy in ring]) for ring in (OUTLINE, HOLE)])
+    many = F.col("zone_no") % 3 == 0
+    geometry = F.concat(
+        F.lit('{"type":"'), F.when(many, "MultiPolygon").otherwise("Polygon"), F.lit('","coordinates":'),
+        F.when(many, F.to_json(F.array(polygon))).otherwise(F.to_json(polygon)), F.lit("}"),
+    )
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct("zone_id", "name")), F.lit(',"geometry":'), geometry, F.lit("}"))
+    features = t.zones().select((F.col("zone_no") % 5).alias("file"), feature.alias("feature")).groupBy("file").agg(F.collect_list("feature").alias("f"))
+    path = run_folder(t.spark, "boundaries")
+    collection = F.concat(F.lit('{"type":"FeatureCollection",\n"features":['), F.array_join("f", ",\n"), F.lit("]}"))
+    features.select(collection.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
 
-    outline = F.array(*[point(dx, dy) for dx, dy in OUTLINE])
-    hole = F.array(*[point(dx, dy) for dx, dy in HOLE])
-    return t.zones().select("zone_id", F.explode(F.array(outline, hole)).alias("points"))
+
+def boundaries(t: Inputs) -> DataFrame:
+    """Rings of every zone, read from its boundary file."""
+    return geojson_rings(t.spark, boundary_files(t), "zone_id")
 
 
 OUTLINE = (
@@ -123,8 +139,8 @@ CROSSES = "(e.y1 > o.lat) <> (e.y2 > o.lat) AND o.lon < e.x1 + (o.lat - e.y1) *
 
 @query("point_in_polygon", f"""WITH {_edges_sql()} SELECT o.order_id, e.zone_id FROM v_orders o JOIN e ON {CROSSES} GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
 def point_in_polygon(t: Inputs) -> DataFrame:
-    bands = edges_by_band(ring_edges(boundaries(t), "zone_id", "points"), "zone_id")
-    return containing_shapes(t.orders().select("order_id", "lat", "lon"), bands, "zone_id", "lon", "lat").select(
+    cells = shape_cells(ring_edges(boundaries(t), "zone_id", "points"), "zone_id")
+    return containing_shapes(t.orders().select("order_id", "lat", "lon"), cells, "zone_id", "lon", "lat").select(
         "order_id", "zone_id"
     )
 
@@ -132,8 +148,8 @@ def point_in_polygon(t: Inputs) -> DataFrame:
 @query("inside_share", f"""WITH {_edges_sql()}, c AS (SELECT o.order_id, o.zone_id, count(e.zone_id) % 2 AS inside FROM v_orders o LEFT JOIN e ON e.zone_id = o.zone_id AND {CROSSES} GROUP BY 1, 2)
 SELECT zone_id, count(*) AS orders, round(avg(inside), 6) AS inside_share FROM c GROUP BY 1""")
 def inside_share(t: Inputs) -> DataFrame:
-    bands = edges_by_band(ring_edges(boundaries(t), "zone_id", "points"), "zone_id")
-    placed = inside_own_shape(t.orders().select("order_id", "zone_id", "lat", "lon"), bands, "zone_id", "lon", "lat", "inside")
+    cells = shape_cells(ring_edges(boundaries(t), "zone_id", "points"), "zone_id")
+    placed = inside_own_shape(t.orders().select("order_id", "zone_id", "lat", "lon"), cells, "zone_id", "lon", "lat", "inside")
     return placed.groupBy("zone_id").agg(
         F.count(F.lit(1)).alias("orders"), F.round(F.avg(F.col("inside").cast("int")), 6).alias("inside_share")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parcelspan.functions.geo import degrees_to_dms, utm31_to_wgs84
 from parcelspan.operators.allocate import capacity_slices, cumulative_share, highest_averages, largest_remainder, pick_by_share
 from parcelspan.operators.sampling import top_k_by_draw
-from parcelspan.operators.spatial import containing_shapes, edges_by_band, inside_own_shape, nearest_site, ring_edges
+from parcelspan.operators.spatial import containing_shapes, inside_own_shape, nearest_site, ring_edges, shape_cells
 
 R = random.Random(7)
 
@@ -40,7 +40,7 @@ def test_point_in_polygon_with_a_hole(spark):
     hole = [(2.08, 41.06), (2.12, 41.06), (2.1, 41.1), (2.08, 41.06)]
     second = [(3.0, 41.0), (3.1, 41.0), (3.05, 41.1), (3.0, 41.0)]
     rings = spark.createDataFrame([("A", outer), ("A", hole), ("A", second), ("B", second)], "shape string, points array<struct<lon:double,lat:double>>")
-    bands = edges_by_band(ring_edges(rings, "shape", "points"), "shape")
+    edges = ring_edges(rings, "shape", "points")
     pts = [(i, 1.95 + R.random() * 1.2, 40.98 + R.random() * 0.25) for i in range(400)]
     df = spark.createDataFrame(pts, "id int, lon double, lat double")
 
@@ -51,12 +51,29 @@ def test_point_in_polygon_with_a_hole(spark):
                 odd ^= (y1 > lat) != (y2 > lat) and lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1)
         return odd
 
-    got = {(r["id"], r["shape"]) for r in containing_shapes(df, bands, "shape", "lon", "lat").collect()}
     want = {(i, n) for i, x, y in pts for n, rl in (("A", [outer, hole, second]), ("B", [second])) if inside(rl, x, y)}
-    assert got == want and want
-    own = inside_own_shape(df.withColumn("shape", F.lit("A")), bands, "shape", "lon", "lat", "inside")
-    assert {r["id"] for r in own.where("inside").collect()} == {i for i, n in want if n == "A"}
-    assert own.count() == len(pts)
+    for size in (0.004, 0.03, 0.7):  # cells much smaller than the shapes, and much larger
+        cells = shape_cells(edges, "shape", size)
+        got = {(r["id"], r["shape"]) for r in containing_shapes(df, cells, "shape", "lon", "lat", size).collect()}
+        assert got == want and want
+        own = inside_own_shape(df.withColumn("shape", F.lit("A")), cells, "shape", "lon", "lat", "inside", size)
+        assert {r["id"] for r in own.where("inside").collect()} == {i for i, n in want if n == "A"}
+        assert own.count() == len(pts)
+    assert cells.where("edges IS NULL").count() == 0 and shape_cells(edges, "shape").where("edges IS NULL AND east_inside").count() > 100
+
+
+def test_ten_thousand_shapes_meet_only_points_of_their_cells(spark):
+    """Squares on a lattice: every point meets at most the shapes of its cell, and the counts are right."""
+    k = F.col("id")
+    x, y = (k % 100).cast("double") / 100, F.floor(k / 100).cast("double") / 100
+    corner = lambda dx, dy: F.struct((x + dx).alias("lon"), (y + dy).alias("lat"))
+    ring = F.array(corner(0.001, 0.001), corner(0.007, 0.001), corner(0.007, 0.007), corner(0.001, 0.007), corner(0.001, 0.001))
+    cells = shape_cells(ring_edges(spark.range(10_000).select(k.alias("shape"), ring.alias("points")), "shape", "points"), "shape")
+    points = spark.range(4_000).select(k.alias("id"), (F.rand(1) * 1).alias("lon"), (F.rand(2) * 1).alias("lat")).persist()
+    low = lambda c: F.col(c) * 100 - F.floor(F.col(c) * 100)
+    want = points.where((low("lon") > 0.1) & (low("lon") < 0.7) & (low("lat") > 0.1) & (low("lat") < 0.7)).count()
+    assert containing_shapes(points, cells, "shape", "lon", "lat").count() == want > 1000
+    assert cells.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] <= 2
 
 
 def test_apportionment(spark):
