@@ -25,15 +25,28 @@ def largest_remainder(df: DataFrame, keys: Sequence[str], item: str, weight: str
 
 def highest_averages(df: DataFrame, keys: Sequence[str], item: str, need: str, seats: Column, into: str) -> DataFrame:
     """One seat for every item, the others one at a time to the highest need per seat held, ties to the
-    first item. `seats` is the group's number of seats, as large as a depot's fleet."""
+    first item. `seats` is the group's number of seats.
+
+    No item gets fewer further seats than its share of them, rounded down, nor more than its share of as many seats and one for each item;
+    both are widened by one against rounding. Only seats between the two are bid for: a few rows an item, however many seats there
+    are. Where nobody needs anything, all further seats go to the first item.
+    """
     group = Window.partitionBy(*keys)
-    sized = df.withColumn("_spare", F.greatest(seats - F.count(F.lit(1)).over(group), F.lit(0)))
-    bids = sized.withColumn(
-        "_held", F.explode_outer(F.when(F.col("_spare") > 0, F.sequence(F.lit(1), F.col("_spare").cast("int"))))
+    asked = F.greatest(F.coalesce(F.col(need).cast("double"), F.lit(0.0)), F.lit(0.0))
+    sized = df.withColumn("_items", F.count(F.lit(1)).over(group)).withColumn("_total", F.sum(asked).over(group)).withColumn(
+        "_first", F.min(F.struct(F.col(need).isNull(), -asked, F.col(item).alias("i"))).over(group)["i"] == F.col(item)
     )
+    sized = sized.withColumn("_spare", F.greatest(seats - F.col("_items"), F.lit(0)).cast("bigint"))
+    share = asked / F.col("_total")
+    least = F.when(F.col("_total") > 0, F.greatest(F.floor(F.col("_spare") * share) - 1, F.lit(0))).otherwise(F.lit(0))
+    most = F.when(F.col("_total") > 0, F.least(F.floor((F.col("_spare") + F.col("_items")) * share) + 1, F.col("_spare"))).otherwise(F.lit(0))
+    bounded = sized.withColumn("_least", least.cast("bigint")).withColumn("_most", F.when(asked > 0, most).otherwise(F.lit(0)).cast("bigint"))
+    left = bounded.withColumn("_left", F.col("_spare") - F.sum("_least").over(group))
+    bids = left.withColumn("_held", F.explode_outer(F.when(F.col("_most") > F.col("_least"), F.sequence(F.col("_least") + 1, F.col("_most")))))
     order = group.orderBy(F.desc(F.col(need) / F.col("_held")), F.col(item))
-    won = bids.withColumn("_won", F.col("_held").isNotNull() & (F.row_number().over(order) <= F.col("_spare")))
-    return won.groupBy(*df.columns).agg((F.lit(1) + F.count_if("_won")).alias(into))
+    won = bids.withColumn("_won", F.col("_held").isNotNull() & (F.row_number().over(order) <= F.col("_left")))
+    rest = F.when((F.max("_total") > 0) | ~F.max("_first"), F.lit(0)).otherwise(F.max("_spare"))
+    return won.groupBy(*df.columns).agg((F.lit(1) + F.max("_least") + F.count_if("_won") + rest).alias(into))
 
 
 def cumulative_share(

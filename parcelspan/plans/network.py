@@ -15,10 +15,12 @@ from parcelspan.operators.allocate import (
 from parcelspan.operators.keyed import content_digest, latest_per_key, multiset_difference, upper_median
 from parcelspan.operators.ordered import Wanted, annotate
 from parcelspan.operators.spatial import containing_shapes, inside_own_shape, nearest_site, ring_edges, shape_cells
-from parcelspan.operators.temporal import asof_join, inside_intervals, profile_asof, resample_track, sessions
+from parcelspan.operators.temporal import asof_join, inside_intervals, resample_track, sessions
+from parcelspan.operators.traffic import ProfileTraffic, StateTraffic, nearest_section, polylines
 from parcelspan.plans.inputs import FLEET, HUB, Inputs
 from parcelspan.plans.registry import query
 from parcelspan.session import run_folder, small_table
+from parcelspan.sources import feeds
 from parcelspan.sources.documents import geojson_rings
 
 
@@ -162,12 +164,79 @@ f AS (SELECT event_id, sat, CASE WHEN m >= 1320 THEN 1e0 WHEN m >= 1200 THEN 1.1
 SELECT event_id, round(CASE WHEN sat THEN 1 + (f - 1) * 0.5e0 ELSE f END, 6) AS factor FROM f""")
 def traffic_factor(t: Inputs) -> DataFrame:
     """The congestion factor in force at each ping: the last profile entry at or before its local minute."""
-    profile = small_table(t.spark, list(cal.TRAFFIC_PROFILE), "start int, factor double")
-    local = cal.local_time(F.col("event_time"))
-    timed = t.pings().select("event_id", cal.minute_of_day(local).alias("minute"), (F.weekday(local) == 5).alias("saturday"))
-    looked = profile_asof(timed, profile, "minute", "start", "factor")
-    eased = 1 + (F.col("factor") - 1) * F.lit(cal.SATURDAY_SHARE)
-    return looked.select("event_id", F.round(F.when(F.col("saturday"), eased).otherwise(F.col("factor")), 6).alias("factor"))
+    rides = ProfileTraffic(profile_table(t)).factor(t.pings().select("event_id", "event_time", "lat", "lon"), "event_time", "lat", "lon", "factor")
+    return rides.select("event_id", F.round("factor", 6).alias("factor"))
+
+
+def profile_table(t: Inputs) -> DataFrame:
+    return small_table(t.spark, list(cal.TRAFFIC_PROFILE), "start int, factor double")
+
+
+def section_lines(t: Inputs) -> DataFrame:
+    """The street sections as polylines, from the file of their points that is written first."""
+    return polylines(feeds.section_points(t.spark, section_file(t)))
+
+
+def section_file(t: Inputs) -> str:
+    """Geometry of sixty sections in the long format: a row for each point, in no order. A section zigzags eastwards."""
+    path, k = run_folder(t.spark, "sections"), F.col("c_custkey")
+    section, seq = (k % 60).cast("int"), F.expr("c_custkey div 60")
+    t.table("customer").select(
+        section.alias("section_id"), seq.alias("point_seq"),
+        F.round(F.lit(2.1265) + (section % 10).cast("double") / 500 + seq.cast("double") / 50000, 6).alias("lon"),
+        F.round(F.lit(41.3295) + F.floor(section / 10).cast("double") / 300 + (seq % 3).cast("double") / 20000, 6).alias("lat"),
+    ).write.csv(path, header=True)
+    return path
+
+
+SECTIONS_SQL = """pts AS (SELECT CAST(c_custkey % 60 AS INT) AS section_id, c_custkey // 60 AS point_seq,
+ round(2.1265e0 + CAST(c_custkey % 60 % 10 AS DOUBLE) / 500 + CAST(c_custkey // 60 AS DOUBLE) / 50000, 6) AS lon,
+ round(41.3295e0 + CAST(c_custkey % 60 // 10 AS DOUBLE) / 300 + CAST(c_custkey // 60 % 3 AS DOUBLE) / 20000, 6) AS lat FROM customer),
+seg AS (SELECT * FROM (SELECT section_id, point_seq, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM pts WINDOW w AS (PARTITION BY section_id ORDER BY point_seq)) s WHERE x2 IS NOT NULL)"""
+LEG_SQL = "2 * 6371000e0 * asin(sqrt(power(sin(radians(y2 - y1) / 2), 2) + cos(radians(y1)) * cos(radians(y2)) * power(sin(radians(x2 - x1) / 2), 2)))"
+
+
+@query("section_lengths", f"""WITH {SECTIONS_SQL}, n AS (SELECT section_id, CAST(count(*) AS INT) AS n_points FROM pts GROUP BY 1), l AS (SELECT section_id, sum({LEG_SQL}) AS m FROM seg GROUP BY 1)
+SELECT section_id, n_points, round(coalesce(m, 0), 3) AS length_m FROM n LEFT JOIN l USING (section_id)""")
+def section_lengths(t: Inputs) -> DataFrame:
+    """Length of every street section, along its points in order."""
+    return section_lines(t).select("section_id", "n_points", F.round("length_m", 3).alias("length_m"))
+
+
+# A degree is 6371000 * pi / 180 metres; a place is measured to the segment on a plane scaled to its latitude.
+NEAREST_SQL = f"""{SECTIONS_SQL}, deg AS (SELECT *, 6371000e0 * radians(1e0) AS m FROM seg),
+loc AS (SELECT DISTINCT lat, lon, cos(radians(lat)) AS c FROM v_pings),
+box AS (SELECT l.*, d.section_id, (x1 - lon) * c * m AS ax, (y1 - lat) * m AS ay, (x2 - x1) * c * m AS dx, (y2 - y1) * m AS dy FROM loc l JOIN deg d ON abs(least(y1, y2) - lat) < 0.01e0 AND lon BETWEEN least(x1, x2) - 0.005e0 AND greatest(x1, x2) + 0.005e0),
+al AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0e0 ELSE greatest(0e0, least(1e0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) END AS k FROM box),
+near AS (SELECT lat, lon, section_id, sqrt(power(ax + k * dx, 2) + power(ay + k * dy, 2)) AS d FROM al),
+best AS (SELECT lat, lon, section_id, d FROM near WHERE d <= 200 QUALIFY row_number() OVER (PARTITION BY lat, lon ORDER BY d, section_id) = 1)"""
+
+
+@query("nearest_section", f"WITH {NEAREST_SQL} SELECT p.event_id, b.section_id, round(b.d, 3) AS distance_m FROM v_pings p LEFT JOIN best b ON p.lat = b.lat AND p.lon = b.lon")
+def nearest_street_section(t: Inputs) -> DataFrame:
+    """The street section each ping was sent from, if any is near."""
+    near = nearest_section(t.pings().select("event_id", "lat", "lon"), section_lines(t), "lat", "lon")
+    return near.select("event_id", "section_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+# How much longer a way takes in each state that tells anything.
+STATE_FACTORS = {1: 1.0, 2: 1.1, 3: 1.25, 4: 1.5, 5: 2.0}
+
+
+@query("traffic_factor_live", f"""WITH {NEAREST_SQL}, st AS (SELECT feed_item_id AS section_id, event_time, max(state) AS state FROM v_traffic WHERE feed = 'trams' GROUP BY 1, 2),
+pl AS (SELECT p.event_id, p.event_time, b.section_id FROM v_pings p LEFT JOIN best b ON p.lat = b.lat AND p.lon = b.lon),
+lv AS (SELECT pl.event_id, pl.event_time, CASE WHEN st.event_time >= pl.event_time - INTERVAL 720 MINUTE THEN CASE st.state WHEN 1 THEN 1e0 WHEN 2 THEN 1.1e0 WHEN 3 THEN 1.25e0 WHEN 4 THEN 1.5e0 WHEN 5 THEN 2e0 END END AS live
+ FROM pl ASOF LEFT JOIN st ON pl.section_id = st.section_id AND pl.event_time >= st.event_time),
+q AS (SELECT event_id, live, CAST(hour(timezone('Europe/Madrid', timezone('UTC', event_time))) * 60 + minute(timezone('Europe/Madrid', timezone('UTC', event_time))) AS INT) AS m, isodow(timezone('Europe/Madrid', timezone('UTC', event_time))) = 6 AS sat FROM lv),
+f AS (SELECT event_id, live, sat, CASE WHEN m >= 1320 THEN 1e0 WHEN m >= 1200 THEN 1.15e0 WHEN m >= 1050 THEN 1.45e0 WHEN m >= 900 THEN 1.25e0 WHEN m >= 780 THEN 1.35e0
+ WHEN m >= 570 THEN 1.25e0 WHEN m >= 450 THEN 1.5e0 WHEN m >= 420 THEN 1.2e0 ELSE 1e0 END AS f FROM q)
+SELECT event_id, round(coalesce(live, CASE WHEN sat THEN 1 + (f - 1) * 0.5e0 ELSE f END), 6) AS factor FROM f""")
+def traffic_factor_live(t: Inputs) -> DataFrame:
+    """The factor by the state of the nearest section, reported in the last twelve hours; by the profile elsewhere."""
+    states = t.traffic().where("feed = 'trams'").groupBy(F.col("feed_item_id").alias("section_id"), "event_time").agg(F.max("state").alias("state"))
+    live = StateTraffic(states, section_lines(t), STATE_FACTORS, ProfileTraffic(profile_table(t)), fresh_minutes=720)
+    rides = live.factor(t.pings().select("event_id", "event_time", "lat", "lon"), "event_time", "lat", "lon", "factor")
+    return rides.select("event_id", F.round("factor", 6).alias("factor"))
 
 
 OFF_SQL = "off AS (SELECT vehicle_id, event_time AS a, event_time + INTERVAL 90 MINUTE AS b FROM v_telemetry WHERE NOT ignition_on)"
@@ -212,16 +281,12 @@ def track_resample(t: Inputs) -> DataFrame:
 
 
 @query("traffic_join", """WITH last AS (SELECT * FROM v_traffic WHERE feed = 'trams' QUALIFY row_number() OVER (PARTITION BY feed_item_id ORDER BY event_time DESC, state DESC, forecast DESC) = 1),
-pts AS (SELECT CAST(c_custkey % 60 AS INT) AS section_id, c_custkey // 60 AS point_seq, 2.1e0 + CAST(c_custkey % 90 AS DOUBLE) / 1000 AS lon FROM customer)
-SELECT section_id, point_seq, round(lon, 6) AS lon, event_time, state FROM last JOIN pts ON feed_item_id = section_id""")
+pts AS (SELECT CAST(c_custkey % 60 AS INT) AS section_id, c_custkey // 60 AS point_seq, round(2.1265e0 + CAST(c_custkey % 60 % 10 AS DOUBLE) / 500 + CAST(c_custkey // 60 AS DOUBLE) / 50000, 6) AS lon FROM customer)
+SELECT section_id, point_seq, lon, event_time, state FROM last JOIN pts ON feed_item_id = section_id""")
 def traffic_join(t: Inputs) -> DataFrame:
     """Latest state of each street section with the section's points; itineraries have ids of their own."""
     states = latest_per_key(t.traffic().where("feed = 'trams'"), ["feed_item_id"], ["event_time", "state", "forecast"])
-    k = F.col("c_custkey")
-    points = t.table("customer").select(
-        (k % 60).cast("int").alias("section_id"), F.expr("c_custkey div 60").alias("point_seq"),
-        F.round(F.lit(2.1) + (k % 90).cast("double") / 1000, 6).alias("lon"),
-    )
+    points = feeds.section_points(t.spark, section_file(t))
     return points.join(states, F.col("section_id") == F.col("feed_item_id")).select(
         "section_id", "point_seq", "lon", "event_time", "state"
     )

@@ -29,3 +29,13 @@ def traffic_lines(lines: DataFrame) -> DataFrame:
         F.when(~section, F.get(part, 4).try_cast("int")).alias("travel_time_forecast_s"),
         "raw_line",
     )
+
+
+def section_points(spark: SparkSession, path: str) -> DataFrame:
+    """Geometry of street sections, a CSV with a row for each point: section_id, point_seq, lon, lat. Lines that are none are left out."""
+    raw = spark.read.csv(path, schema="section_id string, point_seq string, lon string, lat string", header=True)
+    typed = raw.select(
+        F.col("section_id").try_cast("int").alias("section_id"), F.col("point_seq").try_cast("bigint").alias("point_seq"),
+        F.col("lon").try_cast("double").alias("lon"), F.col("lat").try_cast("double").alias("lat"),
+    )
+    return typed.where("section_id IS NOT NULL AND point_seq IS NOT NULL")

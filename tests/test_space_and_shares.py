@@ -1,5 +1,6 @@
 """Geometry, apportionment, draws: against brute force on small inputs."""
 
+import heapq
 import math
 import random
 
@@ -104,6 +105,23 @@ def test_highest_averages(spark):
         assert [got[g, i] for i in range(len(needs))] == seats
 
 
+def test_highest_averages_of_many_seats(spark):
+    """As many rows whatever the seats; needs that tie, lack or are all zero."""
+    groups = {0: [R.random() ** 3 for _ in range(30)], 1: [1.0] * 7, 2: [0.0, 0.0, 0.0], 3: [None, 2.0, 1.0, 0.0], 4: [1e-9, 1.0], 5: [None, None]}
+    df = spark.createDataFrame([(g, i, n) for g, ns in groups.items() for i, n in enumerate(ns)], "g int, i int, need double")
+    seats = highest_averages(df, ["g"], "i", "need", F.lit(100_000), "n")
+    got = {(r["g"], r["i"]): r["n"] for r in seats.collect()}
+    for g, needs in groups.items():
+        held = [1] * len(needs)
+        heap = [(-(n or 0.0), i) for i, n in enumerate(needs)]
+        heapq.heapify(heap)
+        for _ in range(100_000 - len(needs)):
+            _, i = heap[0]
+            held[i] += 1
+            heapq.heapreplace(heap, (-(needs[i] or 0.0) / held[i], i))
+        assert [got[g, i] for i in range(len(needs))] == held, g
+
+
 @pytest.mark.parametrize("max_rows", [10**9, 15])
 def test_shares_and_draws(spark, max_rows):
     options = [("k", i, float(i % 4)) for i in range(40)] + [("q", 0, 1.0)]
