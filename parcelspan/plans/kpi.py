@@ -57,11 +57,22 @@ def route_durations(t: Inputs, prefix: str = "R-") -> DataFrame:
     named = F.col("route_id").startswith(prefix)
     departed = departures(t.pings().where(named), t.hub())
     completed = completions(t.scans().where(named))
+    return durations(departed, completed)
+
+
+def durations(departed: DataFrame, completed: DataFrame) -> DataFrame:
     return departed.join(completed, "route_id").withColumn(
         "minutes", minutes_between(F.col("departed_at"), F.col("completed_at"))
     )
 
 
+def duration_windows(done: DataFrame) -> DataFrame:
+    """Routes and their average minutes by the day they were completed on, and their wave."""
+    return done.groupBy(F.window("completed_at", "1 day").alias("w"), "wave").agg(
+        F.count(F.lit(1)).alias("routes"), F.round(F.avg("minutes"), 6).alias("avg_minutes")
+    ).select(F.col("w.start").cast("date").cast("string").alias("day"), "wave", "routes", "avg_minutes")
+
+
 DURATIONS_SQL = f"""d AS (SELECT p.route_id, min(p.event_time) AS departed_at FROM v_pings p JOIN v_hub h USING (hub_id)
   WHERE {HAVERSINE} > h.radius_m AND p.route_id LIKE 'R-%' GROUP BY 1),
 c AS (SELECT route_id, max(event_time) AS completed_at, count(*) FILTER (status = 'delivered') AS delivered, count(*) FILTER (status = 'failed') AS failed
@@ -156,10 +167,7 @@ def kpi_segments(t: Inputs) -> DataFrame:
 FROM k JOIN v_routes USING (route_id) GROUP BY 1, 2""",
 )
 def kpi_daily_window(t: Inputs) -> DataFrame:
-    done = route_durations(t).join(t.routes(), "route_id")
-    return done.groupBy(F.window("completed_at", "1 day").alias("w"), "wave").agg(
-        F.count(F.lit(1)).alias("routes"), F.round(F.avg("minutes"), 6).alias("avg_minutes")
-    ).select(F.col("w.start").cast("date").cast("string").alias("day"), "wave", "routes", "avg_minutes")
+    return duration_windows(route_durations(t).join(t.routes(), "route_id"))
 
 
 ON_TIME_SQL = "count(*) FILTER (s.event_time BETWEEN p.window_start AND p.window_end)"

@@ -12,7 +12,7 @@ from parcelspan.functions import ids, text
 from parcelspan.functions.geo import degrees_to_dms, dms_to_degrees, utm31_to_wgs84
 from parcelspan.plans.inputs import Inputs
 from parcelspan.plans.registry import query
-from parcelspan.session import run_folder
+from parcelspan.session import run_folder, small_table
 from parcelspan.sinks import tables
 from parcelspan.sources import documents, feeds, registers
 from parcelspan.operators.spatial import ring_edges
@@ -66,6 +66,29 @@ def csv_completeness(t: Inputs) -> DataFrame:
     return registers.csv_verdict(lines, "code,name,brand", ("code", "brand"), 100)
 
 
+@query("csv_file_completeness", """SELECT 'whole' AS name, CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS ragged_rows, CAST(0 AS BIGINT) AS open_files FROM part
+UNION ALL SELECT 'cut off', count(*) + 1, 1, 1 FROM part""")
+def csv_file_completeness(t: Inputs) -> DataFrame:
+    """The verdicts on the files of two registers, added up: names hold quotes and line breaks in both, and one has a file that ends inside a
+    quote."""
+    k = F.col("p_partkey")
+    name = F.concat(F.col("p_name"), F.when(k % 3 == 0, F.lit(',\nsecond "line"')).otherwise(F.lit("")))
+    rows = t.table("part").select(k.alias("code"), name.alias("name"), F.col("p_brand").alias("brand"))
+    cut = small_table(t.spark, [('code,name,brand\n0,"cut off, x',)], "value string")
+    found = []
+    for kind in ("whole", "cut off"):
+        path = run_folder(t.spark, "verdicts")
+        rows.write.csv(path, header=True, escape='"')
+        if kind == "cut off":
+            cut.write.mode("append").text(path)
+        verdict = registers.csv_file_verdict(t.spark, path, ("code", "brand"), 1)
+        found.append(verdict.agg(
+            F.lit(kind).alias("name"), F.sum("n_rows").alias("n_rows"), F.sum("ragged_rows").alias("ragged_rows"),
+            F.count_if(F.col("reason") == "a quote is left open").alias("open_files"),
+        ))
+    return found[0].unionByName(found[1])
+
+
 @query("min_rows_per_group", f"""SELECT v.zone_id, count(r.address_id) AS n FROM v_served v LEFT JOIN v_regional r ON v.town = {TOWN_SQL} WHERE v.town IS NOT NULL GROUP BY 1 HAVING count(r.address_id) < 1000""")
 def min_rows_per_group(t: Inputs) -> DataFrame:
     """Towns whose part of the register is too small to be complete."""

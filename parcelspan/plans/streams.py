@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspan.plans.inputs import Inputs, ping_columns, scan_columns
-from parcelspan.plans.kpi import FINAL, HAVERSINE, completions, departures
+from parcelspan.plans.kpi import DURATIONS_SQL, FINAL, HAVERSINE, completions, departures, duration_windows, durations
 from parcelspan.plans.registry import query
 from parcelspan.session import run_folder
 from parcelspan.sources.topics import envelope_files
 from parcelspan.streaming.ingest import start_ingest
 from parcelspan.streaming.progress import COUNTERS, progress_rows
-from parcelspan.streaming.routes import current, daily_tally, start_updates
+from parcelspan.streaming.routes import current, daily_tally, start_updates, wave_windows
 
 
 def archived_topic(t: Inputs, envelopes: DataFrame, times: int = 1) -> str:
@@ -146,6 +146,29 @@ def stream_departures(t: Inputs) -> DataFrame:
     return current(t.spark.read.parquet(out), ["route_id"])
 
 
+@query("stream_kpi_windows", f"""WITH {DURATIONS_SQL} SELECT CAST(CAST(completed_at AS DATE) AS VARCHAR) AS day, wave, count(*) AS routes, round(avg(minutes), 6) AS avg_minutes
+FROM k JOIN v_routes USING (route_id) GROUP BY 1, 2""")
+def stream_kpi_windows(t: Inputs) -> DataFrame:
+    """The KPI of each day and wave from two running streams over late files: late days are stated again, as the batch query has them."""
+    left, done = run_folder(t.spark, "departures"), run_folder(t.spark, "tally")
+    checkpoints = run_folder(t.spark, "checkpoint"), run_folder(t.spark, "checkpoint")
+    for events in late_event_streams(t):
+        start_updates(departures(ping_columns(events), t.hub()), left, checkpoints[0]).awaitTermination()
+        start_updates(completions(scan_columns(events)), done, checkpoints[1]).awaitTermination()
+    running = durations(current(t.spark.read.parquet(left), ["route_id"]), current(t.spark.read.parquet(done), ["route_id"]))
+    return duration_windows(running.join(t.routes(), "route_id"))
+
+
+@query("stream_wave_windows", """SELECT CAST(CAST(event_time AS DATE) AS VARCHAR) AS day, wave, count(*) FILTER (status = 'delivered') AS delivered, count(*) FILTER (status = 'failed') AS failed
+FROM v_scans JOIN v_routes USING (route_id) WHERE status IN ('delivered', 'failed') GROUP BY 1, 2""")
+def stream_wave_windows(t: Inputs) -> DataFrame:
+    """Final scans of each day and wave so far, by windows of event time; scans meet the table of routes in the stream."""
+    out, checkpoint = run_folder(t.spark, "waves"), run_folder(t.spark, "checkpoint")
+    for events in late_event_streams(t):
+        start_updates(wave_windows(scan_columns(events), t.routes()), out, checkpoint).awaitTermination()
+    return current(t.spark.read.parquet(out), ["day", "wave"])
+
+
 @query("stream_tally", """SELECT route_id, max(event_time) AS completed_at, count(*) FILTER (status = 'delivered') AS delivered, count(*) FILTER (status = 'failed') AS failed
 FROM v_scans WHERE status IN ('delivered', 'failed') GROUP BY 1""")
 def stream_tally(t: Inputs) -> DataFrame:

@@ -11,6 +11,9 @@ from parcelspan.functions.geo import utm31_to_wgs84
 from parcelspan.functions.text import norm_text, register_ref, street_line, zero_stripped
 
 
+BAD_RECORD = "_bad"
+
+
 def read_register(spark: SparkSession, path: str, header: Sequence[str], names: Mapping[str, str], sep: str = ",") -> DataFrame:
     """A CSV with a header, every value as text, the named columns under their new names. Only those
     columns are parsed."""
@@ -48,6 +51,37 @@ def csv_verdict(lines: DataFrame, header: str, columns: Sequence[str], min_rows:
     return figures.select(F.col("n").alias("n_rows"), F.col("ragged").alias("ragged_rows"), reason.alias("reason"))
 
 
+def csv_file_verdict(spark: SparkSession, path: str, columns: Sequence[str], min_rows: int, sep: str = ",") -> DataFrame:
+    """The same verdict on CSV files as they are read: a quoted line break belongs to its record, and a quote that is open at the end of a file
+    takes the rest of it. One row per file, with its path; all files have the header of the first line of the first one."""
+    first = spark.read.option("multiLine", True).option("header", False).option("sep", sep).csv(path).limit(1)
+    names = [str(v) for v in first.first()] if not first.isEmpty() else []
+    kept = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"`{c}` string" for c in [*kept, BAD_RECORD])
+    raw = (
+        spark.read.schema(schema).option("multiLine", True).option("header", True).option("sep", sep).option("escape", '"')
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_RECORD).option("enforceSchema", True).csv(path)
+    ).select(*kept, BAD_RECORD, F.col("_metadata.file_path").alias("file"))
+    bad = F.col(BAD_RECORD)
+    quotes = F.char_length(bad) - F.char_length(F.replace(bad, F.lit('"'), F.lit("")))
+    # Names all columns: records are only judged by those that are asked for.
+    read = F.char_length(F.concat_ws("", *kept)) >= 0
+    figures = raw.groupBy("file").agg(
+        F.count_if(read).alias("n_rows"), F.count_if(bad.isNotNull()).alias("ragged_rows"), F.count_if(quotes % 2 == 1).alias("_open")
+    )
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    lacking = [c for c in columns if c not in names]
+    n, ragged = F.coalesce("n_rows", F.lit(0)), F.coalesce("ragged_rows", F.lit(0))
+    reason = (
+        F.when(F.lit(bool(lacking)), F.lit(f"the header lacks {', '.join(lacking)}"))
+        .when(F.coalesce("_open", F.lit(0)) > 0, F.lit("a quote is left open"))
+        .when(ragged > 0, F.concat(ragged.cast("string"), F.lit(" lines have other fields than the header")))
+        .when(n == 0, F.lit("no data rows"))
+        .when(n < min_rows, F.concat(n.cast("string"), F.lit(f" data rows, fewer than {min_rows}")))
+    )
+    return listed.join(figures, "file", "left").select("file", n.alias("n_rows"), ragged.alias("ragged_rows"), reason.alias("reason"))
+
+
 def served_rows(addresses: DataFrame, served: DataFrame, town: str = "municipality") -> DataFrame:
     """Rows of a large register whose town is served: a semi-join on the normalised name."""
     keys = served.where("town IS NOT NULL").select("town").distinct()

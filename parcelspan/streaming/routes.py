@@ -36,3 +36,13 @@ def daily_tally(scans: DataFrame) -> DataFrame:
     return final.groupBy(F.col("event_time").cast("date").cast("string").alias("day")).agg(
         F.count_if(F.col("status") == "delivered").alias("delivered"), F.count_if(F.col("status") == "failed").alias("failed")
     )
+
+
+def wave_windows(scans: DataFrame, routes: DataFrame) -> DataFrame:
+    """Final scans per day's window and wave so far. Scans meet their route's wave in the stream; windows stay open for scans of any age,
+    and a late one states its window again."""
+    final = scans.where(F.col("status").isin("delivered", "failed")).join(routes.select("route_id", "wave"), "route_id")
+    counted = final.groupBy(F.window(F.col("event_time").cast("timestamp"), "1 day").alias("w"), "wave").agg(
+        F.count_if(F.col("status") == "delivered").alias("delivered"), F.count_if(F.col("status") == "failed").alias("failed")
+    )
+    return counted.select(F.col("w.start").cast("date").cast("string").alias("day"), "wave", "delivered", "failed")

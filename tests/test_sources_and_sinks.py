@@ -154,3 +154,34 @@ def test_calendar(spark):
     assert starts == [570, 600, 630, 660, 690, 720]
     promise = [cal.promised_start(F.lit(m), F.lit(480), F.lit(900), 120).alias(f"m{m}") for m in (500, 605, 629, 2000)]
     assert list(spark.range(1).select(*promise).first()) == [480, 540, 540, 780]
+
+
+def test_verdict_on_files_of_unlike_faults(spark, tmp_path):
+    from parcelspan.sources.registers import csv_file_verdict
+
+    head = "code,name,brand\n"
+    bodies = {
+        "whole": '1,"a, ""b""\nsecond line",x\n2,c,y\n', "open": '1,a,x\n2,"b,y\n3,c,z\n', "ragged": '1,a,x\n2,b\n3,c,z,9\n', "few": "1,a,x\n", "none": "",
+    }
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.csv").write_text(head + body)
+    got = {r["file"].split("/")[-1][:-4]: tuple(r)[1:] for r in csv_file_verdict(spark, f"{tmp_path}/*.csv", ("code", "brand"), 2).collect()}
+    assert got["whole"] == (2, 0, None)
+    assert got["open"] == (2, 1, "a quote is left open")
+    assert got["ragged"] == (3, 2, "2 lines have other fields than the header")
+    assert got["few"] == (1, 0, "1 data rows, fewer than 2") and got["none"] == (0, 0, "no data rows")
+    lacking = csv_file_verdict(spark, f"{tmp_path}/few.csv", ("code", "town"), 1).first()
+    assert lacking["reason"] == "the header lacks town"
+
+
+def test_section_points_skip_what_is_no_point(spark, tmp_path):
+    from parcelspan.operators.traffic import nearest_section, polylines
+    from parcelspan.sources.feeds import section_points
+
+    (tmp_path / "s.csv").write_text("section_id,point_seq,lon,lat\n1,2,2.002,41.0\n1,1,2.0,41.0\nx,1,2.0,41.0\n2,1,2.0,41.5\n3,1,,41.0\n")
+    lines = polylines(section_points(spark, str(tmp_path / "s.csv")))
+    got = {r["section_id"]: (r["n_points"], round(r["length_m"])) for r in lines.collect()}
+    assert got == {1: (2, 168), 2: (1, 0)}
+    places = spark.createDataFrame([(1, 41.0005, 2.001), (2, 41.1, 2.0), (3, None, 2.0), (4, 41.0, 2.0025)], "id int, lat double, lon double")
+    near = {r["id"]: (r["section_id"], r["distance_m"] and round(r["distance_m"])) for r in nearest_section(places, lines, "lat", "lon").collect()}
+    assert near == {1: (1, 56), 2: (None, None), 3: (None, None), 4: (1, 42)}
