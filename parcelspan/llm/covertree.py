@@ -15,9 +15,13 @@ The bound is widened by more than its rounding error and ties are searched, so r
 A tree halves nothing blindly: a node's points are covered by children of radius r / `SHRINK` as long as there are few such
 children; otherwise it is a leaf, whose points are multiplied as one matrix. Identical vectors are a leaf of radius 0.
 
-Vectors that are null, hold null or non-finite components, or whose scaled components exceed 2**28 (their products don't fit a
-long) take no part, nor do rows with a null id. Vectors of different length never meet. A query's own row is any row with its
-vec_id; repeated candidate rows each count; repeated query rows are one query. Other columns are not read.
+Scaled components are whole numbers kept as doubles, which hold them exactly whatever their size. Products are made in doubles where they fit
+exactly, in longs where those do, and else in integers of any size; one among the best of a block that fits no long is an error, as is a
+component whose 256-fold is no double.
+
+Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id. Vectors of different length never
+meet. A query's own row is any row with its vec_id; repeated candidate rows each count. Rows that repeat a query's id are one query, by the
+shortest vector and the smallest of those. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelspan.llm.common import written
@@ -37,8 +41,7 @@ from parcelspan.session import run_folder
 K, EVERY = 5, 50
 BLOCK, QUERIES, LEAF, SHRINK = 16_384, 1_024, 256, 1.4
 SAMPLE, PIVOTS = 4_096, 128  # rows of the sample and pivots at most
-LIMIT = 1 << 28
-BLOCKS = "cell int, block bigint, dim int, ids array<bigint>, vectors array<int>, kth array<double>, centre array<double>, radius double, worst double"
+BLOCKS = "cell int, block bigint, dim int, ids array<bigint>, vectors array<double>, kth array<double>, centre array<double>, radius double, worst double"
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -83,7 +86,24 @@ def build(rows: np.ndarray, leaf: int = LEAF) -> Node:
 
 def bound(q: Node, p: Node) -> float:
     most = q.centre @ p.centre + q.norm * p.radius + p.norm * q.radius + q.radius * p.radius
-    return most + 1e-6 + 1e-9 * abs(most)
+    # More than the rounding of a sum whose terms may cancel.
+    return most + 1e-6 + 1e-9 * (q.norm + q.radius) * (p.norm + p.radius)
+
+
+def below(score: int | float) -> float:
+    """A double that is not above the score."""
+    return float(score) if abs(score) < 1 << 53 else float(np.nextafter(float(score), -np.inf))
+
+
+def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """All inner products, exact."""
+    most = max(np.abs(queries).max(initial=0), 1) * max(np.abs(rows).max(initial=0), 1) * max(queries.shape[1], 1)
+    if most < 1 << 53:
+        return queries @ rows.T
+    if most < 1 << 62:
+        return queries.astype(np.int64) @ rows.astype(np.int64).T
+    whole = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape)
+    return whole(queries) @ whole(rows).T
 
 
 class Best:
@@ -100,25 +120,27 @@ class Best:
             query = queries[row]
             some = np.flatnonzero(hits[row])
             some = some[ids[some] != self.ids[query]]
-            scores = np.concatenate([self.scores[query], products[row, some].astype(np.int64)])
+            new = products[row, some]
+            scores = np.concatenate([self.scores[query], new if new.dtype == object else new.astype(np.int64)])
             found = np.concatenate([self.found[query], ids[some]])
-            best = np.lexsort((found, -scores))[: self.k]
+            if scores.dtype == object:
+                best = np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], found[i]))[: self.k], dtype=np.int64)
+            else:
+                best = np.lexsort((found, -scores))[: self.k]
             self.scores[query], self.found[query] = scores[best], found[best]
             if len(best) == self.k:
-                self.kth[query] = max(self.kth[query], scores[best[-1]])
+                self.kth[query] = max(self.kth[query], below(int(scores[best[-1]])))
 
 
 def search(queries: np.ndarray, top: Node, rows: np.ndarray, ids: np.ndarray, tree: Node, best: Best) -> int:
     """Go down both trees together, the most promising pairs first; returns the number of products made."""
-    exact = max(np.abs(queries).max(initial=0), 1) * max(np.abs(rows).max(initial=0), 1) * queries.shape[1] < 1 << 53
-    wide = (lambda m: m) if exact else (lambda m: m.astype(np.int64))
     made, stack = 0, [(bound(top, tree), top, tree)]
     while stack:
         most, q, p = stack.pop()
         if most < best.kth[q.points].min():
             continue
         if not q.children and not p.children:
-            best.add(q.points, ids[p.points], wide(queries[q.points]) @ wide(rows[p.points]).T)
+            best.add(q.points, ids[p.points], products(queries[q.points], rows[p.points]))
             made += len(q.points) * len(p.points)
             continue
         split_q = q.children and (not p.children or q.radius > p.radius)
@@ -135,12 +157,17 @@ def matrix(table: pa.Table | pa.RecordBatch, name: str, dim: int) -> np.ndarray:
 
 def scaled(vectors: DataFrame) -> DataFrame:
     """vec_id, dim and the scaled vector, of rows that take part."""
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * 256) <= float(LIMIT)))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+    def whole(x: Column) -> Column:
+        y = x * 256
+        return F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)  # larger ones are whole
+
     rows = vectors.select(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding")
     ).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     return rows.where(F.coalesce(fine, F.lit(False))).select(
-        "vec_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.floor(x * 256).cast("int")).alias("vector")
+        "vec_id", F.size("embedding").alias("dim"), F.transform("embedding", whole).alias("vector")
     )
 
 
@@ -173,10 +200,12 @@ def in_cells(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 if dim in pivots:
                     at = np.flatnonzero(dims == dim)
                     points, p = matrix(batch.take(pa.array(at)), "vector", dim), pivots[dim]
+                    if np.isinf(points).any():
+                        raise ValueError("a component's 256-fold is no double")
                     cells[at] = (-2 * points @ p.T + (p**2).sum(axis=1)).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], ["vec_id", "dim", "vector", "cell"])
 
-    return rows.mapInArrow(run, "vec_id bigint, dim int, vector array<int>, cell int")
+    return rows.mapInArrow(run, "vec_id bigint, dim int, vector array<double>, cell int")
 
 
 def blocked(rows: DataFrame, size: int) -> DataFrame:
@@ -192,9 +221,9 @@ def query_blocks(queries: DataFrame) -> DataFrame:
         dim, cell, block = (table[c][0].as_py() for c in ("dim", "cell", "block"))
         rows = matrix(table, "vector", dim)
         node = Node(np.arange(len(rows)), rows, rows.mean(axis=0))
-        kth = [-np.inf if x is None else float(x) for x in table["kth"].to_pylist()]
-        values = cell, block, dim, table["vec_id"].to_pylist(), rows.astype(np.int32).reshape(-1), kth, node.centre, node.radius, min(kth)
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64())
+        kth = [-np.inf if x is None else below(x) for x in table["kth"].to_pylist()]
+        values = cell, block, dim, table["vec_id"].to_pylist(), rows.reshape(-1), kth, node.centre, node.radius, min(kth)
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64())
         return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
     return queries.groupBy("dim", "cell", "block").applyInArrow(run, BLOCKS)
@@ -227,6 +256,9 @@ def searched(folder: str, k: int, own_cell: bool):
                 sizes = [len(s) for s in best.scores]
                 out.append((np.repeat(best.ids, sizes), np.concatenate(best.found), np.concatenate(best.scores)))
         columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0, dtype=np.int64) for i in range(3)]
+        if columns[2].dtype == object and any(abs(score) >= 1 << 63 for score in columns[2]):
+            raise OverflowError("a score among the best of a block does not fit a long")
+        columns = [c.astype(np.int64) for c in columns]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
     return run
@@ -244,7 +276,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     pivots = pivots_of(rows, rows.count())
     cells = written(spark, in_cells(rows, pivots), "cells")
     blocks = written(spark, blocked(cells, BLOCK), "blocks")
-    asked = cells.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "dim"])
+    asked = cells.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "vector", "cell")).alias("q"))
+    asked = asked.select("vec_id", "q.dim", "q.vector", "q.cell")
 
     def query_table(kth: DataFrame | None) -> str:
         known = asked.withColumn("kth", F.lit(None).cast("bigint")) if kth is None else asked.join(kth, "vec_id", "left")

@@ -34,7 +34,7 @@ from parcelspan.llm.common import written
 from parcelspan.session import run_folder
 
 MAGIC = b"\x1f\x8b\x08"
-SPLIT, CHUNK, HEAD = 32 << 20, 1 << 16, 1 << 14  # bytes of a range, of a step of decoding, of a header at most
+SPLIT, CHUNK, HEAD = 32 << 20, 1 << 16, 1 << 14  # bytes of a range, of a step of decoding, and of a header's first look
 FILE_BYTES = 512 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,17 +86,17 @@ def targets(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write the archives; a row per file: its path and length."""
+    """Write the archives; a row per file: its path, its length and the records of pages in it."""
     spark = pages.sparkSession
     folder = run_folder(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = FileSystem.from_uri(folder)
-        out, name, size, done = None, "", 0, []
+        out, name, size, pages_in, done = None, "", 0, 0, []
 
         def close() -> None:
             out.close()
-            done.append((f"{folder}/{name}", size))
+            done.append((f"{folder}/{name}", size, pages_in))
 
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -107,20 +107,23 @@ def write(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_BYTES) ->
                     about = [("WARC-Record-ID", info), ("WARC-Warcinfo-ID", info), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")]
                     first = member("warcinfo", about, b"format: WARC File Format 1.1\r\n")
                     out.write(first)
-                    size = len(first)
+                    size, pages_in = len(first), 0
                 data = page_record(info, page_id, url, payload, refers_to)
                 out.write(data)
-                size += len(data)
+                size, pages_in = size + len(data), pages_in + 1
                 if size >= file_bytes:
                     close()
                     out = None
         if out is not None:
             close()
         yield pa.RecordBatch.from_pydict(
-            {"path": pa.array([p for p, _ in done], pa.string()), "length": pa.array([n for _, n in done], pa.int64())}
-        )
+            {
+                "path": pa.array([d[0] for d in done], pa.string()), "length": pa.array([d[1] for d in done], pa.int64()),
+                "records": pa.array([d[2] for d in done], pa.int64()),
+            }
+        )
 
-    return written(spark, targets(pages, min_bytes).mapInArrow(run, "path string, length bigint"), "warc-files")
+    return written(spark, targets(pages, min_bytes).mapInArrow(run, "path string, length bigint, records bigint"), "warc-files")
 
 
 class Range:
@@ -158,19 +161,24 @@ def fields_of(head: bytes) -> dict[str, str]:
 
 
 def is_record(data: Range, at: int, info: str | None) -> bool:
-    """Whether a record of this archive starts here."""
-    try:
-        head, end, _ = data.decode(at, HEAD)[0].partition(b"\r\n\r\n")
-    except zlib.error:
-        return False
-    return bool(end) and head.startswith(b"WARC/1.") and info in (None, fields_of(head).get("WARC-Warcinfo-ID"))
+    """Whether a record of this archive starts here. Headers have no greatest length: what begins as one is decoded on until it ends."""
+    most = HEAD
+    while True:
+        try:
+            begun = data.decode(at, most)[0]
+        except zlib.error:
+            return False
+        head, end, _ = begun.partition(b"\r\n\r\n")
+        if end or not begun.startswith(b"WARC/1.") or len(begun) < most:
+            return bool(end) and head.startswith(b"WARC/1.") and info in (None, fields_of(head).get("WARC-Warcinfo-ID"))
+        most *= 4
 
 
 def members(file, start: int, end: int, info: str | None) -> Iterator[bytes]:
     """The records that start in [start, end)."""
     data = Range(file, start, end)
     at = -1
-    while (at := bytes(data.data).find(MAGIC, at + 1) if data.upto(at + 3) else -1) >= 0 and start + at < end:
+    while (at := data.data.find(MAGIC, at + 1) if data.upto(at + 3) else -1) >= 0 and start + at < end:
         if is_record(data, at, info):
             break
     else:
@@ -241,6 +249,16 @@ def read(files: DataFrame, split: int = SPLIT, with_payload: bool = True) -> Dat
     return ranges.mapInArrow(run, schema)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def complete(files: DataFrame, records: DataFrame) -> DataFrame:
+    """The records, after their number has been compared with what the writer counted; a difference is an error."""
+    kept = written(records.sparkSession, records, "warc-records")
+    wrote, found = files.agg(F.sum("records")).first()[0] or 0, kept.count()
+    if wrote != found:
+        raise ValueError(f"{wrote} records were written and {found} read")
+    return kept
+
+
+def round_trip(pages: DataFrame, file_bytes: int = FILE_BYTES, split: int = SPLIT) -> DataFrame:
     """Write the pages, read the archives back."""
-    return read(write(pages), with_payload=False).drop("url")
+    files = write(pages, file_bytes=file_bytes)
+    return complete(files, read(files, split, with_payload=False).drop("url"))

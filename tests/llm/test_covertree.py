@@ -12,12 +12,12 @@ def brute(rows, k=5, every=50):
     fine = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            fine.append((i, np.floor(256 * np.array(v, dtype=np.float64)).astype(np.int64)))
+            fine.append((i, np.array([math.floor(256 * float(x)) for x in v], dtype=object)))
     out, done = set(), set()
-    for i, q in fine:
-        if i % every == 0 and (i, len(q)) not in done:
-            done.add((i, len(q)))
-            scores = sorted((-int(q @ v), j) for j, v in fine if j != i and len(v) == len(q))
+    for i, q in sorted(fine, key=lambda r: (len(r[1]), r[1].tolist())):
+        if i % every == 0 and i not in done:
+            done.add(i)
+            scores = sorted((-int(sum(q * v)), j) for j, v in fine if j != i and len(v) == len(q))
             out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])}
     return out
 
@@ -75,3 +75,18 @@ def test_trees_cover_and_prune():
     best = ct.Best(np.array([-1]), np.array([-np.inf]), 1)
     ct.search(wide, ct.build(wide), wide, np.array([5]), ct.build(wide), best)
     assert int(best.scores[0][0]) == 2**54 + (2**27 + 1) ** 2
+
+
+def test_components_of_any_size(spark):
+    """Finite vectors take part whatever their size; cancelling products stay exact, and what fits no long is an error."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.integers(-3, 6)]) for i in range(400)]
+    rows += [(450, [2.0**21, 1.0, -(2.0**21), 0.5]), (2, [2.0**21, 3.0, 2.0**21, 0.25]), (500, [2.0**40, 2.0**-8, 0.0])]
+    rows += [(3, [0.0, 2.0**40, 7.0]), (4, [2.0**-8, 2.0**40, 7.0]), (5, [-(2.0**-8), 2.0**41, 1.0]), (6, [2.0**-7, 0.0, 0.0])]
+    rows += [(550, [1.0, 2.0, 3.0, 4.0]), (550, [1.0, 2.0, 3.0, 3.5]), (550, [7.0, 7.0]), (551, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = brute(rows)
+    assert {q for q, *_ in want} >= {450, 500, 550} and max(abs(s) for *_, s in want) > 1 << 53
+    assert {tuple(r) for r in ct.top_k(df.repartition(3)).collect()} == want
+    with pytest.raises(Exception, match="does not fit a long"):
+        ct.top_k(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id bigint, embedding array<double>")).collect()

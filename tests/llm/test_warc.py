@@ -77,3 +77,19 @@ def test_every_split_owns_each_record_once(tmp_path):
     broken = found[3].replace(b"pp", b"pq")
     with pytest.raises(ValueError, match="differs"):
         warc.parsed(broken, True)
+
+
+def test_headers_longer_than_any_step_are_records_of_any_range(spark):
+    import random
+
+    draw = random.Random(4)
+    long_ = lambda: "data:" + "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(90_000))
+    rows = [(i, long_() if i % 3 == 0 else f"u{i}", f"page {i % 20}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    want = expected([(r[0], r[2]) for r in rows])
+    for split in (1 << 25, 20_000, 5_000):
+        got = warc.round_trip(pages, split=split).collect()
+        assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=repr) == want
+    files = warc.write(pages)
+    with pytest.raises(ValueError, match="60 records were written and 59 read"):
+        warc.complete(files, warc.read(files, with_payload=False).where("page_id <> 7"))
