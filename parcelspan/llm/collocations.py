@@ -421,3 +421,21 @@ def phrases(
     first = found.withColumn("_part", part).withColumn("_at", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order)))
     last = first.where(F.col("_at") <= top).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     return last.where(F.col("rank") <= top).select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+# The same for `least` 100, five words, `share` 100 and 2,000 phrases.
+SQL = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
+e AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM e JOIN (SELECT unnest(range(1, 6)) AS k) ks ON i + k - 1 <= len(ws) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS s FROM g WHERE k > 1),
+inner_ AS (SELECT lang, unnest([array_to_string(s[1:k - 1], ' '), array_to_string(s[2:k], ' ')]) AS phrase, a FROM c WHERE k > 2),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN longer o ON c.lang = o.lang AND c.phrase = o.phrase WHERE o.most IS NULL OR o.most < c.a),
+cuts AS (SELECT lang, phrase, a, j, array_to_string(s[1:j], ' ') AS lp, array_to_string(s[j + 1:k], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) x),
+scored AS (SELECT u.lang, u.phrase, u.a, u.j, l.f AS l, r.f AS r, n.n, CAST((1000::HUGEINT * u.a * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+ FROM cuts u JOIN g l ON u.lang = l.lang AND u.lp = l.phrase JOIN g r ON u.lang = r.lang AND u.rp = r.phrase JOIN n ON u.lang = n.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000"""

@@ -55,4 +55,9 @@ def shipped(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 QUERIES = {name: shipped(build) for name, build in _BUILT.items()}
-SQL: dict[str, str] = {"op2_line_dedup": lines.SQL}
+SQL: dict[str, str] = {
+    "op2_line_dedup": lines.SQL,
+    "op6_top_k": covertree.SQL,
+    "op8_near_duplicates": minhash.SQL,
+    "op12_collocations": collocations.SQL,
+}
