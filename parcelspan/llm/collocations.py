@@ -208,7 +208,11 @@ class Dealt:
         rest = np.zeros(len(grams), dtype=np.int64)
         for place in range(1, grams.shape[1]):
             rest += np.where(lengths > place, (place + 1) * checks[grams[:, place]], 0)
-        return (checks[grams[:, 0]] * self.firsts >> 32) * self.split + rest % self.split
+        rest %= self.split
+        first = checks[grams[:, 0]]
+        first *= self.firsts
+        first >>= 32
+        return (first * self.split + rest).astype(np.int32)
 
 
 def parts_of(dealt: Dealt, chunk: int, words: list[bytes], grams: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> Iterator[dict]:
@@ -219,13 +223,13 @@ def parts_of(dealt: Dealt, chunk: int, words: list[bytes], grams: np.ndarray, le
     begins = np.flatnonzero(np.diff(ranges[order], prepend=-1))
     for begin, stop in zip(begins, [*begins[1:], len(order)], strict=True):
         rows = order[begin:stop]
-        some, size = grams[rows], lengths[rows]
+        some, size = grams[rows].astype(np.int64), lengths[rows].astype(np.int64)
         inside = np.arange(grams.shape[1]) < size[:, None]
         numbers = np.unique(some[inside])
         numbers = numbers[np.lexsort((numbers, checks[numbers]))]  # the words' order: by checksum
         label = np.zeros(int(numbers.max()) + 1, dtype=np.int64)
         label[numbers] = np.arange(len(numbers))
-        built = Automaton.build(np.where(inside, label[np.where(inside, some, numbers[0])], 0), size, weights[rows])
+        built = Automaton.build(np.where(inside, label[np.where(inside, some, numbers[0])], 0), size, weights[rows].astype(np.int64))
         yield {"range": int(ranges[rows[0]]), "chunk": chunk, "words": [words[n - 1] for n in numbers.tolist()],
                "numbers": numbers.astype("<u4").tobytes(), "automaton": built.dump()}
 
@@ -237,20 +241,33 @@ FOUND_TYPE = pa.schema([
 ])
 
 
+def counted_pairs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of neighbours with no separator between them, as numbers of 64 bits, and how often each occurs."""
+    pairs = tokens[:-1].astype(np.int64)
+    pairs <<= 32
+    pairs |= tokens[1:]
+    pairs = pairs[(tokens[:-1] > 0) & (tokens[1:] > 0)]
+    pairs.sort()
+    firsts = np.flatnonzero(np.diff(pairs, prepend=-1))
+    return pairs[firsts], np.diff(firsts, append=len(pairs))
+
+
 def short_grams(dealt: Dealt, table: DataFrame) -> DataFrame:
     """Automata of the shards' words and pairs of neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
+                tokens = np.frombuffer(row["tokens"], "<u4")
                 singles, n_single = np.unique(tokens[tokens > 0], return_counts=True)
-                both = (tokens[:-1] > 0) & (tokens[1:] > 0)
-                pairs, n_pair = np.unique(tokens[:-1][both] << 32 | tokens[1:][both], return_counts=True)
-                del tokens, both
-                grams = np.concatenate([np.stack([singles, 0 * singles], axis=1), np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1)])
-                lengths = np.repeat([1, 2], [len(singles), len(pairs)])
-                for part in parts_of(dealt, row["chunk"], row["words"], grams, lengths, np.concatenate([n_single, n_pair])):
+                pairs, n_pair = counted_pairs(tokens)
+                grams = np.zeros((len(singles) + len(pairs), 2), dtype=np.uint32)
+                grams[: len(singles), 0] = singles
+                grams[len(singles) :, 0], grams[len(singles) :, 1] = pairs >> 32, pairs & 0xFFFFFFFF
+                lengths = np.repeat(np.array([1, 2], dtype=np.int8), [len(singles), len(pairs)])
+                weights = np.concatenate([n_single, n_pair]).astype(np.uint32)
+                del tokens, singles, n_single, pairs, n_pair, row["tokens"]
+                for part in parts_of(dealt, row["chunk"], row["words"], grams, lengths, weights):
                     yield pa.RecordBatch.from_pylist([part], schema=PART_TYPE)
 
     return table.select("chunk", "words", "tokens").mapInArrow(run, PART)
