@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from parcelspan.llm.common import written
 
-SHARD_TOKENS, SHARD_WORDS = 6_000_000, 600_000  # a shard ends when it reaches either
-RANGE_TOKENS, SPLIT = 500_000, 8  # tokens of the corpus for each range, and the parts a first word's n-grams are dealt into
+SHARD_TOKENS, SHARD_WORDS = 3_000_000, 600_000  # a shard ends when it reaches either
+RANGE_TOKENS, SPLIT = 1_000_000, 8  # tokens of the corpus for each range, and the parts a first word's n-grams are dealt into
 UNKNOWN = "und"
 # Pieces end at these; inside the workers a full stop stands for all of them.
 ENDS = bytes(b"."[0] if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -280,13 +280,16 @@ def long_grams(dealt: Dealt, table: DataFrame, kept: DataFrame, most: int) -> Da
         parts: list[dict] = []
         if shard.num_rows and told.num_rows:
             pairs = np.sort(np.concatenate([np.frombuffer(p, "<i8") for p in told.column("pairs").to_pylist()]))
-            tokens = np.frombuffer(shard.column("tokens")[0].as_py(), "<u4").astype(np.int64)
-            both = tokens[:-1] << 32 | tokens[1:]
-            near = pairs[np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)] == both
-            starts = np.flatnonzero(near)
+            tokens = np.frombuffer(shard.column("tokens")[0].as_py(), "<u4")
+            near, states = np.zeros(max(0, len(tokens) - 1), dtype=bool), []
+            for at in range(0, len(near), 1 << 18):  # a stretch at a time
+                both = tokens[:-1][at : at + (1 << 18)].astype(np.int64) << 32 | tokens[1:][at : at + (1 << 18)]
+                met = pairs[np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)] == both
+                near[at : at + (1 << 18)] = met
+                states.append(both[met])
+            starts, states = np.flatnonzero(near), np.concatenate(states) if states else np.zeros(0, dtype=np.int64)
             grams, lengths, weights = [], [], []
             # States of the automaton along the text: a longer n-gram's is that of the n-gram before its last word, and that word.
-            states = both[starts]
             for size in range(3, most + 1):
                 inside = starts + size - 2 < len(near)
                 starts, states = starts[inside], states[inside]
