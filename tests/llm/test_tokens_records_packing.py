@@ -136,6 +136,25 @@ def test_local_search_beats_or_equals_best_fit():
     assert won > 0
 
 
+def test_search_ends_only_at_a_local_optimum():
+    sizes = [400] * 3000 + [300] * 1000 + [224] * 1000
+    assert max(packing.pack_sizes(sizes)[0]) + 1 <= 1750
+    rng = random.Random(8)
+    for _ in range(30):
+        sizes = [rng.randint(1, rng.choice([20, 60, 90])) for _ in range(rng.randint(2, 40))]
+        place, _ = packing.pack_sizes(sizes, 100)
+        bins = [[s for p, s in zip(place, sizes, strict=True) if p == b] for b in set(place)]
+        if len(bins) == -(-sum(sizes) // 100):
+            continue
+        for into, giver in itertools.permutations(bins, 2):
+            if sum(giver) > sum(into):
+                continue
+            for out, given in ((0, 1), (1, 1), (2, 1), (1, 2)):
+                for o in itertools.combinations(into, out):
+                    for g in itertools.combinations(giver, given):
+                        assert not sum(into) < sum(into) - sum(o) + sum(g) <= 100, (into, giver, o, g)
+
+
 def test_cut():
     assert packing.cut(1) == [(0, 1)] and packing.cut(1024) == [(0, 1024)]
     assert packing.cut(1025) == [(0, 1), (1, 1024)] and packing.cut(2100) == [(0, 52), (52, 1024), (1076, 1024)]
