@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 BASE_KINDS = ("email", "ip", "card", "phone")
 BLOCK = 1024
 NEAR, CONTEXT, KEEP = 40, 0.4, 0.7
+SHORTEST = 5  # a@b.c
+AHEAD = -(-NEAR // SHORTEST)
 
 
 @dataclass(frozen=True)
@@ -122,14 +124,21 @@ def matches(text: Column, kind: Kind) -> Column:
 def proposals(found: Column, between: Column, kind: Kind) -> Column:
     """Valid matches: array of (start, end, before)."""
     gaps = F.slice(between, F.lit(1), F.size(found))
+    # The ends of what each match closes: the nearest few of them and the gap hold the `NEAR` code points before a match,
+    # earlier matches included. Every match has `SHORTEST` code points or more.
+    last = lambda text: F.substr(text, F.greatest(F.lit(1), F.length(text) - NEAR + 1))
+    tails = F.zip_with(gaps, found, lambda gap, hit: last(F.concat(gap, hit)))
+    some = lambda all_, i: F.array_join(F.slice(all_, F.greatest(F.lit(1), i - AHEAD + 1), F.least(i, F.lit(AHEAD))), "")
+    # As an element of an array they are made once, not once a match.
+    tails = F.transform(F.array(tails), lambda all_: F.transform(all_, lambda _, i: some(all_, i)))[0]
     steps = F.zip_with(gaps, found, lambda gap, hit: (F.length(gap) + F.length(hit)).cast("bigint"))
     spans = F.zip_with(
-        F.arrays_zip(running(steps).alias("at"), gaps.alias("gap")),
+        F.arrays_zip(running(steps).alias("at"), gaps.alias("gap"), tails.alias("tail")),
         found,
         lambda place, hit: F.struct(
             (place["at"] + F.length(place["gap"])).alias("start"),
             (place["at"] + F.length(place["gap"]) + F.length(hit)).alias("end"),
-            F.lower(F.substr(place["gap"], F.greatest(F.lit(1), F.length(place["gap"]) - NEAR + 1))).alias("before"),
+            F.lower(last(F.concat(place["tail"], last(place["gap"])))).alias("before"),
             valid(kind.name, hit).alias("ok"),
         ),
     )

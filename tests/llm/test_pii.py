@@ -79,6 +79,19 @@ def test_checksums_and_context(spark):
     assert one("my ssn is 123-45-6789") == ["tax_id"] and one("order 123-45-6789") == []
     assert one("phone: (555) 123-4567") == ["local_phone"] and one("row (555) 123-4567") == []
     assert one("mail a@b.co")[0] == "email"
+    # The words before a list count for all that is near enough, matches between them included.
+    assert one("SSN: 123-45-6789, 234-56-7890") == ["tax_id"] * 2
+    assert one("Phone: (555) 123-4567 or (555) 765-4321") == ["local_phone"] * 2
+    assert one("SSN: " + ", ".join(["123-45-6789"] * 6)) == ["tax_id"] * 3  # the fourth starts 44 code points later
+
+
+def test_context_is_what_stands_before_in_the_text(spark):
+    texts = ["mail " + "a@b.c " * 9, "x@y.zz,call a@b.c 1.2.3.4 +1 234 567 8901 9.9.9.9 +12 34567890123 tel", "ü" * 50 + " ip 1.2.3.4 5.6.7.8 " + "1.1.1.1 " * 30]
+    for r in pii.find_pii(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        for x in r.pii:
+            kind = next(k for k in pii.KINDS if k.name == x.kind)
+            near = re.search(rf"\b(?:{kind.context})\b", r.text[max(0, x.start - pii.NEAR) : x.start].lower())
+            assert x.score == min(1.0, round(kind.score + kind.checked + (pii.CONTEXT if near else 0), 2)), (r.text, x)
 
 
 def test_redact_and_empty(spark):
