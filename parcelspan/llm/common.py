@@ -36,6 +36,14 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, with as many underscores before them as it takes for no column of the table to have one of them."""
+    taken = {c.lower() for c in df.columns}
+    while any(n in taken for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspan.llm.common import lower_ascii
+from parcelspan.llm.common import free_names, lower_ascii
 
 BITS = 20
 TRAIN_ROWS = 20_000
@@ -55,8 +55,8 @@ def features(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return (mixed >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(owners)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    lists = batch.column(batch.schema.get_field_index("_tox_words"))
+def slices(batch: pa.RecordBatch, name: str = "_tox_words") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    lists = batch.column(batch.schema.get_field_index(name))
     offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     for at in range(0, len(lists), SLICE):
         to = min(at + SLICE, len(lists))
@@ -106,12 +106,15 @@ def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Weights learnt from labelled documents: the feature numbers, ascending, and their weights."""
     usable = labels.select("doc_id", F.col("toxic").cast("double").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    usable = usable.groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
     share = min(1.0, train_rows / max(1, usable.count()))
     drawn = usable.withColumn("place", F.xxhash64(F.lit(7), "doc_id")).where(
         F.abs(F.col("place") % 1_000_000) < int(share * 1_000_000)
     )
     # The drawn labels are about `train_rows` rows of three numbers, so they can be sent to all tasks.
+    # Of rows that repeat a doc_id one is learnt, so the fitting task gets no more rows than labels.
     sample = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    sample = sample.groupBy("doc_id", "place", "toxic").agg(F.min("text").alias("text"))
     sample = sample.select("place", "toxic", word_hashes(F.col("text")).alias("_tox_words")).repartition(1)
     model = sample.mapInArrow(train, "index bigint, weight double").collect()
     if not model:  # no partition at all
@@ -124,6 +127,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
 def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "toxic_score") -> DataFrame:
     """Add a column, the probability of the label 1, to every document."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
+    (listed,) = free_names(documents, "_tox_words")
     kept = [c for c in documents.columns if c != name]
     out = documents.select(*kept).schema.add(name, "double")
 
@@ -134,7 +138,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str
         bias = float(weights[index == -1][0])
         for batch in batches:
             total = np.full(batch.num_rows, bias)
-            for at, to, flat, counts in slices(batch):
+            for at, to, flat, counts in slices(batch, listed):
                 number, owner = features(flat, counts)
                 hit = dense[number] != 0
                 keys = np.unique(owner[hit] << BITS | number[hit])
@@ -143,7 +147,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(p)], [*kept, name])
 
-    return documents.select(*kept, word_hashes(F.col("text")).alias("_tox_words")).mapInArrow(run, out)
+    return documents.select(*kept, word_hashes(F.col("text")).alias(listed)).mapInArrow(run, out)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -166,4 +170,5 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted toxic, with all their columns."""
     model = fit(documents, labels.where(~held_out()))
-    return score(documents, model, "_tox_score").where(F.col("_tox_score") < THRESHOLD).select(*documents.columns)
+    (name,) = free_names(documents, "_tox_score")
+    return score(documents, model, name).where(F.col(name) < THRESHOLD).select(*documents.columns)

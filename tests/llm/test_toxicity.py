@@ -41,6 +41,37 @@ def test_odd_rows(spark):
     assert tox.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
+def test_fit_equals_plain_loops_and_learns_one_row_a_document(spark):
+    texts = {i: " ".join(f"w{(i * 7 + k) % 11}" for k in range(i % 5 + 1)) for i in range(40)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(3, texts[3])] * 300, "doc_id bigint, text string").cache()
+    labels = spark.createDataFrame([(i, i % 3 // 2) for i in texts] + [(3, 0)] * 50, "doc_id bigint, toxic int")
+    got = dict(zip(*[x.tolist() for x in tox.fit(docs, labels)], strict=True))
+    hashed = docs.dropDuplicates(["doc_id"]).select("doc_id", F.xxhash64(F.lit(7), "doc_id").alias("place"), tox.word_hashes(F.col("text")).alias("w"))
+    rows = []
+    for r in sorted(hashed.collect(), key=lambda r: r.place):
+        index, _ = tox.features(np.array(r.w, dtype=np.int64), np.array([len(r.w)]))
+        rows.append((r.doc_id % 3 // 2, sorted(set(index.tolist()))))
+    share = (sum(y for y, _ in rows) + 0.1) / (len(rows) + 1)
+    z, n, bias, bias_n = {}, {}, math.log(share / (1 - share)), 0.0
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= tox.L1 else (math.copysign(tox.L1, zi) - zi) / ((tox.BETA + math.sqrt(ni)) / tox.ALPHA + tox.L2)
+
+    for _ in range(tox.EPOCHS):
+        for y, index in rows:
+            w = {i: weight(i) for i in index}
+            g = 1 / (1 + math.exp(-max(-35, min(35, bias + sum(w.values()))))) - y
+            for i in index:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / tox.ALPHA * w[i]
+                n[i] = old + g * g
+            bias_n += g * g
+            bias -= tox.ALPHA * g / (tox.BETA + math.sqrt(bias_n))
+    want = {i: weight(i) for i in z if weight(i)} | {-1: bias}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6, abs_tol=1e-9) for i in want)
+
+
 def test_held_out_accuracy_and_determinism(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
