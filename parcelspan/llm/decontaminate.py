@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspan.llm.common import written
+from parcelspan.llm.common import free_names, written
 
 WIDTH, LITERAL, SHARE = 8, 4, 0.5
 SENT = 1_000_000  # windows, of two numbers each
@@ -202,5 +202,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    found = find(documents.select("text"), benchmark).select(F.col("_text").alias("_leak")).distinct()
-    return documents.join(found, F.xxhash64(documents["text"]) == F.col("_leak"), "leftanti")
+    (leak,) = free_names(documents, "_leak")
+    # Written first, so that its size is known when the join is planned.
+    found = written(documents.sparkSession, find(documents.select("text"), benchmark).select(F.col("_text").alias(leak)).distinct(), "leaks")
+    return documents.join(found, F.xxhash64("text") == F.col(leak), "leftanti")

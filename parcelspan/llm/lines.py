@@ -10,7 +10,8 @@ A line is dropped if an earlier document (by doc_id) has a line with a template
 it, and lines repeated inside one document stay. Lines of fewer than `LEAST` tokens are never dropped. Nothing is capped or
 sampled: every line of every document takes part.
 
-Documents that lose all their words are dropped by `dedup_lines` (they were copies); those that had none, null texts
+Documents that keep fewer than one in `REMNANT` of their words are dropped by `dedup_lines`: they were copies, and what short lines are
+left of them resembles nothing any more. Those that had no words, null texts
 among them, stay as they are, and so do documents without a dropped line, to the character. Rows that share a
 doc_id are one document. Rows with a null doc_id neither lose lines nor make others lose any. Other columns are carried
 along; their names don't matter.
@@ -21,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspan.llm.common import written
+from parcelspan.llm.common import free_names, words, written
 
 LEAST, GENERAL = 5, 8
 LEADING, FIELDS = 2, 5
+REMNANT = 10
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -68,25 +70,30 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     return late.groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
 
 
-def without_dropped(documents: DataFrame) -> DataFrame:
-    """All documents with `_clean`, the text that is left, `_lines` and `_dropped`, the number of lines and of dropped ones."""
-    gone = dropped_lines(documents).select(F.col("doc_id").alias("_gone_id"), F.col("dropped").alias("_gone"))
-    rows = documents.join(gone, F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id")
+def without_dropped(documents: DataFrame, clean: str = "_clean", n_lines: str = "_lines", n_dropped: str = "_dropped") -> DataFrame:
+    """All documents with the text that is left, the number of lines and of dropped ones, in columns of these names."""
+    gone_id, gone = free_names(documents, "_gone_id", "_gone")
+    found = dropped_lines(documents).select(F.col("doc_id").alias(gone_id), F.col("dropped").alias(gone))
+    rows = documents.join(found, F.col("doc_id") == F.col(gone_id), "left").drop(gone_id)
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(gone, i))
     return rows.withColumns(
         {
-            "_clean": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-            "_lines": F.size(lines).cast("bigint"),
-            "_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"),
+            clean: F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
+            n_lines: F.size(lines).cast("bigint"),
+            n_dropped: F.coalesce(F.size(gone), F.lit(0)).cast("bigint"),
         }
-    ).drop("_gone")
+    ).drop(gone)
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
-    """Documents without the lines that recur, with all their columns; documents that lose all words are left out."""
-    cleaned = without_dropped(documents).where((F.col("_dropped") == 0) | F.col("_clean").rlike(r"[^\x20\x09-\x0D]"))
-    return cleaned.select(*[F.col("_clean").alias("text") if c == "text" else F.col(c) for c in documents.columns])
+    """Documents without the lines that recur, with all their columns; documents that lose all words, or all but one in `REMNANT`, are
+    left out."""
+    clean, n_lines, n_dropped = free_names(documents, "_clean", "_lines", "_dropped")
+    left, had = F.size(words(F.col(clean))), F.size(words(F.col("text")))
+    cleaned = without_dropped(documents, clean, n_lines, n_dropped)
+    cleaned = cleaned.where((F.col(n_dropped) == 0) | ((left > 0) & (left * REMNANT >= had)))
+    return cleaned.select(*[F.col(clean).alias("text") if c == "text" else F.col(c) for c in documents.columns])
 
 
 def line_digest(documents: DataFrame) -> DataFrame:

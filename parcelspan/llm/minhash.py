@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspan.llm.common import lower_ascii, words, written
+from parcelspan.llm.common import free_names, lower_ascii, words, written
 
 WIDTH, PERMS, TREES = 5, 64, 16
 DEPTHS = (4, 8, 16)
@@ -295,13 +295,14 @@ def drop_near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFr
     all stay; of rows that repeat the kept document, one stays."""
     found = find(documents, percent)
     kept = found.where("node IS NOT NULL").select(F.col("component_id").alias("doc_id"), "node", F.col("doc_id").alias("_own"))
-    kept = kept.where(F.col("_own").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    rows = documents.withColumns({"_words": F.size(words(F.col("text"))), "_class": hashed(F.col("text"))[0]})
-    empty = rows.where("_words = 0").select(*documents.columns)
-    some = rows.where("_words > 0").join(
-        kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_node")), "leftsemi"
+    id_, node, count, class_ = free_names(documents, "_id", "_node", "_words", "_class")
+    kept = kept.where(F.col("_own").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(id_), F.col("node").alias(node)).distinct()
+    rows = documents.withColumns({count: F.size(words(F.col("text"))), class_: hashed(F.col("text"))[0]})
+    empty = rows.where(F.col(count) == 0).select(*documents.columns)
+    some = rows.where(F.col(count) > 0).join(
+        kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(class_) == F.col(node)), "leftsemi"
     )
-    return some.dropDuplicates(["doc_id", "_class"]).select(*documents.columns).union(empty)
+    return some.dropDuplicates(["doc_id", class_]).select(*documents.columns).union(empty)
 
 
 # The same for links from 85 of 100; ids are not repeated.

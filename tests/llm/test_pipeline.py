@@ -2,8 +2,10 @@
 
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_decontaminate import brute as brute_leaks
 from test_lines import brute as brute_lines
+from test_lines import whole
 from test_minhash import brute as brute_near
 from test_tokens_records_packing import check_packing
 
@@ -28,7 +30,7 @@ def test_stages(spark):
             predicted = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs, labels).collect()}
             assert set(got) == {d for d, p in predicted.items() if not p}
         elif name == "line_dedup":
-            assert got == {d: c for d, t, c in brute_lines(rows) if c == t or (c or "").strip()}
+            assert got == {d: c for d, t, c in brute_lines(rows) if whole(t, c)}
         elif name == "near_dedup":
             assert set(got) == {c for _, _, c in brute_near(rows, 80)}
         elif name == "decontamination":
@@ -41,6 +43,21 @@ def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
 
 
+def test_columns_named_like_those_of_the_stages(spark):
+    folder = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["_gone", "_gone_id", "_id", "_NODE", "_leak", "_tox_words", "_tox_score", "_clean", "_dropped", "_lines", "_class", "_words", "_text", "node"]
+    docs = given.select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names]).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, plain = stage(spark, docs, folder).cache(), stage(spark, given, folder)
+        assert out.columns == docs.columns
+        assert out.where(" OR ".join(f"`{n}` <> concat('{n}', doc_id)" for n in names)).count() == 0
+        key = lambda r: repr(tuple(r))
+        assert sorted(map(key, out.select(*given.columns).collect())) == sorted(map(key, plain.collect())), name
+        docs, given = out, out.select(*given.columns)
+    assert corpus_pipeline.packing_stage(spark, docs, folder).count() > 0
+
+
 def test_odd_rows(spark):
     folder = "/root/testdata/sf0.001"
     given = spark.read.parquet(f"{folder}/documents.parquet")
