@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelspan.operators.ordered import MAX_KEY_ROWS, Wanted, annotate
 from parcelspan.operators.temporal import asof_join
+from parcelspan.session import run_folder
 
 
 def largest_remainder(df: DataFrame, keys: Sequence[str], item: str, weight: str, total: str, into: str) -> DataFrame:
@@ -88,8 +89,8 @@ def capacity_slices(
     max_rows: int = MAX_KEY_ROWS,
 ) -> DataFrame:
     """Consecutive slices of the ordered orders, one per van, in proportion to capacity: an order goes
-    to the first van whose cumulative target lies above the parcels before it. There is no limit on
-    minutes and no second try for what overflows a van."""
+    to the first van whose cumulative target lies above the parcels before it. `limited_slices` has limits on parcels
+    and minutes too; there is no second try for what overflows."""
     filled = annotate(
         orders, keys, order, Wanted(running_sum={"_upto": F.col(parcels).cast("bigint")}), max_rows
     ).withColumn("_before", F.col("_upto") - F.col(parcels))
@@ -99,3 +100,69 @@ def capacity_slices(
     shares = cumulative_share(options, keys, [van], capacity, "_share", max_rows)
     chosen = pick_by_share(sized, shares, keys, "_u", van, "_share", max_rows)
     return chosen.drop("_upto", "_before", "_total", "_u")
+
+
+def limited_slices(
+    orders: DataFrame,
+    vans: DataFrame,
+    keys: Sequence[str],
+    fleet: Sequence[str],
+    order: Sequence[str],
+    parcels: str,
+    minutes: str,
+    van: str,
+    capacity: str,
+    max_minutes: float,
+    max_rows: int = MAX_KEY_ROWS,
+) -> DataFrame:
+    """Consecutive slices of the ordered orders of each group, one per van of the group's fleet (`fleet`: those of the keys that name it), by
+    three limits: a van takes orders until the next one would go over its capacity or over the minutes, or until it has its share of the
+    group's parcels; the last van has no share. What is left after the last van has none (null). Null parcels and minutes count as 0;
+    neither may be negative.
+
+    Sums along the order are made once. They only grow, so where a van stops is the least place at which a limit is passed: one aggregate for the
+    van of that number of all groups at once, a row a group. There are as many rounds as the largest fleet has vans, or fewer once all orders
+    are dealt out; each starts from a written table and reads only the orders behind its start.
+    """
+    spark, keys, fleet = orders.sparkSession, list(keys), list(fleet)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = run_folder(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    load, time = F.coalesce(F.col(parcels), F.lit(0)).cast("bigint"), F.coalesce(F.col(minutes), F.lit(0)).cast("double")
+    sized = orders.select(*keys, *[c for c in order if c not in keys], load.alias("_load"), time.alias("_time"))
+    sums = Wanted(row_number="_at", running_sum={"_loads": F.col("_load"), "_times": F.col("_time")})
+    rows = written(annotate(sized, keys, order, sums, max_rows), "slices-orders")
+    wide = F.col(capacity).cast("bigint")
+    shares = vans.groupBy(*fleet).agg(F.sum(wide).alias("_all"), F.count(F.lit(1)).alias("_vans"))
+    numbered = annotate(vans.select(*fleet, van, wide.alias("_size")), fleet, [van], Wanted(row_number="_number"), max_rows)
+    numbered = written(numbered.join(shares, fleet), "slices-vans")
+
+    zero = F.lit(0).cast("bigint")
+    start = rows.groupBy(*keys).agg(F.sum("_load").alias("_total"), F.lit(1).cast("bigint").alias("_from"), zero.alias("_loads0"), F.lit(0.0).alias("_times0"))
+    over = (
+        (F.col("_loads") - F.col("_loads0") > F.col("_size"))
+        | (F.col("_times") - F.col("_times0") > max_minutes)
+        | ((F.col("_number") < F.col("_vans")) & ((F.col("_loads") - F.col("_load") - F.col("_loads0")) * F.col("_all") >= F.col("_total") * F.col("_size")))
+    )
+    slices, number = None, 1
+    while True:
+        turn = start.join(numbered.where(F.col("_number") == number), fleet).join(rows, keys).where(F.col("_at") >= F.col("_from"))
+        stop = F.when(over, F.col("_at"))
+        turn = turn.groupBy(*keys, van, "_from", "_total").agg(
+            F.min(stop).alias("_to"),
+            F.min(F.when(over, F.col("_loads") - F.col("_load"))).alias("_loads0"),
+            F.min(F.when(over, F.col("_times") - F.col("_time"))).alias("_times0"),
+        )
+        turn = written(turn, "slices-turn")
+        slices = turn if slices is None else slices.union(turn)
+        start = turn.where("_to IS NOT NULL").select(*keys, "_total", F.col("_to").alias("_from"), "_loads0", "_times0")
+        if start.isEmpty():
+            break
+        number += 1
+    taken = slices.where("_to IS NULL OR _to > _from").select(*keys, van, "_from", F.coalesce("_to", F.lit(1 << 62)).alias("_to"))
+    # Orders behind the last slice meet it too, and are told apart by its end.
+    found = asof_join(rows, taken, keys, "_at", "_from", [van, "_to"], max_rows)
+    return found.select(*keys, *[c for c in order if c not in keys], F.when(F.col("_at") < F.col("_to"), F.col(van)).alias(van))

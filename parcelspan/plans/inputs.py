@@ -243,17 +243,7 @@ class Inputs:
         return scan_columns(self.table("events"))
 
     def telemetry(self) -> DataFrame:
-        k = F.col("event_id")
-        return self.table("events").select(
-            F.concat(F.lit("V-"), F.col("user_id").cast("string")).alias("vehicle_id"),
-            self._route().alias("route_id"),
-            F.col("ts").alias("event_time"),
-            (k.cast("double") / 10).alias("odometer_km"),
-            (k.cast("double") / 40).alias("energy_used_total"),
-            (k % 3 != 0).alias("ignition_on"),
-            F.when(k % 4 == 0, F.lit(0.0)).otherwise(F.col("value") / 10).alias("speed_kmh"),
-            (k % 5 < 2).alias("cargo_door_open"),
-        )
+        return telemetry_columns(self.table("events"))
 
     def routes(self) -> DataFrame:
         """One row per route of the vans: its wave, main zone, van type and planned times."""
@@ -355,6 +345,20 @@ def scan_columns(events: DataFrame) -> DataFrame:
     )
 
 
+def telemetry_columns(events: DataFrame) -> DataFrame:
+    k = F.col("event_id")
+    return events.select(
+        F.concat(F.lit("V-"), F.col("user_id").cast("string")).alias("vehicle_id"),
+        Inputs._route().alias("route_id"),
+        F.col("ts").alias("event_time"),
+        (k.cast("double") / 10).alias("odometer_km"),
+        (k.cast("double") / 40).alias("energy_used_total"),
+        (k % 3 != 0).alias("ignition_on"),
+        F.when(k % 4 == 0, F.lit(0.0)).otherwise(F.col("value") / 10).alias("speed_kmh"),
+        (k % 5 < 2).alias("cargo_door_open"),
+    )
+
+
 def message_columns(events: DataFrame) -> DataFrame:
     k, user = F.col("event_id"), F.col("user_id").cast("string")
     iso = F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T"))

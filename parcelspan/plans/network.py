@@ -10,7 +10,7 @@ from parcelspan.functions.geo import bearing_deg, sweep_angle
 from parcelspan.functions.ids import route_name
 from parcelspan.functions.text import norm_text
 from parcelspan.operators.allocate import (
-    capacity_slices, cumulative_share, highest_averages, largest_remainder,
+    capacity_slices, cumulative_share, highest_averages, largest_remainder, limited_slices,
 )
 from parcelspan.operators.keyed import content_digest, latest_per_key, multiset_difference, upper_median
 from parcelspan.operators.ordered import Wanted, annotate
@@ -687,15 +687,18 @@ a AS (SELECT o.order_id, o.zone_id, o.parcels, round((((atan2(o.lat - clat, (o.l
 s AS (SELECT *, row_number() OVER w AS k, sum(parcels) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM a WINDOW w AS (PARTITION BY zone_id ORDER BY angle, order_id))"""
 
 
-def swept(t: Inputs) -> DataFrame:
+MAX_MINUTES = 12  # of a van's slice
+
+
+def swept(t: Inputs, *more: Column) -> DataFrame:
     """Orders with their angle round the centre of their zone, from the direction of the depot, kept to
     nine digits so that equal angles stay equal in any engine."""
-    orders = t.orders().select("order_id", "zone_id", "parcels", "lat", "lon")
+    orders = t.orders().select("order_id", "zone_id", "parcels", "lat", "lon", *more)
     middle = orders.groupBy("zone_id").agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
     start = sweep_angle(F.lit(HUB["lat"]), F.lit(HUB["lon"]), F.col("clat"), F.col("clon"))
     angle = sweep_angle(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")) - start
     turn = F.lit(2.0) * F.pi()
-    return orders.join(middle, "zone_id").select("order_id", "zone_id", "parcels", F.round(F.pmod(angle, turn), 9).alias("angle"))
+    return orders.join(middle, "zone_id").select(*[c for c in orders.columns if c not in ("lat", "lon")], F.round(F.pmod(angle, turn), 9).alias("angle"))
 
 
 @query("sweep_rank", f"WITH {SWEEP_SQL} SELECT order_id, zone_id, k AS sweep_rank FROM s")
@@ -715,6 +718,26 @@ def orders_to_vans(t: Inputs) -> DataFrame:
     ).select("order_id", "vehicle_id")
 
 
+@query("limited_slices", f"""WITH RECURSIVE {SWEEP_SQL}, m AS (SELECT a.order_id, a.zone_id, strftime(o.service_date, '%Y-%m') AS month, a.angle, a.parcels, z.minutes_per_stop + a.parcels * 0.5e0 AS mins FROM a JOIN v_orders o USING (order_id) JOIN v_zones z ON z.zone_id = a.zone_id),
+o AS (SELECT *, row_number() OVER w AS k, sum(parcels) OVER (w ROWS UNBOUNDED PRECEDING) AS p, sum(mins) OVER (w ROWS UNBOUNDED PRECEDING) AS t FROM m WINDOW w AS (PARTITION BY month, zone_id ORDER BY angle, order_id)),
+g AS (SELECT month, zone_id, sum(parcels) AS total FROM o GROUP BY 1, 2),
+f AS (SELECT home_zone_id AS zone_id, vehicle_id, capacity, row_number() OVER (PARTITION BY home_zone_id ORDER BY vehicle_id) AS i, count(*) OVER (PARTITION BY home_zone_id) AS n, sum(capacity) OVER (PARTITION BY home_zone_id) AS cap FROM v_vans),
+r AS (SELECT month, zone_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS s, CAST(0 AS HUGEINT) AS p0, 0e0 AS t0 FROM g
+  UNION ALL SELECT r.month, r.zone_id, r.i + 1, min(o.k), min(o.p - o.parcels), min(o.t - o.mins)
+  FROM r JOIN f ON f.zone_id = r.zone_id AND f.i = r.i JOIN g ON g.month = r.month AND g.zone_id = r.zone_id JOIN o ON o.month = r.month AND o.zone_id = r.zone_id AND o.k >= r.s
+  WHERE o.p - r.p0 > f.capacity OR o.t - r.t0 > {MAX_MINUTES}e0 OR (f.i < f.n AND (o.p - o.parcels - r.p0) * f.cap >= g.total * f.capacity) GROUP BY r.month, r.zone_id, r.i),
+e AS (SELECT r.month, r.zone_id, r.s, lead(r.s) OVER (PARTITION BY r.month, r.zone_id ORDER BY r.i) AS e, f.vehicle_id FROM r LEFT JOIN f ON f.zone_id = r.zone_id AND f.i = r.i)
+SELECT o.order_id, e.vehicle_id FROM o JOIN e ON e.month = o.month AND e.zone_id = o.zone_id AND e.s <= o.k AND (e.e IS NULL OR o.k < e.e)""")
+def orders_to_vans_by_limits(t: Inputs) -> DataFrame:
+    """The orders of a month and zone cut into slices by parcels, minutes and share; what no van can take has none."""
+    orders = swept(t, F.date_format("service_date", "yyyy-MM").alias("month")).join(t.zones().select("zone_id", "minutes_per_stop"), "zone_id")
+    orders = orders.withColumn("minutes", F.col("minutes_per_stop") + F.col("parcels") * 0.5)
+    vans = t.vans().select(F.col("home_zone_id").alias("zone_id"), "vehicle_id", "capacity")
+    return limited_slices(
+        orders, vans, ["month", "zone_id"], ["zone_id"], ["angle", "order_id"], "parcels", "minutes", "vehicle_id", "capacity", MAX_MINUTES
+    ).select("order_id", "vehicle_id")
+
+
 @query("rescale_keep_total", """WITH b AS (SELECT o.order_id, o.service_date, o.zone_id, z.minutes_per_stop * 60 AS base, coalesce(n.likely_longer_stop, false) AS flagged FROM v_orders o JOIN v_zones z USING (zone_id) LEFT JOIN v_notes n ON o.note_id = n.note_id),
 g AS (SELECT service_date, zone_id, sum(base) AS total, coalesce(sum(base) FILTER (flagged), 0) AS marked FROM b GROUP BY 1, 2)
 SELECT order_id, round(CASE WHEN marked = 0 OR total - marked <= 0 OR total - 1.5e0 * marked < 0.25e0 * (total - marked) THEN base WHEN flagged THEN base * 1.5e0 ELSE base * (total - 1.5e0 * marked) / (total - marked) END, 6) AS seconds

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspan.plans.inputs import Inputs, ping_columns, scan_columns
+from parcelspan.plans.inputs import Inputs, ping_columns, scan_columns, telemetry_columns
 from parcelspan.plans.kpi import DURATIONS_SQL, FINAL, HAVERSINE, completions, departures, duration_windows, durations
 from parcelspan.plans.registry import query
 from parcelspan.session import run_folder
@@ -15,6 +15,7 @@ from parcelspan.sources.topics import envelope_files
 from parcelspan.streaming.ingest import start_ingest
 from parcelspan.streaming.progress import COUNTERS, progress_rows
 from parcelspan.streaming.routes import current, daily_tally, start_updates, wave_windows
+from parcelspan.streaming.sessions import hourly_runs, joined_runs
 
 
 def archived_topic(t: Inputs, envelopes: DataFrame, times: int = 1) -> str:
@@ -187,6 +188,19 @@ def stream_daily_tally(t: Inputs) -> DataFrame:
     return current(t.spark.read.parquet(out), ["day"])
 
 
+@query("stream_door_sessions", """WITH m AS (SELECT vehicle_id, event_time, cargo_door_open AS o, coalesce(lag(cargo_door_open) OVER w, false) AS was, lead(event_time) OVER w AS nxt FROM v_telemetry WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_time)),
+s AS (SELECT *, sum(CASE WHEN o AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY vehicle_id ORDER BY event_time) AS k FROM m)
+SELECT vehicle_id, min(event_time) AS opened_at, max(coalesce(nxt, event_time)) AS closed_at, count(*) AS readings FROM s WHERE o GROUP BY vehicle_id, k""")
+def stream_door_sessions(t: Inputs) -> DataFrame:
+    """How long the cargo door stayed open at each stop, from a stream most of whose files are late: what the batch query finds."""
+    out, checkpoint = run_folder(t.spark, "doors"), run_folder(t.spark, "checkpoint")
+    for events in late_event_streams(t):
+        readings = telemetry_columns(events)
+        start_updates(hourly_runs(readings, ["vehicle_id"], "event_time", F.col("cargo_door_open")), out, checkpoint).awaitTermination()
+    runs = joined_runs(current(t.spark.read.parquet(out), ["vehicle_id", "hour"]), ["vehicle_id"])
+    return runs.select("vehicle_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("opened_at", "closed_at")], "readings")
+
+
 @query("stream_newest", """WITH f AS (SELECT CASE WHEN event_id % 100 < 82 THEN 'gps_pings' WHEN event_id % 100 < 96 THEN 'vehicle_telemetry' WHEN event_id % 100 < 99 THEN 'delivery_events' END AS table_name, ts FROM events)
 SELECT table_name, CAST(count(*) AS BIGINT) AS messages, CAST(count(*) AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS duplicates, max(ts) AS newest FROM f WHERE table_name IS NOT NULL GROUP BY 1""")
 def stream_newest(t: Inputs) -> DataFrame:

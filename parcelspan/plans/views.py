@@ -109,5 +109,5 @@ def expand(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in named)
     body = sql.strip()
-    recursive = re.match(r"WITH\s+(?!RECURSIVE)", body)
-    return f"WITH {ctes},\n{body[recursive.end():]}" if recursive else f"WITH {ctes}\n{body}"
+    own = re.match(r"WITH\s+(RECURSIVE\s+)?", body)
+    return f"WITH {own[1] or ''}{ctes},\n{body[own.end():]}" if own else f"WITH {ctes}\n{body}"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelspan.functions.geo import degrees_to_dms, utm31_to_wgs84
-from parcelspan.operators.allocate import capacity_slices, cumulative_share, highest_averages, largest_remainder, pick_by_share
+from parcelspan.operators.allocate import capacity_slices, cumulative_share, highest_averages, largest_remainder, limited_slices, pick_by_share
 from parcelspan.operators.sampling import top_k_by_draw
 from parcelspan.operators.spatial import containing_shapes, inside_own_shape, nearest_site, ring_edges, shape_cells
 
@@ -177,3 +177,29 @@ def test_utm_and_dms(spark):
     d, m, s = degrees_to_dms(F.col("x"))
     got = spark.createDataFrame([(41.3,), (-0.5,), (2.99999999999,)], "x double").select(d.alias("d"), m.alias("m"), s.alias("s")).collect()
     assert [tuple(r) for r in got] == [(41, 18, 0.0), (0, 30, 0.0), (3, 0, 0.0)]
+
+
+@pytest.mark.parametrize("max_rows", [10**9, 30])
+def test_limited_slices(spark, max_rows):
+    orders = [(z, i, R.randint(0, 9), R.choice([1, 2, 3, 30, None]), R.choice([2.0, 3.5, 8.0, 99.0 if i % 50 == 7 else 1.5])) for i in range(160) for z in "abc"]
+    orders += [("alone", 1, 1, 2, 1.0)]
+    vans = [(z, f"V-{z}{i}", c) for z, caps in (("a", [40, 25, 60, 10, 50, 40]), ("b", [500]), ("c", [20, 2, 900, 900])) for i, c in enumerate(caps)]
+    o = spark.createDataFrame(orders, "z string, id int, angle int, parcels int, minutes double")
+    v = spark.createDataFrame(vans, "z string, van string, capacity int")
+    got = limited_slices(o, v, ["z"], ["z"], ["angle", "id"], "parcels", "minutes", "van", "capacity", 60, max_rows).collect()
+    want, used = {}, {}
+    for z in {x[0] for x in orders}:
+        mine, some = [x for x in orders if x[0] == z], [x for x in vans if x[0] == z]
+        total, cap, k, p, m = sum(x[3] or 0 for x in mine), sum(x[2] for x in some), 0, 0, 0.0
+        for x in sorted(mine, key=lambda x: (x[2], x[1])):
+            while k < len(some) and (
+                p + (x[3] or 0) > some[k][2] or m + x[4] > 60 or (k < len(some) - 1 and p * cap >= total * some[k][2])
+            ):
+                k, p, m = k + 1, 0, 0.0
+            if k < len(some):
+                p, m = p + (x[3] or 0), m + x[4]
+            want[z, x[1]] = some[k][1] if k < len(some) else None
+            used[want[z, x[1]]] = (p, m)
+    assert {(r.z, r.id): r.van for r in got} == want and len(got) == len(orders)
+    assert None in want.values() and len(used) > 6
+    assert limited_slices(o.limit(0), v, ["z"], ["z"], ["angle", "id"], "parcels", "minutes", "van", "capacity", 60).count() == 0
