@@ -31,34 +31,25 @@ VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def templates(line: Column) -> Column:
-    """Keys of all templates of a masked line."""
-    return F.transform(F.array(F.filter(F.split(line, SPACE), lambda t: t != "")), keys_of)[0]
-
-
-def keys_of(tokens: Column) -> Column:
-    count = F.size(tokens)
+def line_keys(documents: DataFrame) -> DataFrame:
+    """doc_id, line (from 0) and the keys of its templates, for every line that may be dropped."""
+    masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", VARIABLE, "<*>")).otherwise(F.col("text"))
+    parsed = F.transform(F.split(masked, "\n"), lambda line: F.array_remove(F.split(line, SPACE), ""))
+    lines = documents.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(parsed).alias("line", "tokens"))
+    count = F.size("tokens")
     tail = count - LEADING
 
     def field(i: int) -> Column:
         start, end = F.floor(tail * i / FIELDS).cast("int"), F.floor(tail * (i + 1) / FIELDS).cast("int")
-        return F.xxhash64(F.slice(tokens, start + LEADING + 1, end - start))
-
-    parts = [F.xxhash64(F.slice(tokens, F.lit(1), F.lit(LEADING))), *[field(i) for i in range(FIELDS)]]
-    whole = F.xxhash64(count, *parts)
-    open_ = [F.xxhash64(count, F.lit(i), *parts[: i + 1], *parts[i + 2 :]) for i in range(FIELDS)]
-    return (
-        F.when(count >= GENERAL, F.array(whole, *open_))
-        .when(count >= LEAST, F.array(F.xxhash64(tokens)))
-        .otherwise(F.array().cast("array<bigint>"))
-    )
-
-
-def line_keys(documents: DataFrame) -> DataFrame:
-    """doc_id, line (from 0) and the keys of its templates, for every line that may be dropped."""
-    masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", VARIABLE, "<*>")).otherwise(F.col("text"))
-    lines = documents.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split(masked, "\n")).alias("line", "masked"))
-    return lines.select("doc_id", "line", templates(F.col("masked")).alias("keys")).where(F.size("keys") > 0)
+        return F.xxhash64(F.slice("tokens", start + LEADING + 1, end - start))
+
+    # Each part is hashed once; templates are hashes of those.
+    leading = F.xxhash64(F.slice("tokens", 1, LEADING))
+    parts = F.when(count >= GENERAL, F.array(leading, *[field(i) for i in range(FIELDS)])).alias("parts")
+    lines = lines.where(count >= LEAST).select("doc_id", "line", count.alias("count"), F.xxhash64("tokens").alias("whole"), parts)
+    part = [F.get("parts", F.lit(i)) for i in range(FIELDS + 1)]
+    open_ = [F.xxhash64("count", F.lit(i), *part[: i + 1], *part[i + 2 :]) for i in range(FIELDS)]
+    return lines.select("doc_id", "line", F.when(F.col("count") >= GENERAL, F.array("whole", *open_)).otherwise(F.array("whole")).alias("keys"))
 
 
 def dropped_lines(documents: DataFrame) -> DataFrame:
