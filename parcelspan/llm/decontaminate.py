@@ -72,26 +72,28 @@ def words_in(part: Column) -> Column:
     return F.size(part)
 
 
-def second(found: Column, pattern: Column, open_: Column, at: Column, width: Column) -> Column:
-    """Hash of a window's second reading; null if it is the first one."""
-    cut = lambda tokens: F.slice(tokens, at, width)
-
-    def other(part: Column) -> Column:
-        enough = words_in(part) >= F.least(F.lit(LITERAL), width)
-        change = F.when(~enough, F.xxhash64(lettered(cut(found), cut(pattern)))).when(part != cut(pattern), F.xxhash64(part))
-        return F.when(F.array_contains(part, "<name>"), change)
-
-    return F.transform(F.array(cut(open_)), other)[0]
-
-
-def windows(found: Column, pattern: Column, open_: Column, width: int) -> Column:
-    """Hashes of all windows of a template by place: of the first reading and, where it is another, of the second."""
-    count = F.size(pattern) - width + 1
-    both = lambda i: F.array_compact(
-        F.array(F.xxhash64(F.slice(pattern, i, F.lit(width))), second(found, pattern, open_, i, F.lit(width)))
+def hashed(found: Column, pattern: Column) -> tuple[Column, Column, Column]:
+    """Hashes of the tokens as the first reading has them, with all capitalised words as names, and with those as they stand."""
+    one = lambda tokens: F.transform(tokens, lambda t: F.xxhash64(t))
+    return one(pattern).alias("first"), one(opened(found, pattern)).alias("names"), one(lettered(found, pattern)).alias("letters")
+
+
+def readings(rows: DataFrame, *keep: str) -> DataFrame:
+    """Of the windows of `width` tokens at `at` (from 0) in the columns of `hashed`: `plain`, the hash of the first reading, `second`,
+    that of the second one (null if it is the first), and `enough`, whether the second one has enough words."""
+    part = lambda of: F.slice(of, F.col("at") + 1, F.col("width"))
+    name, *others = [F.xxhash64(F.lit(kind)) for kind in ("<name>", "<num>", "<unit>")]
+    cut = rows.select(*keep, "width", "at", "letters", part("first").alias("_first"), part("names").alias("_names"))
+    literal = F.col("_names")
+    for kind in (name, *others):
+        literal = F.array_remove(literal, kind)
+    enough = F.size(literal) >= F.least(F.lit(LITERAL), F.col("width"))
+    made = cut.select(*keep, "width", "at", "letters", "_first", "_names", enough.alias("enough"), F.array_contains("_names", name).alias("_named"))
+    hash_ = lambda of: F.xxhash64("width", of)
+    second = F.when(F.col("_named") & ~F.col("enough"), hash_(part("letters"))).when(
+        F.col("_named") & (F.col("_names") != F.col("_first")), hash_(F.col("_names"))
     )
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), both)
-    return F.when(count > 0, hashes).otherwise(F.array().cast("array<array<bigint>>"))
+    return made.select(*keep, "width", "at", hash_(F.col("_first")).alias("plain"), second.alias("second"), "enough")
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -105,23 +107,30 @@ def items(benchmark: DataFrame) -> DataFrame:
 def item_windows(found: DataFrame) -> DataFrame:
     """item, width, at, reading, window, of, enough, of_enough: both readings of the windows that count, of how many, whether
     the second one says enough, and in how many it does."""
-    width = F.least(F.size("pattern"), F.lit(WIDTH))
-    sized = found.withColumn("width", width)
-    count = F.size("pattern") - F.col("width") + 1
-    rows = sized.select("item", "width", "values", "pattern", "open", F.explode(F.sequence(F.lit(1), count)).alias("at"))
-    part = lambda of: F.slice(of, F.col("at"), F.col("width"))
-    least = F.least(F.lit(LITERAL), F.col("width"))
-    other = second(F.col("values"), F.col("pattern"), F.col("open"), F.col("at"), F.col("width"))
-    rows = rows.select(
-        "item", "width", "at", F.array_compact(F.array(F.xxhash64(part("pattern")), other)).alias("windows"),
-        (words_in(part("pattern")) >= least).alias("telling"), (words_in(part("open")) >= least).alias("enough"),
-    )
+    hashes = hashed(F.col("values"), F.col("pattern"))
+    sized = found.select("item", "pattern", F.least(F.size("pattern"), F.lit(WIDTH)).alias("width"), *hashes)
+    rows = sized.select("*", F.explode(F.sequence(F.lit(0), F.size("pattern") - F.col("width"))).alias("at"))
+    telling = words_in(F.slice("pattern", F.col("at") + 1, F.col("width"))) >= F.least(F.lit(LITERAL), F.col("width"))
+    rows = readings(rows.withColumn("telling", telling), "item", "telling")
+    rows = rows.select("item", "width", "at", F.array_compact(F.array("plain", "second")).alias("windows"), "telling", "enough")
     any_ = rows.groupBy("item").agg(
         F.max("telling").alias("_any"), F.count_if("telling").alias("_telling"), F.count("*").alias("_all"), F.count_if("enough").alias("of_enough")
     )
     kept = rows.join(any_, "item").where("telling OR NOT _any")
     of = F.when(F.col("_any"), F.col("_telling")).otherwise(F.col("_all")).alias("of")
-    return kept.select("item", "width", (F.col("at") - 1).alias("at"), "enough", "of_enough", of, F.posexplode("windows").alias("reading", "window"))
+    return kept.select("item", "width", "at", "enough", "of_enough", of, F.posexplode("windows").alias("reading", "window"))
+
+
+def text_windows(texts: DataFrame, widths: list[int]) -> DataFrame:
+    """_text, place, second, window: all windows of these widths, in both readings; a text is parsed once for all of them."""
+    values = texts.select("_text", tokens(F.col("text")).alias("values")).withColumn("pattern", template(F.col("values")))
+    read = values.select("_text", F.size("values").alias("count"), *hashed(F.col("values"), F.col("pattern")))
+    rows = read.select("*", F.explode(F.array(*map(F.lit, widths))).alias("width"))
+    # Not a filter on the size: it would be pushed down and parse every text once more.
+    last = F.col("count") - F.col("width")
+    rows = rows.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))).alias("at"))
+    rows = readings(rows, "_text").select("_text", F.col("at").alias("place"), F.posexplode(F.array("plain", "second")).alias("second", "window"))
+    return rows.where("window IS NOT NULL")
 
 
 def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -132,25 +141,18 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     widths = sorted(r.width for r in wanted.select("width").distinct().collect())  # at most WIDTH numbers
     small = wanted.count() <= SENT
     texts = documents.select(F.xxhash64("text").alias("_text"), "text").where("text IS NOT NULL")
-    hits = None
-    for width in widths:
-        values = texts.select("_text", tokens(F.col("text")).alias("values")).withColumn("pattern", template(F.col("values")))
-        read = values.withColumn("open", opened(F.col("values"), F.col("pattern")))
-        rows = read.select("_text", F.posexplode(windows(F.col("values"), F.col("pattern"), F.col("open"), width)).alias("place", "windows"))
-        rows = rows.select("_text", "place", F.posexplode("windows").alias("_second", "window"))
-        side = wanted.where(F.col("width") == width).select("window", "item", "at", "of", "enough", "of_enough", "reading")
-        found = rows.join(F.broadcast(side) if small else side, "window")
-        # A shift that is matched in one place is matched along the item: one row for each shift.
-        found = found.groupBy("_text", "item", (F.col("place") - F.col("at")).alias("shift")).agg(
-            F.collect_set("at").alias("at"),
-            F.collect_set(F.when(F.col("reading") + F.col("_second") == 0, F.col("at"))).alias("plain"),
-            F.collect_set(F.when(F.col("enough"), F.col("at"))).alias("enough"),
-            F.first("of").alias("of"), F.first("of_enough").alias("of_enough"),
-        )
-        found = found.withColumn("width", F.lit(width))
-        hits = found if hits is None else hits.union(found)
-    if hits is None:
-        hits = spark.createDataFrame([], "_text bigint, item bigint, shift int, at array<int>, plain array<int>, enough array<int>, of bigint, of_enough bigint, width int")
+    if not widths:
+        return spark.createDataFrame([], "_text bigint, item_id bigint, n_windows bigint, of_windows bigint, n_slots bigint, changed_slots bigint")
+    rows = text_windows(texts, widths)
+    side = wanted.select("window", "item", "width", "at", "of", "enough", "of_enough", "reading")
+    found = rows.join(F.broadcast(side) if small else side, "window")
+    # A shift that is matched in one place is matched along the item: one row for each shift.
+    hits = found.groupBy("_text", "item", "width", (F.col("place") - F.col("at")).alias("shift")).agg(
+        F.collect_set("at").alias("at"),
+        F.collect_set(F.when(F.col("reading") + F.col("second") == 0, F.col("at"))).alias("plain"),
+        F.collect_set(F.when(F.col("enough"), F.col("at"))).alias("enough"),
+        F.first("of").alias("of"), F.first("of_enough").alias("of_enough"),
+    )
     hits = written(spark, hits, "hits")
 
     values = texts.groupBy("_text").agg(F.first("text").alias("text"))
