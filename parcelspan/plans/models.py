@@ -387,6 +387,56 @@ def dq_capacity(t: Inputs) -> DataFrame:
     )
 
 
+# Working minutes of a shift without its break: a route has to fit into those of its wave.
+SHIFT_MINUTES = {"morning": 450, "afternoon": 390}
+ROUTES_PER_VAN = (0.5, 4.0)
+
+
+@query("dq_fleet", f"""WITH day AS (SELECT service_date, sum(parcels) AS parcels FROM v_orders WHERE isodow(service_date) <= 5 GROUP BY 1),
+m AS (SELECT (SELECT CAST(avg(parcels) AS DOUBLE) FROM day) AS mean_day, (SELECT CAST(sum(capacity) AS DOUBLE) FROM v_vans) AS capacity,
+ (SELECT CAST(count(*) AS DOUBLE) FROM v_vans) AS vans, (SELECT CAST(count(*) AS DOUBLE) FROM v_drivers) AS drivers,
+ (SELECT sum(share / stops_per_route) FROM v_zones) AS routes_per_parcel,
+ (SELECT max(planned_minutes) FROM v_routes WHERE wave = 'morning') AS morning, (SELECT max(planned_minutes) FROM v_routes WHERE wave = 'afternoon') AS afternoon),
+rules AS (SELECT 'fleet_holds_mean_weekday' AS rule, 'error' AS severity, capacity AS measured, mean_day AS lowest, CAST(NULL AS DOUBLE) AS highest FROM m
+ UNION ALL SELECT 'driver_for_each_van', 'error', drivers, vans, NULL FROM m
+ UNION ALL SELECT 'morning_route_fits_shift', 'error', morning, NULL, {SHIFT_MINUTES["morning"]} FROM m
+ UNION ALL SELECT 'afternoon_route_fits_shift', 'error', afternoon, NULL, {SHIFT_MINUTES["afternoon"]} FROM m
+ UNION ALL SELECT 'routes_per_van_plausible', 'warning', round(routes_per_parcel * mean_day / vans, 3), {ROUTES_PER_VAN[0]}, {ROUTES_PER_VAN[1]} FROM m)
+SELECT rule, severity, measured, lowest, highest, coalesce((lowest IS NULL OR measured >= lowest) AND (highest IS NULL OR measured <= highest), false) AS passed FROM rules""")
+def dq_fleet(t: Inputs) -> DataFrame:
+    """Whether the fleet can do the work: its load against the mean weekday, drivers against vans, the longest route of each wave against
+    its shift, and routes a van and day at one parcel a stop. What can't be measured has not passed."""
+    per_day = t.orders().where(F.weekday("service_date") < 5).groupBy("service_date").agg(F.sum("parcels").alias("parcels"))
+    vans, wave = t.vans(), F.col("wave")
+    longest = [F.max(F.when(wave == w, F.col("planned_minutes"))).alias(w) for w in SHIFT_MINUTES]
+    parts = [
+        per_day.agg(F.avg("parcels").alias("mean_day")), t.drivers().agg(F.count(F.lit(1)).alias("drivers")),
+        vans.agg(F.sum("capacity").alias("capacity"), F.count(F.lit(1)).alias("vans")),
+        t.zones().agg(F.sum(F.col("share") / F.col("stops_per_route")).alias("routes_per_parcel")), t.routes().agg(*longest),
+    ]
+    # Each part is one row; they meet as rows of a union, not in a join without keys.
+    rows: DataFrame | None = None
+    for part in parts:
+        part = part.select([F.col(c).cast("double").alias(c) for c in part.columns])
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    m = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+    none = F.lit(None).cast("double")
+
+    def rule(name: str, measured: Column, lowest: Column = none, highest: Column = none, severity: str = "error") -> Column:
+        low, high = lowest.isNull() | (measured >= lowest), highest.isNull() | (measured <= highest)
+        return F.struct(
+            F.lit(name).alias("rule"), F.lit(severity).alias("severity"), measured.alias("measured"), lowest.alias("lowest"), highest.alias("highest"),
+            F.coalesce(low & high, F.lit(False)).alias("passed"),
+        )
+
+    per_van = F.round(F.col("routes_per_parcel") * F.col("mean_day") / F.nullif(F.col("vans"), F.lit(0.0)), 3)
+    fits = [rule(f"{w}_route_fits_shift", F.col(w), highest=F.lit(float(most))) for w, most in SHIFT_MINUTES.items()]
+    return m.select(F.inline(F.array(
+        rule("fleet_holds_mean_weekday", F.col("capacity"), F.col("mean_day")), rule("driver_for_each_van", F.col("drivers"), F.col("vans")),
+        *fits, rule("routes_per_van_plausible", per_van, *map(F.lit, ROUTES_PER_VAN), severity="warning"),
+    )))
+
+
 @query("dq_ids", """SELECT 'vans' AS table_name, count(*) AS n, count(*) - count(DISTINCT vehicle_id) AS repeated, count(*) FILTER (NOT regexp_matches(vehicle_id, '^V-[0-9]{1,2}$')) AS malformed FROM v_vans
 UNION ALL SELECT 'drivers', count(*), count(*) - count(DISTINCT driver_id), count(*) FILTER (NOT regexp_matches(driver_id, '^D-[0-9]{1,2}$')) FROM v_drivers""")
 def dq_ids(t: Inputs) -> DataFrame:
