@@ -58,6 +58,26 @@ def content_checksum(t: Inputs) -> DataFrame:
     return tables.manifest(rows, "generator/orders", "operations", 4)
 
 
+@query("metadata_every_table", """SELECT 'orders' AS table_name, count(*) AS n_rows, CAST(0 AS BIGINT) AS without_source, CAST(0 AS BIGINT) AS without_ingested_at, true AS described FROM v_orders
+UNION ALL SELECT 'zones', count(*), 0, 0, true FROM v_zones UNION ALL SELECT 'vans', count(*), 0, 0, true FROM v_vans
+UNION ALL SELECT 'shippers', count(*), 0, 0, true FROM v_shippers UNION ALL SELECT 'routes', count(*), 0, 0, true FROM v_routes
+UNION ALL SELECT 'photos', count(*), count(*) FILTER (length % 2 = 1), count(*), false FROM v_photos""")
+def metadata_every_table(t: Inputs) -> DataFrame:
+    """Tables written with their metadata, and one that was not: without manifest and time, and with a source for some rows only."""
+    moment = F.lit("2026-09-29 06:30:00").cast("timestamp_ntz")
+    given = {
+        "orders": t.orders().select("order_id", "wave", "parcels"), "zones": t.zones().select("zone_id", "name"),
+        "vans": t.vans().select("vehicle_id", "type_id", "capacity"), "shippers": t.shippers().select("shipper_id", "segment"),
+        "routes": t.routes().select("route_id", "wave"),
+    }
+    paths = {name: run_folder(t.spark, f"described-{name}") for name in [*given, "photos"]}
+    for name, rows in given.items():
+        tables.write_if_changed(tables.stamped(rows, f"generator/{name}", moment), paths[name], f"generator/{name}", "operations", 4)
+    photos = t.photos().select("path", F.when(F.col("length") % 2 == 0, "simulator/pod").alias("source"))
+    photos.write.parquet(f"{paths['photos']}/rows")
+    return tables.metadata_report(t.spark, paths)
+
+
 @query("table_digests", f"""SELECT service_date::VARCHAR AS day, count(*) AS n_rows, {DIGEST_SQL.format(text="concat_ws(chr(31), '=' || CAST(service_date AS VARCHAR), '=' || CAST(order_id AS VARCHAR), '=' || CAST(parcels AS VARCHAR))")} AS digest
 FROM v_orders GROUP BY 1""")
 def table_digests(t: Inputs) -> DataFrame:

@@ -112,6 +112,25 @@ def write_if_changed(df: DataFrame, path: str, source: str, owner: str, schema_v
     return True
 
 
+def metadata_report(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Per table written under these paths: its rows, those without a source or a time of writing, and whether a manifest names its
+    owner and schema version. A table without such a column or manifest lacks them in all its rows; nothing has to be there but the rows."""
+    report: DataFrame | None = None
+    for name, path in paths.items():
+        rows = spark.read.parquet(f"{path}/rows")
+        lacking = {c: F.count_if(F.col(c).isNull()) if c in rows.columns else F.count(F.lit(1)) for c in ("source", "ingested_at")}
+        described = F.lit(False)
+        if table_exists(spark, f"{path}/manifest"):
+            said = spark.read.parquet(f"{path}/manifest").select("owner", "schema_version").first()  # a manifest is one row
+            described = F.lit(said is not None and None not in said)
+        part = rows.agg(
+            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), *[n.alias(f"without_{c}") for c, n in lacking.items()],
+            described.alias("described"),
+        )
+        report = part if report is None else report.unionByName(part)
+    return report
+
+
 def archive_before(df: DataFrame, day: str, cutoff: str, archive: str, table: str | None = None) -> int:
     """Copy the days before the cut-off to the archive, compare both sides day by day, and only then drop them from `table`,
     where the rows are partitioned by day. Days archived earlier aren't touched or counted, so it can run again and again. Returns
