@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelspan.operators.contracts import ENVELOPE
 from parcelspan.plans.inputs import Inputs, ping_columns, scan_columns, telemetry_columns
 from parcelspan.plans.kpi import DURATIONS_SQL, FINAL, HAVERSINE, completions, departures, duration_windows, durations
 from parcelspan.plans.registry import query
@@ -26,6 +27,12 @@ def archived_topic(t: Inputs, envelopes: DataFrame, times: int = 1) -> str:
     return path
 
 
+def files_of_a_turn(t: Inputs, topic: str, times: int) -> int:
+    """How many files one of `times` turns of an archive holds. A batch of as many is read by as many tasks, and a topic of any size takes
+    about as many batches as it was written in turns: with a file a batch, one task would read each, and every batch asks all of the state."""
+    return max(1, -(-len(t.spark.read.schema(ENVELOPE).parquet(topic).inputFiles()) // times))
+
+
 def ingested(t: Inputs, topic: str, target: str, files_per_batch: int | None = None):
     """Run an ingest from an empty checkpoint until everything there is written."""
     stream = envelope_files(t.spark, topic, files_per_batch)
@@ -131,10 +138,10 @@ def late_rows_kept(t: Inputs) -> DataFrame:
 
 @query("stream_progress", "SELECT count(*) AS n_rows FROM v_messages")
 def stream_progress(t: Inputs) -> DataFrame:
-    """What the batches of a stream report to have read, one file of the topic at a time."""
+    """What the batches of a stream report to have read, one turn of the topic's archive at a time."""
     target = run_folder(t.spark, "bronze")
     topic = archived_topic(t, t.envelopes(), 3)
-    ingested(t, topic, target, files_per_batch=1)
+    ingested(t, topic, target, files_of_a_turn(t, topic, 3))
     return progress_rows(t.spark, target).agg(F.sum("n_rows").alias("n_rows"))
 
 

@@ -134,3 +134,30 @@ def test_stream_equals_batch(spark, folder, stream, batch):
     kpi = {r["route_id"]: r[batch] for r in all_queries()["kpi_route_duration"](spark, folder).collect()}
     run = {r["route_id"]: r[batch] for r in all_queries()[stream](spark, folder).collect()}
     assert kpi and all(run[k] == v for k, v in kpi.items())
+
+
+@pytest.mark.parametrize("name, batches", [("stream_progress", 3)])
+def test_batches_follow_the_turns_of_an_archive_and_not_its_files(spark, folder, tmp_path, monkeypatch, name, batches):
+    import shutil
+
+    from parcelspan.plans import streams
+    from parcelspan.plans.registry import all_queries
+
+    here = tmp_path / "tables"
+    shutil.copytree(folder, here)
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    (here / "events.parquet").unlink()
+    events.repartition(4).write.parquet(str(here / "events.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")  # files are small, and each is read by a task of its own
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+    targets, folder_of = [], streams.run_folder
+    monkeypatch.setattr(streams, "run_folder", lambda s, kind: targets.append((kind, folder_of(s, kind))) or targets[-1][1])
+    try:
+        all_queries()[name](spark, str(here)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    made = dict(targets)
+    assert len(spark.read.parquet(made["topic"]).inputFiles()) >= 8
+    log = spark.read.parquet(f"{made['bronze']}/ingest_batches").where("n_rows > 0")
+    assert log.count() <= batches
