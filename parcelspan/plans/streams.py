@@ -107,7 +107,8 @@ UNION ALL SELECT 'dead_letters', count(*), 0.0, count(*) FROM events WHERE event
 def ingest_mixed_topics(t: Inputs) -> DataFrame:
     """All three topics and many that nobody reads in one stream, in several batches: every table typed and complete."""
     target = run_folder(t.spark, "bronze")
-    ingested(t, archived_topic(t, t.mixed_envelopes(), 3), target, files_per_batch=1)
+    topic = archived_topic(t, t.mixed_envelopes(), 3)
+    ingested(t, topic, target, files_of_a_turn(t, topic, 3))
     read = lambda name: t.spark.read.parquet(f"{target}/{name}")
     figures = {
         "gps_pings": (F.sum(F.col("speed_kmh").cast("double")), F.lit(0)),
