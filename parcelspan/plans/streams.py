@@ -94,7 +94,7 @@ def stream_dedupe(t: Inputs) -> DataFrame:
     target = run_folder(t.spark, "bronze")
     again = t.envelopes().withColumn("offset", F.col("offset") + (1 << 40))
     topic = archived_topic(t, t.envelopes().unionByName(again))
-    ingested(t, topic, target, files_per_batch=1)
+    ingested(t, topic, target, files_of_a_turn(t, topic, 2))
     return t.spark.read.parquet(f"{target}/gps_pings").select(
         "vehicle_id", F.col("event_time").cast("timestamp_ntz").alias("event_time")
     )

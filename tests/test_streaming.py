@@ -136,7 +136,7 @@ def test_stream_equals_batch(spark, folder, stream, batch):
     assert kpi and all(run[k] == v for k, v in kpi.items())
 
 
-@pytest.mark.parametrize("name, batches", [("stream_progress", 3), ("ingest_mixed_topics", 3)])
+@pytest.mark.parametrize("name, batches", [("stream_progress", 3), ("ingest_mixed_topics", 3), ("stream_dedupe", 2)])
 def test_batches_follow_the_turns_of_an_archive_and_not_its_files(spark, folder, tmp_path, monkeypatch, name, batches):
     import shutil
 
