@@ -31,6 +31,12 @@ def absent_rows(candidates: DataFrame, target: DataFrame, keys: Sequence[str]) -
     return candidates.join(target.select(*keys), list(keys), "left_anti")
 
 
+def left_join_known(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """A left join by `key` in which rows without a key, which match nothing, are not brought together in one task: they go round the join."""
+    known = df.where(F.col(key).isNotNull()).join(other, key, "left")
+    return known.unionByName(df.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows whose number of copies differs, with the surplus of the left side (negative: of the right)."""
     columns = left.columns

@@ -12,7 +12,7 @@ from parcelspan.functions.text import norm_text
 from parcelspan.operators.allocate import (
     capacity_slices, cumulative_share, highest_averages, largest_remainder, limited_slices,
 )
-from parcelspan.operators.keyed import content_digest, latest_per_key, multiset_difference, upper_median
+from parcelspan.operators.keyed import content_digest, left_join_known, latest_per_key, multiset_difference, upper_median
 from parcelspan.operators.ordered import Wanted, annotate
 from parcelspan.operators.spatial import containing_shapes, inside_own_shape, nearest_site, ring_edges, shape_cells
 from parcelspan.operators.temporal import asof_join, inside_intervals, resample_track, sessions
@@ -295,7 +295,7 @@ def traffic_join(t: Inputs) -> DataFrame:
 @query("note_labels", """SELECT o.order_id, n.likely_longer_stop, n.likely_failed_attempt FROM v_orders o LEFT JOIN v_notes n ON o.note_id = n.note_id""")
 def note_labels(t: Inputs) -> DataFrame:
     labels = t.notes().select("note_id", "likely_longer_stop", "likely_failed_attempt")
-    return t.orders().select("order_id", "note_id").join(labels, "note_id", "left").drop("note_id")
+    return left_join_known(t.orders().select("order_id", "note_id"), labels, "note_id").drop("note_id")
 
 
 @query("photo_reconciliation", """SELECT coalesce(s.pod_object_key, p.path) AS object_key, CASE WHEN p.path IS NULL THEN 'missing' ELSE 'orphan' END AS finding
@@ -314,7 +314,7 @@ def photo_reconciliation(t: Inputs) -> DataFrame:
 @query("null_safe_mismatch", """SELECT o.order_id FROM v_orders o LEFT JOIN v_notes n ON o.note_id = n.note_id WHERE n.likely_longer_stop IS DISTINCT FROM n.likely_failed_attempt""")
 def null_safe_mismatch(t: Inputs) -> DataFrame:
     labels = t.notes().select("note_id", "likely_longer_stop", "likely_failed_attempt")
-    joined = t.orders().select("order_id", "note_id").join(labels, "note_id", "left")
+    joined = left_join_known(t.orders().select("order_id", "note_id"), labels, "note_id")
     return joined.where(~F.col("likely_longer_stop").eqNullSafe(F.col("likely_failed_attempt"))).select("order_id")
 
 
@@ -748,7 +748,8 @@ def rescale_keep_total(t: Inputs) -> DataFrame:
     factor = F.lit(1.5)
     labels = t.notes().select("note_id", "likely_longer_stop")
     z = t.zones().select("zone_id", (F.col("minutes_per_stop") * 60).alias("base"))
-    stops = t.orders().select("order_id", "service_date", "zone_id", "note_id").join(z, "zone_id").join(labels, "note_id", "left")
+    stops = t.orders().select("order_id", "service_date", "zone_id", "note_id").join(z, "zone_id")
+    stops = left_join_known(stops, labels, "note_id")
     stops = stops.withColumn("flagged", F.coalesce("likely_longer_stop", F.lit(False)))
     totals = stops.groupBy("service_date", "zone_id").agg(
         F.sum("base").alias("total"), F.coalesce(F.sum(F.when(F.col("flagged"), F.col("base"))), F.lit(0.0)).alias("marked")
