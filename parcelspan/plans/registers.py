@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parcelspan.functions import calendar as cal
 from parcelspan.functions import ids, text
 from parcelspan.functions.geo import degrees_to_dms, dms_to_degrees, utm31_to_wgs84
+from parcelspan.operators.keyed import left_join_known
 from parcelspan.plans.inputs import Inputs
 from parcelspan.plans.registry import query
 from parcelspan.session import run_folder, small_table
@@ -315,7 +316,7 @@ def places_named(t: Inputs) -> DataFrame:
 def note_fits_zone(t: Inputs) -> DataFrame:
     """Whether an order's note can be read at a door of its zone: it names no place, or only that zone's."""
     named = t.notes().select("note_id", text.zones_named(F.col("text"), text.PLACES).alias("zs"))
-    read = t.orders().select("order_id", "zone_id", "note_id").join(named, "note_id", "left")
+    read = left_join_known(t.orders().select("order_id", "zone_id", "note_id"), named, "note_id")
     fits = F.size(F.array_except("zs", F.array("zone_id"))) == 0
     return read.select("order_id", F.coalesce(fits, F.lit(True)).alias("fits"))
 

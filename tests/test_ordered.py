@@ -88,3 +88,36 @@ def test_resample(rows, spark):
 
 def test_sessions(rows):
     both(lambda m: sessions(rows.select("k", "t", "id", "on"), ["k"], ["t", "id"], "t", F.col("on"), m))
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark):
+    from parcelspan.operators.keyed import left_join_known
+
+    df = spark.range(0, 8000, 1, 8).select(F.col("id").alias("i"), F.when(F.col("id") % 4 == 0, F.col("id") % 50).alias("k"))
+    other = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = left_join_known(df, other, "k")
+        assert {(r.i, r.k, r.v) for r in joined.collect()} == {(r.i, r.k, r.v) for r in df.join(other, "k", "left").collect()}
+        assert joined.count() == 8000
+        assert joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 3000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_task_reads_a_bounded_part_of_a_shuffle(spark, folder):
+    from parcelspan.plans.inputs import Inputs
+
+    size, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.unset(size)
+    spark.conf.unset(parts)
+    Inputs(spark, folder)
+    assert int(spark.conf.get(size).rstrip("b")) == 16 << 20 and int(spark.conf.get(parts)) >= 1000
+    spark.conf.set(size, "8m")
+    spark.conf.set(parts, "30")
+    Inputs(spark, folder)
+    assert (spark.conf.get(size), spark.conf.get(parts)) == ("8m", "30")
+    spark.conf.unset(size)
+    spark.conf.unset(parts)
