@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspan.session import prepare, small_table
+from parcelspan.session import bound_tasks, prepare, small_table
 
 
 def zone_name(number: Column) -> Column:
@@ -36,7 +36,7 @@ FLEET = 40  # vans of the depot
 
 class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = prepare(spark)
+        self.spark = bound_tasks(prepare(spark))
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:

@@ -43,6 +43,22 @@ def build_session(name: str, **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+# Bounds of a reducing task: what it reads, and how finely a shuffle is cut before small parts are put together again. A task's memory then
+# follows these and not the size of the tables.
+TASK_BYTES, FIRST_PARTS = 16 << 20, 1_000
+
+
+def bound_tasks(spark: SparkSession) -> SparkSession:
+    """Let Spark put no more than `TASK_BYTES` of a shuffle into one task, where keys allow it. Smaller sizes and numbers of parts that
+    are set already stay."""
+    size, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size))) > TASK_BYTES:
+        spark.conf.set(size, str(TASK_BYTES))
+    if spark.conf.get(parts, None) is None:
+        spark.conf.set(parts, str(max(FIRST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    return spark
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings to a session somebody else built."""
     for name, value in SETTINGS.items():
