@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +62,16 @@ def written(spark: SparkSession, df: DataFrame, name: str, *partitions: str) ->
     path = run_folder(spark, name)
     df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def exchanges_dropped(spark: SparkSession) -> Iterator[None]:
+    """Tables written in here leave no shuffle files behind: Spark drops them when a table is complete, not when the driver's memory is
+    cleaned. For writes of several rounds, each of which begins with the files of the one before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -10,10 +10,12 @@ line leaves of 1, over what P(. | h') leaves of the words not seen after h, so e
 one class of their own, with what the words leave.
 
 How it is computed. Documents are cut into chunks that fit into a task and written once, as numbers of a chunk's own
-vocabulary. For every order each chunk sends its distinct n-grams (64-bit hashes) with their counts to buckets of the hash
+vocabulary. In a round for every order each chunk sends its distinct n-grams (64-bit hashes) with their counts to buckets of the hash
 range; a bucket adds up and answers each chunk. So counts move once per chunk and n-gram, however often it occurs: frequent words
-weigh nothing, and the work of a bucket depends on the number of buckets, which follows the corpus. The answers are tables
-partitioned by group of chunks: each chunk's task reads its own and evaluates its tokens from the lowest order up. What
+weigh nothing, and the work of a bucket depends on the number of buckets, which follows the corpus. An n-gram that no other chunk has
+is answered so, and then no other chunk has the longer ones that begin or end with it: the chunk counts these itself and sends
+nothing. The answers are tables partitioned by group of chunks, and a round's exchanges are dropped when they are
+written. Each chunk's task reads its own and evaluates its tokens from the lowest order up. What
 is still open then are backoff weights: sums over the distinct n-grams of a context, each counted by the one chunk that its
 bucket named, and met by the documents in an equi-join on the context.
 
@@ -27,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspan.llm.common import lower_ascii, words, written
+from parcelspan.llm.common import exchanges_dropped, lower_ascii, words, written
 from parcelspan.session import run_folder
 
 ORDER, GREATEST, RESERVE = 3, 5, 0.1
@@ -42,9 +45,9 @@ END, BOS = 0x5EED0E4D, 0x5EED0B05
 GROUP_BITS, PLACE_BITS = 20, 21
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-CHUNKS = "chunk bigint, doc_ids array<bigint>, held array<boolean>, lengths array<int>, tokens array<int>, vocabulary array<bigint>"
-REQUEST = "n int, bucket int, chunk bigint, keys binary, counts binary"
-REPLY = "n int, bucket int, chunk bigint, totals binary, stats array<bigint>"
+CHUNKS = "chunk bigint, doc_ids array<bigint>, held array<boolean>, lengths array<int>, tokens binary, vocabulary binary"
+REQUEST = "bucket int, chunk bigint, keys binary, counts binary, stats array<bigint>"
+REPLY = "bucket int, chunk bigint, totals binary, stats array<bigint>"
 SCORED = (
     "docs array<struct<row:bigint,doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base_score:double,part:double>>, "
     "contexts array<struct<key:bigint,given:double,lower:double>>, misses array<struct<row:bigint,key:bigint,times:int>>"
@@ -52,13 +55,27 @@ SCORED = (
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Numbers byte by byte, all first bytes before all second ones: high bytes are mostly zeros and compress away."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    """Numbers byte by byte, all first bytes before all second ones, each compressed by itself: high bytes are mostly zeros, which take
+    no room, and low bytes of hashes stay as they are."""
+    codec, lengths, parts = pa.Codec("zstd", compression_level=1), [], []
+    for plane in np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T:
+        part = plane.tobytes() if plane.any() else b""
+        small = codec.compress(part, asbytes=True) if part else part
+        parts.append(small if len(small) < len(part) else part)
+        lengths.append(len(parts[-1]))
+    return np.array([len(values), *lengths], np.int32).tobytes() + b"".join(parts)
 
 
 def unplanes(data: bytes, dtype: type) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(dtype).reshape(-1)
+    codec, size = pa.Codec("zstd"), np.dtype(dtype).itemsize
+    count, *lengths = np.frombuffer(data, np.int32, size + 1).tolist()
+    out, at = np.zeros((size, count), np.uint8), 4 * (size + 1)
+    for plane, length in zip(out, lengths, strict=True):
+        if length:
+            part = data[at : at + length]
+            plane[:] = np.frombuffer(part if length == count else codec.decompress(part, count, asbytes=True), np.uint8)
+            at += length
+    return out.T.copy().view(dtype).reshape(-1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -74,9 +91,10 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal number, held_rows
         lengths = np.array([len(h) + 1 for _, _, h in held_rows], dtype=np.int32)
         flat = np.concatenate([part for _, _, h in held_rows for part in (h, [END])]).astype(np.int64)
-        vocabulary, inverse = np.unique(flat, return_inverse=True)
-        row = [number], [[d for d, _, _ in held_rows]], [[t for _, t, _ in held_rows]], [lengths], [inverse.astype(np.int32)], [vocabulary]
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        vocabulary, inverse = np.unique(flat.view(np.uint64), return_inverse=True)
+        steps, tokens = planes(np.diff(vocabulary, prepend=np.uint64(0))), planes(inverse.astype(np.int32))
+        row = [number], [[d for d, _, _ in held_rows]], [[t for _, t, _ in held_rows]], [lengths], [tokens], [steps]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
         number, held_rows = number + 1, []
         names = ["chunk", "doc_ids", "held", "lengths", "tokens", "vocabulary"]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
@@ -105,8 +123,9 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.held_at = self.held[self.doc]
-        self.ends = np.array(row["vocabulary"], dtype=np.int64).view(np.uint64)[np.array(row["tokens"])]
+        self.ends = np.cumsum(unplanes(row["vocabulary"], np.uint64), dtype=np.uint64)[unplanes(row["tokens"], np.int32)]
         self.keys = self.ends
+        self.alone = np.zeros(len(self.ends), dtype=bool)
 
     def before(self, values: np.ndarray, at_start) -> np.ndarray:
         """The value of the token before each, another at the start of documents."""
@@ -122,44 +141,76 @@ class Chunk:
         self.keys = mixed ^ (mixed >> np.uint64(29))
         return contexts
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.spread(), return_inverse=True)
-
     def spread(self) -> np.ndarray:
         """Keys that fill their range evenly, as buckets need them."""
         return self.keys * _K1
 
+    def grams(self, n: int) -> np.ndarray | None:
+        """Go on to the next order: its distinct n-grams, what this chunk counts of them, and which no other chunk can have, because
+        none has the one they begin or the one they end with. Returns the keys of their contexts."""
+        contexts = self.longer() if n > 1 else None
+        self.distinct, self.first, self.inverse = np.unique(self.spread(), return_index=True, return_inverse=True)
+        self.train = np.bincount(self.inverse[~self.held_at], minlength=len(self.distinct))
+        self.own_held = np.bincount(self.inverse[self.held_at], minlength=len(self.distinct)) > 0
+        self.local = (self.alone | self.before(self.alone, False))[self.first]
+        return contexts
+
+    def answer(self, replies: np.ndarray) -> np.ndarray:
+        """Of each distinct n-gram: 4 times the total, plus 2 if this chunk is to speak for it, plus 1 if documents that are held out have it."""
+        answer = np.zeros(len(self.distinct), dtype=np.int64)
+        answer[~self.local] = replies
+        alone = answer == 0
+        self.alone = alone[self.inverse]
+        return np.where(alone, self.train * 4 + 2 + self.own_held, answer)
+
 
 def chunks_of(batch: pa.RecordBatch) -> Iterator[Chunk]:
     for k in range(batch.num_rows):
         row = {}
         for i, field in enumerate(batch.schema):
             value = batch.column(i)[k]
-            plain = field.name in ("chunk", "doc_ids", "held")
-            row[field.name] = value.as_py() if plain else value.values.to_numpy(zero_copy_only=False)
+            row[field.name] = value.values.to_numpy(zero_copy_only=False) if field.name == "lengths" else value.as_py()
         yield Chunk(row)
 
 
-def requests(order: int, bits: int):
+def tally(total: np.ndarray) -> list[int]:
+    """Of n-grams with these totals: how many were counted, their occurrences, and how many were counted 1 to `GREATEST` + 1 times."""
+    kinds = np.bincount(np.minimum(total, GREATEST + 2), minlength=GREATEST + 3)
+    return [int((total > 0).sum()), int(total.sum()), *kinds[1 : GREATEST + 2].tolist()]
+
+
+def replies_to(chunk: int, folder: str) -> np.ndarray:
+    """What the buckets of an order answered to a chunk, in the order of the keys it sent."""
+    fs, root = FileSystem.from_uri(folder)
+    path = f"{root}/group={chunk >> GROUP_BITS}"
+    if fs.get_file_info(path).type == FileType.NotFound:  # none of the group's chunks sent any
+        return np.array([], dtype=np.int64)
+    mine = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["bucket", "totals"], filter=ds.field("chunk") == chunk)
+    return np.concatenate([np.array([], dtype=np.int64), *(unplanes(b.as_py(), np.int64) for b in mine.sort_by("bucket")["totals"])])
+
+
+def requests(n: int, bits: int, folders: list[str]):
+    """folders: the answers of the orders below."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks_of(batch):
-                for n in range(1, order + 1):
-                    if n > 1:
-                        c.longer()
-                    keys, inverse = c.distinct()
-                    train = np.bincount(inverse[~c.held_at], minlength=len(keys))
-                    held = np.bincount(inverse[c.held_at], minlength=len(keys)) > 0
-                    counts = (train * 2 + held).astype(np.uint32)
-                    cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-                    rows: list[tuple] = []
-                    for b in np.flatnonzero(np.diff(cuts)):
-                        some = keys[cuts[b] : cuts[b + 1]]
-                        steps = np.diff(some, prepend=np.uint64(int(b) << (64 - bits)))
-                        rows.append((n, int(b), c.chunk, planes(steps), planes(counts[cuts[b] : cuts[b + 1]])))
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                    columns = [pa.array(list(v), k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["n", "bucket", "chunk", "keys", "counts"])
+                for k, folder in enumerate(folders, 1):
+                    c.grams(k)
+                    c.answer(replies_to(c.chunk, folder))
+                c.grams(n)
+                sent = ~c.local
+                keys, counts = c.distinct[sent], (c.train * 2 + c.own_held)[sent].astype(np.uint32)
+                cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+                # What is not sent counts too; any bucket may add that up.
+                rows: list[tuple] = [(((c.chunk >> GROUP_BITS) + c.chunk) % (1 << bits), c.chunk, None, None, tally(c.train[c.local]))]
+                for b in np.flatnonzero(np.diff(cuts)):
+                    some = keys[cuts[b] : cuts[b + 1]]
+                    steps = np.diff(some, prepend=np.uint64(int(b) << (64 - bits)))
+                    rows.append((int(b), c.chunk, planes(steps), planes(counts[cuts[b] : cuts[b + 1]]), None))
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                columns = [pa.array(list(v), k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "keys", "counts", "stats"])
 
     return run
 
@@ -167,26 +218,28 @@ def requests(order: int, bits: int):
 def totals(bits: int):
     def run(table: pa.Table) -> pa.Table:
         """The counts of all chunks for the n-grams of a bucket: for each chunk 4 times the total, plus 2 if the chunk is to
-        speak for the n-gram, plus 1 if documents that are held out have it."""
-        n, bucket = table["n"][0].as_py(), table["bucket"][0].as_py()
-        table = table.sort_by("chunk")
-        top = np.uint64(bucket << (64 - bits))
-        keys = [np.cumsum(unplanes(k.as_py(), np.uint64), dtype=np.uint64) + top for k in table["keys"]]
-        counts = np.concatenate([unplanes(k.as_py(), np.uint32) for k in table["counts"]])
-        sizes = np.cumsum([len(k) for k in keys])[:-1]
-        distinct, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.bincount(inverse, counts >> 1).astype(np.int64)
-        held = np.bincount(inverse, counts & 1) > 0
-        reply = total[inverse] * 4 + held[inverse]
-        reply[first] += 2
-        kinds = np.bincount(np.minimum(total, GREATEST + 2), minlength=GREATEST + 3)
-        stats = [int((total > 0).sum()), int(total.sum()), *kinds[1 : GREATEST + 2].tolist()]
-        rows = [(n, bucket, c.as_py(), planes(r), None) for c, r in zip(table["chunk"], np.split(reply, sizes), strict=True)]
-        rows.append((n, bucket, -1, None, stats))
-        columns = zip(*rows, strict=True)
-        types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        arrays = [pa.array(list(v), k) for v, k in zip(columns, types, strict=True)]
-        return pa.Table.from_arrays(arrays, ["n", "bucket", "chunk", "totals", "stats"])
+        speak for the n-gram, plus 1 if documents that are held out have it; 0 if no other chunk has it."""
+        bucket = table["bucket"][0].as_py()
+        stats = np.array([tally(np.array([], dtype=np.int64)), *(s for s in table["stats"].to_pylist() if s)]).sum(axis=0)
+        rows: list[tuple] = []
+        table = table.filter(pc.is_valid(table["keys"])).sort_by("chunk")
+        if table.num_rows:
+            top = np.uint64(bucket << (64 - bits))
+            keys = [np.cumsum(unplanes(k.as_py(), np.uint64), dtype=np.uint64) + top for k in table["keys"]]
+            counts = np.concatenate([unplanes(k.as_py(), np.uint32) for k in table["counts"]])
+            sizes = np.cumsum([len(k) for k in keys])[:-1]
+            _, first, inverse, chunks = np.unique(np.concatenate(keys), return_index=True, return_inverse=True, return_counts=True)
+            total = np.bincount(inverse, counts >> 1).astype(np.int64)
+            held = np.bincount(inverse, counts & 1) > 0
+            reply = total[inverse] * 4 + held[inverse]
+            reply[first] += 2
+            reply[first[chunks == 1]] = 0
+            stats = stats + tally(total)
+            rows = [(bucket, c.as_py(), planes(r), None) for c, r in zip(table["chunk"], np.split(reply, sizes), strict=True)]
+        rows.append((bucket, -1, None, stats.tolist()))
+        types = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        arrays = [pa.array(list(v), k) for v, k in zip(zip(*rows, strict=True), types, strict=True)]
+        return pa.Table.from_arrays(arrays, ["bucket", "chunk", "totals", "stats"])
 
     return run
 
@@ -204,28 +257,21 @@ def discounts(seen: list[int]) -> np.ndarray:
     return out
 
 
-def scored(order: int, folder: str, model: dict[int, tuple]):
+def scored(folders: list[str], model: dict[int, tuple]):
     """model: for each order (distinct n-grams, their occurrences, discounts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = FileSystem.from_uri(folder)
         for batch in batches:
             for c in chunks_of(batch):
-                path = f"{root}/group={c.chunk >> GROUP_BITS}"
-                mine = ds.dataset(path, filesystem=fs, format="parquet").to_table(
-                    columns=["n", "bucket", "totals"], filter=ds.field("chunk") == c.chunk
-                )
-                yield evaluate(c, mine.sort_by([("n", "ascending"), ("bucket", "ascending")]), order, model)
+                yield evaluate(c, folders, model)
 
     return run
 
 
-def evaluate(c: Chunk, replies: pa.Table, order: int, model: dict[int, tuple]) -> pa.RecordBatch:
-    numbers = replies["n"].to_numpy()
-    answer = {n: np.concatenate([unplanes(b.as_py(), np.int64) for b in replies["totals"].filter(pa.array(numbers == n))]) for n in range(1, order + 1)}
+def evaluate(c: Chunk, folders: list[str], model: dict[int, tuple]) -> pa.RecordBatch:
     distinct, occurrences, d, left = model[1]
-    _, inverse = c.distinct()
-    reply = answer[1][inverse]
+    c.grams(1)
+    reply = c.answer(replies_to(c.chunk, folders[0]))[c.inverse]
     count, held = reply >> 2, (reply & 1) > 0
     known = count > 0
     docs = len(c.lengths)
@@ -238,12 +284,12 @@ def evaluate(c: Chunk, replies: pa.Table, order: int, model: dict[int, tuple]) -
         log = np.log10(probability)
     trained = int(model[0][1])  # documents, which is how often texts begin
     sums, misses = [], []
-    for n in range(2, order + 1):
+    for n in range(2, len(folders) + 1):
         context_count, context_held = c.before(count, trained), c.before(held, True)
         lower = probability
-        contexts = c.longer()
-        _, first, inverse = np.unique(c.spread(), return_index=True, return_inverse=True)
-        reply = answer[n][inverse]
+        contexts = c.grams(n)
+        answer = c.answer(replies_to(c.chunk, folders[n - 1]))
+        reply = answer[c.inverse]
         count, held = reply >> 2, (reply & 1) > 0
         d = model[n][2]
         seen, small = count > 0, np.minimum(count, GREATEST + 1)
@@ -258,7 +304,7 @@ def evaluate(c: Chunk, replies: pa.Table, order: int, model: dict[int, tuple]) -
             pair, times = np.unique(np.stack([c.doc[missed].astype(np.uint64), tag[missed]]), axis=1, return_counts=True)
             misses.append((pair[0].astype(np.int64), pair[1].view(np.int64), times))
         # The n-grams this chunk speaks for, of contexts that documents which are held out have.
-        own = first[(answer[n] & 2) > 0]
+        own = c.first[(answer & 2) > 0]
         own = own[seen[own] & context_held[own]]
         if len(own):
             key, at = np.unique(tag[own], return_inverse=True)
@@ -289,26 +335,26 @@ def scores(documents: DataFrame, order: int = ORDER) -> DataFrame:
     hashes = F.transform(words(lower_ascii(F.col("text"))), lambda w: F.xxhash64(w)).alias("hashes")
     cut = source.select("doc_id", held_out(F.col("doc_id")).alias("held"), hashes)
     chunks = written(spark, cut.mapInArrow(chunked, CHUNKS), "chunks")
-    size = chunks.select(F.sum(F.size("tokens"))).first()[0] or 0
+    size = chunks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     bits = max(6, int(np.ceil(np.log2(max(1, size) / BUCKET))))
 
-    asked = chunks.mapInArrow(requests(order, bits), REQUEST)
-    counted = asked.groupBy("n", "bucket").applyInArrow(totals(bits), REPLY)
-    grouped = counted.withColumn("group", F.expr(f"CASE WHEN chunk < 0 THEN -1 ELSE shiftright(chunk, {GROUP_BITS}) END"))
-    folder = run_folder(spark, "ngrams")
-    grouped.repartition("group").write.option("compression", "zstd").partitionBy("group").parquet(folder)
-    replies = spark.read.schema(f"{REPLY}, group bigint").parquet(folder)
-
-    model: dict[int, tuple] = {n: (0, 0, discounts([0] * (GREATEST + 1)), RESERVE) for n in range(1, order + 1)}
+    model: dict[int, tuple] = {}
+    folders: list[str] = []
     sums = [F.sum(F.col("stats")[i]) for i in range(GREATEST + 3)]
-    for n, distinct, occurrences, *seen in replies.where("group = -1").groupBy("n").agg(*sums).collect():
+    for n in range(1, order + 1):
+        counted = chunks.mapInArrow(requests(n, bits, list(folders)), REQUEST).groupBy("bucket").applyInArrow(totals(bits), REPLY)
+        folders.append(run_folder(spark, f"ngrams{n}"))
+        grouped = counted.withColumn("group", F.shiftright("chunk", GROUP_BITS)).repartition("group")
+        with exchanges_dropped(spark):
+            grouped.write.option("compression", "zstd").partitionBy("group").parquet(folders[-1])
+        replies = spark.read.schema(f"{REPLY}, group bigint").parquet(folders[-1])
+        distinct, occurrences, *seen = [x or 0 for x in replies.where("group = -1").agg(*sums).first()]
         d = discounts(seen)
-        left = RESERVE + sum(r * (1 - d[r]) * seen[r - 1] for r in range(1, GREATEST + 1))
-        model[n] = (distinct, occurrences, d, left)
+        model[n] = (distinct, occurrences, d, RESERVE + sum(r * (1 - d[r]) * seen[r - 1] for r in range(1, GREATEST + 1)))
     trained = chunks.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     model[0] = (0, trained)
 
-    made = written(spark, chunks.mapInArrow(scored(order, folder, model), SCORED), "scored")
+    made = written(spark, chunks.mapInArrow(scored(folders, model), SCORED), "scored")
     docs = made.select(F.inline("docs"))
     sums_of = made.select(F.inline("contexts")).groupBy("key").agg(F.sum("given").alias("given"), F.sum("lower").alias("lower"))
     weight = F.log10((F.col("given") + RESERVE) / (1 - F.col("lower")))

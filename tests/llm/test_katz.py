@@ -1,11 +1,15 @@
 """The backoff model against dictionaries, and its sums over the whole vocabulary."""
 
 import math
+import os
 import random
 import re
+import tempfile
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from parcelspan.llm import katz
@@ -128,3 +132,50 @@ def test_registered_query_is_a_trigram_model(spark, tmp_path):
         texts[d].append(t)
     for r in QUERIES["op4_katz"](spark, str(tmp_path)).collect():
         assert math.isclose(r.score, plain.score(texts[r.doc_id][0]), rel_tol=1e-8), r
+
+
+def test_rounds_leave_no_shuffle_files(spark, monkeypatch):
+    """What the rounds of counting send is dropped as soon as their answers are written."""
+    dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f: os.path.getsize(os.path.join(p, f)) for d in dirs for p, _, fs in os.walk(d) for f in fs if "shuffle" in f}
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(500))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path := f"{tempfile.mkdtemp()}/documents")
+    before, left, plain = files(), [], katz.discounts
+
+    def watched(seen):
+        time.sleep(1)
+        left.append(sum(size for f, size in files().items() if f not in before))
+        return plain(seen)
+
+    monkeypatch.setattr(katz, "discounts", watched)
+    katz.scores(spark.read.parquet(path))
+    assert left and max(left) < 0.1 * sum(len(t) for _, t in rows), left
+
+
+def test_what_one_chunk_has_is_not_sent():
+    """Bigrams with a word that no other chunk has are counted where they are, documents that are held out included."""
+    chunk = katz.Chunk(
+        {
+            "chunk": 0, "doc_ids": [0, 1], "held": [False, True], "lengths": np.array([4, 2]),
+            "tokens": katz.planes(np.array([0, 1, 2, 3, 1, 3], np.int32)), "vocabulary": katz.planes(np.array([5, 10, 10, 10], np.uint64)),
+        }
+    )
+    chunk.grams(1)
+    word = {int(k): i for i, k in enumerate(chunk.distinct)}
+    at = [word[int(k)] for k in np.array([5, 15, 25, 35], np.uint64) * katz._K1]
+    replies = np.full(4, 9 * 4 + 1)
+    replies[at[1]] = 0  # the second word is nobody else's
+    answer = chunk.answer(replies)
+    assert [answer[i] for i in at] == [37, 4 + 2 + 1, 37, 37]
+    chunk.grams(2)
+    # In order of place: <s> a, a b, b c, c </s>, <s> b, b </s>.
+    assert chunk.local[chunk.inverse].tolist() == [False, True, True, False, True, True]
+    answer = chunk.answer(np.full(2, 41))
+    assert answer[chunk.inverse].tolist() == [41, 6, 6, 41, 3, 3]
+
+
+@pytest.mark.parametrize("values", [[], [0], [0] * 300, [1, 2**63 + 5, 7], list(range(5000))])
+def test_planes(values):
+    for kind in (np.uint64, np.int64) if max(values, default=0) < 2**63 else (np.uint64,):
+        assert katz.unplanes(katz.planes(np.array(values, kind)), kind).tolist() == values
