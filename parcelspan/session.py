@@ -23,6 +23,9 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
+    # A batch commits what it changed, not files of the whole store, and keys are put without asking first whether they are new.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     # Writing a partition again replaces that partition and no other.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -83,6 +86,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/parcelspan/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The table written into a folder of this run and read back, for tables that several jobs read."""
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of a few rows kept in the plan itself. Spark knows how small it is, which it does not for
     a table made from Python rows, and so never sends the other side of a join instead."""

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspan.operators.ordered import MAX_KEY_ROWS, Wanted, annotate
+from parcelspan.session import kept
 
 
 def hourly_runs(readings: DataFrame, keys: Sequence[str], time: str, flag: Column, keep: str | None = None) -> DataFrame:
@@ -46,12 +47,12 @@ def hourly_runs(readings: DataFrame, keys: Sequence[str], time: str, flag: Colum
 
 def joined_runs(hours: DataFrame, keys: Sequence[str], max_rows: int = MAX_KEY_ROWS) -> DataFrame:
     """Start, end and readings of every run from the latest statements of the hours. A run ends at the reading after it, or at its own
-    last one when nothing follows."""
-    keys = list(keys)
+    last one when nothing follows. Ordered work reads its rows twice, so they are written first."""
+    keys, hours = list(keys), kept(hours, "hours")
     beside = Wanted(previous={"_was": F.col("open")}, following={"_then": F.col("first_at")})
     runs = annotate(hours, keys, ["hour"], beside, max_rows).select(*keys, "_was", "_then", F.explode("runs").alias("r"))
     runs = runs.select(*keys, "r.*", "_then", (~(F.col("r.first") & F.coalesce(F.col("_was"), F.lit(False)))).cast("int").alias("_new"))
-    numbered = annotate(runs, keys, ["opened_at"], Wanted(running_sum={"_run": F.col("_new")}), max_rows)
+    numbered = annotate(kept(runs, "hourly_runs"), keys, ["opened_at"], Wanted(running_sum={"_run": F.col("_new")}), max_rows)
     return numbered.groupBy(*keys, "_run").agg(
         F.min("opened_at").alias("opened_at"), F.max(F.coalesce("next_at", "_then", "last_at")).alias("closed_at"), F.sum("readings").alias("readings")
     ).drop("_run")

@@ -5,7 +5,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from parcelspan.session import run_folder
+from parcelspan.session import prepare, run_folder
+from parcelspan.streaming import sessions
 from parcelspan.streaming.routes import current, start_updates
 from parcelspan.streaming.sessions import hourly_runs, joined_runs
 
@@ -45,3 +46,31 @@ def test_late_files_equal_a_plain_walk(spark):
         for max_rows in (10**9, 20):
             got = joined_runs(hours, ["van"], max_rows).select("van", F.col("opened_at").cast("timestamp_ntz"), F.col("closed_at").cast("timestamp_ntz"), "readings")
             assert sorted(map(tuple, got.collect())) == walked(given)
+
+
+def test_state_is_kept_as_changes(spark, tmp_path):
+    """Batches commit what they changed, without files of the whole store; the query goes on from them as from those."""
+    prepare(spark)
+    path, out, checkpoint = (f"{tmp_path}/{n}" for n in ("readings", "runs", "checkpoint"))
+    start = datetime(2026, 3, 28, 22)
+    for turn in range(3):
+        rows = [("V", start + timedelta(minutes=10 * turn), True, 0), (f"W{turn}", start, True, 0)]
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(SCHEMA).parquet(path)
+        start_updates(hourly_runs(stream, ["van"], "at", F.col("open")), out, checkpoint).awaitTermination()
+    found = [f.name for f in (tmp_path / "checkpoint" / "state").rglob("*") if not f.name.startswith(".")]
+    assert any(f.endswith(".changelog") for f in found)
+    got = joined_runs(current(spark.read.parquet(out), ["van", "hour"]), ["van"]).where("van = 'V'").collect()
+    assert [(r.readings, r.closed_at - r.opened_at) for r in got] == [(3, timedelta(minutes=20))]
+
+
+def test_ordered_work_reads_written_hours(spark, monkeypatch):
+    """The hours are worked out once, although ordered work measures its keys before it begins."""
+    hours = spark.createDataFrame(
+        [("V", datetime(2026, 3, 28, 22), datetime(2026, 3, 28, 22), False, [])],
+        "van string, hour timestamp, first_at timestamp, open boolean, runs array<struct<opened_at:timestamp,last_at:timestamp,next_at:timestamp,readings:bigint,first:boolean>>",
+    )
+    seen, plain = [], sessions.annotate
+    monkeypatch.setattr(sessions, "annotate", lambda df, *rest: seen.append(df.inputFiles()) or plain(df, *rest))
+    assert sessions.joined_runs(hours, ["van"]).collect() == []
+    assert len(seen) == 2 and all(f.endswith(".parquet") for files in seen for f in files) and seen[0]
