@@ -28,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelspan.llm.common import written
+from parcelspan.llm.common import finely_cut, written
+from parcelspan.llm.katz import planes, unplanes
 
 SHARD_TOKENS, SHARD_WORDS = 3_000_000, 600_000  # a shard ends when it reaches either
 RANGE_TOKENS, SPLIT = 1_000_000, 8  # tokens of the corpus for each range, and the parts a first word's n-grams are dealt into
 UNKNOWN = "und"
 # Pieces end at these; inside the workers a full stop stands for all of them.
 ENDS = bytes(b"."[0] if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
-SHARD = "chunk bigint, words array<binary>, tokens binary, langs array<string>, totals array<bigint>"
-PART = "range int, chunk bigint, words array<binary>, numbers binary, automaton binary"
+SHARD = "chunk bigint, words binary, tokens binary, langs array<string>, totals array<bigint>"
+PART = "range int, chunk bigint, words binary, numbers binary, automaton binary"
 FOUND = "kind string, range int, lang string, words array<string>, f bigint, chunk bigint, pairs binary"
 
 
@@ -51,8 +52,9 @@ class Automaton:
         self.levels = levels
 
     @classmethod
-    def build(cls, grams: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> Automaton:
-        """From n-grams (rows of labels, of which the first `lengths` count); weights of equal ones are added."""
+    def build(cls, grams: np.ndarray, lengths: np.ndarray, weights: np.ndarray, least: int = 0) -> Automaton:
+        """From n-grams (rows of labels, of which the first `lengths` count); weights of equal ones are added. Arcs that lead to no weight
+        of `least` are left out before states are compared."""
         tries, states = [], np.zeros(len(grams), dtype=np.int64)
         rows = np.arange(len(grams))
         for depth in range(grams.shape[1]):
@@ -63,19 +65,22 @@ class Automaton:
             states[rows] = where
             ends = lengths[rows] == depth + 1
             weight = np.zeros(len(arcs), dtype=np.int64)
-            np.add.at(weight, where[ends], weights[rows[ends]])
+            np.add.at(weight, where[ends], weights[rows[ends]].astype(np.int64))
             tries.append((arcs >> 32, arcs & 0xFFFFFFFF, weight))
         levels, targets = [], None
         for depth in range(len(tries) - 1, -1, -1):
-            parents, labels, weight = tries[depth]
+            parents, labels, weight = tries.pop()
+            if least:
+                often = weight >= least if targets is None else (weight >= least) | (targets > 0)
+                parents, labels, weight, targets = parents[often], labels[often], weight[often], None if targets is None else targets[often]
             arcs = np.stack([labels, weight, np.zeros_like(labels) if targets is None else targets], axis=1)
             firsts = np.flatnonzero(np.diff(parents, prepend=-1))
-            stops = np.append(firsts[1:], len(arcs))
+            stops = np.append(firsts[1:], len(arcs))[: len(firsts)]
             if depth == 0:
                 kept = [slice(0, len(arcs))]
             else:
                 data, size, register, kept = arcs.tobytes(), 8 * arcs.shape[1], {}, []
-                targets = np.zeros(len(tries[depth - 1][0]), dtype=np.int64)
+                targets = np.zeros(len(tries[-1][0]), dtype=np.int64)
                 for parent, first, stop in zip(parents[firsts].tolist(), firsts.tolist(), stops.tolist(), strict=True):
                     key = data[size * first : size * stop]
                     state = register.get(key)
@@ -83,7 +88,7 @@ class Automaton:
                         kept.append(slice(first, stop))
                         state = register[key] = len(kept)
                     targets[parent] = state
-            arcs_kept = np.concatenate([arcs[s] for s in kept]) if depth else arcs
+            arcs_kept = np.concatenate([arcs[s] for s in kept]) if depth and kept else arcs
             sizes = [s.stop - s.start for s in kept]
             starts = np.cumsum([0, *([] if depth == 0 else [0]), *sizes])
             levels.append((starts, arcs_kept[:, 0], arcs_kept[:, 1], arcs_kept[:, 2]))
@@ -145,6 +150,23 @@ class Automaton:
         return cls(levels)
 
 
+def folded(words: pa.Array) -> bytes:
+    """Words as one compressed value; a list of them takes Spark many times the room. Back with `unfolded`."""
+    stops = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    data = words.buffers()[2]
+    held = bytes(data[stops[0] : stops[-1]]) if data else b""
+    raw = np.diff(stops).astype("<i4").tobytes() + held
+    return np.array([len(words), len(raw)], "<i8").tobytes() + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unfolded(data: bytes) -> pa.Array:
+    count, size = np.frombuffer(data, "<i8", 2).tolist()
+    raw = pa.Codec("zstd").decompress(data[16:], size)
+    stops = np.cumsum(np.frombuffer(raw, "<i4", count), dtype=np.int32)
+    stops = np.concatenate([np.zeros(1, np.int32), stops])
+    return pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(stops), raw.slice(4 * count)])
+
+
 class Words(dict):
     """Numbers of a shard's words of one language; the separator is 0."""
 
@@ -169,8 +191,8 @@ def shards(documents: DataFrame, most: int = SHARD_TOKENS) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({
-                "chunk": pa.array([number], pa.int64()), "words": pa.array([words], pa.list_(pa.binary())),
-                "tokens": pa.array([tokens.tobytes()], pa.binary()), "langs": pa.array([list(totals)], pa.list_(pa.string())),
+                "chunk": pa.array([number], pa.int64()), "words": pa.array([folded(pa.array(words, pa.binary()))], pa.binary()),
+                "tokens": pa.array([planes(np.frombuffer(tokens, np.uint32))], pa.binary()), "langs": pa.array([list(totals)], pa.list_(pa.string())),
                 "totals": pa.array([list(totals.values())], pa.list_(pa.int64())),
             })
 
@@ -215,9 +237,14 @@ class Dealt:
         return (first * self.split + rest).astype(np.int32)
 
 
-def parts_of(dealt: Dealt, chunk: int, words: list[bytes], grams: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> Iterator[dict]:
+def parts_of(
+    dealt: Dealt, chunk: int, words: pa.Array, grams: np.ndarray, lengths: np.ndarray, weights: np.ndarray
+) -> Iterator[pa.RecordBatch]:
     """A shard's automata, one for each range it has n-grams in. `grams` holds the shard's numbers, which begin at 1."""
-    checks = np.array([0, *(zlib.crc32(w) for w in words)], dtype=np.int64)
+    checks = np.zeros(len(words) + 1, dtype=np.int64)
+    for at in range(0, len(words), 1 << 16):  # words stay in Arrow: as Python's objects they are many times as large
+        some = words.slice(at, 1 << 16)
+        checks[at + 1 : at + 1 + len(some)] = [zlib.crc32(w) for w in some.to_pylist()]
     ranges = dealt.of(checks, grams, lengths)
     order = np.argsort(ranges, kind="stable")
     begins = np.flatnonzero(np.diff(ranges[order], prepend=-1))
@@ -230,11 +257,11 @@ def parts_of(dealt: Dealt, chunk: int, words: list[bytes], grams: np.ndarray, le
         label = np.zeros(int(numbers.max()) + 1, dtype=np.int64)
         label[numbers] = np.arange(len(numbers))
         built = Automaton.build(np.where(inside, label[np.where(inside, some, numbers[0])], 0), size, weights[rows].astype(np.int64))
-        yield {"range": int(ranges[rows[0]]), "chunk": chunk, "words": [words[n - 1] for n in numbers.tolist()],
-               "numbers": numbers.astype("<u4").tobytes(), "automaton": built.dump()}
+        told = [int(ranges[rows[0]])], [chunk], [folded(words.take(pa.array(numbers - 1)))], [numbers.astype("<u4").tobytes()], [built.dump()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(told, PART_TYPE, strict=True)], schema=PART_TYPE)
 
 
-PART_TYPE = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("words", pa.list_(pa.binary())), ("numbers", pa.binary()), ("automaton", pa.binary())])
+PART_TYPE = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary()), ("automaton", pa.binary())])
 FOUND_TYPE = pa.schema([
     ("kind", pa.string()), ("range", pa.int32()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("f", pa.int64()),
     ("chunk", pa.int64()), ("pairs", pa.binary()),
@@ -257,8 +284,8 @@ def short_grams(dealt: Dealt, table: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                tokens = np.frombuffer(row["tokens"], "<u4")
+            for chunk, words, data in zip(*batch.columns, strict=True):
+                tokens = unplanes(data.as_py(), np.uint32)
                 singles, n_single = np.unique(tokens[tokens > 0], return_counts=True)
                 pairs, n_pair = counted_pairs(tokens)
                 grams = np.zeros((len(singles) + len(pairs), 2), dtype=np.uint32)
@@ -266,9 +293,8 @@ def short_grams(dealt: Dealt, table: DataFrame) -> DataFrame:
                 grams[len(singles) :, 0], grams[len(singles) :, 1] = pairs >> 32, pairs & 0xFFFFFFFF
                 lengths = np.repeat(np.array([1, 2], dtype=np.int8), [len(singles), len(pairs)])
                 weights = np.concatenate([n_single, n_pair]).astype(np.uint32)
-                del tokens, singles, n_single, pairs, n_pair, row["tokens"]
-                for part in parts_of(dealt, row["chunk"], row["words"], grams, lengths, weights):
-                    yield pa.RecordBatch.from_pylist([part], schema=PART_TYPE)
+                del tokens, singles, n_single, pairs, n_pair
+                yield from parts_of(dealt, chunk.as_py(), unfolded(words.as_py()), grams, lengths, weights)
 
     return table.select("chunk", "words", "tokens").mapInArrow(run, PART)
 
@@ -277,10 +303,10 @@ def long_grams(dealt: Dealt, table: DataFrame, kept: DataFrame, most: int) -> Da
     """Automata of the shards' n-grams of three words and more all of whose neighbours are frequent pairs."""
 
     def run(shard: pa.Table, told: pa.Table) -> pa.Table:
-        parts: list[dict] = []
+        parts: list[pa.RecordBatch] = []
         if shard.num_rows and told.num_rows:
             pairs = np.sort(np.concatenate([np.frombuffer(p, "<i8") for p in told.column("pairs").to_pylist()]))
-            tokens = np.frombuffer(shard.column("tokens")[0].as_py(), "<u4")
+            tokens = unplanes(shard.column("tokens")[0].as_py(), np.uint32)
             near, states = np.zeros(max(0, len(tokens) - 1), dtype=bool), []
             for at in range(0, len(near), 1 << 18):  # a stretch at a time
                 both = tokens[:-1][at : at + (1 << 18)].astype(np.int64) << 32 | tokens[1:][at : at + (1 << 18)]
@@ -301,15 +327,16 @@ def long_grams(dealt: Dealt, table: DataFrame, kept: DataFrame, most: int) -> Da
                 _, first, states, count = np.unique(
                     earlier << 32 | tokens[starts + size - 1], return_index=True, return_inverse=True, return_counts=True
                 )
-                rows = np.zeros((len(first), most), dtype=np.int64)
+                rows = np.zeros((len(first), most), dtype=np.uint32)
                 rows[:, :size] = tokens[starts[first][:, None] + np.arange(size)]
                 grams.append(rows)
-                lengths.append(np.full(len(first), size))
-                weights.append(count)
+                lengths.append(np.full(len(first), size, dtype=np.int8))
+                weights.append(count.astype(np.uint32))
+            del near, starts, states
             if grams:
-                words = shard.column("words")[0].as_py()
+                words = unfolded(shard.column("words")[0].as_py())
                 parts = list(parts_of(dealt, shard.column("chunk")[0].as_py(), words, *map(np.concatenate, (grams, lengths, weights))))
-        return pa.Table.from_pylist(parts, schema=PART_TYPE)
+        return pa.Table.from_batches(parts, schema=PART_TYPE)
 
     of_shard = table.select("chunk", "words", "tokens").groupBy("chunk")
     return of_shard.cogroup(kept.select("chunk", "pairs").toDF("of", "pairs").groupBy("of")).applyInArrow(run, PART)
@@ -320,36 +347,41 @@ def united(parts: DataFrame, least: int, tell: bool) -> DataFrame:
     should keep."""
 
     def run(group: pa.Table) -> pa.Table:
-        common: dict[bytes, int] = {}
-        pieces, labels = [], []
-        for words, data in zip(group.column("words"), group.column("automaton"), strict=True):
-            label = np.array([common.setdefault(w, len(common)) for w in words.as_py()], dtype=np.int64)
+        # Words stay in Arrow, and labels take 32 bits: a range is the largest thing a worker holds.
+        words = [unfolded(w.as_py()) for w in group.column("words")]
+        encoded = pa.concat_arrays(words).dictionary_encode()
+        common, labels = encoded.dictionary, np.split(encoded.indices.to_numpy().astype(np.uint32), np.cumsum([len(w) for w in words])[:-1])
+        pieces = []
+        for label, data in zip(labels, group.column("automaton"), strict=True):
             grams, lengths, weights = Automaton.load(data.as_py()).paths()
-            labels.append(label)
-            pieces.append((np.where(np.arange(grams.shape[1]) < lengths[:, None], label[grams], 0), lengths, weights))
-        widest = max(g.shape[1] for g, _, _ in pieces)
-        every = np.concatenate([np.pad(g, ((0, 0), (0, widest - g.shape[1]))) for g, _, _ in pieces])
-        union = Automaton.build(every, np.concatenate([n for _, n, _ in pieces]), np.concatenate([w for _, _, w in pieces]))
-        grams, lengths, weights = union.paths()
+            grams = np.where(np.arange(grams.shape[1]) < lengths[:, None], label[grams], np.uint32(0))
+            pieces.append((grams, lengths.astype(np.int8), weights.astype(np.uint32)))
+        stops = np.cumsum([len(n) for _, n, _ in pieces])
+        every = np.zeros((stops[-1], max(g.shape[1] for g, _, _ in pieces)), dtype=np.uint32)
+        for stop, (grams, _, _) in zip(stops, pieces, strict=True):
+            every[stop - len(grams) : stop, : grams.shape[1]] = grams
+        lengths, weights = (np.concatenate([p[i] for p in pieces]) for i in (1, 2))
+        del words, pieces, encoded, grams
+        owns = list(zip(np.split(every, stops[:-1]), np.split(lengths, stops[:-1]), strict=True))
+        grams, lengths, weights = Automaton.build(every, lengths, weights, least).paths()
         often = weights >= least
         grams, lengths, weights = grams[often], lengths[often], weights[often]
-        names = [w.split(b"\t", 1) for w in common]
+        names = {w: common[w].as_py().split(b"\t", 1) for w in np.unique(grams).tolist()}
         at = group.column("range")[0].as_py()
         rows = [
             {"kind": "gram", "range": at, "lang": names[g[0]][1].decode(), "words": [names[w][0].decode() for w in g[:n]], "f": f}
             for g, n, f in zip(grams.tolist(), lengths.tolist(), weights.tolist(), strict=True)
         ]
-        if tell:
-            pairs = np.sort(grams[lengths == 2][:, 0] << 32 | grams[lengths == 2][:, 1]) if widest > 1 else np.zeros(0, dtype=np.int64)
-            for chunk, numbers, label, (own, sizes, _) in zip(group.column("chunk"), group.column("numbers"), labels, pieces, strict=True):
-                if not len(pairs) or own.shape[1] < 2:
-                    continue
-                keys = own[sizes == 2][:, 0] << 32 | own[sizes == 2][:, 1]
+        pairs = np.sort(grams[lengths == 2][:, 0] << 32 | grams[lengths == 2][:, 1]) if tell and grams.shape[1] > 1 else []
+        if len(pairs):
+            for chunk, numbers, label, (own, sizes) in zip(group.column("chunk"), group.column("numbers"), labels, owns, strict=True):
+                own = own[sizes == 2].astype(np.int64)
+                keys = own[:, 0] << 32 | own[:, 1]
                 keys = keys[pairs[np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)] == keys]
                 if len(keys):
-                    shards_own = np.zeros(len(common), dtype=np.int64)
-                    shards_own[label] = np.frombuffer(numbers.as_py(), "<u4")
-                    kept = shards_own[keys >> 32] << 32 | shards_own[keys & 0xFFFFFFFF]
+                    order = np.argsort(label)
+                    label, number = label[order].astype(np.int64), np.frombuffer(numbers.as_buffer(), "<u4")[order].astype(np.int64)
+                    kept = number[np.searchsorted(label, keys >> 32)] << 32 | number[np.searchsorted(label, keys & 0xFFFFFFFF)]
                     rows.append({"kind": "pairs", "chunk": chunk.as_py(), "pairs": kept.astype("<i8").tobytes()})
         return pa.Table.from_pylist(rows, schema=FOUND_TYPE)
 
@@ -365,9 +397,10 @@ def frequent(
     each = table.select(F.explode(F.arrays_zip("langs", "totals")).alias("t"))
     totals = each.groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.totals").alias("n"))
     dealt = Dealt(totals.agg(F.sum("n")).first()[0] or 0, range_tokens)
-    short = written(spark, united(short_grams(dealt, table), least, True), "short-grams", "kind")
-    longer = long_grams(dealt, table, short.where("kind = 'pairs'"), most)
-    longer = written(spark, united(longer, least, False), "long-grams", "kind")
+    with finely_cut(spark):
+        short = written(spark, united(short_grams(dealt, table), least, True), "short-grams", "kind")
+        longer = long_grams(dealt, table, short.where("kind = 'pairs'"), most)
+        longer = written(spark, united(longer, least, False), "long-grams", "kind")
     columns = ["range", "lang", "words", "f"]
     return short.where("kind = 'gram'").select(columns).unionByName(longer.where("kind = 'gram'").select(columns)), totals, dealt
 

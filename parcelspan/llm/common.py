@@ -19,6 +19,8 @@ GAP = r"[\x20\x09-\x0D]+"
 
 # Batches that go to Python hold whole texts: a few megabytes each instead of 10,000 rows.
 ARROW_ROWS = "1000"
+# Parts a shuffle of large groups is cut into: as many as Spark writes without holding and sorting them.
+FINE_PARTS = 200
 _SHIPPED: set[str] = set()
 
 
@@ -75,3 +77,18 @@ def exchanges_dropped(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+@contextmanager
+def finely_cut(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of tables written in here are cut into many parts first, so that large groups seldom share one; Spark puts small parts
+    together again. A number that is set already stays."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    if before is None:
+        spark.conf.set(name, str(max(FINE_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)

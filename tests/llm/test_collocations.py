@@ -2,12 +2,15 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from parcelspan.llm.collocations import Automaton, phrases
+from parcelspan.llm.collocations import Automaton, Dealt, folded, phrases, short_grams, unfolded, united
 from parcelspan.llm.common import ship, table
+from parcelspan.llm.katz import planes
 
 
 def plain(rows, least, most, share, top):
@@ -82,3 +85,55 @@ def test_automata_keep_counts_and_share_states():
     assert built.compose(np.array([[9, 0, 0, 0]]), np.array([1])).tolist() == [0]
     same = Automaton.build(np.array([[k, 7] for k in range(9)]), np.full(9, 2), np.ones(9, dtype=np.int64))
     assert len(same.levels[1][1]) == 1  # nine first words lead to one state
+
+
+def test_what_is_too_rare_is_left_out_of_automata():
+    grams = np.array([[1, 2, 3], [1, 2, 4], [1, 5, 0], [6, 7, 0], [6, 8, 9], [6, 8, 9]])
+    lengths, weights = np.array([3, 3, 2, 2, 3, 3]), np.array([5, 1, 9, 2, 2, 2])
+    labels, sizes, kept = Automaton.build(grams, lengths, weights, 4).paths()
+    held = {tuple(g[:n]): w for g, n, w in zip(labels.tolist(), sizes.tolist(), kept.tolist(), strict=True)}
+    assert held == {(1, 2, 3): 5, (1, 5): 9, (6, 8, 9): 4}
+    assert len(Automaton.build(grams, lengths, weights, 10).paths()[0]) == 0
+
+
+def test_words_are_folded_and_unfolded():
+    for words in ([], [b""], [b"a\tq", b"", "\u00e9\n\t".encode()], [b"%d" % k for k in range(3000)]):
+        given = pa.array([b"before", *words, b"after"], pa.binary()).slice(1, len(words))
+        assert unfolded(folded(given)).to_pylist() == words
+
+
+class Given:
+    """Stands for a table and gives back the function that would run on it."""
+
+    def select(self, *columns):
+        return self
+
+    groupBy = select
+
+    def mapInArrow(self, run, schema):
+        return run
+
+    applyInArrow = mapInArrow
+
+
+def test_memory_of_a_range():
+    """A worker that unites a range holds few bytes for each of its n-grams and words."""
+    draw, parts, want = np.random.default_rng(3), [], Counter()
+    for chunk in range(10):
+        words = [b"%d-%d\tq" % (chunk, k) for k in range(9_000)] + [b"w%d\tq" % k for k in range(1_000)]
+        tokens = draw.integers(1, len(words) + 1, 20_000).astype("<u4")
+        want.update((words[a - 1], words[b - 1]) for a, b in zip(tokens, tokens[1:], strict=False))
+        want.update((words[a - 1],) for a in tokens)
+        batch = pa.RecordBatch.from_pydict({
+            "chunk": pa.array([chunk], pa.int64()), "words": pa.array([folded(pa.array(words, pa.binary()))], pa.binary()),
+            "tokens": pa.array([planes(tokens)], pa.binary()),
+        })
+        parts += short_grams(Dealt(1), Given())(iter([batch]))
+    group = pa.Table.from_batches(parts)
+    tracemalloc.start()
+    found = united(Given(), 4, True)(group).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    grams = {tuple(w.encode() + b"\tq" for w in r["words"]): r["f"] for r in found if r["kind"] == "gram"}
+    assert grams == {g: n for g, n in want.items() if n >= 4}
+    assert peak < 120 * len(want), peak / len(want)
