@@ -14,7 +14,7 @@ vocabulary. In a round for every order each chunk sends its distinct n-grams (64
 range; a bucket adds up and answers each chunk. So counts move once per chunk and n-gram, however often it occurs: frequent words
 weigh nothing, and the work of a bucket depends on the number of buckets, which follows the corpus. An n-gram that no other chunk has
 is answered so, and then no other chunk has the longer ones that begin or end with it: the chunk counts these itself and sends
-nothing. The answers are tables partitioned by group of chunks, and a round's exchanges are dropped when they are
+nothing. The answers are tables partitioned by group of chunks and chunk, and a round's exchanges are dropped when they are
 written. Each chunk's task reads its own and evaluates its tokens from the lowest order up. What
 is still open then are backoff weights: sums over the distinct n-grams of a context, each counted by the one chunk that its
 bucket named, and met by the documents in an equi-join on the context.
@@ -123,7 +123,8 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.held_at = self.held[self.doc]
-        self.ends = np.cumsum(unplanes(row["vocabulary"], np.uint64), dtype=np.uint64)[unplanes(row["tokens"], np.int32)]
+        self.vocabulary, self.tokens = np.cumsum(unplanes(row["vocabulary"], np.uint64), dtype=np.uint64), unplanes(row["tokens"], np.int32)
+        self.ends = self.vocabulary[self.tokens]
         self.keys = self.ends
         self.alone = np.zeros(len(self.ends), dtype=bool)
 
@@ -141,15 +142,25 @@ class Chunk:
         self.keys = mixed ^ (mixed >> np.uint64(29))
         return contexts
 
-    def spread(self) -> np.ndarray:
-        """Keys that fill their range evenly, as buckets need them."""
-        return self.keys * _K1
+    def number(self, n: int) -> None:
+        """Number the distinct n-grams in the order of their keys, spread so that they fill their range evenly, as buckets need them; `first`
+        is one place of each. Words are numbered already, so of them only the vocabulary is sorted."""
+        spread = (self.vocabulary if n == 1 else self.keys) * _K1
+        order = np.argsort(spread)
+        sorted_ = spread[order]
+        begins = np.ones(len(sorted_), dtype=bool)
+        begins[1:] = sorted_[1:] != sorted_[:-1]
+        numbers = np.empty(len(sorted_), dtype=np.int64)
+        numbers[order] = np.cumsum(begins) - 1
+        self.distinct, self.inverse = sorted_[begins], numbers[self.tokens] if n == 1 else numbers
+        self.first = np.empty(len(self.distinct), dtype=np.int64)
+        self.first[self.inverse] = np.arange(len(self.inverse))
 
     def grams(self, n: int) -> np.ndarray | None:
         """Go on to the next order: its distinct n-grams, what this chunk counts of them, and which no other chunk can have, because
         none has the one they begin or the one they end with. Returns the keys of their contexts."""
         contexts = self.longer() if n > 1 else None
-        self.distinct, self.first, self.inverse = np.unique(self.spread(), return_index=True, return_inverse=True)
+        self.number(n)
         self.train = np.bincount(self.inverse[~self.held_at], minlength=len(self.distinct))
         self.own_held = np.bincount(self.inverse[self.held_at], minlength=len(self.distinct)) > 0
         self.local = (self.alone | self.before(self.alone, False))[self.first]
@@ -182,10 +193,10 @@ def tally(total: np.ndarray) -> list[int]:
 def replies_to(chunk: int, folder: str) -> np.ndarray:
     """What the buckets of an order answered to a chunk, in the order of the keys it sent."""
     fs, root = FileSystem.from_uri(folder)
-    path = f"{root}/group={chunk >> GROUP_BITS}"
-    if fs.get_file_info(path).type == FileType.NotFound:  # none of the group's chunks sent any
+    path = f"{root}/group={chunk >> GROUP_BITS}/chunk={chunk}"
+    if fs.get_file_info(path).type == FileType.NotFound:  # the chunk sent none
         return np.array([], dtype=np.int64)
-    mine = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["bucket", "totals"], filter=ds.field("chunk") == chunk)
+    mine = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["bucket", "totals"])
     return np.concatenate([np.array([], dtype=np.int64), *(unplanes(b.as_py(), np.int64) for b in mine.sort_by("bucket")["totals"])])
 
 
@@ -287,6 +298,8 @@ def evaluate(c: Chunk, folders: list[str], model: dict[int, tuple]) -> pa.Record
     for n in range(2, len(folders) + 1):
         context_count, context_held = c.before(count, trained), c.before(held, True)
         lower = probability
+        # Contexts go by their numbers in the order below, one more for texts that begin.
+        place, places = c.before(c.inverse, len(c.distinct)), len(c.distinct) + 1
         contexts = c.grams(n)
         answer = c.answer(replies_to(c.chunk, folders[n - 1]))
         reply = answer[c.inverse]
@@ -299,17 +312,19 @@ def evaluate(c: Chunk, folders: list[str], model: dict[int, tuple]) -> pa.Record
         missed = ~seen & (context_count > 0)
         log[missed] -= np.log10(context_count[missed] + RESERVE)
         # One row for each document and context; the order is part of the context's key.
-        tag = contexts ^ (np.uint64(n) * _K2)
+        tag = np.zeros(places, dtype=np.int64)
+        tag[place] = (contexts ^ (np.uint64(n) * _K2)).view(np.int64)
         if missed.any():
-            pair, times = np.unique(np.stack([c.doc[missed].astype(np.uint64), tag[missed]]), axis=1, return_counts=True)
-            misses.append((pair[0].astype(np.int64), pair[1].view(np.int64), times))
+            pair, times = np.unique(c.doc[missed] << 32 | place[missed], return_counts=True)
+            misses.append((pair >> 32, tag[pair & 0xFFFFFFFF], times))
         # The n-grams this chunk speaks for, of contexts that documents which are held out have.
         own = c.first[(answer & 2) > 0]
         own = own[seen[own] & context_held[own]]
         if len(own):
-            key, at = np.unique(tag[own], return_inverse=True)
-            given = np.bincount(at, count[own] * (1 - d[small[own]]))
-            sums.append((key.view(np.int64), given, np.bincount(at, lower[own])))
+            at = place[own]
+            there = np.flatnonzero(np.bincount(at, minlength=places))
+            given = np.bincount(at, count[own] * (1 - d[small[own]]), minlength=places)
+            sums.append((tag[there], given[there], np.bincount(at, lower[own], minlength=places)[there]))
     rows = (c.chunk << PLACE_BITS) + np.arange(docs)
     gather = lambda parts, i, kind: np.concatenate([p[i] for p in parts]).astype(kind) if parts else np.array([], dtype=kind)
     struct = lambda **columns: pa.StructArray.from_arrays(list(columns.values()), list(columns))
@@ -346,7 +361,7 @@ def scores(documents: DataFrame, order: int = ORDER) -> DataFrame:
         folders.append(run_folder(spark, f"ngrams{n}"))
         grouped = counted.withColumn("group", F.shiftright("chunk", GROUP_BITS)).repartition("group")
         with exchanges_dropped(spark):
-            grouped.write.option("compression", "zstd").partitionBy("group").parquet(folders[-1])
+            grouped.write.option("compression", "zstd").partitionBy("group", "chunk").parquet(folders[-1])
         replies = spark.read.schema(f"{REPLY}, group bigint").parquet(folders[-1])
         distinct, occurrences, *seen = [x or 0 for x in replies.where("group = -1").agg(*sums).first()]
         d = discounts(seen)

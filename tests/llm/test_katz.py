@@ -179,3 +179,20 @@ def test_what_one_chunk_has_is_not_sent():
 def test_planes(values):
     for kind in (np.uint64, np.int64) if max(values, default=0) < 2**63 else (np.uint64,):
         assert katz.unplanes(katz.planes(np.array(values, kind)), kind).tolist() == values
+
+
+def test_chunks_sort_only_their_vocabulary_for_words(monkeypatch):
+    """Distinct n-grams and their numbers as np.unique gives them; for words, tokens are not sorted again."""
+    draw = np.random.default_rng(4)
+    vocabulary, tokens = np.unique(draw.integers(0, 300, 5_000), return_inverse=True)
+    row = {"chunk": 0, "doc_ids": [0, 1], "held": [False, True], "lengths": np.array([3_000, 2_000]), "tokens": katz.planes(tokens.astype(np.int32)),
+           "vocabulary": katz.planes(np.diff(vocabulary.astype(np.uint64) * np.uint64(7), prepend=np.uint64(0)))}
+    chunk, sizes, sort = katz.Chunk(row), [], np.argsort
+    monkeypatch.setattr(katz.np, "argsort", lambda values, *a, **k: sizes.append(len(values)) or sort(values, *a, **k))
+    for n in (1, 2, 3):
+        chunk.grams(n)
+        distinct, inverse = np.unique(chunk.keys * katz._K1, return_inverse=True)
+        assert (chunk.distinct == distinct).all() and (chunk.inverse == inverse).all()
+        assert (chunk.inverse[chunk.first] == np.arange(len(distinct))).all()
+        chunk.answer(np.full(int((~chunk.local).sum()), 5))
+    assert sizes and sizes[0] == len(vocabulary)
