@@ -58,14 +58,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, *partitions: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, *partitions: str, folder: str | None = None, file_rows: int | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: later steps, and tasks run again after an
-    executor is lost, start from the files."""
-    path = run_folder(spark, name)
-    df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
+    executor is lost, start from the files. `folder` is for tables that are dropped again. `file_rows` bounds the rows of a file, for rows of
+    megabytes: writers and readers hold a hundred rows of a file and more at once, however large they are."""
+    path, writer = folder or run_folder(spark, name), df.write.option("compression", "zstd")
+    if file_rows:
+        writer = writer.option("maxRecordsPerFile", file_rows)
+    writer.partitionBy(*partitions).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *folders: str) -> None:
+    """Delete tables of this run that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def exchanges_dropped(spark: SparkSession) -> Iterator[None]:
     """Tables written in here leave no shuffle files behind: Spark drops them when a table is complete, not when the driver's memory is

@@ -17,7 +17,10 @@ is answered so, and then no other chunk has the longer ones that begin or end wi
 nothing. The answers are tables partitioned by group of chunks and chunk, and a round's exchanges are dropped when they are
 written. Each chunk's task reads its own and evaluates its tokens from the lowest order up. What
 is still open then are backoff weights: sums over the distinct n-grams of a context, each counted by the one chunk that its
-bucket named, and met by the documents in an equi-join on the context.
+bucket named, and met by the documents in an equi-join on the context. Chunks and answers are deleted before that.
+
+A chunk is one row of megabytes, so files hold few of them, and what is evaluated leaves as plain rows in small batches: Spark holds
+hundreds of rows of a file at once, and memory must not follow the number of chunks that a task happens to get.
 
 All documents are counted whole (those of the training part) and scored whole. Null texts are empty: one end token. Null
 ids count as training documents. Repeated documents are counted and scored each time. Other columns are not read.
@@ -25,7 +28,7 @@ ids count as training documents. Repeated documents are counted and scored each
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,13 @@ from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspan.llm.common import exchanges_dropped, lower_ascii, words, written
+from parcelspan.llm.common import dropped, exchanges_dropped, lower_ascii, words, written
 from parcelspan.session import run_folder
 
 ORDER, GREATEST, RESERVE = 3, 5, 0.1
 CHUNK = 1_000_000  # tokens; a document is never cut
 BUCKET = 1_000_000  # tokens a bucket, on average
+FILE_CHUNKS, BATCH = 8, 20_000  # chunks a file, rows a batch of what is evaluated
 END, BOS = 0x5EED0E4D, 0x5EED0B05
 GROUP_BITS, PLACE_BITS = 20, 21
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -48,10 +52,12 @@ _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 CHUNKS = "chunk bigint, doc_ids array<bigint>, held array<boolean>, lengths array<int>, tokens binary, vocabulary binary"
 REQUEST = "bucket int, chunk bigint, keys binary, counts binary, stats array<bigint>"
 REPLY = "bucket int, chunk bigint, totals binary, stats array<bigint>"
+# Rows of documents have the first columns, those of contexts `key`, `given` and `lower`, those of misses `row`, `key` and `times`.
 SCORED = (
-    "docs array<struct<row:bigint,doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base_score:double,part:double>>, "
-    "contexts array<struct<key:bigint,given:double,lower:double>>, misses array<struct<row:bigint,key:bigint,times:int>>"
+    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, part double, "
+    "key bigint, given double, lower double, times int"
 )
+_KINDS = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32()}
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -274,18 +280,29 @@ def scored(folders: list[str], model: dict[int, tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks_of(batch):
-                yield evaluate(c, folders, model)
+                yield from evaluate(c, folders, model)
 
     return run
 
 
-def evaluate(c: Chunk, folders: list[str], model: dict[int, tuple]) -> pa.RecordBatch:
+def rows_of(**columns: Sequence | np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of `SCORED`, a batch at a time; columns that are not given are null."""
+    names, kinds = zip(*((n, _KINDS[kind]) for n, kind in (column.split() for column in SCORED.split(", "))), strict=True)
+    size = len(next(iter(columns.values())))
+    for at in range(0, size, BATCH):
+        some = min(BATCH, size - at)
+        arrays = [pa.array(columns[n][at : at + some], k) if n in columns else pa.nulls(some, k) for n, k in zip(names, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+def evaluate(c: Chunk, folders: list[str], model: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
     distinct, occurrences, d, left = model[1]
     c.grams(1)
     reply = c.answer(replies_to(c.chunk, folders[0]))[c.inverse]
     count, held = reply >> 2, (reply & 1) > 0
     known = count > 0
     docs = len(c.lengths)
+    rows = (c.chunk << PLACE_BITS) + np.arange(docs)
     base = np.bincount(c.doc, np.log10((count + 1) / (occurrences + distinct + 1)), minlength=docs)
     n_known = np.bincount(c.doc, known, minlength=docs).astype(np.int64)
 
@@ -294,7 +311,6 @@ def evaluate(c: Chunk, folders: list[str], model: dict[int, tuple]) -> pa.Record
         probability = np.where(known, d[small] * count / (occurrences + RESERVE), left / (occurrences + RESERVE))
         log = np.log10(probability)
     trained = int(model[0][1])  # documents, which is how often texts begin
-    sums, misses = [], []
     for n in range(2, len(folders) + 1):
         context_count, context_held = c.before(count, trained), c.before(held, True)
         lower = probability
@@ -316,7 +332,7 @@ def evaluate(c: Chunk, folders: list[str], model: dict[int, tuple]) -> pa.Record
         tag[place] = (contexts ^ (np.uint64(n) * _K2)).view(np.int64)
         if missed.any():
             pair, times = np.unique(c.doc[missed] << 32 | place[missed], return_counts=True)
-            misses.append((pair >> 32, tag[pair & 0xFFFFFFFF], times))
+            yield from rows_of(row=rows[pair >> 32], key=tag[pair & 0xFFFFFFFF], times=times)
         # The n-grams this chunk speaks for, of contexts that documents which are held out have.
         own = c.first[(answer & 2) > 0]
         own = own[seen[own] & context_held[own]]
@@ -324,23 +340,9 @@ def evaluate(c: Chunk, folders: list[str], model: dict[int, tuple]) -> pa.Record
             at = place[own]
             there = np.flatnonzero(np.bincount(at, minlength=places))
             given = np.bincount(at, count[own] * (1 - d[small[own]]), minlength=places)
-            sums.append((tag[there], given[there], np.bincount(at, lower[own], minlength=places)[there]))
-    rows = (c.chunk << PLACE_BITS) + np.arange(docs)
-    gather = lambda parts, i, kind: np.concatenate([p[i] for p in parts]).astype(kind) if parts else np.array([], dtype=kind)
-    struct = lambda **columns: pa.StructArray.from_arrays(list(columns.values()), list(columns))
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    made = [
-        struct(
-            row=pa.array(rows), doc_id=pa.array(c.doc_ids, pa.int64()), held_out=pa.array(c.held), n_tokens=pa.array(c.lengths),
-            n_known=pa.array(n_known), base_score=pa.array(base), part=pa.array(np.bincount(c.doc, log, minlength=docs)),
-        ),
-        struct(key=pa.array(gather(sums, 0, np.int64)), given=pa.array(gather(sums, 1, float)), lower=pa.array(gather(sums, 2, float))),
-        struct(
-            row=pa.array(rows[gather(misses, 0, np.int64)]), key=pa.array(gather(misses, 1, np.int64)),
-            times=pa.array(gather(misses, 2, np.int32)),
-        ),
-    ]
-    return pa.RecordBatch.from_arrays([one(m) for m in made], ["docs", "contexts", "misses"])
+            yield from rows_of(key=tag[there], given=given[there], lower=np.bincount(at, lower[own], minlength=places)[there])
+    part = np.bincount(c.doc, log, minlength=docs)
+    yield from rows_of(row=rows, doc_id=c.doc_ids, held_out=c.held, n_tokens=c.lengths, n_known=n_known, base_score=base, part=part)
 
 
 def scores(documents: DataFrame, order: int = ORDER) -> DataFrame:
@@ -349,7 +351,8 @@ def scores(documents: DataFrame, order: int = ORDER) -> DataFrame:
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     hashes = F.transform(words(lower_ascii(F.col("text"))), lambda w: F.xxhash64(w)).alias("hashes")
     cut = source.select("doc_id", held_out(F.col("doc_id")).alias("held"), hashes)
-    chunks = written(spark, cut.mapInArrow(chunked, CHUNKS), "chunks")
+    cuts = run_folder(spark, "chunks")
+    chunks = written(spark, cut.mapInArrow(chunked, CHUNKS), "chunks", folder=cuts, file_rows=FILE_CHUNKS)
     size = chunks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     bits = max(6, int(np.ceil(np.log2(max(1, size) / BUCKET))))
 
@@ -370,10 +373,11 @@ def scores(documents: DataFrame, order: int = ORDER) -> DataFrame:
     model[0] = (0, trained)
 
     made = written(spark, chunks.mapInArrow(scored(folders, model), SCORED), "scored")
-    docs = made.select(F.inline("docs"))
-    sums_of = made.select(F.inline("contexts")).groupBy("key").agg(F.sum("given").alias("given"), F.sum("lower").alias("lower"))
+    dropped(spark, cuts, *folders)
+    docs = made.where("n_tokens IS NOT NULL").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "part")
+    sums_of = made.where("given IS NOT NULL").groupBy("key").agg(F.sum("given").alias("given"), F.sum("lower").alias("lower"))
     weight = F.log10((F.col("given") + RESERVE) / (1 - F.col("lower")))
-    open_ = made.select(F.inline("misses")).join(sums_of.select("key", weight.alias("weight")), "key")
+    open_ = made.where("times IS NOT NULL").select("row", "key", "times").join(sums_of.select("key", weight.alias("weight")), "key")
     later = open_.groupBy("row").agg(F.sum(F.col("times") * F.col("weight")).alias("later"))
     return docs.join(later, "row", "left").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model[1][1])).cast("bigint").alias("train_tokens"),

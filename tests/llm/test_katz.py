@@ -196,3 +196,42 @@ def test_chunks_sort_only_their_vocabulary_for_words(monkeypatch):
         assert (chunk.inverse[chunk.first] == np.arange(len(distinct))).all()
         chunk.answer(np.full(int((~chunk.local).sum()), 5))
     assert sizes and sizes[0] == len(vocabulary)
+
+
+def test_memory_does_not_follow_the_chunks_of_a_task(spark, monkeypatch):
+    """A task with many chunks writes files of few of them, and what it evaluates as plain rows: nothing that Spark reads or writes at once
+    holds all of them."""
+    import pyarrow.parquet as pq
+
+    from parcelspan.session import run_folder
+
+    shared = os.path.dirname(run_folder(spark, "any"))
+    before = set(os.listdir(shared)) if os.path.exists(shared) else set()
+    files, written = {}, katz.written
+
+    def watched(session, df, name, *a, **k):
+        out = written(session, df, name, *a, **k)
+        files[name] = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in out.inputFiles()]
+        return out
+
+    monkeypatch.setattr(katz, "written", watched)
+    # Two texts of this length don't fit into a chunk.
+    rows = [(i, f"w{i} w w{i % 3} " * 200_000) for i in range(9)] + corpus(9)
+    assert katz.scores(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).count() == len(rows)
+    held = [f.num_rows for f in files["chunks"]]
+    assert max(held) <= 8 < 9 <= sum(held)
+    for f in files["scored"]:
+        for group in map(f.row_group, range(f.num_row_groups)):
+            assert {group.column(i).num_values for i in range(f.num_columns)} == {group.num_rows}
+    # Chunks and answers are gone when documents and contexts are joined.
+    assert sorted(name.split("-")[0] for name in set(os.listdir(shared)) - before) == ["scored"]
+
+
+def test_rows_leave_in_batches(monkeypatch):
+    monkeypatch.setattr(katz, "BATCH", 4)
+    batches = list(katz.rows_of(row=np.arange(10), doc_id=[None, *range(9)], held_out=np.arange(10) > 5))
+    assert [b.num_rows for b in batches] == [4, 4, 2]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [(r["row"], r["doc_id"], r["held_out"]) for r in rows] == [(i, i - 1 if i else None, i > 5) for i in range(10)]
+    assert all(r[c] is None for r in rows for c in ("n_tokens", "key", "given", "times"))
+    assert not list(katz.rows_of(key=np.array([], np.int64), given=np.array([]), lower=np.array([])))
